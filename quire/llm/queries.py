@@ -8,21 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fingerprints import fingerprint_report
+from .langid import identify
 from .line_dedup import LINE_DEDUP_SQL, line_dedup_report
 from .media import media_report
+from .mixing import mixing_report
+from .quality import quality_report
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_report(table(spark, sf_dir, "documents"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_line_dedup, op7_fingerprints, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_line_dedup, op5_quality, op7_fingerprints, op9_language, op10_media)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}
