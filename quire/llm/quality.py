@@ -2,10 +2,12 @@
 
 Two generative models over hashed n-grams are counted: one of the target (rows
 labelled good), one of the raw text (every row).  Their log ratio, summed over a
-document's n-grams, is its log importance weight.  Adding Gumbel noise to it and
+document's n-grams and scaled to a text of ``TEXT_BYTES`` bytes so that length
+decides nothing, is its log importance weight.  Adding Gumbel noise to it and
 taking the k largest draws k documents without replacement in proportion to
-their weights; k is, unless given, the number of documents that the target model
-explains better.  A document outside the draw is rejected.
+their weights; k is, unless given, the number of documents whose log ratio is
+above -``MARGIN`` a byte: languages rarer in the target than in the raw text sit
+a little below 0.  A document outside the draw is rejected.
 
 N-grams: hashed runs of four UTF-8 bytes, each counting a fourth as four of them
 overlap in every byte, and the hashed difference of neighbouring words, which is
@@ -36,6 +38,8 @@ BUCKETS = 1 << 14
 GRAM_BYTES = 4
 TARGET_DOCS = 20_000
 SMOOTHING = 0.5
+TEXT_BYTES = 400
+MARGIN = 0.065
 SEED = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -137,7 +141,7 @@ def log_weight(spark: SparkSession, ratio: np.ndarray, text: Column) -> Column:
             bytes_, rows, words, word_rows = grams(raw, bounds[at : to + 1])
             for shift, bucket, of in ((0, bytes_, rows), (BUCKETS, words, word_rows)):
                 out[at:to] += np.bincount(of, ratio[shift + bucket], minlength=to - at)
-        return pa.array(out)
+        return pa.array(out * (TEXT_BYTES / np.maximum(np.diff(bounds), 1)))
 
     return weigh(text)
 
@@ -176,7 +180,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> tuple[
     ratio = learn(docs, labels)
     keys = staged(with_keys(docs.select("doc_id", "text"), ratio).drop("text"), "quality")
     if k is None:
-        k = keys.where("gumbel_key IS NOT NULL AND log_weight > 0").count() if ratio.any() else keys.where("gumbel_key IS NOT NULL").count()
+        k = keys.where(F.col("gumbel_key").isNotNull() & (F.col("log_weight") > -MARGIN * TEXT_BYTES)).count()
     return ratio, kth_largest(keys, "gumbel_key", k), keys
 
 
