@@ -12,6 +12,7 @@ from .langid import identify
 from .line_dedup import LINE_DEDUP_SQL, line_dedup_report
 from .media import media_report
 from .mixing import mixing_report
+from .near_dups import near_duplicates
 from .quality import quality_report
 
 
@@ -31,6 +32,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -39,5 +44,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_line_dedup, op5_quality, op7_fingerprints, op9_language, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_line_dedup, op5_quality, op7_fingerprints, op8_near_duplicates, op9_language, op10_media)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}
