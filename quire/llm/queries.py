@@ -13,10 +13,15 @@ from .line_dedup import LINE_DEDUP_SQL, line_dedup_report
 from .media import media_report
 from .mixing import mixing_report
 from .near_dups import near_duplicates
+from .pieces import encoded
 from .quality import quality_report
 from .substrings import remove_repeats
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(table(spark, sf_dir, "documents"))
 
@@ -49,5 +54,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_line_dedup, op5_quality, op6_substrings, op7_fingerprints, op8_near_duplicates, op9_language, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pieces, op2_mixing, op4_line_dedup, op5_quality, op6_substrings, op7_fingerprints, op8_near_duplicates, op9_language, op10_media)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}
