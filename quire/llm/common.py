@@ -35,6 +35,11 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The row as one struct beside the named columns, so that no column of the input can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *names)
+
+
 def words(text: Column) -> Column:
     """array<string> of the words of a non-null text, in order."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))

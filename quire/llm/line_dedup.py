@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, whole_text
+from .common import SPACE_CHARS, packed, whole_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 20
@@ -32,7 +32,7 @@ def ascii_lower(text: Column) -> Column:
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = whole_text()
-    return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"))
+    return docs.withColumns({"text": text, "_id": F.coalesce("doc_id", F.lit(NO_ID)), "_th": F.xxhash64(text)})
 
 
 def keyed_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -43,25 +43,31 @@ def keyed_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.select("_id", "_th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, text (whole), kept (text without the dropped lines), n_lines, n_dropped per input row."""
+def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs (null texts empty) with _kept, the text without the dropped lines, _n_lines and _n_dropped; docs has doc_id, text and maybe row."""
     rows = _rows(docs)
     lines = keyed_lines(rows, min_chars)
     common = lines.groupBy("h1", "h2").agg(F.countDistinct("_id").alias("n"), F.max("_id").alias("holder")).where(F.col("n") >= min_docs)
     gone = lines.join(common.drop("n"), ["h1", "h2"]).where(F.col("_id") != F.col("holder"))
-    gone = gone.groupBy("_id", "_th").agg(F.collect_set("pos").alias("gone"))
-    joined = rows.join(gone, ["_id", "_th"], "left").withColumn("lines", F.split("text", "\n"))
-    n = F.size("lines")
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    joined = joined.withColumn("stay", F.when(F.col("gone").isNotNull(), stay))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n"))
-    n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
-    return joined.select("doc_id", "text", kept.alias("kept"), n.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
+    gone = gone.groupBy("_id", "_th").agg(F.collect_set("pos").alias("_gone"))
+    joined = rows.join(gone, ["_id", "_th"], "left").withColumn("_lines", F.split("text", "\n"))
+    n, whole = F.size("_lines"), F.col("_gone").isNull()
+    joined = joined.withColumn("_stay", F.when(~whole, F.array_except(F.sequence(F.lit(0), n - 1), "_gone")))
+    kept = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n"))
+    n_dropped = F.when(whole, F.lit(0)).otherwise(F.size("_gone"))
+    return joined.withColumns({"_kept": kept, "_n_lines": n.cast("long"), "_n_dropped": n_dropped.cast("long")}).drop("_id", "_th", "_gone", "_lines", "_stay")
+
+
+def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with the lines dropped from text, and n_chars (where there is such a column) counted anew."""
+    out = marked(packed(docs, "doc_id", "text"), min_chars, min_docs)
+    changed = {"text": F.col("_kept")} | ({"n_chars": F.length("_kept").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
-    out = drop_common_lines(docs)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    out = marked(docs.select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 LINE_DEDUP_SQL = r"""

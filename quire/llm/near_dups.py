@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, unstage, whole_text, word_hashes
+from .common import bounded_batches, packed, staged, unstage, whole_text, word_hashes
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -261,6 +261,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of each class's least doc_id (of repeated rows one), with the columns they came with."""
     first = linked(docs).groupBy("class_id").agg(F.min(F.struct("_id", "_th")).alias("f")).select("f._id", "f._th")
-    kept = _keyed(docs).join(first, ["_id", "_th"])
+    kept = _keyed(packed(docs, "doc_id", "text")).join(first, ["_id", "_th"])
     # Repeated rows agree in doc_id and text; only they can meet here.
-    return kept.dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    return kept.dropDuplicates(["_id", "_th"]).select("row.*")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, whole_text
+from .common import bounded_batches, packed, staged, whole_text
 
 BUCKETS = 1 << 14
 GRAM_BYTES = 4
@@ -192,4 +192,4 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents in the draw, with the columns they came with."""
     ratio, least, keys = resample(docs, labels)
-    return with_keys(docs, ratio).where(F.col("gumbel_key") >= F.lit(least)).select(*docs.columns)
+    return with_keys(packed(docs, "doc_id", "text"), ratio).where(F.col("gumbel_key") >= F.lit(least)).select("row.*")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fingerprints import fingerprint_report
+from .html_main import extract_main
 from .langid import identify
 from .line_dedup import LINE_DEDUP_SQL, line_dedup_report
 from .media import media_report
@@ -26,6 +27,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -54,5 +59,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pieces, op2_mixing, op4_line_dedup, op5_quality, op6_substrings, op7_fingerprints, op8_near_duplicates, op9_language, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pieces, op2_mixing, op3_main_text, op4_line_dedup, op5_quality, op6_substrings, op7_fingerprints, op8_near_duplicates, op9_language, op10_media)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}
