@@ -11,7 +11,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,59 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column without nulls and each row's bounds in them."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[: bounds[-1]], bounds
+
+
+def row_slices(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes (one row at least), so that temporaries stay small."""
+    at = 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+#: Tabulation hashing: a random number for each byte at each place.
+_TABLE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, (256, 256), np.uint64)
+_MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Bijective mixing of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX_A
+    x = (x ^ (x >> np.uint64(27))) * _MIX_B
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(raw: np.ndarray, bounds: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the rows, in order, and each row's bounds among them."""
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at, to in row_slices(bounds, most):
+        own, edges = raw[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
+        solid = _SOLID[own]
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1]
+        heads = edges[:-1][edges[:-1] < len(own)]
+        begins[heads] = solid[heads]
+        starts = np.flatnonzero(begins)
+        counts.append(np.diff(np.searchsorted(starts, edges)))
+        if len(starts):
+            place = np.arange(len(own)) - starts[np.maximum(np.cumsum(begins) - 1, 0)]
+            value = _TABLE[own, place & 255]
+            if place.max() > 255:  # words longer than the table
+                value = value * ((place >> 8).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+            value[~solid] = 0
+            parts.append(mixed(np.add.reduceat(value, starts)))
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

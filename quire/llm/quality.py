@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, packed, staged, whole_text
+from .common import bounded_batches, bytes_of, packed, row_slices, staged, whole_text
 
 BUCKETS = 1 << 14
 GRAM_BYTES = 4
@@ -41,6 +41,7 @@ SMOOTHING = 0.5
 TEXT_BYTES = 400
 MARGIN = 0.065
 SEED = 20
+SLICE_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _SHIFT = np.uint64(64 - 14)
@@ -48,14 +49,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The batch's UTF-8 bytes and each row's bounds in them."""
-    column = column.cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data or b"", np.uint8)[: bounds[-1] if len(column) else 0], bounds
-
-
 def grams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets and rows of the byte n-grams, and of the word differences, of one row group."""
     first = int(bounds[0])
@@ -86,21 +79,12 @@ def grams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return byte_bucket, row[:n][inside], ((step * _MIX) >> _SHIFT).astype(np.int64), of[1:][same]
 
 
-def _slices(bounds: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes, so that temporaries stay small."""
-    at = 0
-    while at < len(bounds) - 1:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
-        yield at, to
-        at = to
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, 2 * BUCKETS))
     for batch in batches:
-        raw, bounds = _bytes_of(batch.column(0))
+        raw, bounds = bytes_of(batch.column(0))
         target = np.array(batch.column(1).to_pylist(), bool)
-        for at, to in _slices(bounds):
+        for at, to in row_slices(bounds, SLICE_BYTES):
             bytes_, rows, words, word_rows = grams(raw, bounds[at : to + 1])
             good = target[at:to]
             for shift, bucket, of in ((0, bytes_, rows), (BUCKETS, words, word_rows)):
@@ -135,9 +119,9 @@ def log_weight(spark: SparkSession, ratio: np.ndarray, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def weigh(column: pa.Array) -> pa.Array:
-        raw, bounds = _bytes_of(column)
+        raw, bounds = bytes_of(column)
         ratio, out = shared.value, np.zeros(len(bounds) - 1)
-        for at, to in _slices(bounds):
+        for at, to in row_slices(bounds, SLICE_BYTES):
             bytes_, rows, words, word_rows = grams(raw, bounds[at : to + 1])
             for shift, bucket, of in ((0, bytes_, rows), (BUCKETS, words, word_rows)):
                 out[at:to] += np.bincount(of, ratio[shift + bucket], minlength=to - at)
