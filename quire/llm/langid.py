@@ -99,14 +99,17 @@ def parser(texts: dict[str, list[str]], table: np.ndarray) -> tuple[np.ndarray,
     """All languages' transitions as one flat table, and their start states.
 
     A negative entry v says: the phrase ends, and ~v is the state after the next one's first symbol.
+    Each automaton has one more state without transitions: texts start there, and a symbol that
+    the training text lacks leads there, as it is a phrase of its own.
     """
     width, parts, roots, base = LETTERS + 2, [], [], 0
     for own in texts.values():
         joined = " ".join(own)
         step = automaton(symbols(np.frombuffer(joined.encode("utf-32-le"), np.uint32), table), width)
-        again = np.where(step[0] < 0, 0, step[0]) + base
+        step = np.vstack([step, np.full((1, width), -1, np.int32)])
+        again = np.where(step[0] < 0, len(step) - 1, step[0]) + base
         parts.append(np.where(step < 0, ~again[None, :], step + base).astype(np.int32))
-        roots.append(base)
+        roots.append(base + len(step) - 1)
         base += len(step)
     return np.concatenate(parts).ravel(), np.array(roots, np.int32)
 
@@ -125,7 +128,7 @@ def phrases(rows: list[np.ndarray], flat: np.ndarray, roots: np.ndarray) -> np.n
         k, a = cuts[j]
         grid[: sizes[j], column] = rows[k][a : a + SEGMENT]
     state = np.repeat(roots[:, None], len(cuts), 1)
-    count = np.ones((len(roots), len(cuts)), np.int32)
+    count = np.zeros((len(roots), len(cuts)), np.int32)
     active = np.searchsorted(-sizes[order], -np.arange(len(grid)), "left")
     for at in range(len(grid)):
         n = active[at]
