@@ -33,17 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, packed, staged, unstage, whole_text, word_hashes
+from .common import bounded_batches, bytes_of, hashed_words, mixed, packed, staged, unstage, whole_text
 
 SIZE = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.999999
 BLOCK_SETS = 512
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
 NO_ID = -(1 << 63)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-_MIX2 = np.uint64(0x94D049BB133111EB)
-
 
 def banding(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, most_hashes: int = 128) -> tuple[int, int]:
     """(bands, rows): the most selective rows whose bands reach the recall within the hash budget."""
@@ -56,15 +53,8 @@ def banding(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, most_ha
     return best
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
 def rolled(hashes: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of each row of word hashes and their row numbers."""
-    hashes = hashes.view(np.uint64)
     counts = np.diff(offsets)
     n = max(0, len(hashes) - size + 1)
     out = np.zeros(n, np.uint64)
@@ -75,23 +65,19 @@ def rolled(hashes: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[n
     out, row_of = out[inside], row[:n][inside]
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        whole = []
-        for r in short:
-            x = np.zeros(1, np.uint64)
-            for h in hashes[offsets[r] : offsets[r + 1]]:
-                x = mixed(x * np.uint64(33) + h)
-            whole.append(x[0])
-        out, row_of = np.concatenate([out, np.array(whole, np.uint64)]), np.concatenate([row_of, short])
+        whole = np.zeros(len(short), np.uint64)
+        for k in range(size - 1):
+            longer = counts[short] > k
+            whole[longer] = mixed(whole[longer] * np.uint64(33) + hashes[offsets[short[longer]] + k])
+        out, row_of = np.concatenate([out, whole]), np.concatenate([row_of, short])
         order = np.argsort(row_of, kind="stable")
         out, row_of = out[order], row_of[order]
     return out, row_of
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row of an array<bigint> column of word hashes."""
-    offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
-    hashes = np.asarray(column.flatten())
-    values, row = rolled(hashes, offsets)
+    """Sorted distinct shingle hashes of each text of a column."""
+    values, row = rolled(*hashed_words(*bytes_of(column)))
     ends = np.searchsorted(row, np.arange(len(column) + 1))
     return [np.unique(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
@@ -119,7 +105,7 @@ def _signatures(bands: int, rows: int):
             h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             if len(full):
                 h1[full] = np.add.reduceat(mixed(flat), starts)
-                h2[full] = np.add.reduceat(mixed(flat ^ _MIX), starts)
+                h2[full] = np.add.reduceat(mixed(flat ^ np.uint64(0x9E3779B97F4A7C15)), starts)
             flat_keys = pa.array(keys.T.ravel().view(np.int64))
             per_row = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat_keys)
             yield pa.RecordBatch.from_arrays(
@@ -215,7 +201,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET
     bounded_batches(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     text = whole_text()
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), word_hashes(text).alias("words"))
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"))
     schema = "_id bigint, _th bigint, s1 bigint, s2 bigint, n int, bands array<bigint>"
     signed = staged(base.mapInArrow(_signatures(bands, rows), schema), "signed")
     # One row for each distinct set, named by the least row that has it.
@@ -235,7 +221,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET
     meets = meets.where(F.size("b") > 1).select(F.sort_array("b").alias("b")).distinct()
     pairs = meets.select("b", F.posexplode("b").alias("i", "left")).select("left", F.explode(F.expr("slice(b, i + 2, size(b))")).alias("right")).distinct()
     pairs = staged(pairs.withColumn("pair", F.xxhash64("left", "right")), "pairs")
-    full = base.join(homes, ["_id", "_th"]).select("set", "w", "block", "words")
+    full = base.join(homes.hint("merge"), ["_id", "_th"]).select("set", "w", "block", "text")
     full = staged(full.mapInArrow(_sets, "set bigint, w bigint, block bigint, shingles array<bigint>"), "shingles")
     alone = homes.groupBy("block").count().where("count > 1").select(F.col("block"), F.xxhash64("block", "block").alias("pair"), F.lit(2).alias("side"))
     deal = alone.union(pairs.select(F.col("left").alias("block"), "pair", F.lit(0).alias("side"))).union(pairs.select(F.col("right").alias("block"), "pair", F.lit(1).alias("side")))
