@@ -33,6 +33,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,13 +170,15 @@ def _role(attrs: str) -> str:
     return next(((m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs) if m[1].lower() == "role"), "")
 
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The article's text; ``template`` numbers the text blocks that belong to the host's template."""
-    blocks, _ = blocks_of(page)
+def main_text(page: str, template: frozenset[int] = frozenset()) -> tuple[str, int]:
+    """The article's text, and how many of the page's tokens belong to its host's ``template``."""
+    blocks, tags = blocks_of(page)
+    own = [_token(b.path, b.text) for b in blocks] if template else [0] * len(blocks)
+    found = len(template.intersection(own)) + len(template.intersection(map(_token, set(tags)))) if template else 0
     root = max((b.root for b in blocks if not b.aside), default=0)
     if root:
-        return "\n".join(b.text for b in blocks if b.root == root and not b.aside)
-    return "\n".join(b.text for k, b in enumerate(blocks) if not b.aside and k not in template and b.links <= LINK_SHARE)
+        return "\n".join(b.text for b in blocks if b.root == root and not b.aside), found
+    return "\n".join(b.text for b, token in zip(blocks, own) if not b.aside and token not in template and b.links <= LINK_SHARE), found
 
 
 def _token(path: str, text: str = "") -> int:
@@ -183,59 +186,69 @@ def _token(path: str, text: str = "") -> int:
     return (first << 32 | zlib.crc32(text.encode(), first)) - (1 << 63)
 
 
-TOKENS = "host string, page bigint, token bigint, n int, first int, block int"
+TOKENS = "host bigint, page bigint, token bigint, n int, first int"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each token of each page with its count, first place and (for text) block number."""
+    """Each token of each page with its count and first place."""
     for batch in batches:
-        columns: list[list] = [[], [], [], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         for host, page, text in zip(*(c.to_pylist() for c in batch.columns)):
             blocks, tags = blocks_of(text)
             seen: dict[int, list[int]] = {}
-            for place, (token, block) in enumerate([(_token(t), -1) for t in tags] + [(_token(b.path, b.text), k) for k, b in enumerate(blocks)]):
-                seen.setdefault(token, [0, place, block])[0] += 1
+            for place, token in enumerate([_token(t) for t in tags] + [_token(b.path, b.text) for b in blocks]):
+                seen.setdefault(token, [0, place])[0] += 1
             for token, own in seen.items():
                 for column, value in zip(columns, (host, page, token, *own)):
                     column.append(value)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in TOKENS.split(", ")])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        texts = [main_text(page, frozenset(t or ())) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(4)], ["page_id", "url", "text", "n_chars", "n_template"])
+        got = [main_text(unpack.decompress(page).decode(), frozenset(t or ())) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        columns = [pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "text", "n_chars", "n_template"])
+
+
+def _pack(texts: pa.Array) -> pa.Array:
+    pack = zstandard.ZstdCompressor(level=3)
+    return pa.array([pack.compress(t.as_buffer()) for t in texts], pa.binary())
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    return pages.select("page_id", "url", html.alias("html"), host.alias("host"), F.xxhash64(html).alias("page"))
+    return pages.select("page_id", "url", html.alias("html"), F.xxhash64(host).alias("host"), F.xxhash64(html).alias("page"))
 
 
-def template_blocks(pages: DataFrame) -> DataFrame:
-    """host, page (hash of its html), n_template, template: tokens of valid classes in the page, and which are its text blocks.
+def templates(pages: DataFrame) -> DataFrame:
+    """host, template: the tokens of the host's valid classes.
 
-    Pages of equal html count once, so copies lend a class no support.
+    A copy of a page adds the same to the vector of each of its tokens, so it changes
+    no class; hosts are asked for ``MIN_PAGES`` different pages, so it lends no support.
     """
     keyed = _keyed(pages)
-    per_host = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    tokens = keyed.select("host", "page", "html").mapInArrow(_tokens, TOKENS)
-    counts = staged(tokens.groupBy("host", "token", "page").agg(F.max("n").alias("n"), F.min("first").alias("first"), F.min("block").alias("block")), "tokens")
-    vector = counts.groupBy("host", "token").agg(F.count("*").alias("held"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"))
-    classes = vector.join(per_host, "host").where("held = pages").select("host", "token", "vector")
-    members = counts.join(classes, ["host", "token"])
+    per_host = keyed.select("host", "page").groupBy("host", "page").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("rows"))
+    tokens = staged(keyed.select("host", "page", "html").mapInArrow(_tokens, TOKENS), "tokens")
+    # The sum is taken of 62-bit numbers in decimals, so that it cannot overflow.
+    vector = tokens.groupBy("host", "token").agg(F.count("*").alias("held"), F.sum(F.shiftright(F.xxhash64("page", "n"), 2).cast("decimal(20,0)")).alias("vector"))
+    classes = vector.join(per_host.where(F.col("pages") >= MIN_PAGES), "host").where("held = rows").select("host", "token", F.xxhash64("vector").alias("class"))
     # The order of a class's tokens in each page, as one hash; a valid class has one order.
-    order = members.groupBy("host", "vector", "page").agg(F.hash(F.transform(F.sort_array(F.collect_list(F.struct("first", "token"))), lambda x: x["token"])).alias("order"))
-    valid = order.groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b").select("host", "vector")
-    held = members.join(valid, ["host", "vector"]).groupBy("host", "page")
-    return held.agg(F.count("*").alias("n_template"), F.collect_set(F.when((F.col("block") >= 0) & (F.col("n") == 1), F.col("block"))).alias("template"))
+    members = tokens.select("host", "page", "token", "first").join(classes, ["host", "token"])
+    order = members.groupBy("host", "class", "page").agg(F.hash(F.transform(F.sort_array(F.collect_set(F.struct("first", "token"))), lambda x: x["token"])).alias("order"))
+    valid = order.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b").select("host", "class")
+    return classes.join(valid, ["host", "class"]).groupBy("host").agg(F.collect_set("token").alias("template"))
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_template (template tokens found in the page) for each row of pages."""
+    """page_id, url, text, n_chars, n_template (template tokens found in the page) for each row of pages.
+
+    Pages travel compressed to meet their host's template.
+    """
     bounded_batches(pages.sparkSession)
-    rows = _keyed(pages).join(template_blocks(pages), ["host", "page"], "left")
-    rows = rows.select("page_id", "url", "html", "template", F.coalesce("n_template", F.lit(0)).alias("n_template"))
+    rows = _keyed(pages).select("page_id", "url", "host", F.arrow_udf(_pack, "binary")("html").alias("packed"))
+    rows = rows.join(templates(pages).hint("merge"), "host", "left").select("page_id", "url", "packed", "template")
     return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint, n_template bigint")
