@@ -1,13 +1,13 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
-For each word (a run of spaces and what follows it) the substrings of at most
-the longest piece's length are exploded, equi-joined to the piece table and
-grouped by word as edges; a Viterbi fold over their ends picks the path.  The
-installed model is a byte-pair one, whose scores rank merges: the sum of scores
-would not give its segmentation.  So an edge extends a path only if the two
-pieces are stable, that is, if merging their joint text yields just these two.
-With that weight exactly one path reaches each end, the model's own.  Models of
-the unigram kind keep the usual fold, the greatest sum of scores.
+For each word (spaces and the run of letters, or of other characters, that
+follows) the substrings of at most the longest piece's length are exploded,
+equi-joined to the piece table and grouped by word as edges; a Viterbi fold picks
+the path.  The installed model is a byte-pair one, whose scores rank merges: the
+sum of scores would not give its segmentation.  So an edge extends a path only if
+the two pieces are stable, that is, if merging their joint text yields just these
+two.  With that weight exactly one path reaches each end, the model's own.
+Models of the unigram kind keep the usual fold, the greatest sum of scores.
 
 No piece spans the border of two words or holds a character outside the
 vocabulary, so texts are cut there without changing the result; both facts
@@ -24,7 +24,7 @@ a row; any further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,7 @@ from .common import bounded_batches, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 _NONE = float("-inf")
 
 
@@ -66,12 +66,17 @@ class PieceTable:
         self.ids = {p: k for p, (k, _) in normal.items() if p in reach}
         self.bytes = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         self.unknown = next((k for k, p in enumerate(pieces) if p[2] == "unknown"), 0)
+        #: The join's right side: pieces with their ids, and what only begins a piece with -1.
+        self.join = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.longest = max(map(len, self.ids), default=0)
         self.surface = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "normal" else b" \xe2\x81\x87 " if kind == "unknown" else b"" for p, _, kind in pieces]
         known = set("".join(self.ids)) - {SPACE}
         if any(SPACE in p.lstrip(SPACE) or p[0] == SPACE and not p.strip(SPACE) and set(p) != {SPACE} for p in self.ids):
             raise ValueError("a piece spans two words")
-        self.chars = known
+        self.chars, letters = known, {c for c in known if c.isalpha()}
+        # If no piece holds a letter next to another character, words are cut between the two as well.
+        mixes = any((a in letters) != (b in letters) for p in self.ids for a, b in zip(p.lstrip(SPACE), p.lstrip(SPACE)[1:]))
+        self.parts = [known] if mixes else [letters, known - letters]
 
     @classmethod
     def load(cls, path: str = MODEL) -> PieceTable:
@@ -88,46 +93,52 @@ class Lattice:
     """Encodes words against a piece table; keeps what it has learned, within bounds."""
 
     def __init__(self, table: PieceTable):
-        self.table, self.words, self.stable = table, {}, {}
+        # Words of the present and of the former generation: frequent ones move along, rare ones go.
+        self.table, self.words, self.former, self.stable = table, {}, {}, {}
         # Characters outside the vocabulary stand alone: they can be part of no edge.
         known = re.escape("".join(sorted(table.chars)))
-        self.cut = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|[^{known}{SPACE}]")
-
-    def edges(self, words: list[str]) -> dict[str, list[tuple[int, int, str]]]:
-        """(end, start, piece) of all substrings that are pieces, by word."""
-        ids, longest = self.table.ids, self.table.longest
-        out = defaultdict(list)
-        for word in words:
-            n = len(word)
-            out[word] = [(b, a, word[a:b]) for b in range(1, n + 1) for a in range(max(0, b - longest), b) if word[a:b] in ids]
+        runs = "|".join(f"{SPACE}*[{re.escape(''.join(sorted(part)))}]+" for part in table.parts if part)
+        self.cut = re.compile(f"{runs}|{SPACE}+|[^{known}{SPACE}]")
+
+    def edges(self, word: str) -> list[tuple[int, int, str]]:
+        """(start, end, piece) of all substrings that are pieces, by start; a start is given up at the first substring that begins no piece."""
+        out, get, n = [], self.table.join.get, len(word)
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                known = get(piece := word[a:b])
+                if known is None:  # at the latest one past the longest piece
+                    break
+                if known >= 0:
+                    out.append((a, b, piece))
         return out
 
     def fits(self, left: str, right: str) -> bool:
         known = self.stable.get((left, right))
         if known is None:
-            if len(self.stable) > 4 * CACHE_WORDS:
+            if len(self.stable) > 2 * CACHE_WORDS:
                 self.stable.clear()
             known = self.stable[left, right] = merge(left + right, self.table.score) == [left, right]
         return known
 
     def fold(self, word: str, edges: list[tuple[int, int, str]]) -> list[int]:
-        """Viterbi over the edges in order of their ends."""
+        """Viterbi over the edges in order of their starts: when a start is reached, its best path is known."""
         table, n = self.table, len(word)
-        best: list[tuple[float, int, str] | None] = [(0.0, -1, "")] + [None] * n
-        for end, start, piece in edges:
-            before = best[start]
-            if before is None or table.bpe and start and not self.fits(before[2], piece):
-                continue
-            score = before[0] + (0.0 if table.bpe else table.score[piece])
-            if best[end] is None or score > best[end][0]:
-                best[end] = (score, start, piece)
-        if best[n] is None:
+        before: list[tuple[int, str] | None] = [(-1, "")] + [None] * n
+        if table.bpe:
+            for start, end, piece in edges:
+                if before[end] is None and (left := before[start]) is not None and (not start or self.fits(left[1], piece)):
+                    before[end] = (start, piece)
+        else:
+            best = [0.0] + [_NONE] * n
+            for start, end, piece in edges:
+                if (score := best[start] + table.score[piece]) > best[end]:
+                    best[end], before[end] = score, (start, piece)
+        if before[n] is None:
             return [x for c in word for x in self.fallback(c)]
         out, at = [], n
         while at:
-            _, start, piece = best[at]
+            at, piece = before[at]
             out.append(table.ids[piece])
-            at = start
         return out[::-1]
 
     def fallback(self, char: str) -> list[int]:
@@ -137,19 +148,21 @@ class Lattice:
 
     def learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        for word, edges in self.edges(sorted(words)).items():
-            self.words[word] = np.array(self.fold(word, edges), np.int32).tobytes()
+            self.former, self.words = self.words, {}
+        for word in words:
+            known = self.former.get(word)
+            if known is None:
+                ids = self.fold(word, self.edges(word))
+                known = struct.pack(f"={len(ids)}i", *ids)
+            self.words[word] = known
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         words = self.cut.findall((SPACE if self.table.dummy_prefix else "") + text.replace(" ", SPACE))
-        fresh = set(words).difference(self.words)
-        if fresh:
-            if len(self.words) + len(fresh) > CACHE_WORDS:
-                fresh = set(words)
-            self.learn(fresh)
+        distinct = set(words)
+        if fresh := distinct.difference(self.words):
+            self.learn(distinct if len(self.words) + len(fresh) > CACHE_WORDS else fresh)
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
