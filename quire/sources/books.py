@@ -46,7 +46,7 @@ def _texts(root: ET.Element, name: str) -> list[str]:
 
 
 def decode_text(content: bytes) -> str:
-    """By byte order mark, declared encoding, UTF-8, UTF-16 parity, then Windows-1252."""
+    """By byte order mark, declared encoding, the parity of NULs (UTF-16), UTF-8, then Windows-1252."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if content.startswith(mark):
             return content[len(mark) :].decode(name, "replace")
@@ -57,13 +57,13 @@ def decode_text(content: bytes) -> str:
             return content.decode(said[1] or said[2])
         except (LookupError, UnicodeDecodeError):
             pass
+    odd, even = content[1:4096:2].count(0), content[0:4096:2].count(0)
+    if max(odd, even) > len(content[:4096]) // 4:
+        return content.decode("utf-16-le" if odd > even else "utf-16-be", "replace")
     try:
         return content.decode("utf-8")
     except UnicodeDecodeError:
         pass
-    odd, even = content[1:4096:2].count(0), content[0:4096:2].count(0)
-    if max(odd, even) > len(content[:4096]) // 4:
-        return content.decode("utf-16-le" if odd > even else "utf-16-be", "replace")
     return content.decode("cp1252", "replace")
 
 
@@ -711,9 +711,23 @@ def sqlite_rows(content: bytes, table: str) -> list[dict]:
         os.unlink(f.name)
 
 
+def parse_tiff(content: bytes) -> Book:
+    """Metadata only: pages of a TIFF hold no text."""
+    from .images import tiff_tags
+
+    tags = tiff_tags(content)
+    return _book(title=tags.get("title", ""), description=tags.get("description", ""), authors=[tags["author"]] if tags.get("author") else [])
+
+
+def _pdf(content: bytes) -> Book:
+    from .pdf import parse_pdf
+
+    return parse_pdf(content)
+
+
 PARSERS: dict[str, Callable[[bytes], Book]] = {
     "epub": parse_epub, "fb2": parse_fb2, "fbz": parse_fbz, "txt": parse_txt, "txtz": parse_txtz, "markdown": parse_markdown, "html": parse_html, "htmlz": parse_htmlz, "docx": parse_docx, "odt": parse_odt,
-    "rtf": parse_rtf, "cbz": parse_cbz, "cbc": parse_cbc, "pdb": parse_palmdoc, "mobi": parse_mobi, "opds": parse_opds,
+    "rtf": parse_rtf, "cbz": parse_cbz, "cbc": parse_cbc, "pdb": parse_palmdoc, "mobi": parse_mobi, "pdf": _pdf, "tiff": parse_tiff, "opds": parse_opds,
 }
 BOOK = """book_id string, format string, error string, title string, authors array<string>, languages array<string>, publisher string, description string, subjects array<string>,
 series string, series_index double, identifiers map<string,string>, sections array<struct<path: string, is_html: boolean, content: string>>, nav array<struct<label: string, target: string, depth: int>>"""
