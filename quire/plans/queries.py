@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import metadata, text
-from quire.operators import annotations, catalogue, index, package_rules, reading, search, spatial
+from quire.operators import anchors, annotations, catalogue, index, package_rules, reading, search, spatial
+from quire.sources import books, detect
 
 from .library import entries_of_parts, manifest_of_orders, sections_of_conversations, sections_of_documents, table
 
@@ -396,6 +397,31 @@ def zones_in_range(spark, d):
     return spatial.overlapping(ranges, zones, ["k"], 64).select("k", "zone_seq")
 
 
+@query(QUOTES + ", n AS (SELECT item_id, count(*) AS n FROM f GROUP BY 1) SELECT item_id AS anchor_id, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome, 'exact' AS pass FROM n")
+def durable_anchors(spark, d):
+    """Passages without known context look for their places: one is resolved, several are ambiguous."""
+    b = table(spark, d, "benchmark")
+    told = b.select(F.col("item_id").alias("anchor_id"), F.lit(-1).cast("bigint").alias("section"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("sha256:none").alias("revision"), F.col("text").alias("quote"), F.lit("").alias("before"), F.lit("").alias("after"))
+    sections = table(spark, d, "documents").select(F.col("doc_id").alias("section"), "text")
+    return anchors.resolve(told, sections, fuzzy=False).where("outcome <> 'missing'").select("anchor_id", "outcome", "pass")
+
+
+@query("SELECT 'pages' AS source, 'html' AS format, count(*) AS n FROM pages UNION ALL SELECT 'documents', 'txt', count(*) FROM documents WHERE NOT regexp_matches(text, '(?i)<html|<body|<head')")
+def detected_formats(spark, d):
+    """Formats of the tables' contents as bytes, all in the JVM."""
+    pages = table(spark, d, "pages").select(F.lit("pages").alias("source"), F.encode("html", "UTF-8").alias("content"))
+    docs = table(spark, d, "documents").where("NOT text RLIKE '(?i)<html|<body|<head'").select(F.lit("documents").alias("source"), F.encode("text", "UTF-8").alias("content"))
+    both = pages.unionByName(docs).select("source", detect.detected_format(F.col("content")).alias("format"))
+    return both.groupBy("source", "format").agg(F.count("*").alias("n"))
+
+
+@query()
+def text_books(spark, d):
+    """Documents read as books of the plain text format: title, sections and their sizes."""
+    files = table(spark, d, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return books.read_books(files).select("book_id", "format", "error", F.size("sections").alias("n_sections"), F.length(F.col("sections")[0]["content"]).alias("n_chars"))
+
+
 @query("SELECT l_orderkey AS book, min(l_linenumber * 20.0) AS x, min(l_quantity) AS y, max(l_linenumber * 20.0 + 10) AS \"right\", max(l_quantity + 5) AS bottom FROM lineitem GROUP BY 1")
 def bounding_boxes(spark, d):
     zones = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("book"), (F.col("l_linenumber") * 20.0).alias("x"), F.col("l_quantity").alias("y"), F.lit(10.0).alias("w"), F.lit(5.0).alias("h"))

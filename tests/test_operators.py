@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import annotations, catalogue, index, package_rules, reading, search, spatial
+from quire.operators import anchors, annotations, catalogue, index, package_rules, reading, search, spatial, tables
 from quire.plans import queries
 from quire.sinks import index_store
 from quire.streaming import incremental
@@ -131,6 +131,32 @@ def test_outcomes_and_relocation(spark):
     assert {r["a"]: (r["s"], r["start"]) for r in best.collect()} == {1: (5, 0), 2: (5, 1), 3: (9, 0)}
 
 
+def test_durable_anchors(spark):
+    kind = "section int, text string"
+    quote = "the quick brown fox jumps over the lazy dog and runs away"
+    old = spark.createDataFrame([(0, "same text here"), (1, f"before one {quote} after one"), (2, f"x {quote} y"), (3, "gone forever and ever amen"), (4, "alpha beta  gamma delta epsilon zeta eta theta iota"), (5, "it was the best of times it was the worst of times indeed")], kind)
+    ranges = spark.createDataFrame([(0, 0, 5, 9), (1, 1, 11, 11 + len(quote)), (3, 3, 0, 26), (4, 4, 0, 50), (5, 5, 0, 57)], "anchor_id int, section int, start int, end int")
+    kept = anchors.capture(old, ranges)
+    new = spark.createDataFrame([(0, "same text here"), (1, f"New intro. before one {quote} after one"), (2, f"x {quote} z"), (4, "** alpha beta gamma delta epsilon zeta eta theta iota"), (5, "it was the bast of times it was the worst of times indeed")], kind)
+    got = {r["anchor_id"]: (r["outcome"], r["pass"], r["section"], r["start"], r["end"]) for r in anchors.resolve(kept, new).collect()}
+    assert got[0] == ("resolved", "identity", 0, 5, 9) and got[1] == ("resolved", "exact", 1, 22, 22 + len(quote))
+    assert got[3][0] == "missing" and got[4] == ("resolved", "normalized", 4, 3, 52) and got[5] == ("resolved", "fuzzy", 5, 0, 57)
+    blank = kept.where("anchor_id = 1").withColumn("before", F.lit("")).withColumn("after", F.lit(""))
+    assert anchors.resolve(blank, new).first()["outcome"] == "ambiguous"
+
+
+def test_tables(spark):
+    lines = [(float(k), 0.0, 20.0) for k in (0, 10, 20)]
+    assert tables.grid_of(lines, lines) == ([0, 10, 20], [0, 10, 20])
+    assert tables.grid_of(lines[:2], lines) is None and tables.grid_of(lines, [(0.0, 0.0, 20.0), (10.0, 0.0, 3.0), (20.0, 0.0, 20.0)]) is None
+    words = [("p", f"{c}{r}", 50.0 * c, 20.0 * r, 10.0, 8.0) for r in range(4) for c in range(3)] + [("q", "lone", 0.0, 0.0, 5.0, 5.0)]
+    df = spark.createDataFrame(words, "page string, text string, x double, y double, w double, h double")
+    got = {(r["row"], r["col"]): r["text"] for r in tables.column_tables(df, ["page"]).collect()}
+    assert got == {(r, c): f"{c}{r}" for r in range(4) for c in range(3)}
+    cells = spark.createDataFrame([("p", 0, 0, 0.0, 0.0, 60.0, 15.0)], "page string, row int, col int, x double, y double, w double, h double")
+    assert tables.words_in_cells(df, cells, ["page"]).first()["text"] == "00 10"
+
+
 def test_zones(spark):
     zones = spark.createDataFrame([("b", k, kind, a, e) for k, (kind, a, e) in enumerate([("region", 0, 1500), ("word", 0, 5), ("word", 6, 10), ("word", 1100, 1500), ("region", 1500, 1600)])], "book string, zone_seq int, kind string, text_start int, text_end int")
     ranges = spark.createDataFrame([("b", 1, 11, 15), ("b", 2, 4, 7), ("b", 3, 500, 1200)], "book string, r int, start int, end int")
