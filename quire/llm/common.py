@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
-BATCH_ROWS = 1_000
-BATCH_BYTES = 32 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(raw: np.ndarray, bounds: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(raw: np.ndarray, bounds: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the rows, in order, and each row's bounds among them."""
     parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for at, to in row_slices(bounds, most):
@@ -91,9 +91,10 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def packed(docs: DataFrame, *names: str) -> DataFrame:
-    """The row as one struct beside the named columns, so that no column of the input can clash with an operator's own."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *names)
+def packed(docs: DataFrame, *names: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """The row (but for the columns in ``without``) as one struct beside the named columns, so that no column of the input can clash with an operator's own."""
+    kept = [c for c in docs.columns if c not in without]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *names)
 
 
 def words(text: Column) -> Column:

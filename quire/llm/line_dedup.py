@@ -60,7 +60,7 @@ def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 
 def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the lines dropped from text, and n_chars (where there is such a column) counted anew."""
-    out = marked(packed(docs, "doc_id", "text"), min_chars, min_docs)
+    out = marked(packed(docs, "doc_id", "text", without=("text", "n_chars")), min_chars, min_docs)
     changed = {"text": F.col("_kept")} | ({"n_chars": F.length("_kept").cast("long")} if "n_chars" in docs.columns else {})
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
 

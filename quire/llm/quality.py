@@ -41,7 +41,7 @@ SMOOTHING = 0.5
 TEXT_BYTES = 400
 MARGIN = 0.065
 SEED = 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _SHIFT = np.uint64(64 - 14)
