@@ -15,6 +15,7 @@ import sqlite3
 import struct
 import tempfile
 import xml.etree.ElementTree as ET
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -600,8 +601,22 @@ def inflate_palmdoc(data: bytes) -> bytes:
     return bytes(out)
 
 
+def parse_ereader(name: str, records: list[bytes]) -> Book:
+    """Deflated eReader texts; the markup becomes HTML with its chapters as navigation."""
+    from .palm import render_pml
+
+    packing, pages = struct.unpack(">H", records[0][:2])[0], struct.unpack(">H", records[0][12:14])[0]
+    if packing not in (2, 10):
+        raise Refused(f"packing {packing}")
+    text = b"".join(inflate_palmdoc(r) if packing == 2 else zlib.decompress(r) for r in records[1:pages])
+    body, titles = render_pml(text.decode("cp1252", "replace").replace("\r\n", "\n").replace("\r", "\n"))
+    return _book(title=name, sections=[{"path": "index.html", "is_html": True, "content": f"<html><body>{body}</body></html>"}], nav=[{"label": t, "target": "index.html", "depth": 0} for t in titles])
+
+
 def parse_palmdoc(content: bytes) -> Book:
     name, kind, records = palm_records(content)
+    if kind == "PNRDPPRS":
+        return parse_ereader(name, records)
     if kind != "TEXTREAD" or len(records[0]) < 16:
         raise Refused(f"Palm database {kind}")
     packing, _, _, count = struct.unpack(">HHIH", records[0][:10])
@@ -620,15 +635,21 @@ def parse_mobi(content: bytes) -> Book:
     packing, _, size, count = struct.unpack(">HHIH", head[:10])
     if struct.unpack(">H", head[12:14])[0]:
         raise Refused("the book is protected")
-    if packing not in (1, 2):
+    if packing not in (1, 2, 17480):
         raise Refused(f"packing {packing}")
+    unpack = {1: bytes, 2: inflate_palmdoc}.get(packing)
+    if unpack is None:
+        from .palm import Dictionary
+
+        first, n = struct.unpack(">II", head[0x70:0x78])
+        unpack = Dictionary(records[first], records[first + 1 : first + n]).unpack
     charset = "utf-8" if struct.unpack(">I", head[28:32])[0] == 65001 else "cp1252"
     start, length = struct.unpack(">II", head[84:92]) if len(head) >= 92 else (0, 0)
     out = _book(title=head[start : start + length].decode(charset, "replace") or name)
     flags = struct.unpack(">H", head[0xF2:0xF4])[0] if struct.unpack(">I", head[20:24])[0] >= 228 and len(head) >= 0xF4 else 0
     text = bytearray()
     for r in records[1 : 1 + count]:
-        text += (inflate_palmdoc if packing == 2 else bytes)(_without_trailers(r, flags))
+        text += unpack(_without_trailers(r, flags))
     at = head.find(b"EXTH", 16)
     if at > 0:
         for kind, value in _exth(head[at:]):
@@ -755,7 +776,7 @@ def parse(content: bytes, kind: str | None) -> tuple[str | None, Book | None, st
         return kind, PARSERS[kind](content), None
     except Refused as e:
         return kind, None, str(e)
-    except (ValueError, KeyError, IndexError, AttributeError, TypeError, struct.error, RecursionError) as e:
+    except (ValueError, zlib.error, KeyError, IndexError, AttributeError, TypeError, struct.error, RecursionError) as e:
         return kind, None, f"malformed: {type(e).__name__}"
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.sinks.epub_metadata import updated_epub, with_title
-from quire.sources import archive, books, detect, images, ocr
+from quire.sources import archive, books, detect, epub_tables, images, ocr, palm as palm_codec
 from quire.sources.pdf import Document, decoded
 
 
@@ -239,3 +239,48 @@ def test_decoding():
     assert books.decode_text("é".encode("utf-8")) == "é" and books.decode_text("é".encode("cp1252")) == "é"
     assert books.decode_text(b'<?xml version="1.0" encoding="windows-1251"?>' + "ж".encode("cp1251")).endswith("ж")
     assert books.decode_text("plain ascii".encode("utf-16-le")) == "plain ascii"
+
+
+def test_epub_diagnostics(spark):
+    bad = OPF.replace('id="c2" href="sub/Two.xhtml"', 'id="c1" href="none.xhtml"').replace('version="3.0"', 'version="9"')
+    df = spark.createDataFrame([("good", bytearray(epub(**{"OPS__one·xhtml": '<p id="a">1</p>', "OPS__sub__Two·xhtml": "<p/>"}))), ("bad", bytearray(epub(**{"OPS__book·opf": bad}))), ("junk", bytearray(b"PK nothing"))], "path string, content binary")
+    found = {}
+    for r in epub_tables.diagnose(df).collect():
+        found.setdefault(r["book_id"], set()).add(r["rule"])
+    assert found["good"] == {"spine.reference-invalid", "spine.reference-duplicate"}
+    assert {"package.version-unsupported", "manifest.id-duplicate", "manifest.resource-missing", "navigation.fragment-unresolved"} <= found["bad"]
+    assert {"container.missing", "container.rootfile.missing", "spine.empty"} <= found["junk"]
+
+
+def test_overlays_and_viewports(spark):
+    smil = b'<smil><body><seq><par><text src="../t/a.xhtml#p1"/><audio src="x.mp3" clipBegin="0:00:01" clipEnd="2s"/></par><par><text src="b.xhtml"/></par></seq></body></smil>'
+    assert epub_tables.parse_overlay(smil, "OPS/smil/s.smil") == [{"text": "OPS/t/a.xhtml#p1", "audio": "OPS/smil/x.mp3", "begin": "0:00:01", "end": "2s"}, {"text": "OPS/smil/b.xhtml", "audio": None, "begin": None, "end": None}]
+    pages = ['<meta name="viewport" content="width=600, height=800">', '<svg width="30px" height="40">', '<svg viewBox="0 0 50.5 60">', "<p>", '<meta name="viewport" content="width=0, height=9">']
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, h string")
+    got = [r["v"] and tuple(r["v"]) for r in df.select("k", epub_tables.viewport_of(F.col("h")).alias("v")).orderBy("k").collect()]
+    assert got == [(600, 800), (30, 40), (50, 60), None, None]
+
+
+def test_dictionary_packing():
+    """Two-bit codes, complete: phrases 0 to 3 for codes 11, 10, 01, 00."""
+    short = b"".join(struct.pack(">I", 3 << 8 | 128 | 2) for _ in range(256))
+    huff = b"HUFF" + struct.pack(">III", 24, 24, 24 + 1024) + bytes(8) + short + bytes(256)
+    parts = [(b"ab", 1), (b"c", 1), (b"\xf0", 0), (b" ", 1)]
+    table, body = b"", b""
+    for data, plain in parts:
+        table += struct.pack(">H", 2 * len(parts) + len(body))
+        body += struct.pack(">H", len(data) | plain << 15) + data
+    cdic = b"CDIC" + struct.pack(">III", 16, len(parts), 2) + table + body
+    d = palm_codec.Dictionary(huff, [cdic])
+    assert d.unpack(bytes((0b11100001,))) == b"abc " + b"abab  "
+    assert d.unpack(b"\xff") == b"abababab"
+
+
+def test_ereader():
+    body, titles = palm_codec.render_pml('\\xOne \\a233\\x\nplain \\i it\\i \\U6f22 <&\\\\ \\Q="x"')
+    assert titles == ["One é"] and body == "<p><h1>One é</h1></p><p>plain <i> it</i> 漢 &lt;&amp;\\ </p>"
+    head = bytearray(132)
+    struct.pack_into(">H", head, 0, 10)
+    struct.pack_into(">H", head, 12, 2)
+    book = books.parse(palm(b"PNRDPPRS", [bytes(head), zlib.compress(b"hello")]), "pdb")[1]
+    assert book["sections"][0]["content"] == "<html><body><p>hello</p></body></html>"
