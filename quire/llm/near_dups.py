@@ -250,3 +250,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = _keyed(packed(docs, "doc_id", "text")).join(first, ["_id", "_th"])
     # Repeated rows agree in doc_id and text; only they can meet here.
     return kept.dropDuplicates(["_id", "_th"]).select("row.*")
+
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p + 1 : p + 5], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS p FROM texts)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared * 5 >= (x.n + y.n - shared) * 4
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM texts
+  UNION
+  SELECT reach.doc_id, b FROM reach JOIN links ON a = other
+)
+SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM links WHERE a = reach.doc_id) AS n_links FROM reach GROUP BY doc_id
+"""

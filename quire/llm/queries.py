@@ -13,10 +13,10 @@ from .langid import identify
 from .line_dedup import LINE_DEDUP_SQL, line_dedup_report
 from .media import media_report
 from .mixing import mixing_report
-from .near_dups import near_duplicates
+from .near_dups import NEAR_DUPLICATES_SQL, near_duplicates
 from .pieces import encoded
 from .quality import quality_report
-from .substrings import remove_repeats
+from .substrings import SUBSTRINGS_SQL, remove_repeats
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pieces, op2_mixing, op3_main_text, op4_line_dedup, op5_quality, op6_substrings, op7_fingerprints, op8_near_duplicates, op9_language, op10_media)}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op6_substrings": SUBSTRINGS_SQL, "op8_near_duplicates": NEAR_DUPLICATES_SQL}

@@ -255,3 +255,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     waiting = spans.where("n_removed IS NULL").select("rid", "doc_id", "n_words", "packed", "sure").join(marks, "rid", "left")
     covered = waiting.select("doc_id", "n_words", "packed", "sure", "marks").mapInArrow(_cover, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     return spans.where("n_removed IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(covered)
+
+
+SUBSTRINGS_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(ws[p + 1 : p + 35], ' ') AS w
+  FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 34)) AS p FROM texts WHERE len(ws) >= 35)
+), twice AS (
+  SELECT w FROM windows GROUP BY w HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM windows SEMI JOIN twice USING (w)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM texts
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
