@@ -196,7 +196,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, text in zip(*(c.to_pylist() for c in batch.columns)):
             blocks, tags = blocks_of(text)
             seen: dict[int, list[int]] = {}
-            for place, token in enumerate([_token(t) for t in tags] + [_token(b.path, b.text) for b in blocks]):
+            # Text inside a declared article is data whatever other pages hold, so it needs no vector.
+            for place, token in enumerate([_token(t) for t in tags] + [_token(b.path, b.text) for b in blocks if not b.root]):
                 seen.setdefault(token, [0, place])[0] += 1
             for token, own in seen.items():
                 for column, value in zip(columns, (host, page, token, *own)):
@@ -214,7 +215,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(texts: pa.Array) -> pa.Array:
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=6)
     return pa.array([pack.compress(t.as_buffer()) for t in texts], pa.binary())
 
 
