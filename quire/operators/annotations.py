@@ -53,18 +53,20 @@ def exact_quotes(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text
     Quotes of fewer words are compared with every text.
     """
     runs = lambda c: F.split(F.btrim(c, F.lit(" \t\n\r\f\x0b")), r"[ \t-\r]+")
-    q = quotes.withColumn("_w", runs(F.col(quote))).withColumn("_id", F.monotonically_increasing_id())
+    q = quotes.withColumn("_w", runs(F.col(quote))).withColumn("_q", F.xxhash64(quote))
+    long, short = F.size("_w") >= words + 2, F.size("_w") < words + 2
     # The first and last words of a quote may be parts of a text's words.
-    seed = F.slice("_w", 2, words)
-    long = q.where(F.size("_w") >= words + 2).withColumn("_seed", F.xxhash64(F.array_join(seed, " ")))
-    short = q.where(F.size("_w") < words + 2).drop("_w", "_id")
-    t = texts.withColumn("_w", runs(F.col(text)))
+    sought = q.where(long).select("_q", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_seed"))
+    t = texts.withColumn("_t", F.xxhash64(text))
+    own = t.select("_t", runs(F.col(text)).alias("_w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - words + 1, F.lit(1)))
-    seeds = F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.array_join(F.slice("_w", k, words), " "))))
-    keyed = t.withColumn("_seed", F.explode(seeds)).drop("_w")
-    found = long.drop("_w", "_id").join(keyed, "_seed").drop("_seed").where(F.col(text).contains(F.col(quote)))
-    if not short.isEmpty():
-        found = found.unionByName(short.join(texts, texts[text].contains(short[quote])))
+    held = own.select("_t", F.explode(F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.array_join(F.slice("_w", k, words), " "))))).alias("_seed"))
+    # Only hashes are exploded and joined; texts and quotes come back to the pairs that share one.
+    pairs = sought.distinct().join(held, "_seed").select("_q", "_t").distinct()
+    found = pairs.join(q.where(long).drop("_w"), "_q").join(t, "_t").drop("_q", "_t").where(F.col(text).contains(F.col(quote)))
+    few = q.where(short).drop("_w", "_q")
+    if not few.isEmpty():
+        found = found.unionByName(few.join(texts, texts[text].contains(few[quote])))
     return found.withColumn("start", F.explode(occurrences(F.col(text), F.col(quote))))
 
 
