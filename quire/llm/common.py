@@ -12,6 +12,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -126,16 +128,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
+_OPEN: ContextVar[list[str] | None] = ContextVar("stages", default=None)
+
+
+@contextmanager
+def own_stages() -> Iterator[list[str]]:
+    """Collects the paths of the tables staged inside, so that the caller can drop them once they are read."""
+    paths: list[str] = []
+    token = _OPEN.set(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.reset(token)
+
+
+def drop_stages(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if (own := _OPEN.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing needs any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_stages(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
