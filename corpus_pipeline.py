@@ -7,9 +7,8 @@ works on all rows it gets.  All but the last return the columns they got.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quire.llm.common import staged, table
+from quire.llm.common import drop_stages, own_stages, staged, table
 from quire.llm.line_dedup import drop_common_lines
 from quire.llm.mixing import drawn
 from quire.llm.near_dups import one_of_each
@@ -49,8 +48,11 @@ STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each one's rows are written and read again, and what it read is dropped."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with own_stages() as used:
+            docs = staged(stage(spark, docs, sf_dir), name)
+        drop_stages(spark, before + used[:-1])
+        before = used[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
