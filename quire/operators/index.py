@@ -85,8 +85,16 @@ def tokenize_text(text: str) -> list[tuple[str, int, int]]:
 
 
 def _tokens(column: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    return pa.array([[{"term": t, "start": a, "end": b} for t, a, b in tokenize_text(x or "")] for x in column.to_pylist()], kind)
+    terms, starts, ends, offsets = [], [], [], [0]
+    for x in column.to_pylist():
+        if x and (found := tokenize_text(x)):
+            t, a, b = zip(*found)
+            terms += t
+            starts += a
+            ends += b
+        offsets.append(len(terms))
+    fields = [pa.array(terms, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["term", "start", "end"]))
 
 
 def tokenize(text: Column) -> Column:
@@ -116,60 +124,63 @@ def fuzzy_distance(length: Column, cap: int = 6) -> Column:
     return F.least(F.round(length * 0.2), F.lit(cap)).cast("int")
 
 
-def expand(vocabulary: DataFrame, tokens: list[str], mode: str = "exact", limits: Limits = Limits()) -> DataFrame:
-    """token_no, term, weight; only the last token takes the mode. More terms than the cap is an error."""
-    parts = []
-    for k, token in enumerate(tokens):
-        here = "exact" if k < len(tokens) - 1 else mode
-        term, size = F.col("term"), F.length("term")
-        exact = vocabulary.where(term == token).select("term", F.lit(EXACT).alias("weight"))
-        if here == "prefix":
-            extra = size - len(token)
-            grown = vocabulary.where(term.startswith(token) & (extra > 0)).select("term", (PREFIX * extra / (extra + 0.3 * extra)).alias("weight"))
-        elif here == "fuzzy" and (most := min(round(len(token) * 0.2), limits.max_fuzzy_distance)) > 0:
-            off = F.levenshtein(term, F.lit(token), most)
-            band = size.between(len(token) - most, len(token) + most)
-            grown = vocabulary.where(band & (off > 0)).select("term", (FUZZY * size / (size + off)).alias("weight"))
-        else:
-            grown = None
-        if grown is not None:
-            over = grown.limit(limits.max_expansions + 1).count() > limits.max_expansions
-            if over:
-                raise ValueError(f"{token!r} expands past {limits.max_expansions} terms")
-            exact = exact.union(grown)
-        parts.append(exact.withColumn("token_no", F.lit(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def ranked(postings: DataFrame, stats: DataFrame, keys: list[str], query: str, mode: str = "exact", limits: Limits = Limits()) -> DataFrame:
-    """keys and score of the sections that hold every token of the query."""
+def expand(postings: DataFrame, tokens: list[str], mode: str = "exact", limits: Limits = Limits()) -> list[tuple[int, str, float]]:
+    """(token number, term, weight); only the last token takes the mode. More terms than the cap is an error.
+
+    The cap bounds what comes to the driver, so the terms can then be literals that reach the scan of the postings.
+    """
+    out = [(k, t, EXACT) for k, t in enumerate(tokens)]
+    last, term, size = tokens[-1], F.col("term"), F.length("term")
+    most = min(round(len(last) * 0.2), limits.max_fuzzy_distance)
+    if mode == "prefix":
+        extra = size - len(last)
+        grown = postings.where(term.startswith(last) & (extra > 0)).select("term", (PREFIX * extra / (extra + 0.3 * extra)).alias("weight"))
+    elif mode == "fuzzy" and most > 0:
+        off = F.levenshtein(term, F.lit(last), most)
+        band = size.between(len(last) - most, len(last) + most)
+        grown = postings.where(band & (off > 0)).select("term", (FUZZY * size / (size + off)).alias("weight"))
+    else:
+        return out
+    found = grown.distinct().limit(limits.max_expansions + 1).collect()
+    if len(found) > limits.max_expansions:
+        raise ValueError(f"{last!r} expands past {limits.max_expansions} terms")
+    return out + [(len(tokens) - 1, r["term"], r["weight"]) for r in found]
+
+
+def _query_tokens(query: str, limits: Limits) -> list[str]:
     tokens = [t for t, _, _ in tokenize_text(query.strip()) if t]
     if len(tokens) > limits.max_query_tokens:
         raise ValueError("too many tokens in the query")
-    if not tokens:
-        return stats.select(*keys, F.lit(0.0).alias("score")).limit(0)
-    terms = expand(postings.select("term").distinct(), tokens, mode, limits)
-    # The expansions are capped in number, so they can be broadcast.
-    tf = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return tokens
+
+
+def _ranked(postings: DataFrame, stats: DataFrame, keys: list[str], tokens: list[str], terms: list[tuple[int, str, float]]) -> DataFrame:
+    weights = F.broadcast(stats.sparkSession.createDataFrame(terms, "token_no int, term string, weight double"))
+    tf = postings.where(F.col("term").isin(*{t for _, t, _ in terms})).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each of the capped terms
     corpus = stats.agg(F.count("*").alias("n"), F.avg("tokens").alias("average"))
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(stats, keys).join(F.broadcast(corpus))
+    scored = tf.join(F.broadcast(df), "term").join(weights, "term").join(stats, keys).join(F.broadcast(corpus))
     part = F.col("weight") * bm25_plus(F.col("tf"), F.col("df"), F.col("n"), F.col("tokens"), F.col("average"))
     by_section = scored.groupBy(*keys).agg(F.sum(part).alias("score"), F.countDistinct("token_no").alias("held"))
     return by_section.where(F.col("held") == len(tokens)).drop("held")
 
 
+def ranked(postings: DataFrame, stats: DataFrame, keys: list[str], query: str, mode: str = "exact", limits: Limits = Limits()) -> DataFrame:
+    """keys and score of the sections that hold every token of the query."""
+    tokens = _query_tokens(query, limits)
+    if not tokens:
+        return stats.select(*keys, F.lit(0.0).alias("score")).limit(0)
+    return _ranked(postings, stats, keys, tokens, expand(postings, tokens, mode, limits))
+
+
 def search(postings: DataFrame, stats: DataFrame, keys: list[str], query: str, mode: str = "exact", limits: Limits = Limits()) -> DataFrame:
     """keys, start, end, score of the best hits; hits stand on the first token's terms."""
-    scores = ranked(postings, stats, keys, query, mode, limits)
-    tokens = [t for t, _, _ in tokenize_text(query.strip()) if t]
+    tokens = _query_tokens(query, limits)
     if not tokens:
-        return scores.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("end"), "score")
-    anchors = expand(postings.select("term").distinct(), tokens[:1], mode if len(tokens) == 1 else "exact", limits).select("term")
-    hits = postings.join(F.broadcast(anchors), "term", "left_semi").join(scores, keys)
+        return stats.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("score")).limit(0)
+    terms = expand(postings, tokens, mode, limits)
+    scores = _ranked(postings, stats, keys, tokens, terms)
+    hits = postings.where(F.col("term").isin(*{t for k, t, _ in terms if k == 0})).join(scores, keys)
     return hits.select(*keys, "start", "end", "score").orderBy(F.desc("score"), *keys, "start", "end").limit(limits.max_matches)
 
 
