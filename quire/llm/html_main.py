@@ -226,7 +226,9 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the tokens of the host's valid classes.
+    """host, page, template: the page's tokens that are of its host's valid classes.
+
+    They are told page by page, so that what pages are joined by is as fine as the pages.
 
     A copy of a page adds the same to the vector of each of its tokens, so it changes
     no class; hosts are asked for ``MIN_PAGES`` different pages, so it lends no support.
@@ -241,15 +243,15 @@ def templates(pages: DataFrame) -> DataFrame:
     members = tokens.select("host", "page", "token", "first").join(classes, ["host", "token"])
     order = members.groupBy("host", "class", "page").agg(F.hash(F.transform(F.sort_array(F.collect_set(F.struct("first", "token"))), lambda x: x["token"])).alias("order"))
     valid = order.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b").select("host", "class")
-    return classes.join(valid, ["host", "class"]).groupBy("host").agg(F.collect_set("token").alias("template"))
+    return members.select("host", "class", "page", "token").join(valid, ["host", "class"]).groupBy("host", "page").agg(F.collect_set("token").alias("template"))
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_template (template tokens found in the page) for each row of pages.
 
-    Pages travel compressed to meet their host's template.
+    Pages travel compressed to meet their template tokens.
     """
     bounded_batches(pages.sparkSession)
-    rows = _keyed(pages).select("page_id", "url", "host", F.arrow_udf(_pack, "binary")("html").alias("packed"))
-    rows = rows.join(templates(pages).hint("merge"), "host", "left").select("page_id", "url", "packed", "template")
+    rows = _keyed(pages).select("page_id", "url", "host", "page", F.arrow_udf(_pack, "binary")("html").alias("packed"))
+    rows = rows.join(templates(pages).hint("merge"), ["host", "page"], "left").select("page_id", "url", "packed", "template")
     return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint, n_template bigint")
