@@ -52,11 +52,14 @@ def bm25_scores(spark, d):
     """BM25+ of three terms over all documents: one pass counts lengths and term frequencies together."""
     terms = index.native_terms(F.coalesce("text", F.lit("")))
     docs = table(spark, d, "documents").select("doc_id", terms.alias("terms"))
-    docs = docs.select("doc_id", F.size("terms").alias("n"), *[F.size(F.filter("terms", _equals(w))).alias(w) for w in TERMS])
+    docs = docs.select("doc_id", F.size("terms").alias("n"), F.filter("terms", lambda t: t.isin(*TERMS)).alias("found"))
+    docs = docs.select("doc_id", "n", *[F.size(F.filter("found", _equals(w))).alias(w) for w in TERMS])
     corpus = docs.agg(F.count("*").alias("nn"), F.avg("n").alias("average"), *[F.count_if(F.col(w) > 0).alias(f"df_{w}") for w in TERMS])
-    rows = docs.where(" OR ".join(f"`{w}` > 0" for w in TERMS)).crossJoin(F.broadcast(corpus))  # one row
+    rows = docs.crossJoin(F.broadcast(corpus))  # one row
     score = sum((F.when(F.col(w) > 0, index.bm25_plus(F.col(w), F.col(f"df_{w}"), F.col("nn"), F.col("n"), F.col("average"))).otherwise(0.0) for w in TERMS), F.lit(0.0))
-    return rows.select("doc_id", r6(score, "score"))
+    # A document that holds a term scores above 0. Asking for the terms themselves would be pushed below the
+    # projections and tokenize every text once more.
+    return rows.select("doc_id", score.alias("score")).where("score > 0").select("doc_id", r6(F.col("score"), "score"))
 
 
 @query(ORACLE_SQL["bm25_scores"].replace("GROUP BY doc_id", "GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"))
