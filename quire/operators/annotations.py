@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -128,23 +129,53 @@ def semi_global(quote: str, text: str, most: int) -> tuple[int, int, int] | None
     return best
 
 
+_WORD_START = re.compile(r"(?<!\S)\S")
+GRAMS = "array<struct<place: int, g: string>>"
+
+
+def _grams(column: pa.Array, size: int, most: int | None) -> pa.Array:
+    """Runs of ``size`` characters at word starts with their places; of more than ``most`` an even sample."""
+    places, grams, offsets = [], [], [0]
+    for text in column.to_pylist():
+        own = [m.start() for m in _WORD_START.finditer(text or "") if m.start() + size <= len(text)]
+        if most is not None and len(own) > most:
+            own = [own[k * (len(own) - 1) // (most - 1)] for k in range(most)]
+        places += own
+        grams += [text[k : k + size] for k in own]
+        offsets.append(len(places))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(grams, pa.string())], ["place", "g"]))
+
+
+def _all_grams(size: int):
+    def run(column: pa.Array) -> pa.Array:
+        return _grams(column, size, None)
+
+    return F.arrow_udf(run, GRAMS)
+
+
+def _sampled_grams(size: int, most: int):
+    def run(column: pa.Array) -> pa.Array:
+        return _grams(column, size, most)
+
+    return F.arrow_udf(run, GRAMS)
+
+
 def fuzzy_quotes(quotes: DataFrame, texts: DataFrame, key: str, text_key: str, quote: str = "quote", text: str = "text", grams: int = 8, gram: int = 8, most: int = 8) -> DataFrame:
     """key, text_key, distance, start, end: the best approximate place of each quote.
 
-    Up to ``grams`` samples of ``gram`` characters are joined to the texts' own by
-    hash; only windows around shared ones are compared by edit distance.
+    Up to ``grams`` samples of ``gram`` characters at a quote's word starts are joined
+    to the texts' own; only windows around shared ones are compared by edit distance.
     """
-    n = F.length(quote)
-    picks = F.transform(F.sequence(F.lit(0), F.lit(grams - 1)), lambda k: F.floor(k * F.greatest(n - gram, F.lit(0)) / max(grams - 1, 1)).cast("int"))
-    q = quotes.where(n >= gram).select(key, quote, F.explode(F.array_distinct(picks)).alias("at"))
-    q = q.withColumn("g", F.substr(quote, F.col("at") + 1, F.lit(gram)))
-    places = F.sequence(F.lit(0), F.greatest(F.length(text) - gram, F.lit(0)))
-    t = texts.select(text_key, F.explode(places).alias("place"), text)
-    t = t.select(text_key, "place", F.substr(text, F.col("place") + 1, F.lit(gram)).alias("g"))
-    seeds = q.join(t, "g").groupBy(key, text_key).agg(F.min(F.col("place") - F.col("at")).alias("low"), F.max(F.col("place") - F.col("at")).alias("high"))
+    q = quotes.select(key, F.explode(_sampled_grams(gram, grams)(F.col(quote))).alias("s")).select(key, F.col("s.place").alias("at"), "s.g")
+    t = texts.select(text_key, F.explode(_all_grams(gram)(F.col(text))).alias("s")).select(text_key, "s.place", "s.g")
+    # Shared grams of one place lie within ``most`` of each other on the diagonal, so two staggered sets of buckets
+    # of twice that width hold them together, and each bucket is one short window.
+    width, diagonal = 2 * most, F.col("place") - F.col("at")
+    bucket = F.explode(F.array(F.floor(diagonal / width) * width, F.floor((diagonal + most) / width) * width - most))
+    seeds = q.join(t, "g").select(key, text_key, bucket.alias("low")).distinct()
     near = seeds.join(quotes.select(key, quote), key).join(texts.select(text_key, text), text_key)
-    start = F.greatest(F.col("low") - most, F.lit(0))
-    near = near.select(key, text_key, quote, start.alias("from"), F.substr(text, start + 1, F.col("high") - F.col("low") + F.length(quote) + 2 * most).alias("window"))
+    start = F.greatest(F.col("low") - most, F.lit(0)).cast("int")
+    near = near.select(key, text_key, quote, start.alias("from"), F.substr(text, start + 1, F.length(quote) + width + 2 * most).alias("window"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
