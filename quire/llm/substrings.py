@@ -5,9 +5,10 @@ token k-mers that are the least by hash in some run of neighbouring k-mers, so
 two equal windows always hold the same edge at the same place.
 
 1. Edges of all texts are counted by hash; edges met once are cut.
-2. Every text learns which of its edges repeat.  Edges that follow each
-   other without a cut between them form a nonbranching path of that text; a
-   window is a candidate if its least edge repeats, so paths compact to spans.
+2. Every text learns which of its edges repeat.  A window is a candidate if its
+   least edge repeats; candidates that follow each other are a span of that text.
+   Paths are not compacted across texts by graph joins: spans are read off each
+   text's own coordinates, and step 3 decides.
 3. Source coordinates verify the spans: the windows inside them are hashed with
    128 bits and counted, and those that occur at least twice are marked.
 4. Marks meet their text again, their windows are laid over its words, and
