@@ -1,20 +1,25 @@
 """HTML extraction by template deduction.
 
 1. Pages are cut into tokens: a tag with the path of block elements above it, or
-   a text block with its path.  Each token's occurrence vector over the pages of
-   its host is kept as one number, a sum of hashes of (page, count).
+   a text block with its path (and which of the page's equal ones it is).  Each
+   token's occurrence vector over the pages of its host is kept as one number, a
+   sum of hashes of (page, count).
 2. Tokens of a host with the same vector form an equivalence class.  A class is
    valid if it is found in every page of the host, in at least ``MIN_PAGES``
-   different ones, and its tokens stand in the same order in all of them.
-3. Valid classes nest by their place into the host's template.  What remains
-   between template tokens are the slots; a slot's path says what it is for.
+   different ones, and its tokens stand in one order in all, once or over and over.
+3. Valid classes nest into the host's template: in every page each occurrence of
+   a class stands between the same two tokens of the class around it.  Of two
+   that cross, the one in fewer pages is dropped.  What remains between template
+   tokens are the slots, named by the token before them; blocks
+   of links are left out unless their slot is mostly other text, and a slot's path
+   says what it is for.
    Slots of menus, headers, footers, sidebars, notices, adverts, forms and reader
    comments are left out, and so is text of the template itself.
 
-Where a page declares its article (article, else main), the text blocks inside
-it are slots by declaration, even if each page of the host has the same text:
-copies of one article must not pass for its template.  Pages of hosts with too
-few pages have no deduced template, and the paths decide alone.
+Where a page declares its article (article, else main), it chooses the slots: the
+text blocks inside it are slots by declaration, even if each page of the host has
+the same text, as copies of one article must not pass for its template.  Pages of
+hosts with too few pages have no deduced template, and the paths decide alone.
 
 Text: character references are decoded, scripts, styles, comments and markup go,
 runs of ``[\\x20\\x09-\\x0D]`` inside a block become one space, blocks are trimmed
@@ -30,6 +35,7 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,10 +77,10 @@ _MARK_SPLIT = re.compile(r"[^a-z]+")
 
 
 class Block:
-    __slots__ = ("path", "text", "root", "aside", "links")
+    __slots__ = ("path", "text", "root", "aside", "links", "at")
 
-    def __init__(self, path: str, text: str, root: int, aside: bool, links: float):
-        self.path, self.text, self.root, self.aside, self.links = path, text, root, aside, links
+    def __init__(self, path: str, text: str, root: int, aside: bool, links: float, at: int):
+        self.path, self.text, self.root, self.aside, self.links, self.at = path, text, root, aside, links, at  # at: tags before it
 
 
 def _marked(name: str, attrs: str) -> tuple[bool, bool, str]:
@@ -106,7 +112,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
         joined = _SPACES.sub(" ", _html.unescape("".join(text))).strip(" ")
         if joined and not (stack and stack[-1][4]):
             _, path, aside, root, _ = stack[-1] if stack else ("", "", False, 0, False)
-            out.append(Block(path, joined, root, aside, linked / max(1, sum(map(len, text)))))
+            out.append(Block(path, joined, root, aside, linked / max(1, sum(map(len, text))), len(tags)))
         text.clear()
         linked = 0
 
@@ -173,12 +179,25 @@ def _role(attrs: str) -> str:
 def main_text(page: str, template: frozenset[int] = frozenset()) -> tuple[str, int]:
     """The article's text, and how many of the page's tokens belong to its host's ``template``."""
     blocks, tags = blocks_of(page)
-    own = [_token(b.path, b.text) for b in blocks] if template else [0] * len(blocks)
-    found = len(template.intersection(own)) + len(template.intersection(map(_token, set(tags)))) if template else 0
+    roles = _roles(blocks, tags) if template else []
+    found = len(template.intersection(token for token, _ in roles))
     root = max((b.root for b in blocks if not b.aside), default=0)
     if root:
         return "\n".join(b.text for b in blocks if b.root == root and not b.aside), found
-    return "\n".join(b.text for b, token in zip(blocks, own) if not b.aside and token not in template and b.links <= LINK_SHARE), found
+    if not found:
+        return "\n".join(b.text for b in blocks if not b.aside and b.links <= LINK_SHARE), found
+    slots: dict[int, list[float]] = {}
+    held: list[tuple[int, Block]] = []
+    slot = 0
+    for token, block in roles:
+        if token in template:
+            slot = token
+        elif block is not None and not block.aside:
+            held.append((slot, block))
+            sizes = slots.setdefault(slot, [0, 0])
+            sizes[0] += len(block.text)
+            sizes[1] += len(block.text) * block.links
+    return "\n".join(b.text for at, b in held if b.links <= LINK_SHARE or slots[at][1] <= LINK_SHARE * slots[at][0]), found
 
 
 def _token(path: str, text: str = "") -> int:
@@ -186,26 +205,119 @@ def _token(path: str, text: str = "") -> int:
     return (first << 32 | zlib.crc32(text.encode(), first)) - (1 << 63)
 
 
-TOKENS = "host bigint, page bigint, token bigint, n int, first int"
+def _roles(blocks: list[Block], tags: list[str]) -> list[tuple[int, Block | None]]:
+    """The page's tokens in order, with the block where one is text.
+
+    Text inside a declared article is data whatever other pages hold: it has no token (0).
+    """
+    out: list[tuple[int, Block | None]] = []
+    seen: Counter[tuple[str, str]] = Counter()
+    at = 0
+    for b in blocks:
+        out += [(_token(t), None) for t in tags[at : b.at]]
+        at = b.at
+        if b.root:
+            out.append((0, b))
+            continue
+        again = seen[b.path, b.text]
+        seen[b.path, b.text] += 1
+        out.append((_token(b.path, f"{b.text}\0{again}"), b))
+    return out + [(_token(t), None) for t in tags[at:]]
+
+
+TOKENS = "host bigint, page bigint, prose int, token bigint, n int, is_prose boolean, places array<int>"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each token of each page with its count and first place."""
+    """Each token of each page with its places; prose is the number of the page's text blocks that may be taken."""
     for batch in batches:
-        columns: list[list] = [[], [], [], [], []]
+        columns: list[list] = [[], [], [], [], [], [], []]
         for host, page, text in zip(*(c.to_pylist() for c in batch.columns)):
-            blocks, tags = blocks_of(text)
-            seen: dict[int, list[int]] = {}
-            # Text inside a declared article is data whatever other pages hold, so it needs no vector.
-            for place, token in enumerate([_token(t) for t in tags] + [_token(b.path, b.text) for b in blocks if not b.root]):
-                seen.setdefault(token, [0, place])[0] += 1
-            for token, own in seen.items():
-                for column, value in zip(columns, (host, page, token, *own)):
+            seen: dict[int, tuple[list[int], bool]] = {}
+            for place, (token, b) in enumerate(_roles(*blocks_of(text))):
+                if b is None or not b.root:
+                    seen.setdefault(token, ([], b is not None and not b.aside and b.links <= LINK_SHARE))[0].append(place)
+            prose = sum(p for _, p in seen.values())
+            for token, (places, is_prose) in seen.items():
+                for column, value in zip(columns, (host, page, prose, token, len(places), is_prose, places)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in TOKENS.split(", ")])
 
 
+def _sequences(members: list[dict]) -> dict[int, list[int] | None]:
+    """Each class's tokens in order; None if they do not follow each other in one order over and over."""
+    items: dict[int, list[tuple[int, int]]] = {}
+    for m in members:
+        items.setdefault(m["class"], []).extend((place, m["token"]) for place in m["places"])
+    out = {}
+    for name, places in items.items():
+        tokens = [t for _, t in sorted(places)]
+        width = len(set(tokens))
+        out[name] = tokens[:width] if len(set(tokens[:width])) == width and tokens == tokens[:width] * (len(tokens) // width) else None
+    return out
+
+
+ORDERS = "host bigint, class bigint, `order` bigint, differs int"
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The order of each class in each page, and whether the page has as much prose of its own as shared."""
+    for batch in batches:
+        out: list[tuple] = []
+        for host, prose, members in zip(*(c.to_pylist() for c in batch.columns)):
+            differs = int(prose >= 2 * len({m["token"] for m in members if m["is_prose"]}))
+            for name, tokens in _sequences(members).items():
+                out.append((host, name, None if tokens is None else _token(",".join(map(str, tokens))), differs))
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["host", "class", "order", "differs"])
+
+
+def nesting(members: list[dict]) -> list[tuple[int, int, int]]:
+    """(class, class around it or 0, gap in that) of the classes of a page; gap -1 of one that crosses a class in more pages."""
+    width = {name: len(tokens) for name, tokens in _sequences(members).items() if tokens}
+    rank = {m["class"]: (m["support"], width[m["class"]], m["class"]) for m in members if m["class"] in width}
+    items = sorted((place, m["class"]) for m in members if m["class"] in width for place in m["places"])
+    dropped: set[int] = set()
+    while True:
+        stack: list[list[int]] = []  # class, tokens met
+        found: set[tuple[int, int, int]] = set()
+        crossed = False
+        for _, name in items:
+            if name in dropped:
+                continue
+            if any(s[0] == name for s in stack):
+                while stack[-1][0] != name:
+                    if (other := min(stack[-1][0], name, key=rank.__getitem__)) == name:
+                        break
+                    dropped.add(other)
+                    stack.pop()
+                    crossed = True
+                if stack[-1][0] != name:
+                    dropped.add(name)
+                    stack = [s for s in stack if s[0] != name]
+                    crossed = True
+                    continue
+                stack[-1][1] += 1
+            else:
+                found.add((name, *(stack[-1] if stack else (0, 0))))
+                stack.append([name, 1])
+            if stack[-1][1] == width[name]:
+                stack.pop()
+        if not crossed:
+            return [*found, *((name, 0, -1) for name in dropped)]
+
+
+NESTS = "host bigint, class bigint, around bigint, gap int"
+
+
+def _nests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [(host, *x) for host, members in zip(*(c.to_pylist() for c in batch.columns)) for x in nesting(members)]
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["host", "class", "around", "gap"])
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -231,19 +343,26 @@ def templates(pages: DataFrame) -> DataFrame:
     They are told page by page, so that what pages are joined by is as fine as the pages.
 
     A copy of a page adds the same to the vector of each of its tokens, so it changes
-    no class; hosts are asked for ``MIN_PAGES`` different pages, so it lends no support.
+    no class; support counts different pages, so it lends none.
     """
     keyed = _keyed(pages)
-    per_host = keyed.select("host", "page").groupBy("host", "page").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("rows"))
+    per_host = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     tokens = staged(keyed.select("host", "page", "html").mapInArrow(_tokens, TOKENS), "tokens")
     # The sum is taken of 62-bit numbers in decimals, so that it cannot overflow.
     vector = tokens.groupBy("host", "token").agg(F.count("*").alias("held"), F.sum(F.shiftright(F.xxhash64("page", "n"), 2).cast("decimal(20,0)")).alias("vector"))
-    classes = vector.join(per_host.where(F.col("pages") >= MIN_PAGES), "host").where("held = rows").select("host", "token", F.xxhash64("vector").alias("class"))
-    # The order of a class's tokens in each page, as one hash; a valid class has one order.
-    members = tokens.select("host", "page", "token", "first").join(classes, ["host", "token"])
-    order = members.groupBy("host", "class", "page").agg(F.hash(F.transform(F.sort_array(F.collect_set(F.struct("first", "token"))), lambda x: x["token"])).alias("order"))
-    valid = order.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b").select("host", "class")
-    return members.select("host", "class", "page", "token").join(valid, ["host", "class"]).groupBy("host", "page").agg(F.collect_set("token").alias("template"))
+    classes = vector.where(F.col("held") >= MIN_PAGES).select("host", "token", F.xxhash64("vector").alias("class"))
+    # Copies of a page have the same members: a set has them once.
+    members = tokens.join(classes, ["host", "token"]).groupBy("host", "page").agg(F.first("prose").alias("prose"), F.collect_set(F.struct("class", "token", "is_prose", "places")).alias("members"))
+    members = staged(members, "members")
+    orders = members.select("host", "prose", "members").mapInArrow(_orders, ORDERS)
+    held = orders.groupBy("host", "class").agg(F.count("*").alias("support"), F.count("order").alias("ordered"), F.min("order").alias("a"), F.max("order").alias("b"), F.sum("differs").alias("differing"))
+    spread = (F.col("support") >= MIN_PAGES) & (F.col("support") == F.col("pages"))
+    valid = held.join(per_host, "host").where((F.col("ordered") == F.col("support")) & (F.col("a") == F.col("b")) & spread).select("host", "class", "support")
+    own = members.select("host", "page", F.explode("members").alias("m")).select("host", "page", "m.class", "m.token", "m.places").join(valid, ["host", "class"])
+    nests = own.groupBy("host", "page").agg(F.collect_list(F.struct("class", "token", "places", "support")).alias("members")).select("host", "members").mapInArrow(_nests, NESTS)
+    gaps = nests.groupBy("host", "class", "around").agg(F.min("gap").alias("a"), F.max("gap").alias("b"))
+    stray = gaps.where("a <> b OR a < 0").select("host", "class").distinct()
+    return own.join(stray, ["host", "class"], "left_anti").groupBy("host", "page").agg(F.collect_set("token").alias("template"))
 
 
 def extract_main(pages: DataFrame) -> DataFrame:

@@ -190,6 +190,18 @@ def test_articles_repeated_on_a_host_stay(spark):
     assert set(got.values()) == {"The same article in all pages."}
 
 
+def test_classes_nest_and_leave_slots(spark):
+    """A link inside a slot of prose stays, a list of links goes, and classes that cross the template are none of it."""
+    members = [{"class": 1, "token": 10, "places": [0], "support": 9}, {"class": 1, "token": 11, "places": [5], "support": 9}]
+    inner = [{"class": 2, "token": 20, "places": [1, 3], "support": 5}, {"class": 2, "token": 21, "places": [2, 4], "support": 5}]
+    assert sorted(html_main.nesting(members + inner)) == [(1, 0, 0), (2, 1, 1)]
+    across = [{"class": 3, "token": 30, "places": [1], "support": 5}, {"class": 3, "token": 31, "places": [6], "support": 5}]
+    assert sorted(html_main.nesting(members + across)) == [(1, 0, 0), (3, 0, -1)]
+    page = "<body><div><h1>Site</h1></div><section><p>{0} begins with a long enough sentence here.</p><p><a href=x>link {0}</a></p></section><ul><li><a href=y>item {0}</a></li><li><a href=z>more {0}</a></li></ul></body>"
+    got = extracted(spark, [(k, "http://n.example.com/", page.format(c)) for k, c in enumerate("abcd")])
+    assert got[0] == "a begins with a long enough sentence here.\nlink a"
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "h", 2, "t")], f"{PAGES}, host string, page int, template string")
     assert html_main.extract_main(df).collect()[0]["text"] == "a"
