@@ -5,8 +5,11 @@
    token's occurrence vector over the pages of its host is kept as one number, a
    sum of hashes of (page, count).
 2. Tokens of a host with the same vector form an equivalence class.  A class is
-   valid if it is found in every page of the host, in at least ``MIN_PAGES``
-   different ones, and its tokens stand in one order in all, once or over and over.
+   valid if at least ``MIN_PAGES`` different pages hold it and each of them has
+   its tokens in the same order, once or over and over.  It need not be in all
+   pages; but where less than half of the host's pages hold it, it needs
+   ``MIN_PAGES`` pages with as many text blocks of their own as shared ones, or
+   near copies of one page would pass for a template.
 3. Valid classes nest into the host's template: in every page each occurrence of
    a class stands between the same two tokens of the class around it.  Of two
    that cross, the one in fewer pages is dropped.  What remains between template
@@ -356,7 +359,7 @@ def templates(pages: DataFrame) -> DataFrame:
     members = staged(members, "members")
     orders = members.select("host", "prose", "members").mapInArrow(_orders, ORDERS)
     held = orders.groupBy("host", "class").agg(F.count("*").alias("support"), F.count("order").alias("ordered"), F.min("order").alias("a"), F.max("order").alias("b"), F.sum("differs").alias("differing"))
-    spread = (F.col("support") >= MIN_PAGES) & (F.col("support") == F.col("pages"))
+    spread = (F.col("support") >= MIN_PAGES) & ((2 * F.col("support") >= F.col("pages")) | (F.col("differing") >= MIN_PAGES))
     valid = held.join(per_host, "host").where((F.col("ordered") == F.col("support")) & (F.col("a") == F.col("b")) & spread).select("host", "class", "support")
     own = members.select("host", "page", F.explode("members").alias("m")).select("host", "page", "m.class", "m.token", "m.places").join(valid, ["host", "class"])
     nests = own.groupBy("host", "page").agg(F.collect_list(F.struct("class", "token", "places", "support")).alias("members")).select("host", "members").mapInArrow(_nests, NESTS)

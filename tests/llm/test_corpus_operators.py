@@ -190,6 +190,18 @@ def test_articles_repeated_on_a_host_stay(spark):
     assert set(got.values()) == {"The same article in all pages."}
 
 
+def test_template_of_some_pages(spark):
+    """Empty pages, errors and pages of another layout do not switch a host's template off, nor do near copies pass for one."""
+    page = "<body><div><p>Welcome to our site</p></div><div><h2>{0}</h2><p>Body of {0}, long enough.</p></div><div><p>All rights belong to us</p></div></body>"
+    url = "http://one.example.com/a"
+    rows = [(k, url, page.format(name)) for k, name in enumerate(["red", "green", "blue"])]
+    rows += [(10, url, None), (11, url, ""), (12, url, "<h1>Error 500</h1>"), (13, url, "<body><table><tr><td>other layout</table></body>")]
+    rows += [(k, url, "<body>" + "".join(f"<p>Paragraph {j} of a copied page</p>" for j in range(9)) + f"<p>copy {k}</p></body>") for k in range(20, 24)]
+    got = extracted(spark, rows)
+    assert [got[k] for k in range(3)] == [f"{c}\nBody of {c}, long enough." for c in ("red", "green", "blue")]
+    assert got[12] == "Error 500" and got[13] == "other layout" and got[20].count("\n") == 9
+
+
 def test_classes_nest_and_leave_slots(spark):
     """A link inside a slot of prose stays, a list of links goes, and classes that cross the template are none of it."""
     members = [{"class": 1, "token": 10, "places": [0], "support": 9}, {"class": 1, "token": 11, "places": [5], "support": 9}]
