@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -113,69 +113,115 @@ def outcomes(anchors: DataFrame, found: DataFrame, key: str, score: Column) -> D
 
 
 def semi_global(quote: str, text: str, most: int) -> tuple[int, int, int] | None:
-    """(distance, start, end) of the best place of quote in text within ``most`` edits; the leftmost of equals."""
-    n = len(quote)
-    cost, origin = list(range(n + 1)), [0] * (n + 1)
-    best: tuple[int, int, int] | None = None
-    for at, char in enumerate(text, 1):
-        diagonal, from_ = cost[0], origin[0]
-        cost[0], origin[0] = 0, at
-        for k in range(1, n + 1):
-            options = ((diagonal + (quote[k - 1] != char), from_), (cost[k] + 1, origin[k]), (cost[k - 1] + 1, origin[k - 1]))
-            diagonal, from_ = cost[k], origin[k]
-            cost[k], origin[k] = min(options)
-        if cost[n] <= most and (best is None or cost[n] < best[0]):
-            best = (cost[n], origin[n], at)
-    return best
+    """(distance, start, end) of the best place of quote in text within ``most`` edits; the leftmost of equals.
 
-
-_WORD_START = re.compile(r"(?<!\S)\S")
-GRAMS = "array<struct<place: int, g: string>>"
-
-
-def _grams(column: pa.Array, size: int, most: int | None) -> pa.Array:
-    """Runs of ``size`` characters at word starts with their places; of more than ``most`` an even sample."""
-    places, grams, offsets = [], [], [0]
-    for text in column.to_pylist():
-        own = [m.start() for m in _WORD_START.finditer(text or "") if m.start() + size <= len(text)]
-        if most is not None and len(own) > most:
-            own = [own[k * (len(own) - 1) // (most - 1)] for k in range(most)]
-        places += own
-        grams += [text[k : k + size] for k in own]
-        offsets.append(len(places))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(grams, pa.string())], ["place", "g"]))
-
-
-def _all_grams(size: int):
-    def run(column: pa.Array) -> pa.Array:
-        return _grams(column, size, None)
-
-    return F.arrow_udf(run, GRAMS)
-
-
-def _sampled_grams(size: int, most: int):
-    def run(column: pa.Array) -> pa.Array:
-        return _grams(column, size, most)
-
-    return F.arrow_udf(run, GRAMS)
-
-
-def fuzzy_quotes(quotes: DataFrame, texts: DataFrame, key: str, text_key: str, quote: str = "quote", text: str = "text", grams: int = 8, gram: int = 8, most: int = 8) -> DataFrame:
-    """key, text_key, distance, start, end: the best approximate place of each quote.
-
-    Up to ``grams`` samples of ``gram`` characters at a quote's word starts are joined
-    to the texts' own; only windows around shared ones are compared by edit distance.
+    Columns of the edit table are kept as bits of their differences (Myers).
     """
-    q = quotes.select(key, F.explode(_sampled_grams(gram, grams)(F.col(quote))).alias("s")).select(key, F.col("s.place").alias("at"), "s.g")
-    t = texts.select(text_key, F.explode(_all_grams(gram)(F.col(text))).alias("s")).select(text_key, "s.place", "s.g")
-    # Shared grams of one place lie within ``most`` of each other on the diagonal, so two staggered sets of buckets
-    # of twice that width hold them together, and each bucket is one short window.
-    width, diagonal = 2 * most, F.col("place") - F.col("at")
-    bucket = F.explode(F.array(F.floor(diagonal / width) * width, F.floor((diagonal + most) / width) * width - most))
-    seeds = q.join(t, "g").select(key, text_key, bucket.alias("low")).distinct()
-    near = seeds.join(quotes.select(key, quote), key).join(texts.select(text_key, text), text_key)
-    start = F.greatest(F.col("low") - most, F.lit(0)).cast("int")
-    near = near.select(key, text_key, quote, start.alias("from"), F.substr(text, start + 1, F.length(quote) + width + 2 * most).alias("window"))
+    best = end = None
+    for at, cost in enumerate(_last_row(quote, text, 0), 1):
+        if cost <= most and (best is None or cost < best):
+            best, end = cost, at
+    if best is None:
+        return None
+    # From the end backwards the place must begin at once; the longest of equal cost begins leftmost.
+    back = text[max(0, end - len(quote) - best) : end][::-1]
+    size = max((k for k, cost in enumerate(_last_row(quote[::-1], back, 1), 1) if cost == best), default=0)
+    return best, end - size, end
+
+
+def _last_row(quote: str, text: str, step: int) -> Iterator[int]:
+    """The edit distance of quote to what ends after each character of text; ``step`` is the cost of each character skipped before it."""
+    full = (1 << len(quote)) - 1
+    top = len(quote) - 1
+    has: dict[str, int] = {}
+    for k, char in enumerate(quote):
+        has[char] = has.get(char, 0) | 1 << k
+    up, down, cost = full, 0, len(quote)
+    for char in text:
+        eq = has.get(char, 0)
+        x = eq | down
+        d = ((eq & up) + up ^ up) | eq
+        right, left = down | ~(d | up) & full, up & d
+        cost += (right >> top & 1) - (left >> top & 1) if quote else step
+        right, left = (right << 1 | step) & full, left << 1 & full
+        up, down = left | ~(x | right) & full, right & x
+        yield cost
+
+
+#: Size of the bitmap of the quotes' grams that screens the texts' own.
+SCREEN_BITS = 1 << 23
+_FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _gram_hashes(text: str, size: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``size`` characters at every place."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = max(0, len(codes) - size + 1)
+    value = np.full(n, size, np.uint64)
+    for k in range(size):
+        value += codes[k : k + n].astype(np.uint64) * _FACTORS[k]
+    value = (value ^ (value >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return value ^ (value >> np.uint64(27))
+
+
+def _sampled_places(n: int, size: int, most: int) -> list[int]:
+    """Where a quote of ``n`` characters is sampled: evenly, first and last run among them."""
+    return [0] if n <= size or most == 1 else sorted({k * (n - size) // (most - 1) for k in range(most)})
+
+
+def approximate_places(quotes: DataFrame, texts: DataFrame, key: str, text_key: str, quote: str = "quote", text: str = "text", grams: int = 8, gram: int = 8, most: int = 8) -> DataFrame:
+    """key, text_key, distance, start, end: approximate places of each quote, the best of each window.
+
+    Up to ``grams`` evenly spaced runs of ``gram`` characters of a quote (the whole
+    quote if it is no longer) are looked up at every place of the texts.  Hits within
+    2 * ``most`` + 1 of each other on the diagonal make a window if there are two of
+    them, or one for quotes of one run, and only windows are compared by edit distance.
+    A place whose edits spoil all but one of its quote's runs is not found.
+
+    Of the texts' runs only hashes travel, and only those that a bitmap of the quotes' lets through.
+    """
+    name = dict(quotes.dtypes)[key], dict(texts.dtypes)[text_key]
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, q in zip(*(c.to_pylist() for c in batch.columns)):
+                places = _sampled_places(len(q), gram, grams)
+                size = min(gram, len(q))
+                hashes = _gram_hashes(q, size)[places].view(np.int64).tolist()
+                out += [(a, size, 1 if len(places) == 1 else 2, at, h) for at, h in zip(places, hashes)]
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [key, "size", "votes", "at", "g"])
+
+    own = quotes.where(F.length(quote) > 0).select(key, quote)
+    sampled = own.mapInArrow(sample, f"`{key}` {name[0]}, size int, votes int, at int, g bigint")
+    bit = F.pmod("g", F.lit(SCREEN_BITS))
+    bits = sampled.groupBy("size", F.floor(bit / 8).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(g, {SCREEN_BITS}) % 8 as int))")).alias("bits")).collect()
+    sizes = sorted({r["size"] for r in bits})
+    screen = np.zeros(SCREEN_BITS // 8, np.uint8)
+    for r in bits:
+        screen[r["byte"]] |= r["bits"]
+    packed = screen.tobytes()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(packed, np.uint8)
+        for batch in batches:
+            for a, t in zip(*(c.to_pylist() for c in batch.columns)):
+                for size in sizes:
+                    hashes = _gram_hashes(t, size)
+                    low = hashes.view(np.int64) % SCREEN_BITS
+                    places = np.flatnonzero(held[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                    if len(places):
+                        columns = [pa.array([a] * len(places), batch.schema.field(0).type), pa.array(places.astype(np.int32)), pa.array(hashes[places].view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, [text_key, "place", "g"])
+
+    met = texts.where(F.col(text).isNotNull()).select(text_key, text).mapInArrow(look, f"`{text_key}` {name[1]}, place int, g bigint").join(sampled, "g")
+    diagonals = met.groupBy(key, text_key).agg(F.max("votes").alias("votes"), F.sort_array(F.collect_list(F.col("place") - F.col("at"))).alias("places")).where(F.size("places") >= F.col("votes"))
+    seeds = diagonals.select(key, text_key, F.explode(F.arrow_udf(_windows(most), "array<struct<low: int, high: int>>")("places", "votes")).alias("w"))
+    start = F.greatest(F.col("w.low") - most, F.lit(0))
+    near = seeds.join(own, key).join(texts.select(text_key, text), text_key)
+    near = near.select(key, text_key, quote, start.alias("from"), F.substr(text, start + 1, F.col("w.high") + F.length(quote) + most - start).alias("window"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,6 +233,27 @@ def fuzzy_quotes(quotes: DataFrame, texts: DataFrame, key: str, text_key: str, q
             kinds = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [key, text_key, "distance", "start", "end"])
 
-    kinds = dict(near.dtypes)
-    hits = near.mapInArrow(verify, f"{key} {kinds[key]}, {text_key} {kinds[text_key]}, distance int, start int, end int")
+    return near.mapInArrow(verify, f"`{key}` {name[0]}, `{text_key}` {name[1]}, distance int, start int, end int").distinct()
+
+
+def _windows(most: int):
+    """First and last diagonal of each run of hits that is dense enough."""
+    def run(places: pa.Array, votes: pa.Array) -> pa.Array:
+        out = []
+        for own, least in zip(places.to_pylist(), votes.to_pylist()):
+            groups: list[list[int]] = []
+            for x in own:
+                if groups and x - groups[-1][0] <= 2 * most + 1:
+                    groups[-1].append(x)
+                else:
+                    groups.append([x])
+            out.append([{"low": g[0], "high": g[-1]} for g in groups if len(g) >= least])
+        return pa.array(out, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
+
+    return run
+
+
+def fuzzy_quotes(quotes: DataFrame, texts: DataFrame, key: str, text_key: str, quote: str = "quote", text: str = "text", grams: int = 8, gram: int = 8, most: int = 8) -> DataFrame:
+    """key, text_key, distance, start, end: the best approximate place of each quote."""
+    hits = approximate_places(quotes, texts, key, text_key, quote, text, grams, gram, most)
     return hits.groupBy(key).agg(F.min(F.struct("distance", text_key, "start", "end")).alias("b")).select(key, "b.*")

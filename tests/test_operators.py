@@ -1,6 +1,7 @@
 """Operators on small tables, and the query catalogue against its SQL."""
 
 import os
+import random
 import shutil
 from pathlib import Path
 
@@ -131,6 +132,39 @@ def test_outcomes_and_relocation(spark):
     assert {r["a"]: (r["s"], r["start"]) for r in best.collect()} == {1: (5, 0), 2: (5, 1), 3: (9, 0)}
 
 
+def plain_semi_global(quote, text, most):
+    """The table of edit distances with the leftmost start of each, cell by cell."""
+    row = [(k, 0) for k in range(len(quote) + 1)]
+    best = None
+    for at, char in enumerate(text, 1):
+        new = [(0, at)]
+        for k in range(1, len(quote) + 1):
+            new.append(min((row[k - 1][0] + (quote[k - 1] != char), row[k - 1][1]), (row[k][0] + 1, row[k][1]), (new[k - 1][0] + 1, new[k - 1][1])))
+        row = new
+        if row[-1][0] <= most and (best is None or row[-1][0] < best[0]):
+            best = (*row[-1], at)
+    return best
+
+
+def test_semi_global_equals_the_table():
+    r = random.Random(4)
+    for _ in range(1500):
+        quote, text = ("".join(r.choice("abc") for _ in range(r.randint(1, n))) for n in (9, 24))
+        most = r.randint(0, 4)
+        assert annotations.semi_global(quote, text, most) == plain_semi_global(quote, text, most), (quote, text, most)
+
+
+def test_fuzzy_quotes_without_blanks(spark):
+    """Grams are taken anywhere: texts without blanks, short quotes and long words are found."""
+    r = random.Random(5)
+    chinese = "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(300))
+    word = "".join(r.choice("abcdefghij") for _ in range(200))
+    texts = spark.createDataFrame([(1, chinese), (2, word), (3, "see the Ωmega end"), (4, None), (5, "")], "d int, text string")
+    quotes = [(1, chinese[100:140] + "x" + chinese[141:160]), (2, "X" + word[51:90]), (3, "Ωmega"), (4, "absent quote of some length"), (5, ""), (6, None)]
+    got = {x["q"]: (x["d"], x["distance"], x["start"], x["end"]) for x in annotations.fuzzy_quotes(spark.createDataFrame(quotes, "q int, quote string"), texts, "q", "d").collect()}
+    assert got.keys() == {1, 2, 3} and got[1] == (1, 1, 100, 160) and got[3] == (3, 0, 8, 13) and got[2][:2] == (2, 1) and got[2][3] == 90
+
+
 def test_durable_anchors(spark):
     kind = "section int, text string"
     quote = "the quick brown fox jumps over the lazy dog and runs away"
