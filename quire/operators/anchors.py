@@ -2,8 +2,8 @@
 
 Stages, each only for what the ones before it left open: the same section with
 the same text digest; an exact occurrence, told apart by context; an occurrence
-with white space runs as one blank; the nearest approximate place.  Equally good
-places are ambiguous.
+with white space runs as one blank; the nearest approximate place, of equals by context.
+Equally good places are ambiguous.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import text_revision
 
-from .annotations import context_score, exact_quotes, fuzzy_quotes
+from .annotations import approximate_places, context_score, exact_quotes
 
 OUTCOME = ["anchor_id", "outcome", "pass", "section", "start", "end"]
 CONTEXT = 32
@@ -88,8 +88,10 @@ def resolve(anchors: DataFrame, sections: DataFrame, fuzzy: bool = True, section
     parts.append(_best(loose, "normalized"))
     rest = still(rest)
     if fuzzy:
-        near = fuzzy_quotes(rest.select("anchor_id", "quote"), live, "anchor_id", "section", most=most)
-        parts.append(near.select("anchor_id", F.lit("resolved").alias("outcome"), F.lit("fuzzy").alias("pass"), "section", "start", "end"))
+        near = approximate_places(rest.select("anchor_id", "quote"), live, "anchor_id", "section", most=most)
+        near = near.join(rest.select("anchor_id", "before", "after"), "anchor_id").join(live, "section")
+        near = near.withColumn("score", context_score(F.col("text"), F.col("start"), F.col("end"), F.col("before"), F.col("after")) - F.col("distance") * 0x10000)
+        parts.append(_best(near, "fuzzy"))
         rest = still(rest)
     none = F.lit(None)
     kinds = dict(parts[0].dtypes)

@@ -382,10 +382,9 @@ def quote_relocation(spark, d):
 
 @query()
 def quote_fuzzy(spark, d):
-    """Approximate places of altered benchmark passages among the benchmark's own texts."""
-    b = table(spark, d, "benchmark")
-    quotes = b.select("item_id", F.concat(F.substr("text", F.lit(3), F.lit(40)), F.lit("zz"), F.substr("text", F.lit(45), F.lit(40))).alias("quote"))
-    return annotations.fuzzy_quotes(quotes, b.select(F.col("item_id").alias("section"), "text"), "item_id", "section")
+    """Approximate places of whole altered benchmark passages in the documents."""
+    quotes = table(spark, d, "benchmark").select("item_id", F.overlay("text", F.lit("zz"), F.lit(43)).alias("quote"))
+    return annotations.fuzzy_quotes(quotes, table(spark, d, "documents").select(F.col("doc_id").alias("section"), "text"), "item_id", "section")
 
 
 @query(
@@ -402,11 +401,21 @@ def zones_in_range(spark, d):
 
 @query(QUOTES + ", n AS (SELECT item_id, count(*) AS n FROM f GROUP BY 1) SELECT item_id AS anchor_id, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome, 'exact' AS pass FROM n")
 def durable_anchors(spark, d):
-    """Passages without known context look for their places: one is resolved, several are ambiguous."""
+    """Passages without known context look for their exact places: one is resolved, several are ambiguous."""
+    return _durable(spark, d, False).where("outcome <> 'missing'").select("anchor_id", "outcome", "pass")
+
+
+@query()
+def durable_anchors_fuzzy(spark, d):
+    """Every passage with its outcome after all passes, the approximate one too, which SQL cannot express."""
+    return _durable(spark, d, True)
+
+
+def _durable(spark, d, fuzzy):
     b = table(spark, d, "benchmark")
     told = b.select(F.col("item_id").alias("anchor_id"), F.lit(-1).cast("bigint").alias("section"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("sha256:none").alias("revision"), F.col("text").alias("quote"), F.lit("").alias("before"), F.lit("").alias("after"))
     sections = table(spark, d, "documents").select(F.col("doc_id").alias("section"), "text")
-    return anchors.resolve(told, sections, fuzzy=False).where("outcome <> 'missing'").select("anchor_id", "outcome", "pass")
+    return anchors.resolve(told, sections, fuzzy=fuzzy)
 
 
 @query("SELECT 'pages' AS source, 'html' AS format, count(*) AS n FROM pages UNION ALL SELECT 'documents', 'txt', count(*) FROM documents WHERE NOT regexp_matches(text, '(?i)<html|<body|<head')")

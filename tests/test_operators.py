@@ -179,6 +179,26 @@ def test_durable_anchors(spark):
     assert anchors.resolve(blank, new).first()["outcome"] == "ambiguous"
 
 
+def test_fuzzy_queries_read_documents(spark, tmp_path):
+    """Whole altered passages against documents, and each anchor with its outcome, by brute force."""
+    r = random.Random(6)
+    passages = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(25)) for _ in range(6)]
+    bent = passages[1][:70] + "qq" + passages[1][72:]
+    docs = ["lead " + passages[0] + " tail", "x " + bent, "a " + passages[2] + " b", passages[2], "c " + passages[3][:60] + passages[3][62:], "d " + passages[3][:60] + passages[3][62:], None]
+    pd.DataFrame({"item_id": range(6), "text": passages}).to_parquet(tmp_path / "benchmark.parquet")
+    pd.DataFrame({"doc_id": range(len(docs)), "text": docs}).to_parquet(tmp_path / "documents.parquet")
+    want = {}
+    for k, p in enumerate(passages):
+        quote = p[:42] + "zz" + p[44:]
+        hits = [(h[0], n, *h[1:]) for n, t in enumerate(docs) if t and (h := plain_semi_global(quote, t, 8))]
+        if hits:
+            want[k] = min(hits)
+    assert {x["item_id"]: (x["distance"], x["section"], x["start"], x["end"]) for x in queries.quote_fuzzy(spark, str(tmp_path)).collect()} == want
+    got = {x["anchor_id"]: (x["outcome"], x["pass"], x["section"]) for x in queries.durable_anchors_fuzzy(spark, str(tmp_path)).collect()}
+    none = ("missing", None, None)
+    assert got == {0: ("resolved", "exact", 0), 1: ("resolved", "fuzzy", 1), 2: ("ambiguous", "exact", None), 3: ("ambiguous", "fuzzy", None), 4: none, 5: none}
+
+
 def test_tables(spark):
     lines = [(float(k), 0.0, 20.0) for k in (0, 10, 20)]
     assert tables.grid_of(lines, lines) == ([0, 10, 20], [0, 10, 20])
