@@ -124,11 +124,15 @@ def document_text(html: Column) -> Column:
     return arrow_scalar(document_text_of, "string")(html)
 
 
+#: What the reference's patterns call white space.
+WIDE_SPACES = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
+
 def smarten_punctuation(text: Column) -> Column:
     """Ellipses, dashes and quotes by what stands before them."""
     text = F.replace(F.replace(text, F.lit("..."), F.lit("…")), F.lit("--"), F.lit("—"))
     for raw, opening, closing in (('"', "“", "”"), ("'", "‘", "’")):
-        text = F.replace(F.regexp_replace(text, rf"(^|[\s(\[{{—–]){raw}", f"$1{opening}"), F.lit(raw), F.lit(closing))
+        text = F.replace(F.regexp_replace(text, rf"(^|[{WIDE_SPACES}(\[{{—–]){raw}", f"$1{opening}"), F.lit(raw), F.lit(closing))
     return text
 
 

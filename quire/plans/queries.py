@@ -211,7 +211,8 @@ def txt_normalized(spark, d):
 
 @query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'))) AS sha256, CAST(1 AS INTEGER) AS n FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND NOT regexp_matches(text, '\\n[ \\t]*\\n')")
 def txt_paragraphs(spark, d):
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND trim(text) <> '' AND NOT text RLIKE '\\\\n[ \\\\t]*\\\\n'").select("doc_id", text.txt_paragraphs(F.col("text")).alias("p"))
+    """Over every document; the SQL covers those of one paragraph, tests the others."""
+    docs = table(spark, d, "documents").select("doc_id", text.txt_paragraphs(F.coalesce("text", F.lit(""))).alias("p"))
     return docs.select("doc_id", F.sha2(F.array_join("p", "\n"), 256).alias("sha256"), F.size("p").alias("n"))
 
 
@@ -420,9 +421,9 @@ def _durable(spark, d, fuzzy):
 
 @query("SELECT 'pages' AS source, 'html' AS format, count(*) AS n FROM pages UNION ALL SELECT 'documents', 'txt', count(*) FROM documents WHERE NOT regexp_matches(text, '(?i)<html|<body|<head')")
 def detected_formats(spark, d):
-    """Formats of the tables' contents as bytes, all in the JVM."""
+    """Formats of the tables' contents as bytes, all in the JVM; the SQL counts documents without html tags, tests the others."""
     pages = table(spark, d, "pages").select(F.lit("pages").alias("source"), F.encode("html", "UTF-8").alias("content"))
-    docs = table(spark, d, "documents").where("NOT text RLIKE '(?i)<html|<body|<head'").select(F.lit("documents").alias("source"), F.encode("text", "UTF-8").alias("content"))
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("source"), F.encode("text", "UTF-8").alias("content"))
     both = pages.unionByName(docs).select("source", detect.detected_format(F.col("content")).alias("format"))
     return both.groupBy("source", "format").agg(F.count("*").alias("n"))
 
@@ -442,10 +443,17 @@ def bounding_boxes(spark, d):
 
 @query("SELECT doc_id, sha256(replace(replace(text, '...', '…'), '--', '—')) AS sha256 FROM documents WHERE text NOT LIKE '%\"%' AND text NOT LIKE '%''%'")
 def smart_punctuation(spark, d):
+    """Documents without quotes, as the SQL has them."""
     docs = table(spark, d, "documents").where("text NOT LIKE '%\"%' AND text NOT LIKE \"%'%\"")
     return docs.select("doc_id", F.sha2(text.smarten_punctuation(F.col("text")), 256).alias("sha256"))
 
 
+@query()
+def smart_punctuation_all(spark, d):
+    """Over every document, those with quotes too."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.smarten_punctuation(F.col("text")), 256).alias("sha256"))
+
+
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?im)^[ \\t]*(?:part|book|section|chapter|teil|partie|parte)\\b[^\\n]{0,60}$')) AS INTEGER) AS n FROM documents")
 def chapter_guesses(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.chapter_titles(F.col("text"))).alias("n"))

@@ -1,5 +1,6 @@
 """Operators on small tables, and the query catalogue against its SQL."""
 
+import hashlib
 import os
 import random
 import shutil
@@ -199,6 +200,33 @@ def test_fuzzy_queries_read_documents(spark, tmp_path):
     assert got == {0: ("resolved", "exact", 0), 1: ("resolved", "fuzzy", 1), 2: ("ambiguous", "exact", None), 3: ("ambiguous", "fuzzy", None), 4: none, 5: none}
 
 
+def test_text_queries_read_every_document(spark, tmp_path):
+    """Quotes, blank lines and html tags are in the tables, by brute force."""
+    texts = ['He said "yes" (\'no\')... --"so"', "one\n two\n\nthree\n \t\n\n four \n", "see <html> here", "a\u00a0'b'", "", "   ", "plain"]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame({"page_id": [1], "url": ["u"], "html": ["<html></html>"]}).to_parquet(tmp_path / "pages.parquet")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def smart(t):
+        out, before = "", "\n"
+        for c in t.replace("...", "…").replace("--", "—"):
+            out += c if c not in "\"'" else {'"': "“”", "'": "‘’"}[c][not (before.isspace() or before in "([{—–")]
+            before = c
+        return out
+
+    def paragraphs(t):
+        out = [[]]
+        for line in t.split("\n"):
+            out[-1].append(line.strip()) if line.strip() else out.append([])
+        return [" ".join(p) for p in out if p]
+
+    d = str(tmp_path)
+    assert {r["doc_id"]: r["sha256"] for r in queries.smart_punctuation_all(spark, d).collect()} == {k: sha(smart(t)) for k, t in enumerate(texts)}
+    got = {r["doc_id"]: (r["sha256"], r["n"]) for r in queries.txt_paragraphs(spark, d).collect()}
+    assert got == {k: (sha("\n".join(paragraphs(t))), len(paragraphs(t))) for k, t in enumerate(texts)}
+    assert {(r["source"], r["format"]): r["n"] for r in queries.detected_formats(spark, d).collect()} == {("pages", "html"): 1, ("documents", "html"): 1, ("documents", "txt"): 5, ("documents", None): 1}
+
+
 def test_tables(spark):
     lines = [(float(k), 0.0, 20.0) for k in (0, 10, 20)]
     assert tables.grid_of(lines, lines) == ([0, 10, 20], [0, 10, 20])
