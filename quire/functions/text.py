@@ -180,3 +180,34 @@ CHAPTER_LINE = rf"(?imu)^[ \t]*(?:{CHAPTER_WORDS})\b[^\n]{{0,60}}$"
 def chapter_titles(text: Column) -> Column:
     """array<string>: lines that look like chapter headings."""
     return F.transform(F.regexp_extract_all(text, F.lit(CHAPTER_LINE), F.lit(0)), lambda x: F.trim(x))
+
+
+_WIDE = "[" + WIDE_SPACES + "]"
+_LINE_START, _LINE_END = r"(?<![^\n\r\u2028\u2029])", r"(?![^\n\r\u2028\u2029])"
+
+
+def _either(word: str) -> str:
+    """The word in either case, and in no other letters that fold to it."""
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
+_KEYWORDS = "|".join([_either("chapter"), _either("cap") + "[iI\u00ED\u00CD]" + _either("tulo"), _either("capitolo"), _either("kapitel")])
+_NUMBERED = re.compile(rf"{_LINE_START}{_WIDE}*(?:{_KEYWORDS}){_WIDE}+(?:[0-9]+|[ivxlcIVXLC]+)(?![0-9A-Za-z_])[^\n]{{0,60}}{_WIDE}*{_LINE_END}")
+_ROMAN_OR_CAPS = re.compile(rf"{_LINE_START}{_WIDE}*(?:[IVXLC]{{1,7}}|[A-Z][A-Z{WIDE_SPACES}:'\-,.]{{3,60}}){_WIDE}*{_LINE_END}")
+_WIDE_CHARS = "".join(chr(c) for c in [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+
+
+def headings_of(text: str) -> list[tuple[str, int]]:
+    """Headings with their places: a chapter word and its number, Roman numerals alone, short lines in capitals."""
+    found = [(m.start(), k, m[0].strip(_WIDE_CHARS)) for k, p in enumerate((_NUMBERED, _ROMAN_OR_CAPS)) for m in p.finditer(text)]
+    return [(title, at) for at, _, title in sorted(found)]
+
+
+def _headings(texts: pa.Array) -> pa.Array:
+    rows = [None if t is None else [{"title": title, "offset": at} for title, at in headings_of(t)] for t in texts.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("title", pa.string()), ("offset", pa.int32())])))
+
+
+def chapter_headings(text: Column) -> Column:
+    """array<struct<title, offset>>: likely chapter headings by offset; a match begins at its line's blanks, or blank lines before."""
+    return F.arrow_udf(_headings, "array<struct<title: string, offset: int>>")(text)

@@ -459,6 +459,13 @@ def chapter_guesses(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.chapter_titles(F.col("text"))).alias("n"))
 
 
+@query()
+def chapter_headings(spark, d):
+    """Each likely heading of each document with its offset; lookaround and offsets are beyond the SQL."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(text.chapter_headings(F.col("text"))).alias("h"))
+    return docs.select("doc_id", "h.offset", "h.title")
+
+
 @query()
 def text_revisions(spark, d):
     """Digests of UTF-16LE code units, which SQL cannot form."""

@@ -227,6 +227,15 @@ def test_text_queries_read_every_document(spark, tmp_path):
     assert {(r["source"], r["format"]): r["n"] for r in queries.detected_formats(spark, d).collect()} == {("pages", "html"): 1, ("documents", "html"): 1, ("documents", "txt"): 5, ("documents", None): 1}
 
 
+def test_chapter_headings(spark, tmp_path):
+    text = "Chapter 1: Start\nbody\n\n  IV\npart of the plan\nTHE RETURN\nchapter one\ncapÍtulo ii fin\nIVa\nABC\nKAPITEL 3\n"
+    pd.DataFrame({"doc_id": [1, 2, 3], "text": [text, "no headings", None]}).to_parquet(tmp_path / "documents.parquet")
+    want = [("Chapter 1: Start", 0), ("IV", text.index("\n  IV")), ("THE RETURN", text.index("THE")), ("capÍtulo ii fin", text.index("cap"))]
+    want += [("KAPITEL 3", text.index("KAP"))]
+    got = sorted((r["doc_id"], r["offset"], r["title"]) for r in queries.chapter_headings(spark, str(tmp_path)).collect())
+    assert got == [(1, at, title) for title, at in want]
+
+
 def test_tables(spark):
     lines = [(float(k), 0.0, 20.0) for k in (0, 10, 20)]
     assert tables.grid_of(lines, lines) == ([0, 10, 20], [0, 10, 20])
