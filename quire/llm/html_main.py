@@ -66,6 +66,11 @@ MARKS = frozenset(
     "footer masthead comment comments respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social "
     "related recommended widget pagination pager toolbar form search".split()
 )
+#: Whole classes (or ids of containers) that mark what is not the article even inside it.
+INNER_MARKS = frozenset(
+    "ad ads advert adverts advertisement comments comment-list respond disqus share sharing social-share sharedaddy newsletter newsletter-signup breadcrumb breadcrumbs sidebar pagination pager related-posts related-articles".split()
+)
+PHRASES = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot menu dir".split())
 
@@ -86,20 +91,27 @@ class Block:
         self.path, self.text, self.root, self.aside, self.links, self.at = path, text, root, aside, links, at  # at: tags before it
 
 
-def _marked(name: str, attrs: str) -> tuple[bool, bool, str]:
-    """Whether the element is an aside anywhere, whether only outside an article, and its class."""
-    marks, role, shown = set(), "", ""
+def _marked(name: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether the element is an aside anywhere, whether only outside an article, and its class.
+
+    Words in class or id mark asides outside articles, whole names inside; none marks the article's own element.
+    """
+    marks, whole, role, shown = set(), set(), "", ""
     for m in _ATTR.finditer(attrs):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             role = value
         else:
             marks.update(_MARK_SPLIT.split(value))
+            if m[1].lower() == "class" or name not in PHRASES:
+                whole.update(value.split())
             shown = value if m[1].lower() == "class" else shown
     outer = name in ("header", "footer") or role in ("banner", "contentinfo")
     if name == "body" or name == "html":
         return False, False, ""
-    return (name in ASIDE or role in ROLES) and not outer or bool(marks & MARKS), outer, shown
+    declares = name in ("article", "main") or role == "main"
+    marked = whole & INNER_MARKS if inside else marks & MARKS if not declares else ()
+    return (name in ASIDE or role in ROLES) and not outer or bool(marked), outer, shown
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[str]]:
@@ -162,7 +174,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
                 if stack[k][0] in SCOPES:
                     break
         _, path, aside, root, silent = stack[-1] if stack else ("", "", False, 0, False)
-        own, outer, shown = _marked(name, attrs)
+        own, outer, shown = _marked(name, attrs, root > 0)
         path = f"{path}/{name}.{shown}" if shown else f"{path}/{name}"
         root = max(root, 2 if name == "article" and not (aside or own) else 1 if (name == "main" or "main" == _role(attrs)) and not (aside or own) else 0)
         aside = aside or own or outer and root == 0

@@ -214,6 +214,13 @@ def test_classes_nest_and_leave_slots(spark):
     assert got[0] == "a begins with a long enough sentence here.\nlink a"
 
 
+def test_names_inside_articles(spark):
+    """Words in names do not cut a declared article; whole names of adverts and comments do."""
+    body = "<section id='related-work'><h2 id='search-results'>Found</h2><p class='notice'>note</p></section><p id='ads'>p</p><div class='share'>s</div><div id='comments'>c</div><div class='ad box'>buy</div>"
+    rows = [(1, "http://a/", f"<article class='post hentry category-social tag-advertising'>{body}</article>"), (2, "http://b/", f"<main class='with-sidebar'>{body}</main><div class='side-ads'>x</div>")]
+    assert extracted(spark, rows) == {1: "Found\nnote\np", 2: "Found\nnote\np"}
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "h", 2, "t")], f"{PAGES}, host string, page int, template string")
     assert html_main.extract_main(df).collect()[0]["text"] == "a"
