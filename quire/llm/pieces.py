@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
 For each word (spaces and the run of letters, or of other characters, that
-follows) the substrings of at most the longest piece's length are exploded,
-equi-joined to the piece table and grouped by word as edges; a Viterbi fold picks
-the path.  The installed model is a byte-pair one, whose scores rank merges: the
+follows) the substrings of at most the longest piece's length are looked up in
+the piece table as edges, in Python over the distinct words of an Arrow batch and
+not by Spark's explode, join and group; a Viterbi fold picks the path.  The installed model is a byte-pair one, whose scores rank merges: the
 sum of scores would not give its segmentation.  So an edge extends a path only if
 the two pieces are stable, that is, if merging their joint text yields just these
 two.  With that weight exactly one path reaches each end, the model's own.
