@@ -2,26 +2,36 @@
 
 For each language a suffix automaton of labelled text is built.  A text is cut
 greedily into the longest phrases that occur in that training text; the language
-that needs the fewest phrases for each symbol wins.  All automata form one
-transition table; a missing transition holds the state in which the next phrase
-starts, so that many segments of many texts advance in step, one table lookup a
-symbol.  Texts are read whole, in segments of ``SEGMENT`` symbols at whose ends
-a phrase ends too.
-
-Symbols are lower-case letters; a run of anything else is one space.  Learned
-from at most ``SAMPLE_DOCS`` documents of each language and ``SAMPLE_CHARS``
-characters of each of them, chosen by a hash of doc_id among those with a
-language whose crc32(doc_id as text) mod 4 is not 2.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0;
-with nothing to learn from, all are; ties go to the language first in order; a
-null doc_id is not held out and not learned from.  The score is the winner's
-share of the sum over languages of symbols per phrase.
+that needs the fewest phrases for each symbol wins.  Segments of many texts
+advance in step, one lookup a symbol and language.  Texts are read whole, in
+segments of ``SEGMENT`` symbols at whose ends a phrase ends too.
+
+Symbols are lower-case letters, each a symbol of its own if any training text
+has it and else one common symbol that no training text holds; a run of anything
+else is one space.  An automaton's transitions are kept in one hash table by
+(state, symbol), so that the size follows the training text (at most three
+transitions a symbol) and not the number of letters of all scripts.
+
+Learned from labelled rows whose crc32(doc_id as text) mod 4 is not 2: of each
+language the first ``SAMPLE_DOCS`` by a hash of doc_id, and of these, whole texts
+only, as many as fit together into ``SAMPLE_SYMBOLS`` characters (one at least,
+the shortest if none fits).  These two parameters bound what is learned from; no
+text is cut.  A model of at most ``MODEL_SYMBOLS`` characters goes to the workers
+at a time, 55 MB of table (measured 12.6 MB for four languages).  More languages
+are scored in several passes of one plan, which keep the best so far, so that
+100 languages are seven passes and no model is larger.  A language column of
+more than ``MOST_LANGUAGES`` values is refused with an error.
+
+Defined results: null and empty texts and texts without a letter are ``und`` with
+score 0; with nothing to learn from (an empty table too), all are; ties go to the
+language first in order; a null doc_id is not held out and not learned from;
+repeated rows are learned from once and each gets a row; very long texts are read
+whole; further columns, whatever their names, are ignored.  The score is the
+winner's share of the sum over languages of symbols per phrase.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,33 +41,60 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, whole_text
 
-SAMPLE_DOCS = 64
-SAMPLE_CHARS = 1_000
+SAMPLE_DOCS = 256
+SAMPLE_SYMBOLS = 1 << 16
+MODEL_SYMBOLS = 1 << 20
+MOST_LANGUAGES = 4_096
 SEGMENT = 4_096
-LETTERS = 62
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_texts(docs: DataFrame) -> dict[str, list[str]]:
-    """lang -> bounded sample; each task keeps only its first rows of a language before the shuffle."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+def _chosen(docs: DataFrame) -> dict[str, list[tuple[int, int, int]]]:
+    """lang -> (doc_id, hash of text, length) of its sample; each task keeps only its first rows of a language before the shuffle."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    rows = rows.select("doc_id", "lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
-    rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS)
-    out: dict[str, list[str]] = {}
-    for r in rows.select("lang", "text").collect():
-        out.setdefault(r["lang"], []).append(r["text"])
-    return {k: sorted(out[k]) for k in sorted(out)}
+    rows = rows.select("lang", "doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("n"))
+    many = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if many > MOST_LANGUAGES:
+        raise ValueError(f"lang holds more than {MOST_LANGUAGES} values")
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th")
+    out: dict[str, list[tuple[int, int, int]]] = {}
+    for r in rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS).orderBy("lang", "k").collect():
+        own = out.setdefault(r["lang"], [])
+        if (r["doc_id"], r["th"], r["n"]) not in own:
+            own.append((r["doc_id"], r["th"], r["n"]))
+    return {lang: fitting(own) for lang, own in out.items()}
+
+
+def fitting(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The rows that fit into the sample one after the other, whole; the shortest where none does."""
+    out, room = [], SAMPLE_SYMBOLS
+    for row in rows:
+        if row[2] <= room:
+            out.append(row)
+            room -= row[2]
+    return out or [min(rows, key=lambda r: r[2])]
+
+
+def training_texts(docs: DataFrame, chosen: dict[str, list[tuple[int, int, int]]]) -> dict[str, list[str]]:
+    """lang -> its sample's whole texts; at most ``SAMPLE_DOCS`` keys a language are broadcast."""
+    keys = [(lang, doc_id, th) for lang, own in chosen.items() for doc_id, th, _ in own]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(keys, "lang string, doc_id bigint, _th bigint"))
+    rows = docs.select("lang", "doc_id", "text", F.xxhash64("text").alias("_th")).join(wanted, ["lang", "doc_id", "_th"])
+    out: dict[str, set[tuple[int, str]]] = {lang: set() for lang in sorted(chosen)}
+    for r in rows.collect():
+        out[r["lang"]].add((r["doc_id"], r["text"]))
+    return {lang: [t for _, t in sorted(own)] for lang, own in out.items()}
 
 
 def symbol_table(texts: dict[str, list[str]]) -> np.ndarray:
-    """Code point -> 0 (no letter), 1.. (a letter seen in training), LETTERS + 1 (another letter)."""
-    seen = Counter(c for own in texts.values() for t in own for c in t.lower() if c.isalpha())
-    ids = {c: k + 1 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-    return np.array([ids.get(c.lower(), LETTERS + 1) if c.isalpha() else 0 for c in map(chr, range(0x110000))], np.uint8)
+    """Code point -> 0 (no letter), 1 (a letter not seen in training), 2.. (a letter seen there)."""
+    seen = sorted({c for own in texts.values() for t in own for c in t.lower() if c.isalpha()})
+    ids = {c: k + 2 for k, c in enumerate(seen)}
+    return np.array([ids.get(c.lower(), 1) if c.isalpha() else 0 for c in map(chr, range(0x110000))], np.int32)
 
 
 def symbols(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -67,98 +104,159 @@ def symbols(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return found[keep]
 
 
-def automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``text``; -1 where there is none."""
-    most = 2 * len(text) + 2
-    step, link, length = np.full((most, width), -1, np.int32), [-1] * most, [0] * most
-    last, n = 0, 1
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``text``, by state; 0 is the start."""
+    step: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in text.tolist():
-        new, n = n, n + 1
-        length[new] = length[last] + 1
+        new = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and step[p, c] < 0:
-            step[p, c] = new
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
             p = link[p]
-        if p < 0:
-            link[new] = 0
-        elif length[p] + 1 == length[q := int(step[p, c])]:
-            link[new] = q
-        else:
-            copy, n = n, n + 1
-            length[copy], link[copy] = length[p] + 1, link[q]
-            step[copy] = step[q]
-            while p >= 0 and step[p, c] == q:
-                step[p, c] = copy
-                p = link[p]
-            link[q] = link[new] = copy
+        if p >= 0:
+            if length[p] + 1 == length[q := step[p][c]]:
+                link[new] = q
+            else:
+                copy = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
         last = new
-    return step[:n]
+    return step
 
 
-def parser(texts: dict[str, list[str]], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All languages' transitions as one flat table, and their start states.
+class Parser:
+    """The automata of some languages: their transitions in one hash table, and what the start states do by symbol.
 
-    A negative entry v says: the phrase ends, and ~v is the state after the next one's first symbol.
-    Each automaton has one more state without transitions: texts start there, and a symbol that
-    the training text lacks leads there, as it is a phrase of its own.
+    State 0 of all is the dead one: texts start there, and a symbol that the training text lacks leads there, as it is a phrase of its own.
     """
-    width, parts, roots, base = LETTERS + 2, [], [], 0
-    for own in texts.values():
-        joined = " ".join(own)
-        step = automaton(symbols(np.frombuffer(joined.encode("utf-32-le"), np.uint32), table), width)
-        step = np.vstack([step, np.full((1, width), -1, np.int32)])
-        again = np.where(step[0] < 0, len(step) - 1, step[0]) + base
-        parts.append(np.where(step < 0, ~again[None, :], step + base).astype(np.int32))
-        roots.append(base + len(step) - 1)
-        base += len(step)
-    return np.concatenate(parts).ravel(), np.array(roots, np.int32)
-
-
-def phrases(rows: list[np.ndarray], flat: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """Phrases that each row of symbols needs, by language."""
-    width = LETTERS + 2
-    cuts = [(k, a) for k, row in enumerate(rows) for a in range(0, len(row), SEGMENT)]
-    sizes = np.array([min(SEGMENT, len(rows[k]) - a) for k, a in cuts], int)
-    out = np.zeros((len(rows), len(roots)), np.int64)
-    if not cuts:
+
+    def __init__(self, texts: dict[str, list[str]], table: np.ndarray):
+        self.width = int(table.max()) + 1
+        self.first = np.zeros((len(texts), self.width), np.int32)
+        keys, to, base = [], [], 1
+        for row, own in enumerate(texts.values()):
+            step = automaton(symbols(np.frombuffer(" ".join(own).encode("utf-32-le"), np.uint32), table))
+            for state, out in enumerate(step):
+                keys += [(base + state) * self.width + c for c in out]
+                to += [base + t for t in out.values()]
+            for c, t in step[0].items():
+                self.first[row, c] = base + t
+            base += len(step)
+        bits = max(4, len(keys) * 4 // 3).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        wait = np.array(keys, np.int64)
+        value, slot = np.array(to, np.int32), self.slots(wait)
+        while len(wait):  # every round the first key of each free slot takes it
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            taken = free[one]
+            self.keys[slot[taken]], self.to[slot[taken]] = wait[taken], value[taken]
+            left = np.ones(len(wait), bool)
+            left[taken] = False
+            wait, value, slot = wait[left], value[left], (slot[left] + 1) & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).view(np.int64)
+
+    def steps(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states; 0 where there is no transition."""
+        keys = state * np.int64(self.width) + symbol
+        slot = self.slots(keys)
+        met = self.keys.take(slot)
+        out = self.to.take(slot)
+        out[met != keys] = 0
+        search = np.flatnonzero((met != keys) & (met >= 0))
+        while len(search):
+            slot[search] = (slot[search] + 1) & self.mask
+            met = self.keys.take(slot[search])
+            hit = met == keys[search]
+            out[search[hit]] = self.to.take(slot[search[hit]])
+            search = search[~hit & (met >= 0)]
+        return out
+
+    def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Phrases that each row of symbols needs, by language."""
+        many = len(self.first)
+        cuts = [(k, a) for k, row in enumerate(rows) for a in range(0, len(row), SEGMENT)]
+        out = np.zeros((len(rows), many), np.int64)
+        if not cuts:
+            return out
+        sizes = np.array([min(SEGMENT, len(rows[k]) - a) for k, a in cuts], int)
+        order = np.argsort(-sizes, kind="stable")
+        grid = np.zeros((sizes[order[0]], len(cuts)), np.int32)
+        for column, j in enumerate(order):
+            k, a = cuts[j]
+            grid[: sizes[j], column] = rows[k][a : a + SEGMENT]
+        # Lanes go by segment and then language, so that those still at work stand in front.
+        state = np.zeros(len(cuts) * many, np.int64)
+        count = np.zeros(len(cuts) * many, np.int32)
+        flat, lane = self.first.ravel(), np.tile(np.arange(many) * self.width, len(cuts))
+        active = np.searchsorted(-sizes[order], -np.arange(len(grid)), "left")
+        for at in range(len(grid)):
+            n = active[at] * many
+            symbol = np.repeat(grid[at, : active[at]], many)
+            found = self.steps(state[:n], symbol)
+            ended = np.flatnonzero(found == 0)
+            count[ended] += 1
+            found[ended] = flat.take(lane[ended] + symbol[ended])
+            state[:n] = found
+        np.add.at(out, np.array([cuts[j][0] for j in order]), count.reshape(-1, many))
         return out
-    order = np.argsort(-sizes, kind="stable")
-    grid = np.zeros((sizes[order[0]], len(cuts)), np.uint8)
-    for column, j in enumerate(order):
-        k, a = cuts[j]
-        grid[: sizes[j], column] = rows[k][a : a + SEGMENT]
-    state = np.repeat(roots[:, None], len(cuts), 1)
-    count = np.zeros((len(roots), len(cuts)), np.int32)
-    active = np.searchsorted(-sizes[order], -np.arange(len(grid)), "left")
-    for at in range(len(grid)):
-        n = active[at]
-        value = flat.take(state[:, :n] * width + grid[at, :n])
-        ended = value >> 31
-        count[:, :n] -= ended
-        state[:, :n] = value ^ ended
-    np.add.at(out, np.array([cuts[j][0] for j in order]), count.T)
+
+
+def passes(chosen: dict[str, list[tuple[int, int, int]]]) -> list[list[str]]:
+    """The languages in order, dealt into models of at most ``MODEL_SYMBOLS`` characters (a larger one stands alone)."""
+    out: list[list[str]] = []
+    room = 0
+    for lang in sorted(chosen):
+        size = sum(n for _, _, n in chosen[lang])
+        if not out or size > room:
+            out.append([])
+            room = MODEL_SYMBOLS
+        out[-1].append(lang)
+        room -= size
     return out
 
 
+STATE = "doc_id bigint, held_out boolean, text string, lang_pred string, best double, total double"
+
+
+def _pass(names: list[str], model):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, parser = model.value
+        for batch in batches:
+            lang, best, total = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            rows = [symbols(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), table) for t in batch.column(2).to_pylist()]
+            need = parser.phrases(rows)
+            for k in np.flatnonzero([r.any() for r in rows]):
+                per = len(rows[k]) / need[k]
+                total[k] += float(per.sum())
+                if (top := float(per.max())) > best[k]:
+                    best[k], lang[k] = top, names[int(np.argmax(per))]
+            columns = [*batch.columns[:3], pa.array(lang, pa.string()), pa.array(best, pa.float64()), pa.array(total, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in STATE.split(", ")])
+
+    return score
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; lang is only read of the training sample."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = training_texts(docs)
-    names, schema = list(texts), "doc_id bigint, held_out boolean, lang_pred string, score double"
-    table = symbol_table(texts)
-    model = spark.sparkContext.broadcast((table, *parser(texts, table)) if names else None)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            if model.value:
-                table, flat, roots = model.value
-                rows = [symbols(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), table) for t in batch.column(2).to_pylist()]
-                need = phrases(rows, flat, roots)
-                for k in np.flatnonzero([r.any() for r in rows]):
-                    per = len(rows[k]) / need[k]
-                    best[k], score[k] = names[int(np.argmax(per))], per.max() / per.sum()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select("doc_id", held_out().alias("held_out"), whole_text().alias("text")).mapInArrow(predict, schema)
+    chosen = _chosen(docs)
+    out = docs.select("doc_id", held_out().alias("held_out"), whole_text().alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("best"), F.lit(0.0).alias("total"))
+    for names in passes(chosen):
+        texts = training_texts(docs, {n: chosen[n] for n in names})
+        table = symbol_table(texts)
+        out = out.mapInArrow(_pass(names, spark.sparkContext.broadcast((table, Parser(texts, table)))), STATE)
+    return out.select("doc_id", "held_out", "lang_pred", F.when(F.col("total") > 0, F.col("best") / F.col("total")).otherwise(0.0).alias("score"))

@@ -198,18 +198,50 @@ def brute_phrases(text: str, train: str) -> int:
     return count
 
 
+def as_symbols(text: str, table) -> np.ndarray:
+    return langid.symbols(np.frombuffer(text.encode("utf-32-le"), np.uint32), table)
+
+
 def test_cross_parsing_against_brute_force():
     r = random.Random(7)
-    texts = {x: ["".join(r.choice(alphabet) for _ in range(300))] for x, alphabet in (("en", "abcd "), ("fr", "cdef "))}
+    scripts = {"en": "abcd ", "fr": "cdef ", "zz": [chr(0x4E00 + k) for k in range(900)]}
+    texts = {x: ["".join(r.choice(alphabet) for _ in range(300))] for x, alphabet in scripts.items()}
     table = langid.symbol_table(texts)
-    flat, roots = langid.parser(texts, table)
-    as_symbols = lambda t: langid.symbols(np.frombuffer(t.encode("utf-32-le"), np.uint32), table)
-    train = {k: "".join(map(chr, as_symbols(v[0]))) for k, v in texts.items()}
-    rows = [as_symbols("".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 200)))) for _ in range(40)]
-    got = langid.phrases(rows, flat, roots)
-    for row, own in zip(rows, got):
+    parser = langid.Parser(texts, table)
+    train = {k: "".join(map(chr, as_symbols(v[0], table))) for k, v in texts.items()}
+    rows = [as_symbols("".join(r.choice("abcdefgh " + texts["zz"][0][:40]) for _ in range(r.randint(0, 200))), table) for _ in range(40)]
+    for row, own in zip(rows, parser.phrases(rows)):
         text = "".join(map(chr, row))
-        assert own.tolist() == [brute_phrases(text, train[k]) if len(text) else 0 for k in ("en", "fr")]
+        assert own.tolist() == [brute_phrases(text, train[k]) if len(text) else 0 for k in texts]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 2_000])
+def test_predictions_against_brute_force(spark, monkeypatch, most):
+    """lang_pred and score of all rows, in one pass and with a pass for each language; every letter keeps its identity."""
+    from tests.llm.conftest import DOCS
+
+    monkeypatch.setattr(langid, "MODEL_SYMBOLS", most)
+    r = random.Random(11)
+    scripts = {"aa": [chr(0x4E00 + k) for k in range(400)], "bb": [chr(0x4E00 + k) for k in range(300, 700)], "cc": list("abcdefghij"), "dd": list("fghijklmno")}
+    text = lambda x: "".join(r.choice(scripts[x]) + (" " if r.random() < 0.2 else "") for _ in range(r.randint(20, 90)))
+    data = [(k, text(list(scripts)[k % 4]), list(scripts)[k % 4], "s", 0) for k in range(120)] + [(k, text("cc") + text("aa"), None, "s", 0) for k in range(200, 210)]
+    data.append(data[3])  # a repeated row is learned from once
+    out = langid.identify(spark.createDataFrame(data, DOCS)).collect()
+    learned = {x: " ".join(t for _, t in sorted({(d[0], d[1]) for d in data if d[2] == x and zlib.crc32(str(d[0]).encode()) % 4 != 2})) for x in scripts}
+    table = langid.symbol_table({k: [v] for k, v in learned.items()})
+    train = {k: "".join(map(chr, as_symbols(v, table))) for k, v in learned.items()}
+    want = []
+    for d in data:
+        own = "".join(map(chr, as_symbols(d[1], table)))
+        per = [len(own) / brute_phrases(own, t) for t in train.values()]
+        want.append((d[0], zlib.crc32(str(d[0]).encode()) % 4 == 2, list(train)[per.index(max(per))], round(max(per) / sum(per), 9)))
+    assert sorted((x[0], x[1], x[2], round(x[3], 9)) for x in out) == sorted(want)
+
+
+def test_samples_are_whole_rows():
+    rows = [(1, 1, 40_000), (2, 2, 30_000), (3, 3, 20_000), (4, 4, 90_000)]
+    assert langid.fitting(rows) == [rows[0], rows[2]]
+    assert langid.fitting([rows[3], (5, 5, 80_000)]) == [(5, 5, 80_000)]
 
 
 def test_languages_held_out(spark, empty, clashing, rows):
