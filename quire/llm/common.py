@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 import numpy as np
@@ -111,23 +111,34 @@ def word_hashes(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and every executor see.
+    """A folder that the driver and every executor see: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` where the cluster sets it.  A single-process
-    session without that setting gets a temporary folder, removed at exit;
-    any other session gets the warehouse, which is shared as well.
+    A single-process session without that setting gets a temporary folder, removed
+    at exit.  Any other session without it is refused: no other folder is known to
+    be shared (the warehouse's default is the driver's own disk).
     """
     if given := spark.conf.get("spark.checkpoint.dir", None):
         return given.rstrip("/")
     master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        own = "file://" + (path := tempfile.mkdtemp(prefix="quire-"))
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = "file://" + (path := tempfile.mkdtemp(prefix="quire-"))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
+#: Stages that nothing has dropped yet: they go when the driver ends.
+_LEFT: dict[str, SparkSession] = {}
+
+
+def _drop_left() -> None:
+    for path, spark in list(_LEFT.items()):
+        with suppress(Exception):  # the session may have ended before
+            drop_stages(spark, [path])
+
+
+atexit.register(_drop_left)
 _OPEN: ContextVar[list[str] | None] = ContextVar("stages", default=None)
 
 
@@ -144,19 +155,38 @@ def own_stages() -> Iterator[list[str]]:
 
 def drop_stages(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
+        _LEFT.pop(p, None)
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if (own := _OPEN.get()) is not None:
         own.append(path)
-    df.write.parquet(path)
+    _LEFT[path] = df.sparkSession
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing needs any more."""
     drop_stages(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
+#: Keys that hold at least this share of the rows are joined by broadcast: there can be no more of them than its inverse.
+HOT_KEYS = 4_096
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Inner join with a staged ``right`` that has one row a key and in ``n`` the rows of ``left`` with that key.
+
+    Keys with at least 1 / ``HOT_KEYS`` of these rows, which are at most ``HOT_KEYS``,
+    are broadcast, so that no task gets all rows of a hot key; the others are shuffled.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * F.lit(HOT_KEYS) >= F.lit(max(total, HOT_KEYS))
+    some = right.where(hot).drop(*drop)
+    cold = left.join(F.broadcast(some.select(*keys)), keys, "left_anti").join(right.where(~hot).drop(*drop).hint("merge"), keys)
+    return left.join(F.broadcast(some), keys).unionByName(cold)

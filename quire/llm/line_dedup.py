@@ -4,12 +4,16 @@ Lines are exploded with their positions, normalised and hashed; one aggregate
 counts the distinct documents of each hash and finds the largest doc_id holding
 it.  Lines over the threshold go, except in that document, and what stays is
 reassembled by position inside each row, so texts are shuffled once, when the
-dropped positions meet their documents.
+dropped positions meet their documents.  The hashes that are over the threshold
+are written once; those that hold a large share of all lines (at most
+``HOT_KEYS``) meet their lines by broadcast, the others by a shuffle.
 
 Defined results: a null or empty text is one empty line; a null doc_id is one
 document that precedes all others; repeated rows of one doc_id count as one
-document and each gets its own output row; an empty table gives an empty result;
-further columns of the input are ignored.
+document and each gets its own output row; lines of equal keys in one document
+(ties) go or stay together; very long texts are taken whole; an empty table gives
+an empty result; further columns of the input, whatever their names, are ignored
+(``drop_common_lines`` returns them).
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, packed, whole_text
+from .common import SPACE_CHARS, join_counted, packed, staged, whole_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 20
@@ -47,8 +51,8 @@ def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
     """docs (null texts empty) with _kept, the text without the dropped lines, _n_lines and _n_dropped; docs has doc_id, text and maybe row."""
     rows = _rows(docs)
     lines = keyed_lines(rows, min_chars)
-    common = lines.groupBy("h1", "h2").agg(F.countDistinct("_id").alias("n"), F.max("_id").alias("holder")).where(F.col("n") >= min_docs)
-    gone = lines.join(common.drop("n"), ["h1", "h2"]).where(F.col("_id") != F.col("holder"))
+    common = lines.groupBy("h1", "h2").agg(F.countDistinct("_id").alias("docs"), F.count("*").alias("n"), F.max("_id").alias("holder")).where(F.col("docs") >= min_docs)
+    gone = join_counted(lines, staged(common, "lines"), ["h1", "h2"], drop=("docs", "n")).where(F.col("_id") != F.col("holder"))
     gone = gone.groupBy("_id", "_th").agg(F.collect_set("pos").alias("_gone"))
     joined = rows.join(gone, ["_id", "_th"], "left").withColumn("_lines", F.split("text", "\n"))
     n, whole = F.size("_lines"), F.col("_gone").isNull()
