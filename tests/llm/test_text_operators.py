@@ -66,8 +66,17 @@ def sketch_brute(text: str) -> list[int]:
     return low or [min(shingles, key=signed)]
 
 
+def printed(sketch: list[int]) -> str:
+    return " ".join(f"{'~' if h >> (64 - fingerprints.SCALE_BITS) else ''}{h % (1 << 64):X}" for h in sketch)
+
+
+def text_hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def test_fingerprints(docs, rows, empty, clashing):
-    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
     want = []
     for k, (doc_id, text) in enumerate(ordered):
         following = ordered[(k + 1) % len(ordered)][1]
@@ -75,7 +84,7 @@ def test_fingerprints(docs, rows, empty, clashing):
         edited = text[: len(text) - half] + following[:half]
         a, b, c = map(sketch_brute, (text, edited, following))
         near = lambda x, y: 1.0 if not x and not y else len(set(x) & set(y)) / len(set(x) | set(y))
-        want.append((doc_id, len(text), sha(edited), " ".join(f"{h:X}" for h in a), " ".join(f"{h:X}" for h in b), near(a, b), near(a, c)))
+        want.append((doc_id, len(text), sha(edited), printed(a), printed(b), near(a, b), near(a, c)))
     got = fingerprints.fingerprint_report(docs).drop("contained_edited", "contained_next")
     assert sortable(map(tuple, got.collect())) == sortable(want)
     assert fingerprints.fingerprint_report(clashing).count() == len(rows)
@@ -83,12 +92,31 @@ def test_fingerprints(docs, rows, empty, clashing):
 
 
 def test_next_row_over_many_ranges(spark, monkeypatch):
+    """Evenly and unevenly spread ids, null ids and repeated ids; buckets stay small."""
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 4)
-    ids = random.Random(4).sample(range(10**9), 300)
-    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(rows, ["text"]).collect()}
-    ids.sort()
-    assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+    r = random.Random(4)
+    ids = r.sample(range(10**9), 300) + list(range(5, 400)) + [None] * 200 + [2 * 10**9] * 40
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(x["doc_id"], x["text"]): x["next_text"] for x in fingerprints.with_next(df, ["text"]).collect()}
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, text_hash(x[1])))
+    assert got == {a: b[1] for a, b in zip(rows, rows[1:] + rows[:1])}
+    sizes = fingerprints.bucketed(df.selectExpr("*", "xxhash64(text) AS _th")).groupBy("_b").count().toPandas()["count"]
+    assert sizes.max() <= 48
+
+
+def test_sketches_of_parts_merge(spark):
+    """The merged sketch of any parts is that of their joined shingles, also where a part keeps nothing."""
+    words = [f"w{k}" for k in range(120)]
+    parts = [" ".join(words[k : k + 9]) for k in range(0, 112, 5)]
+    df = fingerprints.with_sketch(spark.createDataFrame([(p,) for p in parts + [" ".join(words[: 9 + 5 * (len(parts) - 1)])]], "t string"), "t", "s")
+    *of_parts, whole = [x["s"] for x in df.collect()]
+    assert any(not s["kept"] for s in of_parts)
+    pairs = spark.createDataFrame([(of_parts[0], of_parts[1])], "a struct<kept: array<bigint>, least: bigint>, b struct<kept: array<bigint>, least: bigint>")
+    for s in of_parts[1:]:
+        first = pairs.select(fingerprints.merged("a", "b").alias("a")).first()["a"]
+        pairs = spark.createDataFrame([(first, s)], pairs.schema)
+    assert pairs.select(fingerprints.merged("a", "b").alias("m")).first()["m"] == whole
 
 
 def test_containment_between_unequal_documents(spark):
