@@ -1,26 +1,34 @@
 """Quality classifier: importance resampling with hashed n-gram models.
 
 Two generative models over hashed n-grams are counted: one of the target (rows
-labelled good), one of the raw text (every row).  Their log ratio, summed over a
-document's n-grams and scaled to a text of ``TEXT_BYTES`` bytes so that length
-decides nothing, is its log importance weight.  Adding Gumbel noise to it and
-taking the k largest draws k documents without replacement in proportion to
-their weights; k is, unless given, the number of documents whose log ratio is
-above -``MARGIN`` a byte: languages rarer in the target than in the raw text sit
-a little below 0.  A document outside the draw is rejected.
+labelled good), one of the raw text (every row).  The log ratio of the two, summed
+over a document's n-grams, says how much likelier the target makes it.  As the
+n-grams overlap, that sum counts the same evidence many times over; so the ratio a
+byte is calibrated on labelled rows that the models have not learned from, by a
+logistic curve of two parameters.  A document's importance weight is
+P(good | document) / P(good), and nothing else is rescaled.
+
+Adding Gumbel noise to the log weights and taking the k largest draws k documents
+without replacement in proportion to their weights.  k is, unless given, the
+expected number of good documents, the sum of P over all rows.  Documents of like
+weight are told apart by the noise alone.  A document outside the draw is rejected.
 
 N-grams: hashed runs of four UTF-8 bytes, each counting a fourth as four of them
 overlap in every byte, and the hashed difference of neighbouring words, which is
 one bucket for all words that repeat at once.
 
-The target is learned from at most ``TARGET_DOCS`` labelled rows, chosen by a
-hash of doc_id; raw counts cover all rows.  What reaches the driver has a fixed
-size: one count for each of 2 x ``BUCKETS`` buckets.
-
-Defined results: null and empty texts have weight 0 (log) and are rejected; with
-no usable label every document has weight 0; labels with null fields are ignored;
-a doc_id that has labels of both kinds is not learned from; repeated rows are
-decided alike; ties at the threshold all stay.
+Labelled rows are dealt by crc32(doc_id as text) mod 4: 0 and 1 teach the target's
+model, 3 the curve, and 2 teach nothing, so that figures can be held out.  At most
+``TARGET_DOCS`` labelled rows, first by a hash of doc_id, teach each of the two; raw
+counts cover all rows.  What reaches the driver has a fixed size: one count
+for each of 2 x ``BUCKETS`` buckets and at most ``TARGET_DOCS`` ratios.
+
+Defined results: null and empty texts have a null key and are rejected; labels with
+null fields are ignored, and so is a doc_id with labels of both kinds; where the
+curve cannot be learned, for want of rows of either kind, every document has
+weight 1 (log 0) and all that are not empty stay, as in an empty table; repeated
+rows are decided alike; ties at the threshold all stay; very long texts are read
+whole; further columns, whatever their names, are returned as they came.
 """
 
 from __future__ import annotations
@@ -38,8 +46,7 @@ BUCKETS = 1 << 14
 GRAM_BYTES = 4
 TARGET_DOCS = 20_000
 SMOOTHING = 5.0
-TEXT_BYTES = 400
-MARGIN = 0.07
+SLOPE_PRIOR = 0.01
 SEED = 20
 SLICE_BYTES = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,27 +101,62 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0, used].astype(np.int64)), pa.array(total[1, used].astype(np.int64))], ["bucket", "raw", "target"])
 
 
+def labelled(labels: DataFrame, parts: tuple[int, ...]) -> DataFrame:
+    """doc_id and good of at most ``TARGET_DOCS`` usable labels of these parts, first by a hash of doc_id."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
+    return known.where((F.crc32(F.col("doc_id").cast("string")) % 4).isin(*parts)).select("doc_id", (F.col("q") == 1).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of target to raw for each bucket."""
     bounded_batches(docs.sparkSession)
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
-    good = good.where("q = 1 AND q2 = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS).select("doc_id", F.lit(True).alias("good"))
+    good = labelled(labels, (0, 1)).where("good")
     flagged = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(good), "doc_id", "left")
     counts = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "bucket int, raw bigint, target bigint")
     sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     table = np.zeros((2, 2 * BUCKETS))
     table[:, sums.bucket.to_numpy(int)] = sums[["raw", "target"]].to_numpy(float).T
+    return log_ratio(table)
+
+
+def log_ratio(table: np.ndarray) -> np.ndarray:
+    """Of raw and target counts by bucket: the log ratio, drawn together where there are few of both."""
     out = np.zeros(2 * BUCKETS)
     for part, share in ((slice(0, BUCKETS), 1 / GRAM_BYTES), (slice(BUCKETS, 2 * BUCKETS), 1.0)):
         raw, target = table[:, part]
         if target.sum():
-            # Counts of the target against those expected of it, drawn together where there are few of both.
             out[part] = share * np.log((target + SMOOTHING) / (raw * (target.sum() / raw.sum()) + SMOOTHING))
     return out
 
 
-def log_weight(spark: SparkSession, ratio: np.ndarray, text: Column) -> Column:
-    """The log importance weight of a text, as a double column."""
+def curve(rate: np.ndarray, good: np.ndarray, rounds: int = 100) -> tuple[float, float, float] | None:
+    """(a, b, P(good)) with P(good | rate) = 1 / (1 + exp(-a - b x rate)); None without rows of both kinds.
+
+    Fitted by Newton steps; a weak normal prior on the slope (``SLOPE_PRIOR``, of ratios in
+    standard deviations) lets it exist where the kinds do not overlap; never falling.
+    """
+    yes, no = int(good.sum()), int((~good).sum())
+    if not yes or not no:
+        return None
+    middle, width = rate.mean(), rate.std() or 1.0
+    x, held = np.stack([np.ones(len(rate)), (rate - middle) / width], 1), np.diag([0.0, SLOPE_PRIOR])
+    beta, goal = np.zeros(2), good.astype(float)
+    loss = lambda b: float(np.logaddexp(0, x @ b).sum() - goal @ (x @ b) + b @ held @ b / 2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + held + 1e-9 * np.eye(2), x.T @ (goal - p) - held @ beta)
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-10:
+            break
+    b = max(0.0, beta[1]) / width
+    return float(beta[0] - b * middle), float(b), yes / (yes + no)
+
+
+def rate_of(spark: SparkSession, ratio: np.ndarray, text: Column) -> Column:
+    """The log ratio of a text a byte, as a double column."""
     shared = spark.sparkContext.broadcast(ratio)
 
     @F.arrow_udf("double")
@@ -125,19 +167,11 @@ def log_weight(spark: SparkSession, ratio: np.ndarray, text: Column) -> Column:
             bytes_, rows, words, word_rows = grams(raw, bounds[at : to + 1])
             for shift, bucket, of in ((0, bytes_, rows), (BUCKETS, words, word_rows)):
                 out[at:to] += np.bincount(of, ratio[shift + bucket], minlength=to - at)
-        return pa.array(out * (TEXT_BYTES / np.maximum(np.diff(bounds), 1)))
+        return pa.array(out / np.maximum(np.diff(bounds), 1))
 
     return weigh(text)
 
 
-def with_keys(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """docs with log_weight and gumbel_key; the noise is a function of (doc_id, text)."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11)
-    noise = -F.log(-F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))))
-    out = docs.withColumn("log_weight", log_weight(docs.sparkSession, ratio, whole_text()))
-    return out.withColumn("gumbel_key", F.when(F.length(whole_text()) > 0, F.col("log_weight") + noise))
-
-
 def kth_largest(keys: DataFrame, name: str, k: int, few: int = 4_096) -> float:
     """Exact k-th largest non-null value: counts over ever finer bins, then the last few values."""
     low, high, n = keys.agg(F.min(name), F.max(name), F.count(name)).first()
@@ -159,21 +193,33 @@ def kth_largest(keys: DataFrame, name: str, k: int, few: int = 4_096) -> float:
             k -= b["n"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> tuple[np.ndarray, float, DataFrame]:
-    """The model, the threshold of the draw, and doc_id, log_weight, gumbel_key for every row."""
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> tuple[float, DataFrame]:
+    """The threshold of the draw, and docs (doc_id, text, ...) with log_weight and gumbel_key; each text is scored once."""
+    spark = docs.sparkSession
     ratio = learn(docs, labels)
-    keys = staged(with_keys(docs.select("doc_id", "text"), ratio).drop("text"), "quality")
+    # The noise is a function of (doc_id, text).
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11)
+    noise = -F.log(-F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))))
+    rated = staged(docs.withColumns({"_rate": rate_of(spark, ratio, whole_text()), "_noise": F.when(F.length(whole_text()) > 0, noise)}), "quality", "zstd")
+    known = rated.select("doc_id", "_rate").join(F.broadcast(labelled(labels, (3,))), "doc_id").select("_rate", "good").toPandas()
+    fit = curve(known["_rate"].to_numpy(float), known["good"].to_numpy(bool))
+    weight = F.lit(0.0)
+    if fit:
+        a, b, prior = fit
+        weight = -F.log1p(F.exp(-(F.lit(a) + F.lit(b) * F.col("_rate")))) - F.lit(float(np.log(prior)))
+    keys = rated.withColumn("log_weight", weight).withColumn("gumbel_key", F.col("log_weight") + F.col("_noise")).drop("_rate", "_noise")
     if k is None:
-        k = keys.where(F.col("gumbel_key").isNotNull() & (F.col("log_weight") > -MARGIN * TEXT_BYTES)).count()
-    return ratio, kth_largest(keys, "gumbel_key", k), keys
+        k = keys.where("gumbel_key IS NOT NULL").agg(F.sum(F.exp("log_weight"))).first()[0] or 0.0
+        k = round(k * (fit[2] if fit else 1.0))
+    return kth_largest(keys, "gumbel_key", k), keys
 
 
-def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    _, least, keys = resample(docs, labels)
-    return keys.withColumn("kept", F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False)))
+def quality_report(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
+    least, keys = resample(docs.select("doc_id", "text"), labels, seed=seed)
+    return keys.select("doc_id", "log_weight", "gumbel_key", F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents in the draw, with the columns they came with."""
-    ratio, least, keys = resample(docs, labels)
-    return with_keys(packed(docs, "doc_id", "text"), ratio).where(F.col("gumbel_key") >= F.lit(least)).select("row.*")
+    least, keys = resample(packed(docs, "doc_id", "text"), labels)
+    return keys.where(F.col("gumbel_key") >= F.lit(least)).select("row.*")

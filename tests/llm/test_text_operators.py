@@ -1,6 +1,7 @@
 """Operators on single texts and lines against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -310,6 +311,68 @@ def test_quality_keeps_the_clean_and_only_them(spark):
     assert quality.keep_good(docs, known).count() == sum(x["kept"] for x in out)
 
 
+def grams_brute(text: str) -> list[int]:
+    raw, mask = text.encode(), (1 << 64) - 1
+    mix, base = int(quality._MIX), int(quality._BASE)
+    out = [(int.from_bytes(raw[k : k + 4], "big") * mix & mask) >> 50 for k in range(len(raw) - 3)]
+    words = [sum((b + 1) * pow(base, k + 1, 1 << 64) for k, b in enumerate(w)) * mix & mask for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    for a, b in zip(words, words[1:]):
+        step = (b - a) & mask
+        out.append(quality.BUCKETS + (((step ^ (step >> 29)) * mix & mask) >> 50))
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    """Counts, ratios, weights, keys and the draw of every row by plain Python; another seed draws others among equals."""
+    from tests.llm.conftest import DOCS
+
+    rows, labels = quality_rows()
+    rows += [(9000, "", "en", "s", 0), (9001, None, "en", "s", 0), rows[1]]
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    part = {d: zlib.crc32(str(d).encode()) % 4 for d, _, _ in labels}
+    counts = np.zeros((2, 2 * quality.BUCKETS))
+    for d, text, *_ in rows:
+        for g in grams_brute(text or ""):
+            counts[0, g] += 1
+            counts[1, g] += (d, 1, 0) in labels and part[d] < 2
+    ratio = quality.log_ratio(counts)
+    rate = {d: sum(ratio[g] for g in grams_brute(t or "")) / max(1, len((t or "").encode())) for d, t, *_ in rows}
+    learned = [(rate[d], bool(q)) for d, q, _ in labels if part[d] == 3]
+    a, b, prior = quality.curve(np.array([x for x, _ in learned]), np.array([q for _, q in learned]))
+    sure = {d: 1 / (1 + math.exp(-a - b * x)) for d, x in rate.items()}
+
+    def key(d, text, seed):
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=42)
+        h = xxhash.xxh64_intdigest(text.encode(), seed=xxhash.xxh64_intdigest(d.to_bytes(8, "little"), seed=h))
+        return math.log(sure[d] / prior) - math.log(-math.log(((h >> 11) + 0.5) / 2**53))
+
+    drawn = {}
+    for seed in (quality.SEED, 99):
+        keys = [key(d, t, seed) if t else None for d, t, *_ in rows]
+        k = round(sum(sure[d] for d, t, *_ in rows if t))
+        least = sorted((x for x in keys if x is not None), reverse=True)[k - 1]
+        drawn[seed] = sortable((r[0], x is not None and x >= least) for r, x in zip(rows, keys))
+        got = quality.quality_report(docs, known, seed=seed).collect()
+        assert sortable((x["doc_id"], x["kept"]) for x in got) == drawn[seed]
+        assert all(abs(x["log_weight"] - math.log(sure[x["doc_id"]] / prior)) < 1e-6 for x in got)
+    least, keys = quality.resample(docs.select("doc_id", "text"), known, k=200, seed=1)
+    other, more = quality.resample(docs.select("doc_id", "text"), known, k=200, seed=2)
+    one, two = ({x["doc_id"] for x in f.where(f"gumbel_key >= {y!r}").collect()} for f, y in ((keys, least), (more, other)))
+    # 200 of about 400 of like weight: two draws share half of what they hold.
+    assert 60 <= len(one & two) <= 140
+
+
+def test_curve_is_the_optimum():
+    r = np.random.Generator(np.random.PCG64(3))
+    rate, good = r.normal(0, 0.1, 400), r.random(400) < 0.7
+    rate += 0.1 * good
+    a, b, prior = quality.curve(rate, good)
+    assert prior == good.mean() and b > 0
+    loss = lambda a, b: np.logaddexp(0, a + b * rate).sum() - good @ (a + b * rate) + quality.SLOPE_PRIOR * (b * rate.std()) ** 2 / 2
+    assert all(loss(a, b) <= loss(a + x, b + y) + 1e-9 for x in (-0.01, 0, 0.01) for y in (-0.1, 0, 0.1))
+    assert quality.curve(rate, np.ones(400, bool)) is None
+
+
 def test_quality_defined_cases(spark, docs, rows, empty, clashing):
     known = spark.createDataFrame([(0, 1, 0), (9, 1, 0), (None, 1, 0), (5, None, None), (15, 0, 1), (0, 1, 1)], "doc_id bigint, quality int, toxic int")
     none = known.limit(0)
