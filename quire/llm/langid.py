@@ -8,16 +8,16 @@ segments of ``SEGMENT`` symbols at whose ends a phrase ends too.
 
 Symbols are lower-case letters, each a symbol of its own if any training text
 has it and else one common symbol that no training text holds; a run of anything
-else is one space.  An automaton's transitions are kept in one hash table by
-(state, symbol), so that the size follows the training text (at most three
-transitions a symbol) and not the number of letters of all scripts.
+else is one space.  Transitions are kept in one table by row displacement, so that
+its size follows the training text (at most three transitions a symbol) and not
+the number of letters of all scripts.
 
 Learned from labelled rows whose crc32(doc_id as text) mod 4 is not 2: of each
 language the first ``SAMPLE_DOCS`` by a hash of doc_id, and of these, whole texts
 only, as many as fit together into ``SAMPLE_SYMBOLS`` characters (one at least,
 the shortest if none fits).  These two parameters bound what is learned from; no
 text is cut.  A model of at most ``MODEL_SYMBOLS`` characters goes to the workers
-at a time, 55 MB of table (measured 12.6 MB for four languages).  More languages
+at a time, 30 MB of table (measured: 7.5 MB for four languages).  More languages
 are scored in several passes of one plan, which keep the best so far, so that
 100 languages are seven passes and no model is larger.  A language column of
 more than ``MOST_LANGUAGES`` values is refused with an error.
@@ -46,7 +46,6 @@ SAMPLE_SYMBOLS = 1 << 16
 MODEL_SYMBOLS = 1 << 20
 MOST_LANGUAGES = 4_096
 SEGMENT = 4_096
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out():
@@ -60,9 +59,12 @@ def _chosen(docs: DataFrame) -> dict[str, list[tuple[int, int, int]]]:
     many = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if many > MOST_LANGUAGES:
         raise ValueError(f"lang holds more than {MOST_LANGUAGES} values")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th")
+    # First rows of a language's sixty-four parts, then of the language: no task gets more than 64 x SAMPLE_DOCS rows of one.
+    rows = rows.withColumn("h", F.xxhash64("doc_id"))
+    for by in (("lang", F.pmod("h", F.lit(64))), ("lang",)):
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id", "th"))).where(F.col("k") <= SAMPLE_DOCS)
     out: dict[str, list[tuple[int, int, int]]] = {}
-    for r in rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS).orderBy("lang", "k").collect():
+    for r in rows.orderBy("lang", "k").collect():
         own = out.setdefault(r["lang"], [])
         if (r["doc_id"], r["th"], r["n"]) not in own:
             own.append((r["doc_id"], r["th"], r["n"]))
@@ -133,56 +135,54 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
     return step
 
 
+def displaced(step: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row displacement: the transition of state s by symbol c stands at base[s] + c, with the state it is of in the upper half.
+
+    States with several transitions take the next places where all of them fit, the many with one fill the gaps.
+    """
+    base = np.zeros(len(step), np.int64)
+    used, low = bytearray(4 * sum(map(len, step)) + 2 * width), 0
+    for state in sorted((k for k, out in enumerate(step) if len(out) > 1), key=lambda k: -len(step[k])):
+        at, tries = low, 0
+        while any(used[at + c] for c in step[state]):
+            at += 1
+            tries += 1
+        low += tries >> 4  # leave crowded places
+        if at + 2 * width >= len(used):
+            used += bytearray(len(used))
+        base[state] = at
+        for c in step[state]:
+            used[at + c] = 1
+    single = np.array([k for k, out in enumerate(step) if len(out) == 1], np.int64)
+    taken = np.frombuffer(used, np.uint8)
+    gaps = width + np.flatnonzero(taken[width:] == 0)[: len(single)]
+    gaps = np.concatenate([gaps, len(taken) + np.arange(len(single) - len(gaps))])
+    base[single] = gaps - np.array([next(iter(step[k])) for k in single], np.int64)
+    places = [(base[k] + c, k << 32 | t) for k, out in enumerate(step) for c, t in out.items()]
+    packed = np.full(int(base.max()) + width, -1, np.int64)
+    if places:
+        at, value = map(np.array, zip(*places))
+        packed[at] = value
+    return base, packed
+
+
 class Parser:
-    """The automata of some languages: their transitions in one hash table, and what the start states do by symbol.
+    """The automata of some languages as one sparse table, and what their start states do by symbol.
 
-    State 0 of all is the dead one: texts start there, and a symbol that the training text lacks leads there, as it is a phrase of its own.
+    State 0 is the dead one of all: texts start there, and a symbol that the training text lacks leads there, as it is a phrase of its own.
     """
 
     def __init__(self, texts: dict[str, list[str]], table: np.ndarray):
         self.width = int(table.max()) + 1
-        self.first = np.zeros((len(texts), self.width), np.int32)
-        keys, to, base = [], [], 1
+        self.first = np.zeros((len(texts), self.width), np.int64)
+        every: list[dict[int, int]] = [{}]
         for row, own in enumerate(texts.values()):
+            shift = len(every)
             step = automaton(symbols(np.frombuffer(" ".join(own).encode("utf-32-le"), np.uint32), table))
-            for state, out in enumerate(step):
-                keys += [(base + state) * self.width + c for c in out]
-                to += [base + t for t in out.values()]
+            every += [{c: t + shift for c, t in out.items()} for out in step]
             for c, t in step[0].items():
-                self.first[row, c] = base + t
-            base += len(step)
-        bits = max(4, len(keys) * 4 // 3).bit_length()
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-        wait = np.array(keys, np.int64)
-        value, slot = np.array(to, np.int32), self.slots(wait)
-        while len(wait):  # every round the first key of each free slot takes it
-            free = np.flatnonzero(self.keys[slot] < 0)
-            _, one = np.unique(slot[free], return_index=True)
-            taken = free[one]
-            self.keys[slot[taken]], self.to[slot[taken]] = wait[taken], value[taken]
-            left = np.ones(len(wait), bool)
-            left[taken] = False
-            wait, value, slot = wait[left], value[left], (slot[left] + 1) & self.mask
-
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).view(np.int64)
-
-    def steps(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The next states; 0 where there is no transition."""
-        keys = state * np.int64(self.width) + symbol
-        slot = self.slots(keys)
-        met = self.keys.take(slot)
-        out = self.to.take(slot)
-        out[met != keys] = 0
-        search = np.flatnonzero((met != keys) & (met >= 0))
-        while len(search):
-            slot[search] = (slot[search] + 1) & self.mask
-            met = self.keys.take(slot[search])
-            hit = met == keys[search]
-            out[search[hit]] = self.to.take(slot[search[hit]])
-            search = search[~hit & (met >= 0)]
-        return out
+                self.first[row, c] = t + shift
+        self.base, self.packed = displaced(every, self.width)
 
     def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
         """Phrases that each row of symbols needs, by language."""
@@ -193,24 +193,27 @@ class Parser:
             return out
         sizes = np.array([min(SEGMENT, len(rows[k]) - a) for k, a in cuts], int)
         order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((sizes[order[0]], len(cuts)), np.int32)
+        grid = np.zeros((sizes[order[0]], len(cuts)), np.int64)
         for column, j in enumerate(order):
             k, a = cuts[j]
             grid[: sizes[j], column] = rows[k][a : a + SEGMENT]
-        # Lanes go by segment and then language, so that those still at work stand in front.
-        state = np.zeros(len(cuts) * many, np.int64)
-        count = np.zeros(len(cuts) * many, np.int32)
-        flat, lane = self.first.ravel(), np.tile(np.arange(many) * self.width, len(cuts))
+        # Segments go from long to short, so that those still at work stand in front.
+        state = np.zeros((len(cuts), many), np.int64)
+        count = np.zeros((len(cuts), many), np.int32)
+        first, base, packed, low = self.first.ravel(), self.base, self.packed, np.int64(0xFFFFFFFF)
+        start = np.arange(many) * self.width
         active = np.searchsorted(-sizes[order], -np.arange(len(grid)), "left")
         for at in range(len(grid)):
-            n = active[at] * many
-            symbol = np.repeat(grid[at, : active[at]], many)
-            found = self.steps(state[:n], symbol)
-            ended = np.flatnonzero(found == 0)
-            count[ended] += 1
-            found[ended] = flat.take(lane[ended] + symbol[ended])
+            n = active[at]
+            symbol, now = grid[at, :n], state[:n]
+            found = packed.take(base.take(now) + symbol[:, None])
+            ended = (found >> 32) != now
+            count[:n] += ended
+            found &= low
+            row, lang = np.nonzero(ended)
+            found[row, lang] = first.take(start.take(lang) + symbol.take(row))
             state[:n] = found
-        np.add.at(out, np.array([cuts[j][0] for j in order]), count.reshape(-1, many))
+        np.add.at(out, np.array([cuts[j][0] for j in order]), count)
         return out
 
 
