@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quire.llm import fingerprints, langid, line_dedup, media, mixing, pieces, quality
 
@@ -162,7 +163,7 @@ def test_sniffing_corrects_and_carves(spark):
     assert media.wav_samples(wav) == b"abc"
 
 
-def test_mixing_meets_its_marginals(docs, rows, empty, clashing, spark):
+def test_mixing_meets_its_marginals(docs, rows, empty, clashing, monkeypatch):
     out = mixing.mix(docs, token_share=0.5).toPandas()
     total = out._tokens.sum()
     assert abs((out._tokens * out._probability).sum() / total - 0.5) < 1e-6
@@ -173,7 +174,12 @@ def test_mixing_meets_its_marginals(docs, rows, empty, clashing, spark):
         held = held[held > 0]
         goal = (held / total) ** power / ((held / total) ** power).sum()
         assert (abs(now[goal.index] / total - goal) < 0.05).all()
-    frames = mixing.mix(docs, token_share=0.5, driver_cells=0).toPandas()
+    monkeypatch.setattr(mixing, "TOPIC_DOCS", 20)
+    one = lambda n: mixing.mix(docs, token_share=0.5, topic=F.length(F.coalesce("text", F.lit(""))) % 3, driver_cells=n).toPandas()
+    monkeypatch.setattr(mixing.rake, "__defaults__", (4,))
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
+    out, frames = one(50_000), one(0)
+    assert abs(out._gap[0] - frames._gap[0]) < 1e-9
     key = ["doc_id", "_tokens", "_ratio", "_probability"]
     a, b = (x[key].sort_values(key).reset_index(drop=True) for x in (out, frames))
     assert np.allclose(a.fillna(-1), b.fillna(-1), atol=1e-6)
@@ -185,12 +191,90 @@ def test_mixing_meets_its_marginals(docs, rows, empty, clashing, spark):
 def test_raking_with_given_targets():
     keys = [(s, l, t) for s in "ab" for l in "xyz" for t in range(2)]
     tokens = np.arange(1.0, 13.0)
-    ratio = mixing.rake(keys, tokens, [1, 1, 1], [{"a": 0.8, "b": 0.2}, {"x": 0.5, "y": 0.3, "z": 0.2}, None])
+    ratio, gap = mixing.rake(keys, tokens, [1, 1, 1], [{"a": 0.8, "b": 0.2}, {"x": 0.5, "y": 0.3, "z": 0.2}, None])
+    assert gap < 1e-8
     weight = ratio * tokens / tokens.sum()
     assert abs(sum(w for w, k in zip(weight, keys) if k[0] == "a") - 0.8) < 1e-8
     assert abs(sum(w for w, k in zip(weight, keys) if k[1] == "y") - 0.3) < 1e-8
-    scale = mixing.draw_scale(ratio, tokens, 0.7)
-    assert abs((tokens * np.minimum(1, scale * ratio)).sum() / tokens.sum() - 0.7) < 1e-9
+    sums = lambda s: (tokens[s * ratio >= 1].sum(), (tokens * ratio)[s * ratio < 1].sum())
+    for share in (0.01, 0.3, 0.7, 0.999):
+        scale = mixing.draw_scale(sums, share * tokens.sum())
+        assert abs((tokens * np.minimum(1, scale * ratio)).sum() / tokens.sum() - share) < 1e-9
+    assert (mixing.draw_scale(sums, 2 * tokens.sum()) * ratio >= 1 - 1e-9).all()
+    # Targets that contradict each other leave a gap, and it is told.
+    assert mixing.rake([("a", "x"), ("b", "y")], np.ones(2), [1, 1], [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}])[1] > 0.5
+
+
+def topic_docs(n=240):
+    r = random.Random(12)
+    themes = [[f"{t}{k}" for k in range(40)] for t in ("sea", "sky", "law")]
+    tongues = {"en": ["the", "of", "and"], "de": ["der", "und", "zu"]}
+    rows = []
+    for k in range(n):
+        lang = ("en", "de")[k // 3 % 2]
+        rows.append((k, " ".join(r.choice(themes[k % 3]) + " " + r.choice(tongues[lang]) for _ in range(40)), lang, f"s{k % 4}", 0))
+    return rows
+
+
+def test_topics_are_themes_and_not_languages(spark, monkeypatch):
+    from tests.llm.conftest import DOCS
+
+    monkeypatch.setattr(mixing, "TOPICS", 3)
+    rows = topic_docs()
+    got = {x["doc_id"]: x["_topic"] for x in mixing.described(spark.createDataFrame(rows, DOCS)).collect()}
+    by_theme = [Counter(got[k] for k in range(t, 240, 3)).most_common(1)[0] for t in range(3)]
+    assert len({t for t, _ in by_theme}) == 3 and sum(n for _, n in by_theme) >= 235
+
+
+def test_mixing_report_against_brute_force(spark):
+    """Every column of every row, from the topics on, by plain Python."""
+    from tests.llm.conftest import DOCS
+
+    rows = topic_docs() + [(900, None, "en", "s1", 0), (901, "  ", None, None, 0), (902, "alone here", None, None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    topics = mixing.learn_topics(docs)
+    n = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
+    def topic(r):
+        held = np.unique([int(h >> 52) for h in mixing.hashed_words(*mixing.bytes_of(mixing.pa.array([r[1] or ""])))[0].tolist()]).astype(int)
+        if not len(held):
+            return 0
+        point = np.zeros(mixing.TOPIC_BUCKETS)
+        point[held] = topics.weight[held]
+        point /= np.linalg.norm(point)
+        return int((point @ topics.centres - topics.means.get(r[2], topics.usual)).argmax())
+    cell = {r[0]: (r[3], r[2], topic(r)) for r in rows}
+    held = Counter()
+    for d, c in cell.items():
+        held[c] += n[d]
+    weight = {c: x / sum(held.values()) for c, x in held.items() if x}
+    goals = []
+    for axis, power in enumerate((0.5, 0.7, 0.5)):
+        side = Counter()
+        for c, x in weight.items():
+            side[c[axis]] += x
+        raw = {k: x**power for k, x in side.items()}
+        goals.append({k: x / sum(raw.values()) for k, x in raw.items()})
+    before = dict(weight)
+    for _ in range(mixing.ROUNDS):
+        for axis, goal in enumerate(goals):
+            now = Counter()
+            for c, x in weight.items():
+                now[c[axis]] += x
+            weight = {c: x * goal[c[axis]] / now[c[axis]] for c, x in weight.items()}
+    ratio = {c: weight[c] / before[c] for c in weight}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(held[c] * min(1, mid * ratio[c]) for c in ratio) < mixing.TOKEN_SHARE * sum(held.values()) else (low, mid)
+    def unit(d, text):
+        h = xxhash.xxh64_intdigest(d.to_bytes(8, "little"), seed=xxhash.xxh64_intdigest(mixing.SEED.to_bytes(4, "little"), seed=42))
+        return ((xxhash.xxh64_intdigest(text.encode(), seed=h) if text is not None else h) >> 11) / 2**53 + 2.0**-54
+    for x in mixing.mixing_report(docs).collect():
+        r = next(r for r in rows if r[0] == x["doc_id"])
+        chance = min(1.0, high * ratio.get(cell[r[0]], 1.0))
+        assert (x["topic"], x["n_tokens"]) == (cell[r[0]][2], n[r[0]])
+        assert abs(x["ratio"] - ratio.get(cell[r[0]], 1.0)) < 1e-6 and abs(x["probability"] - chance) < 1e-6
+        assert x["drawn"] == (unit(r[0], r[1]) < chance)
 
 
 def test_pieces_agree_with_the_library(docs, rows, empty, clashing, spark):
