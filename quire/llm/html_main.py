@@ -13,250 +13,410 @@
 3. Valid classes nest into the host's template: in every page each occurrence of
    a class stands between the same two tokens of the class around it.  Of two
    that cross, the one in fewer pages is dropped.  What remains between template
-   tokens are the slots, named by the token before them; blocks
-   of links are left out unless their slot is mostly other text, and a slot's path
-   says what it is for.
-   Slots of menus, headers, footers, sidebars, notices, adverts, forms and reader
-   comments are left out, and so is text of the template itself.
-
-Where a page declares its article (article, else main), it chooses the slots: the
-text blocks inside it are slots by declaration, even if each page of the host has
-the same text, as copies of one article must not pass for its template.  Pages of
-hosts with too few pages have no deduced template, and the paths decide alone.
+   tokens are the slots, named by the token before them; a block of links is left
+   out unless its slot, or without a template the element around it, is mostly
+   other text.  Text of the template is left out, and so is text in menus,
+   headers, footers, sidebars, notices, adverts, forms and reader comments.
+
+Where a page declares its article (article, main), it chooses the slots.  Text
+inside is template too where its class is in at least half of the host's pages and
+``MIN_PAGES`` of these have as much text of their own: a byline or a call to
+subscribe in every article goes, a passage that some articles share stays, and so
+do articles that are copies of each other.
+
+What marks an aside is an element's name or role, or a word of its class or id:
+outside declared articles the whole name or its first or last part (``MARKS``;
+not "no-sidebar" or "ad-free"), inside them whole names only (``INNER_MARKS``).
+Words never mark html, body, main and article.  Words and forms around
+a page's only declared article do not make it an aside, nor does a form around all
+text of a page that declares none.  Of several articles one that holds
+more than half of their text stands alone, else all are taken; what a main element
+has besides its articles is taken as well.
 
 Text: character references are decoded, scripts, styles, comments and markup go,
 runs of ``[\\x20\\x09-\\x0D]`` inside a block become one space, blocks are trimmed
 and joined by ``\\n`` in page order; ``br`` is white space inside its block.
 
 Defined results: a null or empty html gives the empty text; unclosed and
-truncated markup is tolerated; a null url is a host of its own; repeated rows
-each get a row; a null page_id is kept as null; further columns are ignored.
+truncated markup is tolerated (a tag cut off by the end is dropped, a quote that
+is never closed is none); very long pages take time in proportion; equal blocks of
+one page (ties) are told apart by their order; a null url is a host of its own;
+repeated rows each get a row; a null page_id is kept as null; an empty table gives
+an empty result; further columns, whatever their names, are ignored.  Tokens are 64
+bits within a host: ten million different ones collide with a chance of 3e-6, and
+a collision can only change the class of two tokens.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import bounded_batches, join_counted, staged
 
 MIN_PAGES = 3
 LINK_SHARE = 0.5
+#: Sample that the dictionary for packing is made of, and its size; they change no result.
+PACK_PAGES, PACK_CHARS, PACK_BYTES = 2_000, 16_384, 1 << 17
 #: Elements that begin and end a text block (fixed values of HTML).
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no page text (fixed values of HTML).
-SILENT = frozenset("script style noscript template head title iframe object svg math canvas select textarea button audio video datalist".split())
-ASIDE = frozenset("nav aside form menu dialog footer header search".split())
+#: Elements whose content is no page text, and those among them that hold no markup (fixed values of HTML).
+SILENT = frozenset("script style noscript template head title iframe object svg math canvas select textarea button audio video datalist noembed noframes xmp".split())
+RAW = frozenset("script style noscript title iframe textarea noembed noframes xmp".split())
+ASIDE = frozenset("nav aside menu search footer header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words in class or id that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside "
     "footer masthead comment comments respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social "
-    "related recommended widget pagination pager toolbar form search".split()
+    "related recommended widget pagination pager toolbar search".split()
 )
+#: Parts of a name that say it only speaks of an aside.
+UNMARKS = frozenset("no not non without free has have with open closed off hide hidden disabled layout".split())
 #: Whole classes (or ids of containers) that mark what is not the article even inside it.
 INNER_MARKS = frozenset(
     "ad ads advert adverts advertisement comments comment-list respond disqus share sharing social-share sharedaddy newsletter newsletter-signup breadcrumb breadcrumbs sidebar pagination pager related-posts related-articles".split()
 )
 PHRASES = frozenset("h1 h2 h3 h4 h5 h6 p".split())
-IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot menu dir".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noscript|template|svg|math|select|button|canvas|object|audio|video|datalist)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What follows a tag's name, up to its end: a quote counts only behind an equals sign, and only if it is closed.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+")
+_ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
-_MARK_SPLIT = re.compile(r"[^a-z]+")
+_PARTS = re.compile(r"[^a-z0-9]+")
+
+
+def _hash(path: int, text: str) -> int:
+    return int.from_bytes(blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+BY_WORD, BY_FORM = 1, 2
+
+
+class Root:
+    """A declared article or main element; ``article`` is the outermost article around it or it."""
+
+    __slots__ = ("article", "in_main", "marked")
+
+    def __init__(self, kind: str, outer: Root | None, marked: int):
+        self.article = outer.article if outer and outer.article else self if kind == "article" else None
+        self.in_main = kind == "main" or outer is not None and outer.in_main
+        self.marked = marked
 
 
 class Block:
-    __slots__ = ("path", "text", "root", "aside", "links", "at")
+    __slots__ = ("path", "text", "root", "aside", "marked", "links", "around", "at")
 
-    def __init__(self, path: str, text: str, root: int, aside: bool, links: float, at: int):
-        self.path, self.text, self.root, self.aside, self.links, self.at = path, text, root, aside, links, at  # at: tags before it
+    def __init__(self, path: int, text: str, root: Root | None, aside: bool, marked: int, links: float, around: int, at: int):
+        self.path, self.text, self.root, self.aside, self.marked, self.links, self.around, self.at = path, text, root, aside, marked, links, around, at  # at: tags before it
 
 
-def _marked(name: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
-    """Whether the element is an aside anywhere, whether only outside an article, and its class.
+class Frame:
+    """An open block element: ``aside`` by its name or role, ``marked`` by words or as a form, or one around it."""
 
-    Words in class or id mark asides outside articles, whole names inside; none marks the article's own element.
-    """
-    marks, whole, role, shown = set(), set(), "", ""
-    for m in _ATTR.finditer(attrs):
+    __slots__ = ("name", "path", "aside", "marked", "root", "silent", "number")
+
+    def __init__(self, name: str, path: int, aside: bool, marked: int, root: Root | None, silent: bool, number: int):
+        self.name, self.path, self.aside, self.marked, self.root, self.silent, self.number = name, path, aside, marked, root, silent, number
+
+
+def _attributes(rest: str) -> tuple[list[str], str, str]:
+    """Names in class, the id and the role."""
+    names, own, role = [], "", ""
+    for m in _ATTR.finditer(rest):
         value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            role = value
-        else:
-            marks.update(_MARK_SPLIT.split(value))
-            if m[1].lower() == "class" or name not in PHRASES:
-                whole.update(value.split())
-            shown = value if m[1].lower() == "class" else shown
-    outer = name in ("header", "footer") or role in ("banner", "contentinfo")
-    if name == "body" or name == "html":
-        return False, False, ""
-    declares = name in ("article", "main") or role == "main"
-    marked = whole & INNER_MARKS if inside else marks & MARKS if not declares else ()
-    return (name in ASIDE or role in ROLES) and not outer or bool(marked), outer, shown
-
-
-def blocks_of(page: str) -> tuple[list[Block], list[str]]:
+        kind = m[1].lower()
+        if kind == "role":
+            role = role or value
+        elif kind == "id":
+            own = own or value
+        elif not names:
+            names = value.split()
+    return names, own, role
+
+
+def marks_aside(name: str) -> bool:
+    """Whether a class or id outside articles names an aside."""
+    if name in MARKS:
+        return True
+    parts = [p for p in _PARTS.split(name) if p]
+    return bool(parts) and (parts[0] in MARKS or parts[-1] in MARKS) and not UNMARKS.intersection(parts)
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) in order: kind is text (in rest), open or close; time is in proportion to the page.
+
+    Comments, declarations and the content of elements without markup are left out.
+    """
+    at, last, n = 0, page.rfind(">"), len(page)
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        m = _NAME.match(page, start + 1)
+        if m is None:
+            following = page[start + 1 : start + 2]
+            if following not in ("!", "?", "/") or not following:
+                yield "text", "", page[at : start + 1]
+                at = start + 1
+                continue
+            if start > at:
+                yield "text", "", page[at:start]
+            if page.startswith("<!--", start):
+                short = next((k for k in (">", "->") if page.startswith(k, start + 4)), None)
+                end = start + 4 + len(short) if short else page.find("-->", start + 4)
+                at = end + (0 if short else 3) if end >= 0 else n
+            else:
+                end = page.find(">", start)
+                at = end + 1 if end >= 0 else n
+            continue
+        if start > at:
+            yield "text", "", page[at:start]
+        if m.end() > last:
+            return  # the end cuts the tag off
+        end = _REST.match(page, m.end()).end()
+        if end >= n:
+            end = page.find(">", m.end())  # a quote is never closed before another tag: take none
+        name, rest = m[2].lower(), page[m.end() : end]
+        at = end + 1
+        if m[1]:
+            yield "close", name, ""
+            continue
+        yield "open", name, rest
+        if name in RAW and not rest.endswith("/"):
+            closing = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+            at = closing.start() if closing else n
+    if at < n:
+        yield "text", "", page[at:]
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
     """The page's text blocks in order, and its tag tokens."""
-    stack: list[tuple[str, str, bool, int, bool]] = []  # name, path, aside, root (0 none, 1 main, 2 article), silent
+    stack = [Frame("", 0, False, 0, None, False, 0)]
+    open_: Counter[str] = Counter()
+    scopes: list[Counter[str]] = [Counter()]
     out: list[Block] = []
-    tags: list[str] = []
+    tags: list[int] = []
+    paths: dict[tuple[int, str], int] = {}
     text: list[str] = []
-    linked = in_link = 0
+    linked = size = number = 0
+    in_link = False
 
     def flush() -> None:
-        nonlocal linked
-        joined = _SPACES.sub(" ", _html.unescape("".join(text))).strip(" ")
-        if joined and not (stack and stack[-1][4]):
-            _, path, aside, root, _ = stack[-1] if stack else ("", "", False, 0, False)
-            out.append(Block(path, joined, root, aside, linked / max(1, sum(map(len, text))), len(tags)))
-        text.clear()
-        linked = 0
+        nonlocal linked, size
+        if size:
+            top = stack[-1]
+            if not top.silent and (joined := _SPACES.sub(" ", "".join(text)).strip(" ")):
+                around = stack[-2].number if top.name in TEXT_ITEMS else top.number
+                out.append(Block(top.path, joined, top.root, top.aside, top.marked, linked / size, around, len(tags)))
+            text.clear()
+            linked = size = 0
 
     def add(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            text.append(piece)
-            linked += len(piece) if in_link else 0
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+        nonlocal linked, size
+        text.append(piece)
+        size += len(piece)
+        linked += len(piece) if in_link else 0
+
+    def pop() -> None:
+        gone = stack.pop().name
+        open_[gone] -= 1
+        if gone in SCOPES:
+            scopes.pop()
+        scopes[-1][gone] -= 1
+
+    muted: list[str] = []  # open inline elements whose content is no text, and the blocks inside them
+    inside: Counter[str] = Counter()
+    for kind, name, rest in pieces(page):
+        if kind == "text":
+            if not muted:
+                add(_html.unescape(rest))
             continue
-        closing, name, attrs = m[2], m[3].lower(), m[4]
+        if name in SILENT and name != "head":
+            if name in RAW or rest.endswith("/"):
+                continue
+            if kind == "open":
+                muted.append(name)
+                inside[name] += 1
+            elif inside[name]:
+                while (gone := muted.pop()) != name:
+                    inside[gone] -= 1
+                inside[name] -= 1
+            continue
+        if muted:
+            if name not in BLOCKS or name in VOID:
+                continue
+            if kind == "open":
+                muted.append(name)
+                inside[name] += 1
+                continue
+            if inside[name]:
+                while (gone := muted.pop()) != name:
+                    inside[gone] -= 1
+                inside[name] -= 1
+                continue
+            muted.clear()  # what is around has ended
+            inside.clear()
         if name == "a":
-            in_link = 0 if closing else 1
+            in_link = kind == "open"
             continue
         if name == "br":
             add(" ")
             continue
-        if name not in BLOCKS and name not in SILENT:
+        if name not in BLOCKS:
             continue
         flush()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if kind == "close":
+            if open_[name]:
+                while stack[-1].name != name:
+                    pop()
+                pop()
             continue
         if name in VOID:
             continue
-        if stack and stack[-1][0] == "p" and name != "p" or stack and stack[-1][0] == name == "p":
-            stack.pop()
-        if stack and stack[-1][0] == "head" and name not in SILENT:
-            stack.pop()
-        ends = IMPLIED_END.get(name)
-        if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends and (k == len(stack) - 1 or name == "tr"):
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES:
-                    break
-        _, path, aside, root, silent = stack[-1] if stack else ("", "", False, 0, False)
-        own, outer, shown = _marked(name, attrs, root > 0)
-        path = f"{path}/{name}.{shown}" if shown else f"{path}/{name}"
-        root = max(root, 2 if name == "article" and not (aside or own) else 1 if (name == "main" or "main" == _role(attrs)) and not (aside or own) else 0)
-        aside = aside or own or outer and root == 0
-        if outer and name == "footer" and root:
-            aside = True
-        stack.append((name, path, aside, root, silent or name in SILENT))
+        if stack[-1].name == "p":
+            pop()
+        if stack[-1].name == "head":
+            pop()
+        ends = IMPLIED_END.get(name, ())
+        if any(scopes[-1][e] > 0 for e in ends):
+            while stack[-1].name not in ends:
+                pop()
+            pop()
+        top = stack[-1]
+        names, own, role = _attributes(rest) if "=" in rest else ((), "", "")
+        shown = f"{name}.{' '.join(names)}"
+        if (path := paths.get((top.path, shown))) is None:
+            path = paths[top.path, shown] = _hash(top.path, shown)
+        root, aside, marked = top.root, top.aside, top.marked
+        declares = "article" if name == "article" else "main" if name == "main" or role == "main" else ""
+        if declares and not aside:
+            # Words around it may make it an aside; inside it only its own asides count.
+            root, marked = Root(declares, root, marked if root is None else root.marked | marked), 0
+        elif name not in ("html", "body") and not declares:
+            outer = name in ("header", "footer") or role in ("banner", "contentinfo")
+            aside = aside or (name == "footer" if outer and root else name in ASIDE or role in ROLES)
+            if name not in PHRASES or root is None:
+                names = [*names, own] if own else names
+            words = any(map(marks_aside, names)) if root is None else not INNER_MARKS.isdisjoint(names)
+            marked |= BY_WORD * words | BY_FORM * (name in ("form", "dialog"))
+        number += 1
+        stack.append(Frame(name, path, aside, marked, root, top.silent or name == "head", number))
+        open_[name] += 1
+        if name in SCOPES:
+            scopes[-1][name] += 1
+            scopes.append(Counter())
+        else:
+            scopes[-1][name] += 1
         tags.append(path)
-    add(page[at:])
     flush()
     return out, tags
 
 
-def _role(attrs: str) -> str:
-    return next(((m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs) if m[1].lower() == "role"), "")
+#: Elements that stand for one line or item of the element around them.
+TEXT_ITEMS = PHRASES | frozenset("li dt dd td th option caption figcaption summary legend".split())
+
+
+def chosen(blocks: list[Block]) -> tuple[list[Block], bool]:
+    """The blocks that may be the article, and whether the page declares it."""
+    for words in (True, False):  # words count unless they leave nothing
+        held = [b for b in blocks if b.root is not None and not b.aside and not b.marked and not (words and b.root.marked)]
+        if held:
+            return _declared(held), True
+    for marks in (BY_WORD | BY_FORM, BY_WORD):  # a form around all text is none
+        held = [b for b in blocks if b.root is None and not b.aside and not b.marked & marks]
+        if held:
+            return held, False
+    return [], False
+
+
+def _declared(held: list[Block]) -> list[Block]:
+    mains = [b for b in held if b.root.in_main]
+    held = mains or held
+    sizes: Counter[Root] = Counter()
+    for b in held:
+        if (own := b.root.article) is not None:
+            sizes[own] += len(b.text)
+    if len(sizes) < 2:
+        return held
+    most, size = sizes.most_common(1)[0]
+    return [b for b in held if b.root.article in (None, most)] if 2 * size > sum(sizes.values()) else held
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> tuple[str, int]:
     """The article's text, and how many of the page's tokens belong to its host's ``template``."""
     blocks, tags = blocks_of(page)
-    roles = _roles(blocks, tags) if template else []
+    roles = _roles(blocks, tags)
     found = len(template.intersection(token for token, _ in roles))
-    root = max((b.root for b in blocks if not b.aside), default=0)
-    if root:
-        return "\n".join(b.text for b in blocks if b.root == root and not b.aside), found
-    if not found:
-        return "\n".join(b.text for b in blocks if not b.aside and b.links <= LINK_SHARE), found
+    taken, declared = chosen(blocks)
+    may = set(map(id, taken))
+    around: dict[int, list[float]] = {}
     slots: dict[int, list[float]] = {}
     held: list[tuple[int, Block]] = []
     slot = 0
     for token, block in roles:
         if token in template:
             slot = token
-        elif block is not None and not block.aside:
+        elif block is not None and id(block) in may:
             held.append((slot, block))
-            sizes = slots.setdefault(slot, [0, 0])
-            sizes[0] += len(block.text)
-            sizes[1] += len(block.text) * block.links
-    return "\n".join(b.text for at, b in held if b.links <= LINK_SHARE or slots[at][1] <= LINK_SHARE * slots[at][0]), found
+            for sizes in (slots.setdefault(slot, [0, 0]), around.setdefault(block.around, [0, 0])):
+                sizes[0] += len(block.text)
+                sizes[1] += len(block.text) * block.links
+    mostly_text = lambda sizes: sizes[1] <= LINK_SHARE * sizes[0]
+    free = lambda b: declared and b.root.article is not None  # noqa: E731  an article's links are its own
+    kept = [b.text for at, b in held if b.links <= LINK_SHARE or free(b) or mostly_text(around[b.around]) or found and mostly_text(slots[at])]
+    return "\n".join(kept), found
 
 
-def _token(path: str, text: str = "") -> int:
-    first = zlib.crc32(path.encode())
-    return (first << 32 | zlib.crc32(text.encode(), first)) - (1 << 63)
-
-
-def _roles(blocks: list[Block], tags: list[str]) -> list[tuple[int, Block | None]]:
-    """The page's tokens in order, with the block where one is text.
-
-    Text inside a declared article is data whatever other pages hold: it has no token (0).
-    """
+def _roles(blocks: list[Block], tags: list[int]) -> list[tuple[int, Block | None]]:
+    """The page's tokens in order, with the block where one is text."""
     out: list[tuple[int, Block | None]] = []
-    seen: Counter[tuple[str, str]] = Counter()
+    seen: Counter[tuple[int, str]] = Counter()
     at = 0
     for b in blocks:
-        out += [(_token(t), None) for t in tags[at : b.at]]
+        out += [(t, None) for t in tags[at : b.at]]
         at = b.at
-        if b.root:
-            out.append((0, b))
-            continue
         again = seen[b.path, b.text]
         seen[b.path, b.text] += 1
-        out.append((_token(b.path, f"{b.text}\0{again}"), b))
-    return out + [(_token(t), None) for t in tags[at:]]
+        out.append((_hash(b.path, f"{b.text}\0{again}"), b))
+    return out + [(t, None) for t in tags[at:]]
 
 
-TOKENS = "host bigint, page bigint, prose int, token bigint, n int, is_prose boolean, places array<int>"
+TOKENS = "host bigint, page bigint, prose int, token bigint, n int, is_prose boolean, is_article boolean, places array<int>"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each token of each page with its places; prose is the number of the page's text blocks that may be taken."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()))
     for batch in batches:
-        columns: list[list] = [[], [], [], [], [], [], []]
+        columns: list[list] = [[] for _ in kinds]
         for host, page, text in zip(*(c.to_pylist() for c in batch.columns)):
-            seen: dict[int, tuple[list[int], bool]] = {}
-            for place, (token, b) in enumerate(_roles(*blocks_of(text))):
-                if b is None or not b.root:
-                    seen.setdefault(token, ([], b is not None and not b.aside and b.links <= LINK_SHARE))[0].append(place)
-            prose = sum(p for _, p in seen.values())
-            for token, (places, is_prose) in seen.items():
-                for column, value in zip(columns, (host, page, prose, token, len(places), is_prose, places)):
+            blocks, tags = blocks_of(text)
+            taken, declared = chosen(blocks)
+            may = set(map(id, taken))
+            seen: dict[int, tuple[list[int], bool, bool]] = {}
+            for place, (token, b) in enumerate(_roles(blocks, tags)):
+                prose = b is not None and id(b) in may
+                seen.setdefault(token, ([], prose, prose and declared))[0].append(place)
+            total = sum(p for _, p, _ in seen.values())
+            for token, (places, prose, article) in seen.items():
+                for column, value in zip(columns, (host, page, total, token, len(places), prose, article, places)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in TOKENS.split(", ")])
 
 
@@ -283,7 +443,7 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, prose, members in zip(*(c.to_pylist() for c in batch.columns)):
             differs = int(prose >= 2 * len({m["token"] for m in members if m["is_prose"]}))
             for name, tokens in _sequences(members).items():
-                out.append((host, name, None if tokens is None else _token(",".join(map(str, tokens))), differs))
+                out.append((host, name, None if tokens is None else _hash(0, ",".join(map(str, tokens))), differs))
         columns = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["host", "class", "order", "differs"])
 
@@ -296,29 +456,32 @@ def nesting(members: list[dict]) -> list[tuple[int, int, int]]:
     dropped: set[int] = set()
     while True:
         stack: list[list[int]] = []  # class, tokens met
+        open_: set[int] = set()
         found: set[tuple[int, int, int]] = set()
         crossed = False
         for _, name in items:
             if name in dropped:
                 continue
-            if any(s[0] == name for s in stack):
+            if name in open_:
                 while stack[-1][0] != name:
                     if (other := min(stack[-1][0], name, key=rank.__getitem__)) == name:
                         break
                     dropped.add(other)
-                    stack.pop()
+                    open_.discard(stack.pop()[0])
                     crossed = True
                 if stack[-1][0] != name:
                     dropped.add(name)
                     stack = [s for s in stack if s[0] != name]
+                    open_.discard(name)
                     crossed = True
                     continue
                 stack[-1][1] += 1
             else:
                 found.add((name, *(stack[-1] if stack else (0, 0))))
                 stack.append([name, 1])
+                open_.add(name)
             if stack[-1][1] == width[name]:
-                stack.pop()
+                open_.discard(stack.pop()[0])
         if not crossed:
             return [*found, *((name, 0, -1) for name in dropped)]
 
@@ -333,17 +496,38 @@ def _nests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["host", "class", "around", "gap"])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        got = [main_text(unpack.decompress(page).decode(), frozenset(t or ())) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        columns = [pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "text", "n_chars", "n_template"])
+def _extract(shared):
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(shared.value))
+        for batch in batches:
+            got = [main_text(unpack.decompress(page).decode(), frozenset(t or ())) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            columns = [pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "text", "n_chars", "n_template"])
+
+    return extract
 
 
-def _pack(texts: pa.Array) -> pa.Array:
-    pack = zstandard.ZstdCompressor(level=6)
-    return pa.array([pack.compress(t.as_buffer()) for t in texts], pa.binary())
+def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(raw) if raw else None
+
+
+def packing(keyed: DataFrame) -> bytes:
+    """A dictionary for packing pages, from a bounded sample; none if there is too little to learn from."""
+    pages = keyed.where(F.length("html") <= PACK_CHARS).select("page", "html")
+    most = pages.select("page").distinct().orderBy("page").limit(PACK_PAGES).agg(F.max("page")).first()[0]
+    some = [] if most is None else [r["html"].encode() for r in pages.where(F.col("page") <= F.lit(most)).groupBy("page").agg(F.min("html").alias("html")).orderBy("page").collect()]
+    try:
+        return zstandard.train_dictionary(PACK_BYTES, some).as_bytes() if len(some) > 100 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _pack(shared):
+    def pack(texts: pa.Array) -> pa.Array:
+        packer = zstandard.ZstdCompressor(level=6, dict_data=_dictionary(shared.value))
+        return pa.array([packer.compress(t.as_buffer()) for t in texts], pa.binary())
+
+    return pack
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -353,39 +537,49 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, page, template: the page's tokens that are of its host's valid classes.
+    """host, page, template: the page's tokens that are of its host's valid classes and count in it.
 
     They are told page by page, so that what pages are joined by is as fine as the pages.
+    Tokens, classes and hosts that hold a large share of all rows are joined by broadcast
+    (``join_counted``), so that no task gets the rows of a large host's menu.
 
     A copy of a page adds the same to the vector of each of its tokens, so it changes
     no class; support counts different pages, so it lends none.
     """
     keyed = _keyed(pages)
-    per_host = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    tokens = staged(keyed.select("host", "page", "html").mapInArrow(_tokens, TOKENS), "tokens")
+    per_host = staged(keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).withColumn("n", F.col("pages")), "hosts")
+    tokens = staged(keyed.select("host", "page", "html").mapInArrow(_tokens, TOKENS), "tokens", "zstd")
     # The sum is taken of 62-bit numbers in decimals, so that it cannot overflow.
     vector = tokens.groupBy("host", "token").agg(F.count("*").alias("held"), F.sum(F.shiftright(F.xxhash64("page", "n"), 2).cast("decimal(20,0)")).alias("vector"))
-    classes = vector.where(F.col("held") >= MIN_PAGES).select("host", "token", F.xxhash64("vector").alias("class"))
+    classes = staged(vector.where(F.col("held") >= MIN_PAGES).select("host", "token", "held", F.xxhash64("vector").alias("class")), "classes")
     # Copies of a page have the same members: a set has them once.
-    members = tokens.join(classes, ["host", "token"]).groupBy("host", "page").agg(F.first("prose").alias("prose"), F.collect_set(F.struct("class", "token", "is_prose", "places")).alias("members"))
-    members = staged(members, "members")
+    held = join_counted(tokens, classes, ["host", "token"], "held", drop=("held",))
+    members = held.groupBy("host", "page").agg(F.first("prose").alias("prose"), F.collect_set(F.struct("class", "token", "is_prose", "is_article", "places")).alias("members"))
+    members = staged(members, "members", "zstd")
     orders = members.select("host", "prose", "members").mapInArrow(_orders, ORDERS)
     held = orders.groupBy("host", "class").agg(F.count("*").alias("support"), F.count("order").alias("ordered"), F.min("order").alias("a"), F.max("order").alias("b"), F.sum("differs").alias("differing"))
-    spread = (F.col("support") >= MIN_PAGES) & ((2 * F.col("support") >= F.col("pages")) | (F.col("differing") >= MIN_PAGES))
-    valid = held.join(per_host, "host").where((F.col("ordered") == F.col("support")) & (F.col("a") == F.col("b")) & spread).select("host", "class", "support")
-    own = members.select("host", "page", F.explode("members").alias("m")).select("host", "page", "m.class", "m.token", "m.places").join(valid, ["host", "class"])
-    nests = own.groupBy("host", "page").agg(F.collect_list(F.struct("class", "token", "places", "support")).alias("members")).select("host", "members").mapInArrow(_nests, NESTS)
+    common, differing = 2 * F.col("support") >= F.col("pages"), F.col("differing") >= MIN_PAGES
+    valid = join_counted(held.where((F.col("support") >= MIN_PAGES) & (F.col("ordered") == F.col("support")) & (F.col("a") == F.col("b"))), per_host, ["host"], drop=("n",))
+    valid = staged(valid.where(common | differing).select("host", "class", "support", (common & differing).alias("strong")), "valid")
+    own = members.select("host", "page", F.explode("members").alias("m")).select("host", "page", "m.class", "m.token", "m.is_article", "m.places")
+    nests = join_counted(own, valid.drop("strong"), ["host", "class"], "support").groupBy("host", "page").agg(F.collect_list(F.struct("class", "token", "places", "support")).alias("members")).select("host", "members").mapInArrow(_nests, NESTS)
     gaps = nests.groupBy("host", "class", "around").agg(F.min("gap").alias("a"), F.max("gap").alias("b"))
     stray = gaps.where("a <> b OR a < 0").select("host", "class").distinct()
-    return own.join(stray, ["host", "class"], "left_anti").groupBy("host", "page").agg(F.collect_set("token").alias("template"))
+    nested = staged(valid.join(stray, ["host", "class"], "left_anti"), "nested")
+    kept = join_counted(own.drop("places"), nested, ["host", "class"], "support", drop=("support",)).where(~F.col("is_article") | F.col("strong"))
+    return kept.groupBy("host", "page").agg(F.collect_set("token").alias("template"))
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_template (template tokens found in the page) for each row of pages.
 
-    Pages travel compressed to meet their template tokens.
+    Pages travel compressed to meet their template tokens; a page of many copies is
+    one key there, whose rows adaptive execution splits.
     """
-    bounded_batches(pages.sparkSession)
-    rows = _keyed(pages).select("page_id", "url", "host", "page", F.arrow_udf(_pack, "binary")("html").alias("packed"))
+    spark = pages.sparkSession
+    bounded_batches(spark)
+    keyed = _keyed(pages)
+    shared = spark.sparkContext.broadcast(packing(keyed))
+    rows = keyed.select("page_id", "url", "host", "page", F.arrow_udf(_pack(shared), "binary")("html").alias("packed"))
     rows = rows.join(templates(pages).hint("merge"), ["host", "page"], "left").select("page_id", "url", "packed", "template")
-    return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint, n_template bigint")
+    return rows.mapInArrow(_extract(shared), "page_id bigint, url string, text string, n_chars bigint, n_template bigint")

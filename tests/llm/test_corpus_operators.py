@@ -221,6 +221,136 @@ def test_names_inside_articles(spark):
     assert extracted(spark, rows) == {1: "Found\nnote\np", 2: "Found\nnote\np"}
 
 
+def text_of(page: str) -> str:
+    return html_main.main_text(page)[0]
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["main class='content no-sidebar'", "main class='has-sidebar'", "article class='post comments-open'", "article class='post-form'", "article class='post search-engines'", "div class='ad-free'", "div class='page-nav-layout'", "div id='main-content'"],
+)
+def test_names_of_wrappers_lose_no_article(name):
+    kind = name.split()[0]
+    assert text_of(f"<body><div class='ad'>buy</div><{name}><h1>Title</h1><p>One.</p></{kind}><footer>f</footer></body>") == "Title\nOne."
+
+
+def test_asides_by_name():
+    page = "<div class='main-nav'>m</div><div id='sidebar'>s</div><div class='site-footer'>f</div><div class='ad-box'>b</div><section class='comments'>c</section><p>Text.</p>"
+    assert text_of(page) == "Text."
+    inner = "<article><p class='notice-board'>a</p><div class='form-group'>b</div><div class='comments'>c</div><form><p>q</p></form><p>d</p></article>"
+    assert text_of(inner) == "a\nb\nd"
+
+
+def test_marked_wrappers_of_the_only_article():
+    assert text_of("<div class='sidebar-right layout ad'><article><p>x</p></article></div><p>y</p>") == "x"
+    assert text_of("<form><div><article><p>x</p></article></div></form>") == "x"
+    assert text_of("<form><p>The whole page stands in a form.</p></form>") == "The whole page stands in a form."
+    assert text_of("<div class='related'><article><p>teaser</p></article></div><article><p>x</p></article>") == "x"
+
+
+def test_main_and_articles():
+    assert text_of("<main><h1>Title</h1><article>x</article><p>tail</p></main>") == "Title\nx\ntail"
+    assert text_of("<main><article><p>A long article, the page's own.</p></article><article><p>teaser</p></article></main>") == "A long article, the page's own."
+    assert text_of("<article><p>one</p></article><article><p>two</p></article>") == "one\ntwo"
+
+
+def test_tags_and_quotes():
+    assert text_of("<p title=it's>text one</p><p title=\"a > b\">two</p><p title='x>three</p>") == "text one\ntwo\nthree"
+    assert text_of("<p>a &lt;b&gt; &amp;amp; 1 < 2 <3 <!-- c --> <!--> d <? e ?> </ f> g</p>") == "a <b> &amp; 1 < 2 <3 d g"
+    assert text_of("<p>x<script>if (a</script>y<ScRiPt>'</p>'</sCript >z") == "xyz"
+    assert text_of("<p>Some words and <a href=x>a link</a></p><div><a href=y>all a link</a></div><ul><li><a>m</a></li><li><a>n</a></li></ul>") == "Some words and a link"
+    assert text_of("<div><p>Some text of the page.</p><p><a href=y>all a link</a></p></div><ul><li><a>m</a></li><li><a>n</a></li></ul>") == "Some text of the page.\nall a link"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<div><li>", "<ul><div>", "</div>", "<div>", "<p><table><td>", "<!--", "<script>", "<a b=\"", "<a b='>", "&amp", "<", "</", "<p>x</p>", "<div class='a b c'>x", "<svg><g>", "<main><article>x</article>"])
+def test_time_is_in_proportion(piece):
+    import time
+
+    def took(n):
+        begun = time.perf_counter()
+        html_main.main_text("<article><p>start</p>" + piece * (n // len(piece)) + '"')
+        return time.perf_counter() - begun
+
+    assert took(1 << 20) < 12 or took(1 << 20) < 12  # a few times 1 s per MB on a busy machine; quadratic would be hours
+
+
+def template_brute(rows) -> dict[int, set[int]]:
+    """page row -> tokens of its host's template: classes of equal vectors, in one order, spread and nested."""
+    hosts, out = {}, {k: set() for k in range(len(rows))}
+    for k, (_, url, page) in enumerate(rows):
+        host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
+        hosts.setdefault(host[1].lower() if host else "", {}).setdefault(page or "", []).append(k)
+    for pages in hosts.values():
+        seqs, prose, article = {}, {}, {}
+        for page in pages:
+            blocks, tags = html_main.blocks_of(page)
+            taken, declared = html_main.chosen(blocks)
+            roles = html_main._roles(blocks, tags)
+            seqs[page] = [t for t, _ in roles]
+            prose[page] = {t for t, b in roles if any(b is x for x in taken)}
+            article[page] = prose[page] if declared else set()
+        tokens = {t for s in seqs.values() for t in s}
+        vectors = {t: tuple((p, s.count(t)) for p, s in seqs.items() if t in s) for t in tokens}
+        # Support of fewer than MIN_PAGES rows (copies included) makes no class.
+        classes = {}
+        for t, v in vectors.items():
+            if sum(len(pages[p]) for p, _ in v) >= 3:
+                classes.setdefault(v, set()).add(t)
+        held = {p: set().union(*(c for v, c in classes.items() if any(q == p for q, _ in v))) if classes else set() for p in seqs}
+        differs = {p: len(prose[p]) >= 2 * len(prose[p] & held[p]) for p in seqs}
+        valid = {}
+        for v, members in classes.items():
+            orders = set()
+            for p, _ in v:
+                order = [t for t in seqs[p] if t in members]
+                first = order[: len(members)]
+                orders.add(tuple(first) if len(set(first)) == len(members) and order == first * (len(order) // len(members)) else None)
+            if len(v) < 3 or len(orders) > 1 or None in orders:
+                continue
+            common, differing = 2 * len(v) >= len(pages), sum(differs[p] for p, _ in v) >= 3
+            if common or differing:
+                valid[v] = (members, common and differing)
+        gaps = {}
+        for p in seqs:
+            mine = [(v, m) for v, (m, _) in valid.items() if any(q == p for q, _ in v)]
+            members = [{"class": v, "token": t, "places": [i for i, x in enumerate(seqs[p]) if x == t], "support": len(v)} for v, m in mine for t in m]
+            for name, around, gap in html_main.nesting([{**m, "class": hash(m["class"])} for m in members]):
+                gaps.setdefault((name, around), set()).add(gap)
+        stray = {name for (name, _), g in gaps.items() if len(g) > 1 or min(g) < 0}
+        for v, (members, strong) in valid.items():
+            for p, _ in v:
+                if hash(v) not in stray:
+                    for k in pages[p]:
+                        out[k] |= {t for t in members if strong or t not in article[p]}
+    return out
+
+
+def test_extraction_against_brute_force(spark):
+    """Whole query by plain Python over three hosts: with and without declared articles, copies, nulls, other layouts."""
+    import random
+
+    r = random.Random(3)
+    line = lambda: " ".join(r.choice("red green blue stone water light cloud".split()) for _ in range(r.randint(4, 12)))
+    shared = [line() for _ in range(3)]
+    rows = []
+    for k in range(24):
+        own = "".join(f"<p>{line()}</p>" for _ in range(r.randint(2, 5))) + (f"<p>{shared[k % 3]}</p>" if k % 4 == 0 else "")
+        menu = "".join(f"<li><a href=/{x}>{x}</a></li>" for x in r.sample(["home", "news", "about", "more"], 3))
+        rows.append((k, "http://plain.example.com/p", f"<body><div><h2>The Site</h2></div><ul>{menu}</ul><div><h1>T{k}</h1>{own}<p>Read us every day of the week</p></div><div><p>All rights belong to us</p></div></body>"))
+        rows.append((100 + k, "http://news.example.com/p", f"<body><nav>{menu}</nav><article><h1>T{k}</h1>{own}<p>Read us every day of the week</p></article><p>The foot</p></body>"))
+    rows += [(200 + k, "http://copies.example.com/", f"<body><nav>{k}</nav><article><p>Always the same text.</p></article></body>") for k in range(4)]
+    rows += [(300, "http://plain.example.com/x", None), (301, None, "<p>alone</p>"), rows[0], rows[0], rows[1], (302, "http://plain.example.com/e", "<h1>Error</h1>")]
+    templates = template_brute(rows)
+    want = sortable((x[0], x[1], *(lambda t: (t[0], len(t[0]), t[1]))(html_main.main_text(x[2] or "", frozenset(templates[k])))) for k, x in enumerate(rows))
+    got = html_main.extract_main(spark.createDataFrame(rows, PAGES)).collect()
+    assert sortable((x["page_id"], x["url"], x["text"], x["n_chars"], x["n_template"]) for x in got) == want
+    by = {x["page_id"]: x["text"] for x in got}
+    # The template takes text from pages with and without a declared article; what some articles share, and copies, stay.
+    assert not any("Read us" in t or "The Site" in t or "rights" in t for k, t in by.items() if k is not None and k < 200)
+    assert all(by[k].startswith(f"T{k % 100}\n") for k in (*range(24), *range(100, 124)))
+    assert by[100].endswith(shared[0]) and by[203] == "Always the same text."
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "h", 2, "t")], f"{PAGES}, host string, page int, template string")
     assert html_main.extract_main(df).collect()[0]["text"] == "a"
