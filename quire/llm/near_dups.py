@@ -13,13 +13,22 @@
    jumping, each round written to the shared folder.
 
 Every pair of sets that shares a bucket is compared exactly; so are further
-pairs in the same pair of blocks.  No bucket or candidate list is capped.
+pairs in the same pair of blocks.  No bucket or candidate list is capped.  Copies
+are one set throughout, named by a number of its own, so that no hash decides
+which texts are the same but the 128 bits of the shingle set.  Hubs, roots and
+sets that hold a large share of the rows are joined by broadcast
+(``join_counted``).  A group of pairs of blocks has at most two blocks' sets;
+how many pairs a very large group of near copies has follows from what
+is asked: the links of each with all others.
 
 Defined results: a text of one to four words has one shingle, all of it; texts
 without words (and null texts) are equal to each other only.  A document's links
 count every other row with Jaccard >= the threshold, copies included; its class
 id is the least doc_id of its connected component (null doc_ids count as
--2**63).  Repeated rows count as copies and each gets a row.
+-2**63).  Repeated rows count as copies and each gets a row; Jaccard just at the
+threshold (a tie) links; very long texts are taken whole; an empty table gives an
+empty result; further columns, whatever their names, are ignored (``one_of_each``
+returns them).
 """
 
 from __future__ import annotations
@@ -33,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bytes_of, hashed_words, mixed, packed, staged, unstage, whole_text
+from .common import bounded_batches, bytes_of, hashed_words, join_counted, mixed, packed, staged, unstage, whole_text
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -206,33 +215,38 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET
     signed = staged(base.mapInArrow(_signatures(bands, rows), schema), "signed")
     # One row for each distinct set, named by the least row that has it.
     same = signed.groupBy("s1", "s2").agg(F.count("*").alias("w"), F.min(F.struct("_id", "_th", "bands", "n")).alias("first"), F.min("_id").alias("low"))
-    reps = same.select("s1", "s2", "w", "low", F.xxhash64("s1", "s2").alias("set"), F.col("first._id").alias("_id"), F.col("first._th").alias("_th"), F.col("first.bands").alias("bands"), F.col("first.n").alias("n"))
+    # Sets are named by a number of their own, given once as they are written: no two have the same.
+    reps = same.select("s1", "s2", "w", "low", F.monotonically_increasing_id().alias("set"), F.col("first._id").alias("_id"), F.col("first._th").alias("_th"), F.col("first.bands").alias("bands"), F.col("first.n").alias("n"))
     reps = staged(reps, "sets")
     keys = reps.where("n > 0").select("set", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("set").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    met = staged(keys.join(hubs, "key"), "met")
-    hub = met.groupBy("set").agg(F.min("hub").alias("hub"))
-    up = hub.join(hub.toDF("hub", "top"), "hub").select("set", F.least("hub", "top").alias("hub"))
-    homes = up.join(reps.select("set", "_id", "_th", "w", "n"), "set")
-    sizes = homes.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    homes = homes.join(sizes, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks"))))
+    hubs = staged(keys.groupBy("key").agg(F.min("set").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
+    met = staged(join_counted(keys, hubs, ["key"], "m", drop=("m",)), "met")
+    hub = staged(met.groupBy("set").agg(F.min("hub").alias("hub")), "hub")
+    tops = staged(hub.groupBy("hub").agg(F.count("*").alias("m")).join(hub.toDF("hub", "top"), "hub"), "tops")
+    up = join_counted(hub, tops, ["hub"], "m", drop=("m",)).select("set", F.least("hub", "top").alias("hub"))
+    homes = staged(up.join(reps.select("set", "_id", "_th", "w", "n"), "set"), "homes")
+    sizes = staged(homes.groupBy("hub").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), "sizes")
+    homes = join_counted(homes, sizes, ["hub"], "m", drop=("m",)).withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks"))))
     homes = staged(homes.select("set", "_id", "_th", "w", "block"), "homes")
     meets = met.join(homes.select("set", "block"), "set").groupBy("key").agg(F.collect_set("block").alias("b"))
     meets = meets.where(F.size("b") > 1).select(F.sort_array("b").alias("b")).distinct()
     pairs = meets.select("b", F.posexplode("b").alias("i", "left")).select("left", F.explode(F.expr("slice(b, i + 2, size(b))")).alias("right")).distinct()
-    pairs = staged(pairs.withColumn("pair", F.xxhash64("left", "right")), "pairs")
+    pairs = staged(pairs, "pairs")
     full = base.join(homes.hint("merge"), ["_id", "_th"]).select("set", "w", "block", "text")
     full = staged(full.mapInArrow(_sets, "set bigint, w bigint, block bigint, shingles array<bigint>"), "shingles")
-    alone = homes.groupBy("block").count().where("count > 1").select(F.col("block"), F.xxhash64("block", "block").alias("pair"), F.lit(2).alias("side"))
-    deal = alone.union(pairs.select(F.col("left").alias("block"), "pair", F.lit(0).alias("side"))).union(pairs.select(F.col("right").alias("block"), "pair", F.lit(1).alias("side")))
-    found = deal.join(full, "block").select("pair", "side", "set", "w", "shingles")
-    found = staged(found.groupBy("pair").applyInPandas(_links(threshold), "set bigint, root bigint, links bigint"), "found")
+    block = F.col("block")
+    alone = homes.groupBy("block").count().where("count > 1").select(block, block.alias("left"), block.alias("right"), F.lit(2).alias("side"))
+    deal = alone.union(pairs.select(F.col("left").alias("block"), "left", "right", F.lit(0).alias("side"))).union(pairs.select(F.col("right").alias("block"), "left", "right", F.lit(1).alias("side")))
+    found = deal.join(full, "block").select("left", "right", "side", "set", "w", "shingles")
+    found = staged(found.groupBy("left", "right").applyInPandas(_links(threshold), "set bigint, root bigint, links bigint"), "found")
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     roots = least_members(found.select("set", "root"))
     known = reps.select("s1", "s2", "set", "w", "low").join(links, "set", "left").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = known.groupBy("root").agg(F.min("low").alias("class_id"))
-    known = known.join(least, "root").select("s1", "s2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    return signed.select("_id", "_th", "s1", "s2").distinct().join(known, ["s1", "s2"]).select("_id", "_th", "class_id", "n_links")
+    known = staged(known, "known")
+    least = staged(known.groupBy("root").agg(F.count("*").alias("m"), F.min("low").alias("class_id")), "least")
+    known = staged(join_counted(known, least, ["root"], "m", drop=("m",)).select("s1", "s2", "w", "class_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")), "classes")
+    each = signed.select("_id", "_th", "s1", "s2").distinct()
+    return join_counted(each, known, ["s1", "s2"], "w", drop=("w",)).select("_id", "_th", "class_id", "n_links")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
