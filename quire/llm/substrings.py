@@ -20,9 +20,13 @@ text that a third of all documents share sends at most one row from each chunk.
 Of a text that occurs more than once as a whole, only the first enters step 3.
 Texts travel compressed.
 
+A text that many rows copy is joined by broadcast (``join_counted``).
+
 Defined results: null and empty texts have no words; texts shorter than a window
 keep all; repeated rows count as copies and each gets a row; a null doc_id is
-treated like any other; further columns are ignored.
+treated like any other; of windows that are equal (ties) all go; very long texts
+are taken whole; an empty table gives an empty result; further columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bytes_of, hashed_words, mixed, staged, whole_text
+from .common import bounded_batches, bytes_of, hashed_words, join_counted, mixed, staged, whole_text
 
 WINDOW = 35
 EDGE = 8
@@ -243,8 +247,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated = met.where((F.col("n") > 1) & (F.col("kind") == SINGLE)).select("rid", "edge").union(edges.where(F.col("kind") == SETTLED).select("rid", "edge"))
     paths = repeated.groupBy("rid").agg(F.collect_set("edge").alias("repeated"))
     # Copies of whole texts, told by two hashes of the text; the first is the row with the least rid.
-    same = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("rid").alias("first")).where("copies > 1")
-    copied = rows.select("rid", "t1", "t2").join(same, ["t1", "t2"]).groupBy("rid").agg(F.max("copies").alias("copies"), F.max(F.col("first") == F.col("rid")).alias("first"))
+    same = staged(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("rid").alias("first")).where("copies > 1"), "copies")
+    copied = join_counted(rows.select("rid", "t1", "t2"), same, ["t1", "t2"], "copies").groupBy("rid").agg(F.max("copies").alias("copies"), F.max(F.col("first") == F.col("rid")).alias("first"))
     known = rows.select("rid", "doc_id", F.arrow_udf(_pack, "binary")("text").alias("packed")).join(paths, "rid", "left").join(copied, "rid", "left")
     known = known.select("doc_id", "packed", "repeated", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("first", F.lit(True)).alias("first"))
     spans = staged(known.mapInArrow(_verify, SPANS), "spans")
