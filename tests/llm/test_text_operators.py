@@ -134,11 +134,86 @@ def test_media_report(docs, rows, empty, clashing):
     for r in rows:
         raw = (r[1] or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        want.append((r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(payload) + 44))
-    got = media.media_report(docs).collect()
-    assert sortable(tuple(r)[:6] for r in got) == sortable(want)
-    assert all(r["feature"].startswith("audio/wav;") and r["feature"].endswith("embedded=0") for r in got)
-    assert media.media_report(clashing).count() == len(rows) and media.media_report(empty).count() == 0
+        blob = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt \x10\0\0\0\1\0\1\0" + (8000).to_bytes(4, "little") * 2 + b"\1\0\x08\0data" + len(payload).to_bytes(4, "little") + payload
+        feature = f"audio/wav;rate=8000;bits=8;frames={len(payload)};crc={zlib.crc32(payload):08x};embedded=0"
+        want.append((r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature))
+    assert sortable(map(tuple, media.media_report(docs).collect())) == sortable(want)
+    assert sortable(map(tuple, media.media_report(clashing).collect())) == sortable(want)
+    assert media.media_report(empty).count() == 0
+    kept = {(x["doc_id"], media.wav_samples(x["media"])[: x["n_bytes"]].decode()) for x in media.stored(docs).collect()}
+    assert kept == {(r[0], r[1] or "") for r in rows}
+
+
+def test_media_inside_stored_texts(spark):
+    """A text that is a PDF from end to end, and one that holds one, are carved from the stored column."""
+    inner = pdf().decode()
+    rows = spark.createDataFrame([(1, inner), (2, f"see {inner} there"), (3, "none")], "doc_id bigint, text string")
+    got = {x["doc_id"]: (x["media_type"], [tuple(e) for e in x["embedded"]]) for x in media.sniff_column(media.stored(rows), "media").collect()}
+    assert got == {1: ("audio/wav", [(44, len(inner), "application/pdf")]), 2: ("audio/wav", [(48, len(inner), "application/pdf")]), 3: ("audio/wav", [])}
+
+
+def pdf(updates: int = 1) -> bytes:
+    out = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    for _ in range(updates):
+        out += b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF\n" % len(out)
+    return out[:-1]
+
+
+def ogg_page(body: bytes, number: int) -> bytes:
+    head = b"OggS\0\2" + bytes(8) + b"abcd" + number.to_bytes(4, "little")
+    tail = bytes([len(body)]) + body
+    page, crc = head + bytes(4) + b"\1" + tail, 0
+    for byte in page:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+    return head + crc.to_bytes(4, "little") + b"\1" + tail
+
+
+def flac() -> bytes:
+    def crc(data, poly, width):
+        r = 0
+        for byte in data:
+            r ^= byte << width - 8
+            for _ in range(8):
+                r = (r << 1 ^ (poly if r >> width - 1 else 0)) & (1 << width) - 1
+        return r.to_bytes(width // 8, "big")
+
+    info = (192).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | 384).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x80\0\0\x22" + info
+    for k in range(2):  # two frames of one constant sample each
+        head = bytes([0xFF, 0xF8, 0x14, 0x02, k])
+        head += crc(head, 0x07, 8)
+        frame = head + b"\0\x41\x42"
+        out += frame + crc(frame, 0x8005, 16)
+    return out
+
+
+def test_lengths_are_confirmed(spark):
+    import gzip
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(z := io.BytesIO(), "w") as f:
+        f.writestr("a", "text")
+    ogg = ogg_page(b"one", 0) + ogg_page(b"two", 1)
+    magic = media.automaton()
+    for blob, kind in ((pdf(1), "application/pdf"), (pdf(3), "application/pdf"), (flac(), "audio/flac"), (ogg, "audio/ogg"), (gzip.compress(b"x" * 200_000), "application/gzip"), (z.getvalue(), "application/zip"), (png(), "image/png")):
+        assert media.sniff(blob, None, magic) == (kind, []), kind
+        assert media.sniff(b"some text " + blob + b" and more " * 30, "text/plain", magic) == ("text/plain", [(10, len(blob), kind)]), kind
+    broken = bytearray(ogg)
+    broken[-1] ^= 1
+    assert media.sniff(b"x" + bytes(broken), "text/plain", magic)[1] == [(1, len(ogg) // 2, "audio/ogg")]
+    assert media.sniff(pdf()[:-9] + b"9999\n%%EOF", None, magic)[0] == "application/octet-stream"
+
+
+@pytest.mark.parametrize("piece", [b"%PDF-1.4 ", b"PK\3\4", b"\xff\xd8\xff\xda\0\2", b"\x1f\x8b\x08\0", b"GIF89a", b"RIFF", b"BM", b"startxref\n1\n%%EOF ", b"PK\5\6" + bytes(18), ogg_page(b"x", 0), b"fLaC"])
+def test_sniffing_takes_time_in_proportion(piece):
+    import time
+
+    begun = time.perf_counter()
+    media.sniff(b"-" + piece * ((1 << 20) // len(piece)), "text/plain", media.automaton())
+    assert time.perf_counter() - begun < 10
 
 
 def png() -> bytes:
