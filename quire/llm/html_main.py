@@ -55,12 +55,13 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_counted, staged
+from .common import bounded_batches, join_counted, mixed, staged
 
 MIN_PAGES = 3
 LINK_SHARE = 0.5
@@ -93,11 +94,12 @@ PHRASES = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot menu dir".split())
 
-_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
-#: What follows a tag's name, up to its end: a quote counts only behind an equals sign, and only if it is closed.
-_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+")
+#: A tag, whose quotes count only behind an equals sign and only if they are closed (an empty last group: no end is left
+#: outside quotes), or the beginning of a comment or declaration.
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>|())|(!--)|[!?/])")
+_PLAIN_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)(?:([^>]*+)>|())|(!--)|[!?/])")
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_SPACES = re.compile(r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -161,39 +163,34 @@ def marks_aside(name: str) -> bool:
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest) in order: kind is text (in rest), open or close; time is in proportion to the page.
 
-    Comments, declarations and the content of elements without markup are left out.
+    Comments, declarations, tags that neither end a block nor hide text, and the content of
+    elements without markup are left out.  Where a tag's quotes leave it no end, quotes do not count from there on.
     """
-    at, last, n = 0, page.rfind(">"), len(page)
-    while at < n:
-        start = page.find("<", at)
-        if start < 0:
-            break
-        m = _NAME.match(page, start + 1)
-        if m is None:
-            following = page[start + 1 : start + 2]
-            if following not in ("!", "?", "/") or not following:
-                yield "text", "", page[at : start + 1]
-                at = start + 1
-                continue
-            if start > at:
-                yield "text", "", page[at:start]
-            if page.startswith("<!--", start):
-                short = next((k for k in (">", "->") if page.startswith(k, start + 4)), None)
-                end = start + 4 + len(short) if short else page.find("-->", start + 4)
-                at = end + (0 if short else 3) if end >= 0 else n
-            else:
-                end = page.find(">", start)
-                at = end + 1 if end >= 0 else n
-            continue
+    at, n, search = 0, len(page), _TAG.search
+    while (m := search(page, at)) is not None:
+        start = m.start()
         if start > at:
             yield "text", "", page[at:start]
-        if m.end() > last:
-            return  # the end cuts the tag off
-        end = _REST.match(page, m.end()).end()
-        if end >= n:
-            end = page.find(">", m.end())  # a quote is never closed before another tag: take none
-        name, rest = m[2].lower(), page[m.end() : end]
-        at = end + 1
+        at = m.end()
+        if m[2] is None:
+            if m[5]:
+                short = next((k for k in (">", "->") if page.startswith(k, at)), None)
+                end = at + len(short) - 3 if short else page.find("-->", at)
+            else:
+                end = page.find(">", start) - 2 if page.find(">", start) >= 0 else -1
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        rest = m[3]
+        if rest is None:
+            search = _PLAIN_TAG.search
+            if (end := page.find(">", at)) < 0:
+                return  # the end cuts the tag off
+            rest, at = page[at:end], end + 1
+        name = m[2].lower()
+        if name not in _KNOWN:
+            continue
         if m[1]:
             yield "close", name, ""
             continue
@@ -205,6 +202,19 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", page[at:]
 
 
+_KNOWN = BLOCKS | SILENT | {"a", "br"}
+_PATHS: dict[tuple[int, str], int] = {}
+
+
+def _path(above: int, shown: str) -> int:
+    """The hash of a path; frequent ones are kept for the process."""
+    if (found := _PATHS.get((above, shown))) is None:
+        if len(_PATHS) > 100_000:
+            _PATHS.clear()
+        found = _PATHS[above, shown] = _hash(above, shown)
+    return found
+
+
 def blocks_of(page: str) -> tuple[list[Block], list[int]]:
     """The page's text blocks in order, and its tag tokens."""
     stack = [Frame("", 0, False, 0, None, False, 0)]
@@ -212,7 +222,6 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
     scopes: list[Counter[str]] = [Counter()]
     out: list[Block] = []
     tags: list[int] = []
-    paths: dict[tuple[int, str], int] = {}
     text: list[str] = []
     linked = size = number = 0
     in_link = False
@@ -245,7 +254,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
     for kind, name, rest in pieces(page):
         if kind == "text":
             if not muted:
-                add(_html.unescape(rest))
+                add(_html.unescape(rest) if "&" in rest else rest)
             continue
         if name in SILENT and name != "head":
             if name in RAW or rest.endswith("/"):
@@ -300,9 +309,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             pop()
         top = stack[-1]
         names, own, role = _attributes(rest) if "=" in rest else ((), "", "")
-        shown = f"{name}.{' '.join(names)}"
-        if (path := paths.get((top.path, shown))) is None:
-            path = paths[top.path, shown] = _hash(top.path, shown)
+        path = _path(top.path, f"{name}.{' '.join(names)}" if names else name)
         root, aside, marked = top.root, top.aside, top.marked
         declares = "article" if name == "article" else "main" if name == "main" or role == "main" else ""
         if declares and not aside:
@@ -420,17 +427,44 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in TOKENS.split(", ")])
 
 
-def _sequences(members: list[dict]) -> dict[int, list[int] | None]:
-    """Each class's tokens in order; None if they do not follow each other in one order over and over."""
-    items: dict[int, list[tuple[int, int]]] = {}
-    for m in members:
-        items.setdefault(m["class"], []).extend((place, m["token"]) for place in m["places"])
-    out = {}
-    for name, places in items.items():
-        tokens = [t for _, t in sorted(places)]
-        width = len(set(tokens))
-        out[name] = tokens[:width] if len(set(tokens[:width])) == width and tokens == tokens[:width] * (len(tokens) // width) else None
-    return out
+def _flat(members: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """Of lists of members with places: each place, the member it is of, the row that is of, and named columns of the members."""
+    rows = np.repeat(np.arange(len(members)), members.value_lengths().to_numpy())
+    inner = members.flatten()
+    columns = [inner.field(name) for name in ("places", *names)]
+    places = columns[0]
+    member = np.repeat(np.arange(len(inner)), places.value_lengths().to_numpy())
+    return (places.flatten().to_numpy().astype(np.int64), member, rows, *(c.to_numpy(zero_copy_only=False) for c in columns[1:]))
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where neighbours differ in a key, and 0."""
+    fresh = np.zeros(len(keys[0]), bool)
+    fresh[:1] = True
+    for key in keys:
+        fresh[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(fresh)
+
+
+def sequences(members: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, class, tokens of it, hash of their order, whether they follow each other in one order over and over) for each class of each row."""
+    place, member, row, name, token = _flat(members, "class", "token")
+    order = np.lexsort((place, name[member], row[member]))
+    member = member[order]
+    row, name, token = row[member], name[member], token[member]
+    starts = _runs(row, name)
+    sizes = np.diff(np.append(starts, len(row)))
+    # A token is one member of its class, so the members of a run are its different tokens.
+    by_member = np.sort(np.repeat(np.arange(len(starts)), sizes) * (len(members.flatten()) + 1) + member)
+    width = np.bincount(by_member[_runs(by_member)] // (len(members.flatten()) + 1), minlength=len(starts)) if len(starts) else np.zeros(0, int)
+    group = np.repeat(np.arange(len(starts)), sizes)
+    within = np.arange(len(row)) - starts[group] if len(row) else np.zeros(0, int)
+    same = token == token[starts[group] + within % width[group]] if len(row) else np.zeros(0, bool)
+    good = np.bitwise_and.reduceat(same, starts) & (sizes % width == 0) if len(starts) else np.zeros(0, bool)
+    first = within < width[group] if len(row) else np.zeros(0, bool)
+    parts = np.where(first, mixed(token.view(np.uint64) ^ mixed(within.astype(np.uint64) + np.uint64(1))), np.uint64(0)) if len(row) else np.zeros(0, np.uint64)
+    hashes = np.add.reduceat(parts, starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
+    return row[starts], name[starts], width, hashes, good
 
 
 ORDERS = "host bigint, class bigint, `order` bigint, differs int"
@@ -439,27 +473,25 @@ ORDERS = "host bigint, class bigint, `order` bigint, differs int"
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The order of each class in each page, and whether the page has as much prose of its own as shared."""
     for batch in batches:
-        out: list[tuple] = []
-        for host, prose, members in zip(*(c.to_pylist() for c in batch.columns)):
-            differs = int(prose >= 2 * len({m["token"] for m in members if m["is_prose"]}))
-            for name, tokens in _sequences(members).items():
-                out.append((host, name, None if tokens is None else _hash(0, ",".join(map(str, tokens))), differs))
-        columns = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["host", "class", "order", "differs"])
+        row, name, _, order, good = sequences(batch.column(2))
+        _, _, owner, prose = _flat(batch.column(2), "is_prose")
+        shared = np.bincount(owner, prose.astype(float), batch.num_rows)
+        differs = (batch.column(1).to_numpy() >= 2 * shared).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(name), pa.array(order, mask=~good), pa.array(differs[row])], ["host", "class", "order", "differs"])
 
 
-def nesting(members: list[dict]) -> list[tuple[int, int, int]]:
-    """(class, class around it or 0, gap in that) of the classes of a page; gap -1 of one that crosses a class in more pages."""
-    width = {name: len(tokens) for name, tokens in _sequences(members).items() if tokens}
-    rank = {m["class"]: (m["support"], width[m["class"]], m["class"]) for m in members if m["class"] in width}
-    items = sorted((place, m["class"]) for m in members if m["class"] in width for place in m["places"])
+def nesting(items: list[int], width: dict[int, int], rank: dict[int, tuple]) -> list[tuple[int, int, int]]:
+    """(class, class around it or 0, gap in that) of the classes of a page; gap -1 of one that crosses a class in more pages.
+
+    ``items`` are the classes of the page's template tokens in order, ``width`` the tokens of each class.
+    """
     dropped: set[int] = set()
     while True:
         stack: list[list[int]] = []  # class, tokens met
         open_: set[int] = set()
         found: set[tuple[int, int, int]] = set()
         crossed = False
-        for _, name in items:
+        for name in items:
             if name in dropped:
                 continue
             if name in open_:
@@ -478,6 +510,8 @@ def nesting(members: list[dict]) -> list[tuple[int, int, int]]:
                 stack[-1][1] += 1
             else:
                 found.add((name, *(stack[-1] if stack else (0, 0))))
+                if width[name] == 1:
+                    continue
                 stack.append([name, 1])
                 open_.add(name)
             if stack[-1][1] == width[name]:
@@ -491,7 +525,18 @@ NESTS = "host bigint, class bigint, around bigint, gap int"
 
 def _nests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [(host, *x) for host, members in zip(*(c.to_pylist() for c in batch.columns)) for x in nesting(members)]
+        members = batch.column(1)
+        row, name, width, _, _ = sequences(members)
+        place, member, owner, of, support = _flat(members, "class", "support")
+        order = np.lexsort((place, owner[member]))
+        of, support, owner = of[member[order]], support[member[order]], owner[member[order]]
+        ends, bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)), np.searchsorted(row, np.arange(batch.num_rows + 1))
+        out: list[tuple] = []
+        for k, host in enumerate(batch.column(0).to_pylist()):
+            widths = dict(zip(name[bounds[k] : bounds[k + 1]].tolist(), width[bounds[k] : bounds[k + 1]].tolist()))
+            items = of[ends[k] : ends[k + 1]].tolist()
+            rank = {c: (n, widths[c], c) for c, n in zip(items, support[ends[k] : ends[k + 1]].tolist())}
+            out += ((host, *x) for x in nesting(items, widths, rank))
         columns = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["host", "class", "around", "gap"])
 
