@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.shipping import arrow_udf
+
 _STEP = re.compile(r"/(\d+)(?::(\d+))?(?:\[((?:[^\^\[\](),;]|\^.)*)(?:;s=([ab]))?\])?")
 _ESCAPED = re.compile(r"[\^\[\](),;~@!]")
 
@@ -130,7 +132,7 @@ def normalized_cfi(cfi: Column) -> Column:
     def run(values: pa.Array) -> pa.Array:
         return pa.array([str(c) if (c := try_cfi(v)) else None for v in values.to_pylist()], pa.string())
 
-    return F.arrow_udf(run, "string")(cfi)
+    return arrow_udf(run, "string")(cfi)
 
 
 def cfi_sort_key(cfi: Column) -> Column:
@@ -139,7 +141,7 @@ def cfi_sort_key(cfi: Column) -> Column:
         kind = pa.list_(pa.struct([("type", pa.int32()), ("value", pa.int32())]))
         return pa.array([[{"type": a, "value": b} for a, b in c.key[0]] if (c := try_cfi(v)) else None for v in values.to_pylist()], kind)
 
-    return F.arrow_udf(run, "array<struct<type: int, value: int>>")(cfi)
+    return arrow_udf(run, "array<struct<type: int, value: int>>")(cfi)
 
 
 QUOTE_SELECTOR = "type string, exact string, prefix string, suffix string"
@@ -177,7 +179,7 @@ def selector_support(annotation: Column) -> Column:
             out.append({"supported": [t for t in types if t in SELECTORS], "unsupported": [t for t in types if t not in SELECTORS]})
         return pa.array(out, pa.struct([("supported", pa.list_(pa.string())), ("unsupported", pa.list_(pa.string()))]))
 
-    return F.arrow_udf(run, "struct<supported: array<string>, unsupported: array<string>>")(annotation)
+    return arrow_udf(run, "struct<supported: array<string>, unsupported: array<string>>")(annotation)
 
 
 def u16_from_code_points(text: Column, at: Column) -> Column:
@@ -196,7 +198,7 @@ def code_points_from_u16(text: Column, at: Column) -> Column:
             out.append(len(raw[: 2 * k].decode("utf-16-le")) if good and not pair else None)
         return pa.array(out, pa.int32())
 
-    return F.arrow_udf(run, "int")(text, at)
+    return arrow_udf(run, "int")(text, at)
 
 
 #: Extension -> media type (fixed values).

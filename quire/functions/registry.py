@@ -12,6 +12,7 @@ from quire.operators import index, search
 from quire.sources import archive, books
 
 from . import locators, text
+from quire.shipping import arrow_udf
 
 
 def _plain_text(html: pa.Array) -> pa.Array:
@@ -90,7 +91,7 @@ TABLES = {"zip_entries": (ZipEntries, "path string, size bigint, content binary"
 def register(spark: SparkSession) -> list[str]:
     """Register all scalar and table functions; returns their names."""
     for name, (function, returns) in SCALARS.items():
-        spark.udf.register(name, F.arrow_udf(function, returns))
+        spark.udf.register(name, arrow_udf(function, returns))
     for name, (function, returns) in TABLES.items():
         spark.udtf.register(name, F.udtf(function, returnType=returns))
     return [*SCALARS, *TABLES]

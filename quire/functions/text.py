@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.shipping import arrow_udf
+
 #: White space that separates counted words (fixed values).
 COUNT_SPACES = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
 #: White space that plain text collapses (fixed values).
@@ -113,7 +115,7 @@ def arrow_scalar(function, returns: str):
     def run(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else function(v) for v in values.to_pylist()], pa.string())
 
-    return lambda column: F.arrow_udf(run, returns)(column)
+    return lambda column: arrow_udf(run, returns)(column)
 
 
 def plain_text(html: Column) -> Column:
@@ -210,4 +212,4 @@ def _headings(texts: pa.Array) -> pa.Array:
 
 def chapter_headings(text: Column) -> Column:
     """array<struct<title, offset>>: likely chapter headings by offset; a match begins at its line's blanks, or blank lines before."""
-    return F.arrow_udf(_headings, "array<struct<title: string, offset: int>>")(text)
+    return arrow_udf(_headings, "array<struct<title: string, offset: int>>")(text)

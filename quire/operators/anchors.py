@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import text_revision
 
 from .annotations import approximate_places, context_score, exact_quotes
+from quire.shipping import arrow_udf
 
 OUTCOME = ["anchor_id", "outcome", "pass", "section", "start", "end"]
 CONTEXT = 32
@@ -83,7 +84,7 @@ def resolve(anchors: DataFrame, sections: DataFrame, fuzzy: bool = True, section
     flat = live.withColumn("whole", F.col("text")).withColumn("text", collapsed(F.col("text")))
     loose = exact_quotes(rest.withColumn("quote", collapsed(F.col("quote"))), flat).withColumn("end", F.col("start") + F.length("quote"))
     loose = loose.withColumn("score", context_score(F.col("text"), F.col("start"), F.col("end"), collapsed(F.col("before")), collapsed(F.col("after"))))
-    back = F.arrow_udf(_projected, "struct<start: int, end: int>")("whole", "start", "end")
+    back = arrow_udf(_projected, "struct<start: int, end: int>")("whole", "start", "end")
     loose = loose.withColumn("p", back).withColumn("start", F.col("p.start")).withColumn("end", F.col("p.end"))
     parts.append(_best(loose, "normalized"))
     rest = still(rest)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.shipping import arrow_udf, ship
+
 
 def merge_highlights(local: DataFrame, incoming: DataFrame, key: list[str], stamp: str) -> DataFrame:
     """The newest record of each key; of equal stamps the one that came first, local before incoming."""
@@ -43,6 +45,7 @@ def merge_bookmarks(records: DataFrame, owner: str) -> DataFrame:
         best = [max(g, key=lambda k: (rows.created_at[k], -k)) for g in groups]
         return rows.loc[best].sort_values(["section_index", "char_offset", "appearance"], kind="stable")
 
+    ship(records.sparkSession)
     return records.groupBy(owner).applyInPandas(run, records.schema)
 
 
@@ -83,7 +86,7 @@ def _all_starts(texts: pa.Array, quotes: pa.Array) -> pa.Array:
 
 def occurrences(text: Column, quote: Column) -> Column:
     """array<int>: every start, overlapping ones too."""
-    return F.arrow_udf(_all_starts, "array<int>")(text, quote)
+    return arrow_udf(_all_starts, "array<int>")(text, quote)
 
 
 def context_score(text: Column, start: Column, end: Column, before: Column, after: Column) -> Column:
@@ -216,9 +219,10 @@ def approximate_places(quotes: DataFrame, texts: DataFrame, key: str, text_key:
                         columns = [pa.array([a] * len(places), batch.schema.field(0).type), pa.array(places.astype(np.int32)), pa.array(hashes[places].view(np.int64))]
                         yield pa.RecordBatch.from_arrays(columns, [text_key, "place", "g"])
 
+    ship(texts.sparkSession)
     met = texts.where(F.col(text).isNotNull()).select(text_key, text).mapInArrow(look, f"`{text_key}` {name[1]}, place int, g bigint").join(sampled, "g")
     diagonals = met.groupBy(key, text_key).agg(F.max("votes").alias("votes"), F.sort_array(F.collect_list(F.col("place") - F.col("at"))).alias("places")).where(F.size("places") >= F.col("votes"))
-    seeds = diagonals.select(key, text_key, F.explode(F.arrow_udf(_windows(most), "array<struct<low: int, high: int>>")("places", "votes")).alias("w"))
+    seeds = diagonals.select(key, text_key, F.explode(arrow_udf(_windows(most), "array<struct<low: int, high: int>>")("places", "votes")).alias("w"))
     start = F.greatest(F.col("w.low") - most, F.lit(0))
     near = seeds.join(own, key).join(texts.select(text_key, text), text_key)
     near = near.select(key, text_key, quote, start.alias("from"), F.substr(text, start + 1, F.col("w.high") + F.length(quote) + most - start).alias("window"))

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.shipping import arrow_udf
+
 MODES = ("contains", "whole_words", "regex", "proximity")
 NEAR_CHARS = 60
 CONTEXT_CHARS = 48
@@ -106,7 +108,7 @@ def scan(sections: DataFrame, query: str, order: list[str], mode: str = "contain
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.array([[{"start": a, "end": b} for a, b in compiled.spans(t)] if t else [] for t in column.to_pylist()], kind)
 
-    hits = sections.where(compiled.screen(F.col(text))).select(*order, text, F.explode(F.arrow_udf(find, SPANS)(text)).alias("span"))
+    hits = sections.where(compiled.screen(F.col(text))).select(*order, text, F.explode(arrow_udf(find, SPANS)(text)).alias("span"))
     hits = hits.select(*order, F.col("span.start").alias("start"), F.col("span.end").alias("end"), snippet(F.col(text), F.col("span.start"), F.col("span.end"), context).alias("snippet"))
     if max_matches is None:
         return hits.withColumn("is_truncated", F.lit(False))

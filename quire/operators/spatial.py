@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.shipping import ship
+
 GRID = 512
 
 
@@ -94,6 +96,7 @@ def _row_bands(words: pd.DataFrame) -> np.ndarray:
 def with_row_bands(words: DataFrame, keys: list[str]) -> DataFrame:
     """words (keys, x, y, w, h, …) with ``band``, computed page by page."""
     schema = ", ".join(f"`{n}` {t}" for n, t in words.dtypes) + ", band int"
+    ship(words.sparkSession)
     return words.groupBy(*keys).applyInPandas(lambda p: p.assign(band=_row_bands(p)), schema)
 
 
@@ -128,6 +131,7 @@ def reading_order(blocks: DataFrame, keys: list[str], page_width: str = "page_wi
         place[xy_cut(page, float(page[page_width].iloc[0]))] = np.arange(len(page))
         return page.assign(place=place)
 
+    ship(blocks.sparkSession)
     return blocks.groupBy(*keys).applyInPandas(run, schema)
 
 

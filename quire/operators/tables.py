@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .spatial import _row_bands
 
+from quire.shipping import ship
+
 LEAST_LINES = 3
 LEAST_BOUNDED = 0.9
 MAX_COLUMNS = 8
@@ -70,4 +72,5 @@ def column_tables(words: DataFrame, keys: list[str]) -> DataFrame:
         page = page[page.col >= 0].sort_values(["row", "x"])
         return page.groupby([*keys, "row", "col"], as_index=False).agg(text=("text", " ".join))[[*keys, "row", "col", "text"]]
 
+    ship(words.sparkSession)
     return words.groupBy(*keys).applyInPandas(run, schema)

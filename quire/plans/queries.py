@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quire.functions import metadata, text
 from quire.operators import anchors, annotations, catalogue, index, package_rules, reading, search, spatial
+from quire.sinks.shared import staged
 from quire.sources import books, detect
 
-from .library import entries_of_parts, manifest_of_orders, sections_of_conversations, sections_of_documents, table
+from .library import entries_of_parts, manifest_of_orders, sections_of_conversations, sections_of_documents, stored_index, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,17 +50,15 @@ TERMS = ("the", "thea", "onan")
     FROM tf JOIN df USING (term) JOIN stats USING (doc_id) CROSS JOIN corpus GROUP BY doc_id"""
 )
 def bm25_scores(spark, d):
-    """BM25+ of three terms over all documents: one pass counts lengths and term frequencies together."""
+    """BM25+ of three terms over all documents: one pass over the texts counts lengths and term frequencies and writes them."""
     terms = index.native_terms(F.coalesce("text", F.lit("")))
     docs = table(spark, d, "documents").select("doc_id", terms.alias("terms"))
     docs = docs.select("doc_id", F.size("terms").alias("n"), F.filter("terms", lambda t: t.isin(*TERMS)).alias("found"))
-    docs = docs.select("doc_id", "n", *[F.size(F.filter("found", _equals(w))).alias(w) for w in TERMS])
+    docs = staged(docs.select("doc_id", "n", *[F.size(F.filter("found", _equals(w))).alias(w) for w in TERMS]), "counts")
     corpus = docs.agg(F.count("*").alias("nn"), F.avg("n").alias("average"), *[F.count_if(F.col(w) > 0).alias(f"df_{w}") for w in TERMS])
     rows = docs.crossJoin(F.broadcast(corpus))  # one row
     score = sum((F.when(F.col(w) > 0, index.bm25_plus(F.col(w), F.col(f"df_{w}"), F.col("nn"), F.col("n"), F.col("average"))).otherwise(0.0) for w in TERMS), F.lit(0.0))
-    # A document that holds a term scores above 0. Asking for the terms themselves would be pushed below the
-    # projections and tokenize every text once more.
-    return rows.select("doc_id", score.alias("score")).where("score > 0").select("doc_id", r6(F.col("score"), "score"))
+    return rows.where(" OR ".join(f"{w} > 0" for w in TERMS)).select("doc_id", r6(score, "score"))
 
 
 @query(ORACLE_SQL["bm25_scores"].replace("GROUP BY doc_id", "GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"))
@@ -147,11 +146,6 @@ def search_first_snippets(spark, d):
     return hits.groupBy("doc_id").agg(F.min(F.struct("start", "end", "snippet")).alias("h")).select("doc_id", "h.*")
 
 
-@query()
-def search_proximity(spark, d):
-    return _hits(spark, d, "this license 40", "proximity").select("doc_id", "start", "end")
-
-
 @query(
     """WITH h AS (SELECT doc_id FROM documents, unnest(range(len(regexp_extract_all(text, '(?i)licensed')))) ORDER BY doc_id LIMIT 10)
     SELECT doc_id, count(*) AS n, (SELECT sum(len(regexp_extract_all(text, '(?i)licensed'))) > 10 FROM documents) AS is_truncated FROM h GROUP BY doc_id"""
@@ -226,10 +220,6 @@ def term_statistics(spark, d):
     return by_section.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
-def _index(spark, d):
-    return index.build(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
-
-
 FOLD = "regexp_extract_all(replace(replace(replace(lower(strip_accents(text)), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[\\p{L}\\p{N}_]+')"
 FOLDED = f"WITH t AS (SELECT doc_id, unnest({FOLD}) AS term FROM documents), stats AS (SELECT d.doc_id, coalesce(c.n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM t GROUP BY 1) c USING (doc_id)), corpus AS (SELECT count(*) AS nn, avg(n) AS avgdl FROM stats)"
 SCORE = "ln(1 + (nn - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * n / avgdl)))"
@@ -243,8 +233,8 @@ def _ranked_sql(terms: str, tokens: int = 1) -> str:
 
 
 def _ranked(spark, d, what, mode):
-    postings, stats = _index(spark, d)
-    return index.ranked(postings, stats, ["doc_id"], what, mode, index.Limits(max_expansions=5_000)).select("doc_id", r6(F.col("score"), "score"))
+    postings, stats, terms = stored_index(spark, d)
+    return index.ranked(postings, stats, ["doc_id"], what, mode, index.Limits(max_expansions=5_000), terms).select("doc_id", r6(F.col("score"), "score"))
 
 
 @query(_ranked_sql("SELECT 'license' AS term, 1.0 AS weight, 0 AS token_no UNION ALL SELECT 'version', 1.0, 1", 2))
@@ -265,18 +255,32 @@ def index_fuzzy(spark, d):
 
 @query(f"WITH t AS (SELECT doc_id, unnest({FOLD}) AS term FROM documents) SELECT (SELECT count(*) FROM documents) AS eligible, (SELECT count(*) FROM documents) AS indexed, count(*) AS tokens, count(*) FILTER (WHERE length(term) <= 64) AS occurrences, count(DISTINCT term) FILTER (WHERE length(term) <= 64) AS terms FROM t")
 def index_coverage(spark, d):
-    postings, stats = _index(spark, d)
-    docs = table(spark, d, "documents")
-    return index.coverage(docs, postings, stats).select("eligible", "indexed", "tokens", "occurrences", "terms")
+    _, stats, terms = stored_index(spark, d)
+    return index.coverage(table(spark, d, "documents"), terms, stats, failed=F.lit(False)).select("eligible", "indexed", "tokens", "occurrences", "terms")
 
 
-@query()
+def _offsets_sql(pattern: str) -> str:
+    """doc_id, start and end of every match of a pattern, from the lengths of what stands between matches."""
+    return f"""p AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS s FROM documents WHERE regexp_matches(text, '{pattern}')),
+    o AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, m, s FROM p),
+    hit AS (SELECT doc_id, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) AS INTEGER) AS start, length(m[k]) AS n FROM o)"""
+
+
+@query(
+    _ranked_sql("SELECT 'apache' AS term, 1.0 AS weight, 0 AS token_no UNION ALL SELECT DISTINCT term, CASE WHEN term = 'license' THEN 1.0 ELSE 0.375 / 1.3 END, 1 FROM t WHERE starts_with(term, 'license')", 2).replace("\n    SELECT doc_id, round(", ", scored AS (SELECT doc_id, round(", 1)
+    + f"""), {_offsets_sql("(?i)\bapache\b")}
+    SELECT doc_id, start, CAST(start + n AS INTEGER) AS "end", score FROM hit JOIN scored USING (doc_id) ORDER BY score DESC, doc_id, start LIMIT 200"""
+)
 def index_hits(spark, d):
-    postings, stats = _index(spark, d)
-    return index.search(postings, stats, ["doc_id"], "apache license", "prefix").select("doc_id", "start", "end", r6(F.col("score"), "score"))
+    """The two hundred best hits of a prefix query; the limit is the feature."""
+    postings, stats, terms = stored_index(spark, d)
+    return index.search(postings, stats, ["doc_id"], "apache license", "prefix", terms=terms).select("doc_id", "start", "end", r6(F.col("score"), "score"))
 
 
-TITLES = [("The Lord of the Rings", "en"), ("O Cortiço", "pt"), ("O Cortiço", "en"), ("“An Hour”", None), ("L'Étranger", "fr-FR"), ("De la Terre", "fra"), ("Die Zeit", "deu"), ("A", "en"), ("Der Weg", "xx")]
+@query(f"""WITH {_offsets_sql("(?is)\\b(?:apache[^a-z0-9_](?:.{0,18}[^a-z0-9_])?version|version[^a-z0-9_](?:.{0,18}[^a-z0-9_])?apache)\\b")} SELECT doc_id, start, CAST(start + n AS INTEGER) AS "end" FROM hit""")
+def search_proximity(spark, d):
+    """Two words in any order, at most twenty characters apart."""
+    return _hits(spark, d, "apache version 20", "proximity").select("doc_id", "start", "end")
 
 
 @query("SELECT p_partkey, trim(regexp_replace('The ' || p_name, '(?i)^(A\\s+|The\\s+|An\\s+)(.*)$', '\\2, \\1')) AS sort_key FROM part")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.sources.archive import Refused, find
 from quire.sources.books import _local, xml_root
+from quire.shipping import arrow_udf
 
 DC = "http://purl.org/dc/elements/1.1/"
 OPF = "http://www.idpf.org/2007/opf"
@@ -54,4 +55,4 @@ def with_title(content: Column, title: Column) -> Column:
                 out.append(None)
         return pa.array(out, pa.binary())
 
-    return F.arrow_udf(run, "binary")(content, title)
+    return arrow_udf(run, "binary")(content, title)

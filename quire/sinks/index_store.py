@@ -6,9 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import text_revision
-from quire.operators.index import IDENTITY
+from quire.operators.index import IDENTITY, Limits, posted, unfolded, vocabulary
+from quire.sinks.shared import drop
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+
+
+def write(path: str, sections: DataFrame, keys: list[str], text: str = "text", limits: Limits = Limits()) -> None:
+    """Build an index into ``path``: postings and vocabulary sorted by term, and stats.
+
+    Texts are read once, into a table of the folder that is dropped at the end.  Terms
+    are dealt by range together with the section, so a frequent term takes several files.
+    """
+    spark = sections.sparkSession
+    own = f"{path}/_sections"
+    sections.select(*keys, posted(F.col(text)).alias("p")).write.option("compression", "zstd").parquet(own)
+    read = spark.read.parquet(own)
+    read.select(*keys, F.col("p.tokens").cast("bigint").alias("tokens")).write.parquet(f"{path}/stats")
+    postings = unfolded(read, keys, limits)
+    postings.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/postings")
+    vocabulary(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    drop(spark, [own])
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, stats, terms) of a written index."""
+    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("postings", "stats", "terms"))
 
 
 class Incompatible(Exception):

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .archive import Refused, entries, find, resolve
 
+from quire.shipping import ship
+
 Book = dict
 
 
@@ -796,6 +798,7 @@ def read_books(files: DataFrame, path: str = "path", content: str = "content") -
                 rows.append({"book_id": book_id, "format": kind, "error": error} | {k: (book or {}).get(k) for k in fields[3:]})
             yield pd.DataFrame(rows, columns=fields)
 
+    ship(files.sparkSession)
     return files.select(F.col(path).alias("book_id"), content, kind.alias("kind")).mapInPandas(run, BOOK)
 
 

@@ -13,6 +13,7 @@ from quire.operators import catalogue
 
 from .archive import Refused
 from .books import sqlite_rows
+from quire.shipping import ship
 
 #: Table -> the columns that are read of it (fixed values of the schema).
 TABLES = {
@@ -36,6 +37,7 @@ def read_tables(files: DataFrame, path: str = "path", content: str = "content")
                     rows += [(library, name, r["_rowid"], json.dumps({c: r.get(c) for c in columns}, default=str)) for r in found]
             yield pd.DataFrame(rows, columns=["library", "part", "rowid", "row"])
 
+    ship(files.sparkSession)
     flat = files.select(F.col(path).alias("library"), content).mapInPandas(run, "library string, part string, rowid bigint, row string")
     out = {}
     for name, columns in TABLES.items():

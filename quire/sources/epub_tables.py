@@ -15,6 +15,7 @@ from quire.operators import package_rules
 
 from .archive import Refused, entries, find, resolve
 from .books import _local, decode_text, parse_nav, parse_ncx, parse_opf, xml_root
+from quire.shipping import ship
 
 TABLES = {
     "books": "version string, mimetype string, rootfile string",
@@ -88,6 +89,7 @@ def read_packages(files: DataFrame, path: str = "path", content: str = "content"
                     rows.append((book_id, "books", 0, None, None, None, None))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in ROW.split(", ")])
 
+    ship(files.sparkSession)
     flat = files.select(F.col(path).alias("book_id"), content).mapInPandas(run, ROW)
     out = {}
     for name, schema in TABLES.items():

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.shipping import arrow_udf
+
 
 def _hex(content: Column, start: int, length: int) -> Column:
     return F.hex(F.substring(content, start, length))
@@ -52,7 +54,7 @@ def image_size(content: Column) -> Column:
     bits = _little(content, 22, 4)
     webp = F.when(chunk == b"VP8X".hex().upper(), pair(_little(content, 25, 3) + 1, _little(content, 28, 3) + 1)).when(chunk == b"VP8 ".hex().upper(), pair(_little(content, 27, 2) % 16384, _little(content, 29, 2) % 16384))
     webp = webp.when(chunk == b"VP8L".hex().upper(), pair(bits % 16384 + 1, F.floor(bits / 16384) % 16384 + 1))
-    jpeg = F.arrow_udf(run, "struct<width: bigint, height: bigint>")(F.when(kind == "jpeg", content))
+    jpeg = arrow_udf(run, "struct<width: bigint, height: bigint>")(F.when(kind == "jpeg", content))
     return F.when(kind == "png", pair(_big(content, 17, 4), _big(content, 21, 4))).when(kind == "gif", pair(_little(content, 7, 2), _little(content, 9, 2))).when(kind == "bmp", pair(_little(content, 19, 4), F.least(_little(content, 23, 4), F.lit(1 << 32) - _little(content, 23, 4)))).when(kind == "webp", webp).otherwise(jpeg)
 
 

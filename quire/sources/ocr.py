@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .archive import Refused
 from .books import _local, decode_text, xml_root
 
+from quire.shipping import ship
+
 ZONE = "page int, zone_seq int, kind string, id string, text string, x double, y double, w double, h double, confidence double"
 FIELDS = [f.strip().split(" ")[0] for f in ZONE.split(",")]
 
@@ -217,6 +219,7 @@ def read_zones(files: DataFrame, path: str = "path", content: str = "content") -
                     rows.append([book_id, str(e)] + [None] * len(FIELDS))
             yield pd.DataFrame(rows, columns=["book_id", "error", *FIELDS])
 
+    ship(files.sparkSession)
     return files.select(F.col(path).alias("book_id"), content).mapInPandas(run, f"book_id string, error string, {ZONE}")
 
 
@@ -255,4 +258,5 @@ def bind(words: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
             out[name] = pd.array([None if f is None else f[k] for f in found], dtype="boolean" if name == "ambiguous" else "Int32")
         return out
 
+    ship(words.sparkSession)
     return words.join(texts, keys).groupBy(*keys).applyInPandas(run, schema)

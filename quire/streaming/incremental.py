@@ -22,9 +22,11 @@ def index_stream(sections: DataFrame, keys: list[str], out: str, checkpoint: str
     return sections.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_index(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, stats); a section that came again is taken from its last batch."""
-    return tuple(spark.read.parquet(f"{out}/{part}").drop("batch") for part in ("postings", "stats"))
+def read_index(spark: SparkSession, out: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(postings, stats); a section that came again is taken from its last batch alone."""
+    postings, stats = (spark.read.parquet(f"{out}/{part}") for part in ("postings", "stats"))
+    last = stats.groupBy(*keys).agg(F.max_by("tokens", "batch").alias("tokens"), F.max("batch").alias("batch"))
+    return postings.join(last.drop("tokens"), [*keys, "batch"], "left_semi").drop("batch"), last.drop("batch")
 
 
 def latest(events: DataFrame, key: list[str], stamp: str) -> DataFrame:

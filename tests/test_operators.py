@@ -68,6 +68,38 @@ def test_index_queries(spark):
     assert [(r["s"], r["start"]) for r in index.search(p, st, ["s"], "repeat").collect()][:2] == [(0, 0), (0, 7)]
 
 
+def test_written_index(spark, tmp_path):
+    """Texts are read once; the vocabulary and the postings by term agree with what building in place gives."""
+    texts = ["White rabbit, white\u00adrabbit ﬁ Ærø", None, "", "straße STRASSE \U0001F600x", "x" * 70 + " short", "\u0301 \u0301a\u0301 Ｆｕｌｌ ｶﾅ"] * 3
+    df, p, st = build(spark, *texts)
+    index_store.write(f"{tmp_path}/w", df, ["s"])
+    postings, stats, terms = index_store.read(spark, f"{tmp_path}/w")
+    flat = lambda f: sorted((r["s"], r["term"], tuple(r["starts"]), tuple(r["ends"])) for r in f.collect())
+    want = {}
+    for s, t in enumerate(texts):
+        for term, a, b in index.tokenize_text(t or ""):
+            if len(term) <= 64:
+                want.setdefault((s, term), []).append((a, b))
+    assert flat(postings) == flat(p) == sorted((s, term, tuple(a for a, _ in x), tuple(b for _, b in x)) for (s, term), x in want.items())
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, st.collect())) == [(s, len(index.tokenize_text(t or ""))) for s, t in enumerate(texts)]
+    assert {r["term"]: (r["df"], r["tf"]) for r in terms.collect()}["white"] == (3, 3)
+    assert index.ranked(postings, stats, ["s"], "rabbit", terms=terms).count() == 3
+    got = index.coverage(df, terms, stats.where("s <> 0")).first()
+    assert (got["eligible"], got["failed"], got["pending"], got["indexed"], got["is_complete"]) == (18, 3, 1, 14, False)
+
+
+def test_tokens_in_arrays_equal_the_scalar_tokenizer(spark):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(2)
+    pool = [chr(c) for c in range(0x20, 0x250)] + [chr(c) for c in range(0x370, 0x530)] + list("\u0301\u0308\u00ad\u200b\u2060 漢字ｱＡ１１ ﬀ😀𐍈\0\n_") + [" "] * 200
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 60))) for _ in range(300)] + ["", None]
+    got = index._tokens(pa.array(texts, pa.string())).to_pylist()
+    assert [[(t["term"], t["start"], t["end"]) for t in x] for x in got] == [index.tokenize_text(t or "") for t in texts]
+
+
 def test_index_store(spark, tmp_path):
     df, p, st = build(spark, "one two", "three")
     who = {"tokenizer": "t", "normalization": "n", "profile": "p", "publication": None}
@@ -301,13 +333,14 @@ def test_package_rules(spark):
 
 def test_incremental_index(spark, tmp_path):
     schema = "s int, text string"
-    for k, texts in enumerate((["white rabbit", "white"], ["rabbit run"])):
-        spark.createDataFrame([(10 * k + n, t) for n, t in enumerate(texts)], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    # Section 1 comes again: only its last text counts.
+    for rows in ([(0, "white rabbit"), (1, "white rabbit")], [(10, "rabbit run"), (1, "white")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
         q = incremental.index_stream(spark.readStream.schema(schema).json(f"{tmp_path}/in"), ["s"], f"{tmp_path}/out", f"{tmp_path}/cp")
         assert q.awaitTermination(120)
-    p, st = incremental.read_index(spark, f"{tmp_path}/out")
+    p, st = incremental.read_index(spark, f"{tmp_path}/out", ["s"])
     assert [r["s"] for r in index.ranked(p, st, ["s"], "white rabbit").collect()] == [0]
-    assert st.count() == 3
+    assert {r["s"]: r["tokens"] for r in st.collect()} == {0: 2, 1: 1, 10: 2} and p.where("s = 1").count() == 1
 
 
 def plain(v):
