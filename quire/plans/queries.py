@@ -268,7 +268,7 @@ def _offsets_sql(pattern: str) -> str:
 
 @query(
     _ranked_sql("SELECT 'apache' AS term, 1.0 AS weight, 0 AS token_no UNION ALL SELECT DISTINCT term, CASE WHEN term = 'license' THEN 1.0 ELSE 0.375 / 1.3 END, 1 FROM t WHERE starts_with(term, 'license')", 2).replace("\n    SELECT doc_id, round(", ", scored AS (SELECT doc_id, round(", 1)
-    + f"""), {_offsets_sql("(?i)\bapache\b")}
+    + f"""), {_offsets_sql("(?i)\\bapache\\b")}
     SELECT doc_id, start, CAST(start + n AS INTEGER) AS "end", score FROM hit JOIN scored USING (doc_id) ORDER BY score DESC, doc_id, start LIMIT 200"""
 )
 def index_hits(spark, d):
