@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.shipping import ship
+from quire.shipping import arrow_udf
 
 GRID = 512
 
@@ -81,13 +82,25 @@ def upper_median(values: Column) -> Column:
 BAND, GUTTER, MAX_COLUMNS = 0.5, 0.03, 6
 
 
-def _row_bands(words: pd.DataFrame) -> np.ndarray:
+def by_page(rows: DataFrame, keys: list[str], name: str, function: Callable[[list[dict]], list[int]]) -> DataFrame:
+    """rows with a column ``name``: what the function says of each row of a page (rows of equal keys), given all of the page.
+
+    Pages are gathered as arrays, so that one Arrow batch holds many of them.
+    """
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([function(page) for page in pages.to_pylist()], pa.list_(pa.int32()))
+
+    pages = rows.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in keys])).alias("_rows"))
+    both = pages.select(*keys, F.explode(F.arrays_zip("_rows", arrow_udf(run, "array<int>")("_rows").alias("_said"))).alias("_r"))
+    return both.select(*keys, "_r._rows.*", F.col("_r._said").alias(name)).select(*rows.columns, name)
+
+
+def row_bands(words: list[dict]) -> list[int]:
     """Row number of each word: by baseline, within half a height of the row's first word."""
-    base = (words.y + words.h).to_numpy()
-    order = np.argsort(base, kind="stable")
-    band, row, first = np.zeros(len(words), int), -1, None
-    for k in order:
-        if first is None or base[k] - base[first] > BAND * max(words.h.iloc[first], words.h.iloc[k]):
+    band, row, first = [0] * len(words), -1, None
+    base = [w["y"] + w["h"] for w in words]
+    for k in sorted(range(len(words)), key=base.__getitem__):
+        if first is None or base[k] - base[first] > BAND * max(words[first]["h"], words[k]["h"]):
             row, first = row + 1, k
         band[k] = row
     return band
@@ -95,44 +108,39 @@ def _row_bands(words: pd.DataFrame) -> np.ndarray:
 
 def with_row_bands(words: DataFrame, keys: list[str]) -> DataFrame:
     """words (keys, x, y, w, h, …) with ``band``, computed page by page."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in words.dtypes) + ", band int"
-    ship(words.sparkSession)
-    return words.groupBy(*keys).applyInPandas(lambda p: p.assign(band=_row_bands(p)), schema)
+    return by_page(words, keys, "band", row_bands)
 
 
-def xy_cut(blocks: pd.DataFrame, width: float) -> list[int]:
+def xy_cut(blocks: list[dict], width: float) -> list[int]:
     """Positions of blocks in reading order: wide horizontal gaps first, then gutters, recursively."""
     def cut(ids: list[int]) -> list[int]:
         if len(ids) < 2:
             return ids
-        height = sorted(blocks.h.iloc[k] for k in ids)[len(ids) // 2]
+        height = sorted(blocks[k]["h"] for k in ids)[len(ids) // 2]
         for axis, size, least in (("y", "h", 2 * height), ("x", "w", GUTTER * width)):
             parts, reach = [], None
-            for k in sorted(ids, key=lambda k: blocks[axis].iloc[k]):
-                low, high = blocks[axis].iloc[k], blocks[axis].iloc[k] + blocks[size].iloc[k]
+            for k in sorted(ids, key=lambda k: blocks[k][axis]):
+                low, high = blocks[k][axis], blocks[k][axis] + blocks[k][size]
                 if reach is None or low - reach > least:
                     parts.append([])
                 parts[-1].append(k)
                 reach = high if reach is None else max(reach, high)
             if 1 < len(parts) and (axis == "y" or len(parts) <= MAX_COLUMNS):
                 return [k for p in parts for k in cut(p)]
-        return sorted(ids, key=lambda k: (blocks.y.iloc[k], blocks.x.iloc[k]))
+        return sorted(ids, key=lambda k: (blocks[k]["y"], blocks[k]["x"]))
 
     return cut(list(range(len(blocks))))
 
 
 def reading_order(blocks: DataFrame, keys: list[str], page_width: str = "page_width") -> DataFrame:
     """blocks with ``place``, their number in reading order on their page."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in blocks.dtypes) + ", place int"
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.reset_index(drop=True)
-        place = np.empty(len(page), int)
-        place[xy_cut(page, float(page[page_width].iloc[0]))] = np.arange(len(page))
-        return page.assign(place=place)
+    def run(page: list[dict]) -> list[int]:
+        place = [0] * len(page)
+        for n, k in enumerate(xy_cut(page, page[0][page_width])):
+            place[k] = n
+        return place
 
-    ship(blocks.sparkSession)
-    return blocks.groupBy(*keys).applyInPandas(run, schema)
+    return by_page(blocks, keys, "place", run)
 
 
 def edge_lines(lines: DataFrame, book: str, page: str, first_pages: int = 20) -> DataFrame:

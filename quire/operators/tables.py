@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import _row_bands
+from .spatial import row_bands
 
 from quire.shipping import ship
 
@@ -45,7 +45,7 @@ def grid_of(horizontal: list[tuple[float, float, float]], vertical: list[tuple[f
 
 def aligned_columns(words: pd.DataFrame, slack: float = 3.0) -> list[float] | None:
     """Left edges that words of most rows share; None if there are fewer than two or more than eight."""
-    band = _row_bands(words)
+    band = np.array(row_bands(words.to_dict("records")), int)
     rows = band.max() + 1 if len(band) else 0
     if rows < LEAST_LINES:
         return None
@@ -68,7 +68,7 @@ def column_tables(words: DataFrame, keys: list[str]) -> DataFrame:
         columns = aligned_columns(page)
         if columns is None:
             return pd.DataFrame(columns=[*keys, "row", "col", "text"])
-        page = page.assign(row=_row_bands(page), col=np.searchsorted(np.array(columns) - 3.0, page.x, "right") - 1)
+        page = page.assign(row=row_bands(page.to_dict("records")), col=np.searchsorted(np.array(columns) - 3.0, page.x, "right") - 1)
         page = page[page.col >= 0].sort_values(["row", "x"])
         return page.groupby([*keys, "row", "col"], as_index=False).agg(text=("text", " ".join))[[*keys, "row", "col", "text"]]
 

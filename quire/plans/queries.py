@@ -1,10 +1,8 @@
-"""The query catalogue."""
+"""Queries over texts, search, catalogues, annotations and formats."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import metadata, text
@@ -12,23 +10,12 @@ from quire.operators import anchors, annotations, catalogue, index, package_rule
 from quire.sinks.shared import staged
 from quire.sources import books, detect
 
+from .catalogue import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .library import entries_of_parts, manifest_of_orders, sections_of_conversations, sections_of_documents, stored_index, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 W_SQL = r"[^ \x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}-\x{10FFFF}]+"
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def r6(column, name: str):
     return F.round(column, 6).alias(name)
 
@@ -495,3 +482,6 @@ def navigation_tree(spark, d):
 def event_windows(spark, d):
     e = table(spark, d, "events")
     return e.groupBy("user_id", "event_type", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n")).select("user_id", "event_type", "n", F.unix_micros("w.start").alias("hour_us"))
+
+
+from . import function_queries  # noqa: E402, F401  they add to the catalogue
