@@ -484,4 +484,4 @@ def event_windows(spark, d):
     return e.groupBy("user_id", "event_type", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n")).select("user_id", "event_type", "n", F.unix_micros("w.start").alias("hour_us"))
 
 
-from . import function_queries  # noqa: E402, F401  they add to the catalogue
+from . import format_queries, function_queries  # noqa: E402, F401  they add to the catalogue

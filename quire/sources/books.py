@@ -574,7 +574,7 @@ def palm_records(content: bytes) -> tuple[str, str, list[bytes]]:
     """Name, type and records of a Palm database."""
     if len(content) < 78:
         raise Refused("too short")
-    name, kind, n = content[:32].split(b"\0")[0].decode("cp1252", "replace"), content[60:68].decode("latin-1"), struct.unpack(">H", content[76:78])[0]
+    name, kind, n = content[:32].split(b"\0")[0].decode("cp1252", "replace"), content[60:68].decode("latin-1").upper(), struct.unpack(">H", content[76:78])[0]
     offsets = [struct.unpack(">I", content[78 + 8 * k : 82 + 8 * k])[0] for k in range(n) if 82 + 8 * k <= len(content)]
     if not offsets or any(a > b for a, b in zip(offsets, offsets[1:])) or offsets[-1] > len(content):
         raise Refused("bad record table")

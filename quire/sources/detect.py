@@ -39,7 +39,7 @@ def looks_like_text(content: Column) -> Column:
 def detected_format(content: Column) -> Column:
     """The format's name; null for empty content, 'unknown' for what no rule takes."""
     head = head_text(content, WINDOW)
-    palm = F.decode(F.substring(content, 61, 8), "ISO-8859-1")
+    palm = F.upper(F.decode(F.substring(content, 61, 8), "ISO-8859-1"))
     out = F.when(content.isNull() | (F.octet_length(content) == 0), None)
     for magic, name in (((b"TPZ",), "unsupported"), ((b"\xeaDRMION",), "unsupported"), ((b"CONT",), "unsupported")):
         out = out.when(_starts(content, *magic), name)
