@@ -47,7 +47,7 @@ from .common import bounded_batches, bytes_of, hashed_words, join_counted, mixed
 SIZE = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.999999
-BLOCK_SETS = 512
+BLOCK_SETS = 256
 BLOCK_SHINGLES = 1 << 18
 NO_ID = -(1 << 63)
 

@@ -118,7 +118,7 @@ def family(n=90):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [256, 8])
 def test_near_duplicates(spark, docs, rows, empty, clashing, monkeypatch, block):
     from tests.llm.conftest import DOCS
 
@@ -126,7 +126,7 @@ def test_near_duplicates(spark, docs, rows, empty, clashing, monkeypatch, block)
     many = rows + [(r[0] + 5000, *r[1:]) for r in family()]
     got = near_dups.near_duplicates(spark.createDataFrame(many, DOCS)).collect()
     assert sortable(map(tuple, got)) == sortable(near_brute(many))
-    if block == 512:
+    if block == 256:
         assert sortable(map(tuple, near_dups.near_duplicates(clashing).collect())) == sortable(near_brute(rows))
         assert near_dups.near_duplicates(empty).count() == 0
         kept = near_dups.one_of_each(clashing)
