@@ -84,13 +84,14 @@ def remove_brackets(text: Column) -> Column:
     return F.when(~text.rlike(r"[()\[\]{}]"), text).otherwise(F.aggregate(F.split(text, ""), state, step, lambda a: a["out"]))
 
 
-def _turned(author: Column, bare: Column, tokens: Column) -> Column:
+def _turned(author: Column, bare: Column, tokens: Column, words: tuple[list[str], list[str], list[str]]) -> Column:
+    copy_words, prefixes, suffixes = words
     dotted = lambda words: [*words, *(f"{w}." for w in words)]
     lower = F.transform(tokens, lambda t: F.lower(t))
 
     def order(places: Column) -> Column:
-        first = F.array_min(F.filter(places, lambda k: ~F.lower(F.get(tokens, k)).isin(*dotted(NAME_PREFIXES))))
-        last = F.array_max(F.filter(places, lambda k: ~F.lower(F.get(tokens, k)).isin(*dotted(NAME_SUFFIXES))))
+        first = F.array_min(F.filter(places, lambda k: ~F.lower(F.get(tokens, k)).isin(*dotted(prefixes))))
+        last = F.array_max(F.filter(places, lambda k: ~F.lower(F.get(tokens, k)).isin(*dotted(suffixes))))
         return F.struct(first.alias("first"), last.alias("last"))
 
     def name(p: Column) -> Column:
@@ -99,19 +100,37 @@ def _turned(author: Column, bare: Column, tokens: Column) -> Column:
         joined = F.concat(F.when(given != "", F.concat(surname, F.lit(", "), given)).otherwise(surname), F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise(F.lit("")))
         return F.when(p["last"] >= p["first"], joined).otherwise(author)
 
-    stays = bare.contains(",") | (F.size(tokens) < 2) | F.arrays_overlap(lower, F.array(*map(F.lit, COPY_WORDS)))
+    stays = bare.contains(",") | (F.size(tokens) < 2) | F.arrays_overlap(lower, F.array(*map(F.lit, copy_words)))
     places = F.sequence(F.lit(0), F.size(tokens) - 1)
     return F.when(stays, author).otherwise(F.coalesce(let(order(places), name), author))
 
 
-def author_sort(author: Column) -> Column:
-    """``Last, First``; names with a comma, of one word or of a corporation stay."""
+def author_sort(author: Column, copy_words: list[str] = COPY_WORDS, prefixes: list[str] = NAME_PREFIXES, suffixes: list[str] = NAME_SUFFIXES) -> Column:
+    """``Last, First``; names with a comma, of one word or of a corporation stay. The three lists of words can be given."""
+    sets = (copy_words, prefixes, suffixes)
     words = lambda bare: F.filter(F.split(bare, r"\s+"), lambda t: t != "")
-    return let(F.coalesce(author, F.lit("")), lambda a: let(F.trim(remove_brackets(a)), lambda bare: let(words(bare), lambda tokens: _turned(a, bare, tokens))))
+    return let(F.coalesce(author, F.lit("")), lambda a: let(F.trim(remove_brackets(a)), lambda bare: let(words(bare), lambda tokens: _turned(a, bare, tokens, sets))))
 
 
 def authors_sort(authors: Column) -> Column:
-    return F.array_join(F.transform(authors, author_sort), " & ")
+    return F.array_join(F.transform(authors, lambda a: author_sort(a)), " & ")
+
+
+def effective_title_sort(title: Column, stored: Column, languages: Column) -> Column:
+    """The stored key, else one of the title by the first language; null without a title."""
+    return F.coalesce(F.nullif(stored, F.lit("")), F.when(F.nullif(title, F.lit("")).isNotNull(), title_sort(title, F.try_element_at(languages, F.lit(1)))))
+
+
+def effective_author_sort(authors: Column, stored: Column) -> Column:
+    """The stored key, else one of all authors; null without any."""
+    return F.coalesce(F.nullif(stored, F.lit("")), F.when(F.size(F.coalesce(authors, F.array())) > 0, authors_sort(authors)))
+
+
+def effective_layout(item_properties: Column, package_layout: Column) -> Column:
+    """How a spine item is laid out: by its own override, else as the package says, else reflowable."""
+    own = F.filter(F.coalesce(item_properties, F.array().cast("array<string>")), lambda p: p.isin("rendition:layout-reflowable", "rendition:layout-pre-paginated"))
+    known = F.when(package_layout.isin("reflowable", "pre-paginated"), package_layout)
+    return F.coalesce(F.regexp_replace(F.get(own, 0), "^rendition:layout-", ""), known, F.lit("reflowable"))
 
 
 def natural_key(name: Column) -> Column:

@@ -53,6 +53,23 @@ def text_revision(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.encode(text, "UTF-16LE"), 256))
 
 
+def _json_text(text: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[|\]$", "")
+
+
+def order_revision(order: Column) -> Column:
+    """Digest of a reading order, array<struct<path, is_html>>: the compact JSON of its pairs, so that order and repeats count."""
+    pair = lambda x: F.concat(F.lit("["), _json_text(x["path"]), F.lit(","), x["is_html"].cast("string"), F.lit("]"))
+    return text_revision(F.concat(F.lit("["), F.array_join(F.transform(order, pair), ","), F.lit("]")))
+
+
+def profile_revision(algorithm: Column, options: Column, plan: Column) -> Column:
+    """Digest of how a text was made: the algorithm, its options (map<string, string>, by key) and the revision of the plan."""
+    entry = lambda e: F.concat(_json_text(e["key"]), F.lit(":"), _json_text(e["value"]))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(options)), entry), ",")
+    return text_revision(F.concat(F.lit('{"algorithm":'), _json_text(algorithm), F.lit(',"options":{'), shown, F.lit('},"planRevision":'), _json_text(plan), F.lit("}")))
+
+
 def is_revision(value: Column) -> Column:
     return value.rlike("^sha256:[0-9a-f]{64}$")
 

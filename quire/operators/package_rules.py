@@ -2,7 +2,8 @@
 
 manifest(book_id, pos, item_id, href, media_type), spine(book_id, pos, idref),
 entries(book_id, pos, path), links(book_id, pos, kind, path, fragment) with
-anchors(book_id, path, fragment); books(book_id, version, mimetype, rootfile).
+anchors(book_id, path, fragment); books(book_id, version, mimetype, rootfile and,
+if the rules on them are wanted, rootfile_type and toc_id).
 Each finding is book_id, rule, severity, subject.
 """
 
@@ -19,9 +20,10 @@ SEVERITY = {
     "package.version-unsupported": "warning", "manifest.item.incomplete": "error", "manifest.id-duplicate": "error", "manifest.href-duplicate": "warning",
     "manifest.href-fragment": "warning", "manifest.resource-missing": "error", "manifest.remote-resource-undeclared": "warning", "spine.empty": "error",
     "spine.reference-invalid": "error", "spine.reference-duplicate": "warning", "navigation.nav-missing": "warning", "navigation.nav-duplicate": "warning",
-    "navigation.toc-missing": "warning", "navigation.link-unresolved": "error", "navigation.fragment-unresolved": "warning", "guide.reference-unresolved": "warning",
+    "navigation.toc-missing": "warning", "navigation.toc-reference-missing": "warning", "container.rootfile.media-type-unsupported": "error", "navigation.link-unresolved": "error", "navigation.fragment-unresolved": "warning", "guide.reference-unresolved": "warning",
 }
 EPUB_TYPE = "application/epub+zip"
+PACKAGE_TYPE = "application/oebps-package+xml"
 
 
 def finding(rows: DataFrame, rule: str, subject) -> DataFrame:
@@ -62,12 +64,14 @@ def container_rules(books: DataFrame, entries: DataFrame) -> list[DataFrame]:
         finding(books.join(container, "book_id", "left_anti"), "container.missing", F.lit("META-INF/container.xml")),
         finding(books.where("rootfile IS NULL"), "container.rootfile.missing", F.lit("")),
         finding(root.join(entries.select("book_id", "path").distinct(), ["book_id", "path"], "left_anti"), "container.rootfile.path-unresolved", F.col("path")),
+        *([finding(books.where(F.col("rootfile").isNotNull() & (F.coalesce("rootfile_type", F.lit("")) != PACKAGE_TYPE)), "container.rootfile.media-type-unsupported", F.col("rootfile_type"))] if "rootfile_type" in books.columns else []),
         finding(books.where(major.isNull() | (major < 2) | (major >= 4)), "package.version-unsupported", F.col("version")),
     ]
 
 
 def navigation_rules(books: DataFrame, links: DataFrame, entries: DataFrame, anchors: DataFrame) -> list[DataFrame]:
     paths = entries.select("book_id", "path").distinct()
+    major = F.regexp_extract(F.coalesce("version", F.lit("")), r"^\s*(\d+)", 1).try_cast("int")
     toc, guide = links.where("kind = 'toc'"), links.where("kind = 'guide'")
     found = toc.join(paths, ["book_id", "path"], "left_semi")
     return [
@@ -76,6 +80,7 @@ def navigation_rules(books: DataFrame, links: DataFrame, entries: DataFrame, anc
         finding(books.join(toc.select("book_id").distinct(), "book_id", "left_anti"), "navigation.toc-missing", F.lit("")),
         finding(toc.join(paths, ["book_id", "path"], "left_anti"), "navigation.link-unresolved", F.col("path")),
         finding(found.where("fragment IS NOT NULL").join(anchors.select("book_id", "path", "fragment").distinct(), ["book_id", "path", "fragment"], "left_anti"), "navigation.fragment-unresolved", F.concat_ws("#", "path", "fragment")),
+        *([finding(books.where((major < 3) & F.nullif("toc_id", F.lit("")).isNull()), "navigation.toc-reference-missing", F.lit(""))] if "toc_id" in books.columns else []),
         finding(guide.join(paths, ["book_id", "path"], "left_anti"), "guide.reference-unresolved", F.col("path")),
     ]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,3 +156,55 @@ def edge_lines(lines: DataFrame, book: str, page: str, first_pages: int = 20) ->
     marked = some.select(book, page, edge.alias("edge"), text.alias("text")).where("edge IS NOT NULL")
     pages = some.groupBy(book).agg(F.countDistinct(page).alias("pages"))
     return marked.groupBy(book, "edge", "text").agg(F.count("*").alias("n")).join(pages, book).where(F.col("n") * 2 >= F.col("pages")).drop("pages")
+
+
+SAME_INDENT, PITCH = 2.0, 1.6
+
+
+def contiguous_rows(rows: DataFrame, keys: list[str], top: str = "top") -> DataFrame:
+    """The leading rows of each table whose distance from the row above is at most 1.6 times the upper median distance."""
+    w = Window.partitionBy(*keys).orderBy(top)
+    pitch = rows.withColumn("_pitch", F.col(top) - F.lag(top).over(w))
+    middle = pitch.groupBy(*keys).agg(upper_median(F.collect_list("_pitch")).alias("_middle"))
+    broken = F.max(F.coalesce(F.col("_pitch") > PITCH * F.col("_middle"), F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return pitch.join(middle, keys).withColumn("_broken", broken).where(~F.col("_broken")).select(*rows.columns)
+
+
+def commonest(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """keys, value, low, high, n: the most frequent value (of equals the greatest) and the extent and size of what lies within two units of it."""
+    counted = values.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    best = counted.groupBy(*keys).agg(F.max(F.struct("_n", value)).alias("_b")).select(*keys, F.col(f"_b.{value}").alias("_best"))
+    near = counted.join(best, keys).where(F.abs(F.col(value) - F.col("_best")) <= SAME_INDENT)
+    return near.groupBy(*keys, F.col("_best").alias(value)).agg(F.min(near[value]).alias("low"), F.max(near[value]).alias("high"), F.sum("_n").alias("n"))
+
+
+def orientation_bins(angles: DataFrame, keys: list[str], angle: str = "angle", bins: int = 12) -> DataFrame:
+    """keys and the bin of half a turn that most angles fall in, with its neighbours counted half as much; the first of equals."""
+    turn = F.pmod(F.col(angle), F.lit(np.pi))
+    votes = angles.select(*keys, (F.floor(turn / np.pi * bins) % bins).cast("int").alias("_b")).groupBy(*keys, "_b").agg(F.count("*").alias("_v"))
+    share = F.explode(F.array(*[F.struct(F.pmod(F.col("_b") + k, F.lit(bins)).alias("bin"), (F.col("_v") * (2 if k == 0 else 1)).alias("v")) for k in (-1, 0, 1)]))
+    smooth = votes.select(*keys, share.alias("s")).groupBy(*keys, "s.bin").agg(F.sum("s.v").alias("votes"))
+    return smooth.groupBy(*keys).agg(F.min_by("bin", F.struct(-F.col("votes"), F.col("bin"))).cast("int").alias("bin"))
+
+
+def neighbour_angles(words: list[dict], k: int = 4) -> list[list[float]]:
+    """Angles from each word's centre to those of its k nearest; by blocks of words, so that memory stays small."""
+    x = np.array([w["x"] + w["w"] / 2 for w in words], float)
+    y = np.array([w["y"] + w["h"] / 2 for w in words], float)
+    out: list[list[float]] = []
+    for at in range(0, len(words), 256):
+        dx, dy = x[None, :] - x[at : at + 256, None], y[None, :] - y[at : at + 256, None]
+        far = dx * dx + dy * dy
+        far[np.arange(len(far)), at + np.arange(len(far))] = np.inf
+        near = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(words) - 1)]
+        out += np.arctan2(np.take_along_axis(dy, near, 1), np.take_along_axis(dx, near, 1)).tolist()
+    return out
+
+
+def with_neighbour_angles(words: DataFrame, keys: list[str], k: int = 4) -> DataFrame:
+    """keys and the angle to each of the k nearest neighbours of each word of a page (x, y, w, h)."""
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([[a for own in neighbour_angles(page, k) for a in own] for page in pages.to_pylist()], pa.list_(pa.float64()))
+
+    pages = words.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_w"))
+    return pages.select(*keys, F.explode(arrow_udf(run, "array<double>")("_w")).alias("angle"))

@@ -104,3 +104,10 @@ def signatures(spark, d):
     content = F.get(F.array(*heads, *texts), F.pmod(key, F.lit(len(heads) + len(texts))).cast("int"))
     palm = F.concat(F.unhex(F.lit("00" * 60)), F.encode(F.lit("BOOKMOBI"), "UTF-8"), F.unhex(F.lit("00" * 8 + "0001" + "00000058" + "00000000" + "0000")), F.unhex(F.lit("00" * 0x68)), F.unhex(F.when(key % 3 == 0, "00000008").otherwise("00000006")))
     return table(spark, d, "customer").select("c_custkey", detect.detected_format(content).alias("format"), (detect.refine_mobi(palm) == "azw3").alias("is_kf8"))
+
+
+@query(f"SELECT conv_id, {pick_sql('conv_id', KINDS)} AS format, CASE WHEN conv_id % 8 < 7 THEN 'Talk ' || conv_id END AS title, CASE WHEN conv_id % 8 NOT IN (4, 7) THEN 'Author ' || conv_id END AS author FROM conversations GROUP BY conv_id")
+def made_metadata(spark, d):
+    """The same files, of which only the metadata is read."""
+    read = books.read_metadata(_made(spark, d))
+    return read.select(F.regexp_extract("book_id", r"(\d+)", 1).cast("long").alias("conv_id"), "format", F.nullif("title", F.lit("")).alias("title"), F.try_element_at("authors", F.lit(1)).alias("author"))

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire.functions import cfi_documents as cfi
 from quire.functions import locators, metadata, text
 from quire.operators import anchors, catalogue, index, package_rules, reading, spatial
 from quire.sinks import codecs, index_store
 from quire.sinks.shared import new_path
+from quire.sources import mobi6, opds2
 
 from .catalogue import query
 from .library import stored_index, table
@@ -340,3 +342,126 @@ def anchor_passes(spark, d):
     key = F.col("section")
     after = before.select("section", F.when(key % 3 == 0, F.col("text")).when(key % 3 == 1, F.concat(lit("Before "), "text")).otherwise(F.concat(lit("Now "), F.regexp_replace(F.substr("text", lit(5)), " ", "\n ")).alias("t")).alias("text"))
     return anchors.resolve(anchors.capture(before, ranges), after, fuzzy=False)
+
+
+TALKS = """t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, length(coalesce(text, '')) AS n FROM conversations),
+    o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, sum(n) OVER (PARTITION BY conv_id) AS total FROM t)"""
+
+
+def _talk_pages(spark, d):
+    """A conversation as a section in XHTML, its turns as paragraphs with ids."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    paragraph = lambda r, k: F.concat(F.lit('<p id="t'), k, F.lit('">'), text.escape_html(r["text"]), F.lit("</p>"))
+    html = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><head><title>x</title></head><body>'), F.array_join(F.transform("t", paragraph), ""), F.lit("</body></html>"))
+    return rows.select("conv_id", html.alias("html"), F.posexplode("t").alias("k", "r")).select("conv_id", "html", "k", F.col("r.text").alias("text"))
+
+
+@query(
+    f"""WITH {TALKS} SELECT conv_id, CAST(k AS INTEGER) AS k, 'epubcfi(/6/' || (k + 1) * 2 || '!/4/' || (k + 1) * 2 || '[t' || k || ']/1:' || n // 2 || ')' AS cfi, CAST(pos + n // 2 AS INTEGER) AS start, CAST(pos AS INTEGER) AS anchor,
+    CASE WHEN n > 1 THEN 'epubcfi(/4/' || (k + 1) * 2 || '[t' || k || '],/1:0,/1:' || n // 2 || ')' END AS span, CASE WHEN n > 1 THEN CAST(pos + n // 2 AS INTEGER) END AS span_end FROM o WHERE n > 0"""
+)
+def cfi_documents(spark, d):
+    """Places and ranges in sections as identifiers, resolved back to offsets, and offsets of anchors."""
+    pages = _talk_pages(spark, d).where("text <> ''").withColumn("n", F.length("text"))
+    anchor = cfi.anchor_offset(F.col("html"), F.concat(F.lit("t"), "k"))
+    pages = pages.withColumn("anchor", anchor).withColumn("mid", F.col("anchor") + F.floor(F.col("n") / 2).cast("int"))
+    pages = pages.withColumn("cfi", cfi.cfi_for(F.col("html"), F.col("mid"), section=F.col("k"))).withColumn("span", F.when(F.col("n") > 1, cfi.cfi_for(F.col("html"), F.col("anchor"), F.col("mid"))))
+    pages = pages.withColumn("book_id", F.col("conv_id"))
+    found = cfi.resolve_cfis(pages.drop("html"), pages.select("book_id", F.col("k").alias("section_index"), "html"))
+    back = pages.select("conv_id", "k", cfi.cfi_place(F.col("html"), F.col("span"))["end"].alias("span_end"))
+    return found.join(back, ["conv_id", "k"]).select("conv_id", "k", "cfi", "start", "anchor", "span", "span_end")
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'stored' WHEN c_custkey % 3 = 1 THEN c_name || ', Der' END AS title_sort, CASE WHEN c_custkey % 2 = 0 THEN 'stored' ELSE 'Lee, Ann & ' || c_name END AS author_sort,
+    CASE c_custkey % 3 WHEN 0 THEN 'pre-paginated' WHEN 1 THEN 'reflowable' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'pre-paginated' ELSE 'reflowable' END END AS layout, 'Guild of ' || c_name AS guild FROM customer"""
+)
+def effective_keys(spark, d):
+    """Stored sort keys or computed ones, layouts of spine items, and author keys under given word lists."""
+    key, name, lit = F.col("c_custkey"), F.col("c_name"), F.lit
+    title = F.when(key % 3 < 2, F.concat(lit("Der "), name))
+    own = F.when(key % 3 == 0, F.array(lit("page-spread-left"), lit("rendition:layout-pre-paginated"))).when(key % 3 == 1, F.array(lit("rendition:layout-reflowable")))
+    return table(spark, d, "customer").select(
+        "c_custkey", metadata.effective_title_sort(title, F.when(key % 3 == 0, "stored").otherwise(""), F.array(lit("de"), lit("en"))).alias("title_sort"),
+        metadata.effective_author_sort(F.array(lit("Ann Lee"), name), F.when(key % 2 == 0, "stored")).alias("author_sort"),
+        metadata.effective_layout(own, F.when(key % 2 == 0, "pre-paginated").otherwise("other")).alias("layout"), metadata.author_sort(F.concat(lit("Guild of "), name), copy_words=["guild"]).alias("guild"),
+    )
+
+
+LE = "'sha256:' || sha256(unhex(regexp_replace(hex(encode({x})), '(..)', '\\100', 'g')))"
+
+
+@query(
+    "WITH s AS (SELECT l_orderkey, '[' || string_agg('[\"p' || l_partkey || '.xhtml\",' || CASE WHEN l_partkey % 2 = 0 THEN 'true' ELSE 'false' END || ']', ',' ORDER BY l_linenumber, l_partkey) || ']' AS x FROM lineitem GROUP BY 1) "
+    "SELECT l_orderkey, " + LE.format(x="x") + " AS reading_order, " + LE.format(x="'{\"algorithm\":\"plain\",\"options\":{\"a\":\"1\",\"b\":\"' || l_orderkey || '\"},\"planRevision\":\"r\"}'") + " AS profile FROM s"
+)
+def order_revisions(spark, d):
+    """Digests of reading orders and of text profiles."""
+    row = F.struct("l_linenumber", "l_partkey")
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    order = F.transform("r", lambda r: F.struct(F.concat(F.lit("p"), r["l_partkey"], F.lit(".xhtml")).alias("path"), (r["l_partkey"] % 2 == 0).alias("is_html")))
+    options = F.create_map(F.lit("b"), F.col("l_orderkey").cast("string"), F.lit("a"), F.lit("1"))
+    return orders.select("l_orderkey", text.order_revision(order).alias("reading_order"), text.profile_revision(F.lit("plain"), options, F.lit("r")).alias("profile"))
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT l_orderkey, l_partkey % 500 AS start FROM lineitem WHERE l_partkey % 500 > 0 UNION SELECT DISTINCT l_orderkey, 0 FROM lineitem)
+    SELECT l_orderkey, CAST(row_number() OVER w - 1 AS INTEGER) AS section_index, CAST(start AS INTEGER) AS start, CAST(coalesce(lead(start) OVER w, 500) AS INTEGER) AS "end" FROM m WINDOW w AS (PARTITION BY l_orderkey ORDER BY start)"""
+)
+def section_tiles(spark, d):
+    """Texts cut at their marks: each section ends where the next begins."""
+    marks = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 500).cast("int").alias("offset"))
+    return mobi6.tiles(marks, marks.select("l_orderkey").distinct().withColumn("length", F.lit(500)), "l_orderkey")
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber * l_linenumber AS DOUBLE) AS top FROM lineitem), p AS (SELECT *, top - lag(top) OVER (PARTITION BY l_orderkey ORDER BY top) AS pitch FROM r),
+    m AS (SELECT l_orderkey, list_sort(list(pitch) FILTER (WHERE pitch IS NOT NULL)) AS l FROM p GROUP BY 1), b AS (SELECT p.*, max(CASE WHEN pitch > 1.6 * l[len(l) // 2 + 1] THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY top ROWS UNBOUNDED PRECEDING) AS broken FROM p JOIN m USING (l_orderkey))
+    SELECT l_orderkey, top FROM b WHERE broken = 0"""
+)
+def table_rows(spark, d):
+    """Rows of a table as long as they keep its rhythm."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * F.col("l_linenumber")).cast("double").alias("top")).distinct()
+    return spatial.contiguous_rows(rows, ["l_orderkey"])
+
+
+@query(
+    """WITH c AS (SELECT l_suppkey, l_quantity AS value, count(*) AS n FROM lineitem GROUP BY 1, 2), b AS (SELECT l_suppkey, max(value) AS best FROM (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY n DESC) AS r FROM c) WHERE r = 1 GROUP BY 1)
+    SELECT l_suppkey, best AS value, min(value) AS low, max(value) AS high, CAST(sum(n) AS BIGINT) AS n FROM c JOIN b USING (l_suppkey) WHERE abs(value - best) <= 2 GROUP BY 1, 2"""
+)
+def common_indents(spark, d):
+    """The most frequent value and what clusters around it."""
+    return spatial.commonest(table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").alias("value")), ["l_suppkey"])
+
+
+@query(
+    """WITH v AS (SELECT l_suppkey, CAST(floor((l_quantity / 10.0 % pi()) / pi() * 12) % 12 AS INTEGER) AS b FROM lineitem), s AS (SELECT l_suppkey, (b + x.k + 12) % 12 AS bin, sum(CASE WHEN x.k = 0 THEN 2 ELSE 1 END) AS votes FROM v CROSS JOIN (VALUES (-1), (0), (1)) AS x(k) GROUP BY 1, 2)
+    SELECT l_suppkey, CAST(bin AS INTEGER) AS bin FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, bin) AS r FROM s) WHERE r = 1"""
+)
+def orientation_votes(spark, d):
+    """Twelve bins of angles, smoothed over their neighbours, and the fullest of them."""
+    angles = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_quantity").cast("double") / 10.0).alias("angle"))
+    return spatial.orientation_bins(angles, ["l_suppkey"])
+
+
+@query("SELECT DISTINCT l_orderkey, CAST(CASE WHEN n > 1 THEN 0 END AS INTEGER) AS bin FROM (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) WHERE n > 1")
+def page_orientations(spark, d):
+    """Words in a row: their nearest neighbours stand beside them, so the page is horizontal."""
+    words = _boxes(spark, d, lambda n: n * 100, lambda n: n * 0)
+    return spatial.orientation_bins(spatial.with_neighbour_angles(words, ["l_orderkey"]), ["l_orderkey"])
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 'Order ' || o_orderkey END AS title, CASE WHEN o_orderkey % 6 IN (0, 5) THEN ['Clerk'] END AS authors,
+    CASE o_orderkey % 6 WHEN 1 THEN '/links' WHEN 2 THEN '/metadata/title' WHEN 3 THEN '/metadata/modified' WHEN 4 THEN '' END AS pointer, CASE WHEN o_orderkey % 6 IN (0, 5) THEN epoch_us(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 10 HOUR) END AS modified_us FROM orders"""
+)
+def opds_publications(spark, d):
+    """Publications in JSON: read, or refused with the place that is wrong; times as instants."""
+    o, lit, sixth = table(spark, d, "orders"), F.lit, F.col("o_orderkey") % 6
+    title = F.when(sixth == 2, lit("")).otherwise(F.concat(lit('"title":"Order '), "o_orderkey", lit('",')))
+    stamp = F.when(sixth == 3, lit("2020-02-30T00:00:00Z")).otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), lit("T12:00:00+02:00")))
+    rel = F.when(sixth == 1, lit("self")).otherwise(lit("http://opds-spec.org/acquisition/buy"))
+    whole = F.concat(lit('{"metadata":{'), title, lit('"author":{"name":{"en":"Clerk"}},"modified":"'), stamp, lit('"},"links":[{"href":"x","rel":"'), rel, lit('"}]'), F.when(sixth == 4, lit("")).otherwise(lit("}")))
+    read = o.select("o_orderkey", opds2.publications(whole).alias("p"))
+    return read.select("o_orderkey", "p.title", "p.authors", "p.pointer", F.unix_micros(opds2.rfc3339_time(F.col("p.modified"))).alias("modified_us"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+from collections.abc import Iterator, Mapping
 from urllib.parse import unquote
 
 MAX_TOTAL = 1 << 30
@@ -17,24 +18,44 @@ class Refused(Exception):
     """Content that a parser does not take; the text says why."""
 
 
+class Box(Mapping):
+    """A checked archive: path -> bytes in archive order, an entry being unpacked when it is asked for."""
+
+    def __init__(self, content: bytes):
+        try:
+            self.file = zipfile.ZipFile(io.BytesIO(content))
+        except zipfile.BadZipFile as e:
+            raise Refused(f"bad zip: {e}") from e
+        self.infos = {i.filename: i for i in self.file.infolist() if not i.is_dir()}
+        infos = self.infos.values()
+        if sum(i.file_size for i in infos) > MAX_TOTAL or any(i.file_size > MAX_ENTRY for i in infos):
+            raise Refused("the archive expands past its limits")
+        if any(i.file_size > RATIO_FROM and i.file_size > MAX_RATIO * max(1, i.compress_size) for i in infos):
+            raise Refused("an entry expands past its ratio")
+        if any(i.flag_bits & 1 for i in infos):
+            raise Refused("an entry is encrypted")
+
+    def __getitem__(self, path: str) -> bytes:
+        info = self.infos[path]
+        try:
+            with self.file.open(info) as entry:
+                data = entry.read(info.file_size + 1)  # whatever the directory promises, no more is unpacked
+        except (zipfile.BadZipFile, NotImplementedError, EOFError) as e:
+            raise Refused(f"bad entry: {e}") from e
+        if len(data) > info.file_size:
+            raise Refused("an entry expands past its size")
+        return data
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.infos)
+
+    def __len__(self) -> int:
+        return len(self.infos)
+
+
 def entries(content: bytes) -> dict[str, bytes]:
-    """Path -> bytes, in archive order, after checking what the directory promises."""
-    try:
-        box = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile as e:
-        raise Refused(f"bad zip: {e}") from e
-    infos = [i for i in box.infolist() if not i.is_dir()]
-    total = sum(i.file_size for i in infos)
-    if total > MAX_TOTAL or any(i.file_size > MAX_ENTRY for i in infos):
-        raise Refused("the archive expands past its limits")
-    if any(i.file_size > RATIO_FROM and i.file_size > MAX_RATIO * max(1, i.compress_size) for i in infos):
-        raise Refused("an entry expands past its ratio")
-    if any(i.flag_bits & 1 for i in infos):
-        raise Refused("an entry is encrypted")
-    try:
-        return {i.filename: box.read(i) for i in infos}
-    except (zipfile.BadZipFile, NotImplementedError, EOFError) as e:
-        raise Refused(f"bad entry: {e}") from e
+    """Path -> bytes of all entries, in archive order, after checking what the directory promises."""
+    return dict(Box(content))
 
 
 def resolve(base: str, href: str) -> str:
@@ -43,7 +64,7 @@ def resolve(base: str, href: str) -> str:
     return path.lstrip("/") if path != "." else ""
 
 
-def find(box: dict[str, bytes], path: str) -> str | None:
+def find(box: Mapping[str, bytes], path: str) -> str | None:
     """The entry of that name, else the first one equal but for case."""
     if path in box:
         return path

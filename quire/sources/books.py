@@ -16,13 +16,13 @@ import struct
 import tempfile
 import xml.etree.ElementTree as ET
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .archive import Refused, entries, find, resolve
+from .archive import Box, Refused, entries, find, resolve
 
 from quire.shipping import ship
 
@@ -93,6 +93,11 @@ def parse_opf(content: bytes) -> Book:
     out["version"] = root.attrib.get("version", "")
     out["manifest"] = [{_local(k): v for k, v in e.attrib.items()} for e in root.iter() if _local(e.tag) == "item"]
     out["spine"] = [e.attrib.get("idref", "") for e in root.iter() if _local(e.tag) == "itemref"]
+    out["spine_properties"] = [e.attrib.get("properties", "").split() for e in root.iter() if _local(e.tag) == "itemref"]
+    metas = [({_local(k): v for k, v in e.attrib.items()}, " ".join("".join(e.itertext()).split())) for e in root.iter() if _local(e.tag) == "meta"]
+    out["layout"] = next((text for attrs, text in metas if attrs.get("property") == "rendition:layout"), None)
+    out["cover_id"] = next((attrs.get("content") for attrs, _ in metas if attrs.get("name") == "cover"), None)
+    out["guide"] = [(e.attrib.get("type", ""), e.attrib.get("href", "")) for e in root.iter() if _local(e.tag) == "reference"]
     out["toc_id"] = next((e.attrib.get("toc") for e in root.iter() if _local(e.tag) == "spine"), None)
     return out
 
@@ -145,8 +150,23 @@ def parse_nav(content: bytes, base: str) -> list[dict]:
     return out
 
 
-def parse_epub(content: bytes) -> Book:
-    box = entries(content)
+def cover_item(opf: Book) -> dict | None:
+    """The manifest item of the cover: by its property, the package's meta, the guide, or an image's telling id."""
+    items = opf["manifest"]
+    is_image = lambda m: "image/" in m.get("media-type", "")
+    guide = next((href for kind, href in opf["guide"] if kind.lower() == "cover"), None)
+    named = resolve("", guide) if guide else None
+    rules = (
+        lambda m: "cover-image" in m.get("properties", "").split() and is_image(m),
+        lambda m: bool(opf["cover_id"]) and m.get("id") == opf["cover_id"],
+        lambda m: named is not None and resolve("", m.get("href", "")) == named,
+        lambda m: "cover" in m.get("id", "").lower() and is_image(m),
+    )
+    return next((m for rule in rules for m in items if rule(m)), None)
+
+
+def package_of(box: Mapping[str, bytes]) -> str:
+    """The path of an archive's package document: what the container names, else the first by its suffix."""
     container = find(box, "META-INF/container.xml")
     path = None
     if container:
@@ -154,6 +174,21 @@ def parse_epub(content: bytes) -> Book:
     path = path or next((p for p in box if p.lower().endswith(".opf")), None)
     if path is None:
         raise Refused("no package document")
+    return path
+
+
+def epub_metadata(content: bytes) -> Book:
+    """What the package says, and the cover's path; nothing else of the archive is unpacked."""
+    box = Box(content)
+    path = package_of(box)
+    out = parse_opf(box[path])
+    item = cover_item(out)
+    return out | {"cover": find(box, resolve(path, item.get("href", ""))) if item else None}
+
+
+def parse_epub(content: bytes) -> Book:
+    box = entries(content)
+    path = package_of(box)
     if (enc := find(box, "META-INF/encryption.xml")) and any(x not in _FONT_CIPHERS for x in re.findall(r'EncryptionMethod[^>]*Algorithm="([^"]+)"', decode_text(box[enc]))):
         raise Refused("the book is protected")
     out = parse_opf(box[path])
@@ -230,6 +265,32 @@ def parse_fb2(content: bytes) -> Book:
     return out
 
 
+_DESCRIPTION = re.compile(rb"<(?:\w+:)?description[\s>].*?</(?:\w+:)?description\s*>", re.S)
+
+
+def fb2_metadata(content: bytes) -> Book:
+    """Of the description alone, without reading the bodies; of the whole document where it cannot be cut out."""
+    found = _DESCRIPTION.search(content)
+    head = re.match(rb"\s*(?:\xef\xbb\xbf)?\s*<\?xml[^>]*\?>", content)
+    root = re.search(rb"<(?:\w+:)?FictionBook\b[^>]*>", content)
+    if found and root and root.start() < found.start():
+        name = re.match(rb"<((?:\w+:)?FictionBook)", root[0])[1]
+        body = name.replace(b"FictionBook", b"body")
+        try:
+            return parse_fb2((head[0] if head else b"") + root[0] + found[0] + b"<" + body + b"/></" + name + b">") | {"sections": [], "nav": []}
+        except Refused:
+            pass
+    return parse_fb2(content)
+
+
+def fbz_metadata(content: bytes) -> Book:
+    box = Box(content)
+    path = next((p for p in box if p.lower().endswith(".fb2")), None)
+    if path is None:
+        raise Refused("no FictionBook inside")
+    return fb2_metadata(box[path])
+
+
 def parse_fbz(content: bytes) -> Book:
     box = entries(content)
     path = next((p for p in box if p.lower().endswith(".fb2")), None)
@@ -628,30 +689,15 @@ def parse_palmdoc(content: bytes) -> Book:
     return parse_txt(text) | {"title": name}
 
 
-def parse_mobi(content: bytes) -> Book:
-    """Books of the older kind: plain or PalmDOC text, with title and EXTH metadata."""
+def _mobi_head(content: bytes) -> tuple[Book, list[bytes], str]:
+    """The book without its text, the records and the charset."""
     name, _, records = palm_records(content)
     head = records[0]
     if len(head) < 0x84 or head[16:20] != b"MOBI":
         raise Refused("no MOBI head")
-    packing, _, size, count = struct.unpack(">HHIH", head[:10])
-    if struct.unpack(">H", head[12:14])[0]:
-        raise Refused("the book is protected")
-    if packing not in (1, 2, 17480):
-        raise Refused(f"packing {packing}")
-    unpack = {1: bytes, 2: inflate_palmdoc}.get(packing)
-    if unpack is None:
-        from .palm import Dictionary
-
-        first, n = struct.unpack(">II", head[0x70:0x78])
-        unpack = Dictionary(records[first], records[first + 1 : first + n]).unpack
     charset = "utf-8" if struct.unpack(">I", head[28:32])[0] == 65001 else "cp1252"
     start, length = struct.unpack(">II", head[84:92]) if len(head) >= 92 else (0, 0)
     out = _book(title=head[start : start + length].decode(charset, "replace") or name)
-    flags = struct.unpack(">H", head[0xF2:0xF4])[0] if struct.unpack(">I", head[20:24])[0] >= 228 and len(head) >= 0xF4 else 0
-    text = bytearray()
-    for r in records[1 : 1 + count]:
-        text += unpack(_without_trailers(r, flags))
     at = head.find(b"EXTH", 16)
     if at > 0:
         for kind, value in _exth(head[at:]):
@@ -668,9 +714,46 @@ def parse_mobi(content: bytes) -> Book:
                 out["title"] = said
             elif kind == 524:
                 out["languages"].append(said)
-    page = bytes(text[:size]).decode(charset, "replace")
-    out["sections"] = [{"path": "index.html", "is_html": True, "content": page}]
-    out["nav"] = heading_nav(page, "index.html")
+    return out, records, charset
+
+
+def mobi_metadata(content: bytes) -> Book:
+    """Head and EXTH records; no text is unpacked."""
+    return _mobi_head(content)[0]
+
+
+def parse_mobi(content: bytes) -> Book:
+    """Books of the older kind: plain, PalmDOC or dictionary-packed text, cut at the places its contents name."""
+    from . import mobi6
+
+    out, records, charset = _mobi_head(content)
+    head = records[0]
+    packing, _, size, count = struct.unpack(">HHIH", head[:10])
+    if struct.unpack(">H", head[12:14])[0]:
+        raise Refused("the book is protected")
+    if packing not in (1, 2, 17480):
+        raise Refused(f"packing {packing}")
+    unpack = {1: bytes, 2: inflate_palmdoc}.get(packing)
+    if unpack is None:
+        from .palm import Dictionary
+
+        first, n = struct.unpack(">II", head[0x70:0x78])
+        unpack = Dictionary(records[first], records[first + 1 : first + n]).unpack
+    flags = struct.unpack(">H", head[0xF2:0xF4])[0] if struct.unpack(">I", head[20:24])[0] >= 228 and len(head) >= 0xF4 else 0
+    text = bytearray()
+    for r in records[1 : 1 + count]:
+        text += unpack(_without_trailers(r, flags))
+    raw = bytes(text[:size])
+    points = mobi6.navigation(mobi6.markup(raw.decode(charset, "replace")))
+    parts = mobi6.sections(raw, [p["offset"] for p in points])
+    names = [f"chapter{k + 1:05}.html" for k in range(len(parts))]
+    out["sections"] = [{"path": n, "is_html": True, "content": mobi6.markup(raw[a:b].decode(charset, "replace"))} for n, (a, b) in zip(names, parts)]
+    for p in points:
+        at = mobi6.boundary(raw, p["offset"])
+        holds = next((n for n, (a, b) in zip(names, parts) if at is not None and a <= at < b), names[0])
+        out["nav"].append({"label": p["label"], "target": f"{holds}#filepos{p['offset']}", "depth": 0})
+    if not points:
+        out["nav"] = [x for s in out["sections"] for x in heading_nav(s["content"], s["path"])]
     return out
 
 
@@ -769,37 +852,61 @@ def zip_kind(content: bytes) -> str:
     return next((kind for kind, pattern in rules if any(re.fullmatch(pattern, n) for n in names)), "zip")
 
 
-def parse(content: bytes, kind: str | None) -> tuple[str | None, Book | None, str | None]:
-    """(format, book, error): one of the last two."""
-    kind = zip_kind(content) if kind == "zip" else kind
-    if kind not in PARSERS:
+def _tried(content: bytes, kind: str | None, parser: Callable[[bytes], Book] | None) -> tuple[str | None, Book | None, str | None]:
+    if parser is None:
         return kind, None, f"unsupported: {kind}"
     try:
-        return kind, PARSERS[kind](content), None
+        return kind, parser(content), None
     except Refused as e:
         return kind, None, str(e)
     except (ValueError, zlib.error, KeyError, IndexError, AttributeError, TypeError, struct.error, RecursionError) as e:
         return kind, None, f"malformed: {type(e).__name__}"
 
 
-def read_books(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """A book for each row of files (as ``spark.read.format('binaryFile')`` gives them); what cannot be read says so in error."""
+def parse(content: bytes, kind: str | None) -> tuple[str | None, Book | None, str | None]:
+    """(format, book, error): one of the last two."""
+    kind = zip_kind(content) if kind == "zip" else kind
+    return _tried(content, kind, PARSERS.get(kind))
+
+
+def _read(files: DataFrame, path: str, content: str, reader: Callable, schema: str) -> DataFrame:
     from .detect import detected_format
 
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     kind = F.when(suffix.isin("md", "markdown"), "markdown").otherwise(detected_format(F.col(content)))
-    fields = [x.strip().split(" ")[0] for x in re.split(r",\s*(?![^<]*>)", BOOK)]
+    fields = [x.strip().split(" ")[0] for x in re.split(r",\s*(?![^<]*>)", schema)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for book_id, data, said in frame.itertuples(index=False):
-                kind, book, error = parse(bytes(data), said) if data is not None else (None, None, "no content")
+                kind, book, error = reader(bytes(data), said) if data is not None else (None, None, "no content")
                 rows.append({"book_id": book_id, "format": kind, "error": error} | {k: (book or {}).get(k) for k in fields[3:]})
             yield pd.DataFrame(rows, columns=fields)
 
     ship(files.sparkSession)
-    return files.select(F.col(path).alias("book_id"), content, kind.alias("kind")).mapInPandas(run, BOOK)
+    return files.select(F.col(path).alias("book_id"), content, kind.alias("kind")).mapInPandas(run, schema)
+
+
+def read_books(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """A book for each row of files (as ``spark.read.format('binaryFile')`` gives them); what cannot be read says so in error."""
+    return _read(files, path, content, parse, BOOK)
+
+
+#: Readers that leave texts alone; other formats are parsed as a whole.
+METADATA = {"epub": epub_metadata, "fb2": fb2_metadata, "fbz": fbz_metadata, "mobi": mobi_metadata}
+META = "book_id string, format string, error string, title string, authors array<string>, languages array<string>, publisher string, description string, subjects array<string>, series string, series_index double, identifiers map<string,string>, cover string"
+
+
+def parse_metadata(content: bytes, kind: str | None) -> tuple[str | None, Book | None, str | None]:
+    """(format, book without texts, error): one of the last two."""
+    kind = zip_kind(content) if kind == "zip" else kind
+    return _tried(content, kind, METADATA.get(kind) or PARSERS.get(kind))
+
+
+def read_metadata(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """The metadata of each row of files, without texts: the projection reaches into the parsers."""
+    return _read(files, path, content, parse_metadata, META)
 
 
 def sections_of(books: DataFrame) -> DataFrame:

@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import package_rules
+from quire.operators.package_rules import PACKAGE_TYPE
 
 from .archive import Refused, entries, find, resolve
 from .books import _local, decode_text, parse_nav, parse_ncx, parse_opf, xml_root
 from quire.shipping import ship
 
 TABLES = {
-    "books": "version string, mimetype string, rootfile string",
+    "books": "version string, mimetype string, rootfile string, rootfile_type string",
+    "toc": "toc_id string",
     "manifest": "pos int, item_id string, href string, media_type string, properties string",
     "spine": "pos int, idref string",
     "entries": "pos int, path string",
@@ -44,14 +46,18 @@ def package_rows(content: bytes) -> Iterator[tuple]:
     for pos, path in enumerate(zipfile.ZipFile(io.BytesIO(content)).namelist()):
         yield "entries", pos, path, None, None, None
     container = find(box, "META-INF/container.xml")
-    root = next((e.attrib.get("full-path") for e in xml_root(box[container]).iter() if _local(e.tag) == "rootfile"), None) if container else None
+    roots = [e.attrib for e in xml_root(box[container]).iter() if _local(e.tag) == "rootfile"] if container else []
+    root = next((a.get("full-path") for a in roots), None)
+    # Some root file must have the type of a package; else the first one's is told.
+    kind = next((a["media-type"] for a in roots if a.get("media-type") == PACKAGE_TYPE), next((a.get("media-type") for a in roots), None))
     mimetype = box.get("mimetype", b"").decode("latin-1")
     path = find(box, root) if root else None
     if path is None:
-        yield "books", 0, None, mimetype, root, None
+        yield "books", 0, None, mimetype, root, kind
         return
     opf = parse_opf(box[path])
-    yield "books", 0, opf["version"], mimetype, root, None
+    yield "books", 0, opf["version"], mimetype, root, kind
+    yield "toc", 0, opf["toc_id"], None, None, None
     here = lambda href: href if re.match(r"[a-zA-Z][\w+.-]*:", href) else resolve(path, href) + (f"#{href.split('#', 1)[1]}" if "#" in href else "")
     for pos, m in enumerate(opf["manifest"]):
         yield "manifest", pos, m.get("id"), here(m["href"]) if m.get("href") else None, m.get("media-type"), m.get("properties")
@@ -102,7 +108,8 @@ def read_packages(files: DataFrame, path: str = "path", content: str = "content"
 def diagnose(files: DataFrame) -> DataFrame:
     """All findings of the integrity rules over the EPUBs of files."""
     t = read_packages(files)
-    return package_rules.findings(t["books"], t["manifest"], t["spine"], t["entries"], t["links"], t["anchors"])
+    books = t["books"].join(t["toc"], "book_id", "left")
+    return package_rules.findings(books, t["manifest"], t["spine"], t["entries"], t["links"], t["anchors"])
 
 
 def parse_overlay(content: bytes, base: str) -> list[dict]:
