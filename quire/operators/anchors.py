@@ -18,6 +18,7 @@ from quire.functions.text import text_revision
 
 from .annotations import approximate_places, context_score, exact_quotes
 from quire.shipping import arrow_udf
+from quire.sinks.shared import staged
 
 OUTCOME = ["anchor_id", "outcome", "pass", "section", "start", "end"]
 CONTEXT = 32
@@ -76,23 +77,25 @@ def resolve(anchors: DataFrame, sections: DataFrame, fuzzy: bool = True, section
     def still(rows: DataFrame) -> DataFrame:
         return rows.join(parts[-1].select("anchor_id"), "anchor_id", "left_anti")
 
-    rest = still(told)
+    # What each stage found and left open is written, so that no stage is computed twice.
+    parts[0] = staged(parts[0], "identity")
+    rest = staged(still(told), "rest")
     exact = exact_quotes(rest, live).withColumn("end", F.col("start") + F.length("quote"))
     exact = exact.withColumn("score", context_score(F.col("text"), F.col("start"), F.col("end"), F.col("before"), F.col("after")))
-    parts.append(_best(exact, "exact"))
-    rest = still(rest)
+    parts.append(staged(_best(exact, "exact"), "exact"))
+    rest = staged(still(rest), "rest")
     flat = live.withColumn("whole", F.col("text")).withColumn("text", collapsed(F.col("text")))
     loose = exact_quotes(rest.withColumn("quote", collapsed(F.col("quote"))), flat).withColumn("end", F.col("start") + F.length("quote"))
     loose = loose.withColumn("score", context_score(F.col("text"), F.col("start"), F.col("end"), collapsed(F.col("before")), collapsed(F.col("after"))))
     back = arrow_udf(_projected, "struct<start: int, end: int>")("whole", "start", "end")
     loose = loose.withColumn("p", back).withColumn("start", F.col("p.start")).withColumn("end", F.col("p.end"))
-    parts.append(_best(loose, "normalized"))
-    rest = still(rest)
+    parts.append(staged(_best(loose, "normalized"), "normalized"))
+    rest = staged(still(rest), "rest")
     if fuzzy:
         near = approximate_places(rest.select("anchor_id", "quote"), live, "anchor_id", "section", most=most)
         near = near.join(rest.select("anchor_id", "before", "after"), "anchor_id").join(live, "section")
         near = near.withColumn("score", context_score(F.col("text"), F.col("start"), F.col("end"), F.col("before"), F.col("after")) - F.col("distance") * 0x10000)
-        parts.append(_best(near, "fuzzy"))
+        parts.append(staged(_best(near, "fuzzy"), "fuzzy"))
         rest = still(rest)
     none = F.lit(None)
     kinds = dict(parts[0].dtypes)

@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from quire.shipping import arrow_udf, ship
 
 
-def merge_highlights(local: DataFrame, incoming: DataFrame, key: list[str], stamp: str) -> DataFrame:
-    """The newest record of each key; of equal stamps the one that came first, local before incoming."""
+def merge_highlights(local: DataFrame, incoming: DataFrame, key: list[str], stamp: str, order: str | None = None) -> DataFrame:
+    """The newest record of each key, and ``changed``: whether it is one that came in.
+
+    Of equal stamps a local record stays; within a side the one that arrived first by
+    ``order``, a numeric column, or without it the greatest row.
+    """
     both = local.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
-    rows = F.struct(F.col(stamp), -F.col("_side"), F.struct(*local.columns).alias("row"))
-    return both.groupBy(*key).agg(F.max_by(F.struct(*local.columns), rows).alias("r")).select("r.*")
+    row = F.struct(*local.columns)
+    rank = F.struct(F.col(stamp), -F.col("_side"), -F.col(order) if order else row.alias("row"))
+    best = both.groupBy(*key).agg(F.max_by(F.struct(row.alias("r"), "_side"), rank).alias("b"))
+    return best.select("b.r.*", (F.col("b._side") == 1).alias("changed"))
 
 
 BOOKMARK_KEYS = ("title", "section_index", "char_offset")
@@ -49,28 +55,43 @@ def merge_bookmarks(records: DataFrame, owner: str) -> DataFrame:
     return records.groupBy(owner).applyInPandas(run, records.schema)
 
 
+#: Quotes up to this number are sought by a broadcast of their hashes (eight bytes each, so 8 MB at most); more by a shuffle.
+BROADCAST_QUOTES = 1_000_000
+
+
 def exact_quotes(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text: str = "text", words: int = 6) -> DataFrame:
     """All columns of both with start (0-based) of every occurrence of each quote in each text.
 
-    Every text that holds a quote holds the quote's first ``words`` whole words, so
-    the join is on the hash of such runs and the whole quote is then verified.
-    Quotes of fewer words are compared with every text.
+    The first and last word of a quote may be parts of a text's words; those between
+    are whole.  Every text that holds a quote of eight words or more holds the run of
+    six that follows its first word, and one that holds a quote of three to seven words
+    holds its longest inner word: the join is on the hashes of these, and the whole
+    quote is then verified.  Only quotes of one or two words are compared with every text.
     """
-    runs = lambda c: F.split(F.btrim(c, F.lit(" \t\n\r\f\x0b")), r"[ \t-\r]+")
-    q = quotes.withColumn("_w", runs(F.col(quote))).withColumn("_q", F.xxhash64(quote))
-    long, short = F.size("_w") >= words + 2, F.size("_w") < words + 2
-    # The first and last words of a quote may be parts of a text's words.
-    sought = q.where(long).select("_q", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_seed"))
+    split = lambda c: F.split(F.btrim(c, F.lit(" \t\n\r\f\x0b")), r"[ \t-\r]+")
+    hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    run = lambda h, k: F.xxhash64(*[F.get(h, k + i) for i in range(words)])
+    q = quotes.withColumn("_w", split(F.col(quote))).withColumn("_q", F.xxhash64(quote))
+    size = F.size("_w")
+    inner = F.slice("_w", 2, F.greatest(size - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    seed = F.when(size >= words + 2, run(hashes(F.col("_w")), F.lit(1))).when(size > 2, F.xxhash64(longest))
+    sought = q.where(size > 2).select("_q", seed.alias("_seed"), (size >= words + 2).alias("_run")).distinct()
     t = texts.withColumn("_t", F.xxhash64(text))
-    own = t.select("_t", runs(F.col(text)).alias("_w"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - words + 1, F.lit(1)))
-    held = own.select("_t", F.explode(F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.array_join(F.slice("_w", k, words), " "))))).alias("_seed"))
-    # Only hashes are exploded and joined; texts and quotes come back to the pairs that share one.
-    pairs = sought.distinct().join(held, "_seed").select("_q", "_t").distinct()
-    found = pairs.join(q.where(long).drop("_w"), "_q").join(t, "_t").drop("_q", "_t").where(F.col(text).contains(F.col(quote)))
-    few = q.where(short).drop("_w", "_q")
-    if not few.isEmpty():
-        found = found.unionByName(few.join(texts, texts[text].contains(few[quote])))
+    kinds = {r["_run"] for r in sought.select("_run").distinct().collect()}
+    found = None
+    if kinds:
+        small = sought.count() <= BROADCAST_QUOTES
+        starts = F.sequence(F.lit(0), F.greatest(F.size("_h") - words, F.lit(0)))
+        seeds = F.array_distinct(F.concat(*([F.transform(starts, lambda k: run(F.col("_h"), k))] if True in kinds else []), *([F.col("_h")] if False in kinds else [])))
+        held = t.select("_t", hashes(split(F.col(text))).alias("_h")).select("_t", F.explode(seeds).alias("_seed"))
+        # Only hashes are exploded and joined; texts and quotes come back to the pairs that share one.
+        pairs = held.join(F.broadcast(sought) if small else sought, "_seed").select("_q", "_t").distinct()
+        found = pairs.join(q.where(size > 2).drop("_w"), "_q").join(t, "_t").drop("_q", "_t").where(F.col(text).contains(F.col(quote)))
+    few = q.where(size <= 2).drop("_w", "_q")
+    if found is None or not few.isEmpty():
+        met = few.join(texts, texts[text].contains(few[quote]))
+        found = met if found is None else found.unionByName(met)
     return found.withColumn("start", F.explode(occurrences(F.col(text), F.col(quote))))
 
 

@@ -135,7 +135,9 @@ def test_navigation(spark):
 def test_merges(spark):
     kind = "id string, at int, note string"
     local, incoming = spark.createDataFrame([("a", 1, "l"), ("b", 5, "l"), ("c", 2, "l")], kind), spark.createDataFrame([("a", 2, "i"), ("b", 3, "i"), ("c", 2, "i"), ("d", 1, "i")], kind)
-    assert sorted(tuple(r) for r in annotations.merge_highlights(local, incoming, ["id"], "at").collect()) == [("a", 2, "i"), ("b", 5, "l"), ("c", 2, "l"), ("d", 1, "i")]
+    assert sorted(tuple(r) for r in annotations.merge_highlights(local, incoming, ["id"], "at").collect()) == [("a", 2, "i", True), ("b", 5, "l", False), ("c", 2, "l", False), ("d", 1, "i", True)]
+    twice = spark.createDataFrame([("a", 1, 0, "x"), ("a", 1, 1, "y")], "id string, at int, arrived int, side string")
+    assert annotations.merge_highlights(twice, twice.limit(0), ["id"], "at", "arrived").first()["side"] == "x"
     marks = [("u", 0, "one", 0, 0, 10), ("u", 1, "two", 1, 0, 20), ("u", 2, "one", 5, 5, 30), ("u", 3, "new", 5, 5, 40), ("u", 4, "x", 1, 0, 5)]
     df = spark.createDataFrame(marks, "owner string, appearance int, title string, section_index int, char_offset int, created_at int")
     # The third joins the first's group by title; its own position stays unknown, so the fourth opens a group.
