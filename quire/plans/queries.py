@@ -168,8 +168,8 @@ def document_text(spark, d):
     lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages"""
 )
 def html_metadata(spark, d):
-    title = F.replace(F.trim(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)), F.lit("&amp;"), F.lit("&"))
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", r'(?i)<html[^>]*\blang="([^"]*)"', 1).alias("lang"), title.alias("title"), F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)).alias("host"))
+    said = books.page_metadata(F.coalesce("html", F.lit("")))
+    return table(spark, d, "pages").select("page_id", said["lang"].alias("lang"), said["title"].alias("title"), F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)).alias("host"))
 
 
 @query(
@@ -181,6 +181,19 @@ def heading_navigation(spark, d):
     return reading.heading_parents(rows, "page_id").select("page_id", "level", "label", "parent")
 
 
+@query(
+    """WITH h AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, l_suppkey % 4 + 1 AS level, 'Part ' || l_partkey AS label FROM lineitem)
+    SELECT page, CAST(k AS INTEGER) AS play_order, CAST(level AS INTEGER) AS level, label, (SELECT CAST(max(p.k) AS INTEGER) FROM h p WHERE p.page = h.page AND p.k < h.k AND p.level < h.level) AS parent FROM h"""
+)
+def heading_tree(spark, d):
+    """Headings of made pages, each under the nearest one before it of a lower level."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("r"))
+    level = lambda r: (r["l_suppkey"] % 4 + 1).cast("string")
+    heading = lambda r: F.concat(F.lit("<h"), level(r), F.lit(" class='x'> Part <b>"), r["l_partkey"], F.lit("</b></h"), level(r), F.lit("><p>text</p>"))
+    pages = rows.select(F.col("l_orderkey").alias("page"), F.array_join(F.transform("r", heading), "").alias("html"))
+    return reading.heading_parents(reading.heading_rows(pages, "page"), "page").select("page", "play_order", "level", "label", "parent")
+
+
 @query(
     """WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{6,}', repeat(chr(10), 5), 'g'), '^\\n+|\\n+$', '', 'g') AS t FROM documents)
     SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS sha256 FROM t"""

@@ -19,12 +19,13 @@ import zlib
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .archive import Box, Refused, entries, find, resolve
 
-from quire.shipping import ship
+from quire.shipping import arrow_udf, ship
 
 Book = dict
 
@@ -422,6 +423,20 @@ def html_meta(page: str) -> dict:
     return out
 
 
+def page_metadata(page: Column) -> Column:
+    """``html_meta`` as struct<title, lang, metas>; null for null."""
+    kind = pa.struct([("title", pa.string()), ("lang", pa.string()), ("metas", pa.map_(pa.string(), pa.string()))])
+
+    def run(pages: pa.Array) -> pa.Array:
+        out = []
+        for text in pages.to_pylist():
+            found = html_meta(text) if text is not None else None
+            out.append(None if found is None else {"title": found.pop("title", ""), "lang": found.pop("lang", ""), "metas": list(found.items())})
+        return pa.array(out, kind)
+
+    return arrow_udf(run, "struct<title: string, lang: string, metas: map<string,string>>")(page)
+
+
 def parse_html(content: bytes) -> Book:
     page = decode_text(content)
     meta = html_meta(page)

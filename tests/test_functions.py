@@ -16,8 +16,8 @@ def each(spark, f, values, kind="string"):
 
 
 def test_word_count(spark):
-    values = ["吾輩は猫である。名前はまだ無い", "hello 世界 world", "", "  a b\tc\n", "x y z", "a\x1cb\x85c"]
-    assert each(spark, text.word_count, values) == [15, 4, 0, 3, 3, 3]
+    values = ["山の上に白い雲、風", "first 漢字 last", "", "\tq  r s\n", "k l m", "d\x1ce\x85f"]
+    assert each(spark, text.word_count, values) == [9, 4, 0, 3, 3, 3]
 
 
 def test_lengths_and_revisions(spark):
@@ -51,8 +51,8 @@ def test_document_text(html, doc):
 
 
 def test_typography(spark):
-    assert each(spark, text.smarten_punctuation, ["the boy's book", "wait--what...", 'he said "yes" ("no")']) == ["the boy’s book", "wait—what…", "he said “yes” (“no”)"]
-    assert each(spark, text.unwrap_lines, ["broken sen-\ntence here\n\nNew paragraph", "soft\nbreak"]) == ["broken sentence here\n\nNew paragraph", "soft break"]
+    assert each(spark, text.smarten_punctuation, ["a cook's pan", "stop--now...", 'it read "red" ("blue")']) == ["a cook’s pan", "stop—now…", "it read “red” (“blue”)"]
+    assert each(spark, text.unwrap_lines, ["a long win-\nter night\n\nThen spring", "two\nlines"]) == ["a long winter night\n\nThen spring", "two lines"]
     assert each(spark, text.chapter_titles, ["Chapter 1\ntext\nCapítulo II\nparted ways"]) == [["Chapter 1", "Capítulo II"]]
     assert each(spark, text.txt_normalize, ["\n\na  \r\nb\x00\n\n\n\n\n\n\nc\n"]) == ["a\nb\n\n\n\n\nc"]
     assert each(spark, text.slug, ["  Héllo, World! "]) == ["h-llo-world"]
@@ -60,16 +60,16 @@ def test_typography(spark):
 
 
 def test_title_sort(spark):
-    values = [("The Lord of the Rings", "en"), ("O Cortiço", "pt"), ("O Cortiço", "en"), ("“An Hour”", None), ("L'Étranger", "fr-FR"), ("De la Terre", "fra"), ("Die Zeit", "deu"), ("Der Weg", "xx"), ("Zamek", "pl"), ("«Une Vie»", "fr")]
-    want = ["Lord of the Rings, The", "Cortiço, O", "O Cortiço", "Hour, An", "Étranger, L'", "Terre, De la", "Zeit, Die", "Der Weg", "Zamek", "Vie, Une"]
+    values = [("The Silver Road", "en"), ("O Barco", "pt"), ("O Barco", "en"), ("“An Oar”", None), ("L'Olivier", "fr-FR"), ("De la Mer", "fra"), ("Die Brücke", "deu"), ("Der Wald", "xx"), ("Kamień", "pl"), ("«Une Rue»", "fr")]
+    want = ["Silver Road, The", "Barco, O", "O Barco", "Oar, An", "Olivier, L'", "Mer, De la", "Brücke, Die", "Der Wald", "Kamień", "Rue, Une"]
     rows = spark.createDataFrame([(k, *v) for k, v in enumerate(values)], "k int, t string, l string")
     assert [r["x"].strip() for r in rows.select("k", metadata.title_sort(F.col("t"), F.col("l")).alias("x")).orderBy("k").collect()] == want
 
 
 def test_author_sort(spark):
     cases = {
-        "John Smith": "Smith, John", "Dr. Martin Luther King Jr.": "King, Martin Luther Jr.", "Smith, John": "Smith, John", "Plato": "Plato", "Acme Corporation": "Acme Corporation", "": "",
-        "Ann Lee (editor)": "Lee, Ann", "Mr. Dr.": "Mr. Dr.", "Ursula K. Le Guin": "Guin, Ursula K. Le", "John Smith III": "Smith, John III",
+        "Mara Holt": "Holt, Mara", "Dr. Ivo Peter Lind Jr.": "Lind, Ivo Peter Jr.", "Holt, Mara": "Holt, Mara", "Ovid": "Ovid", "Northern Corporation": "Northern Corporation", "": "",
+        "Ann Lee (editor)": "Lee, Ann", "Mr. Dr.": "Mr. Dr.", "Iris B. De Wit": "Wit, Iris B. De", "Mara Holt III": "Holt, Mara III",
     }
     assert each(spark, metadata.author_sort, list(cases)) == list(cases.values())
     assert each(spark, metadata.remove_brackets, ["a[b]c(d)e{f}g<h>i", "x)y", "a(b", "a([b)c]d"]) == ["aceg<h>i", "xy", "a", "ad"]
@@ -98,9 +98,9 @@ def test_merge_and_localized(spark):
 
 
 def test_tokenizer():
-    assert index.tokenize_text("Olá, mundo!") == [("ola", 0, 3), ("mundo", 5, 10)]
-    assert [t for t, _, _ in index.tokenize_text("Straße state-of-the-art colo­rial Ω 漢字 ＡＢ１ x²")] == ["strasse", "state", "of", "the", "art", "colorial", "ω", "漢字", "ab1", "x"]
-    assert [t for t, _, _ in index.tokenize_text("Ά ά Ж ё Œuvre")] == ["ά", "α", "ж", "ё", "oeuvre"]
+    assert index.tokenize_text("Três, gatos!") == [("tres", 0, 4), ("gatos", 6, 11)]
+    assert [t for t, _, _ in index.tokenize_text("Gruß up-to-date win­ter Σ 山川 ＣＤ２ y³")] == ["gruss", "up", "to", "date", "winter", "σ", "山川", "cd2", "y"]
+    assert [t for t, _, _ in index.tokenize_text("Έ έ Б ё Œdème")] == ["έ", "ε", "б", "ё", "oedeme"]
 
 
 def test_cfi(spark):

@@ -27,16 +27,16 @@ def spans(spark, text, query, mode="contains", **more):
 
 
 def test_scan_modes(spark):
-    assert spans(spark, "the theme they hold the", "the", "whole_words") == [(0, 3), (20, 23)]
-    assert spans(spark, "colo­rial", "colorial") == [(0, 9)]
-    assert spans(spark, "colo­rial", "color", "whole_words") == []
-    assert spans(spark, "A “quoted”  word", '"quoted" word') == [(2, 16)]
+    assert spans(spark, "art artist part art", "art", "whole_words") == [(0, 3), (16, 19)]
+    assert spans(spark, "win­ter", "winter") == [(0, 7)]
+    assert spans(spark, "win­ter", "win", "whole_words") == []
+    assert spans(spark, "A “bright”  lamp", '"bright" lamp') == [(2, 16)]
     assert spans(spark, "ab AB", "ab", case=True) == [(0, 2)]
     assert spans(spark, "x1\ny22", "^y\\d+$", "regex") == [(3, 6)]
-    assert spans(spark, "cat and a dog; cat", "cat dog 20", "proximity") == [(0, 18)]
-    assert spans(spark, "cat and a dog; cat", "cat dog 2", "proximity") == [(10, 18)]
-    assert spans(spark, "cat and a dog; cat", "cat dog 1", "proximity") == []
-    assert spans(spark, "ÁGUA", "água") == [(0, 4)]
+    assert spans(spark, "sea or a hill; sea", "sea hill 20", "proximity") == [(0, 18)]
+    assert spans(spark, "sea or a hill; sea", "sea hill 2", "proximity") == [(9, 18)]
+    assert spans(spark, "sea or a hill; sea", "sea hill 1", "proximity") == []
+    assert spans(spark, "ÇÖL", "çöl") == [(0, 3)]
     assert spans(spark, "anything", "   ") == []
     with pytest.raises(ValueError):
         spans(spark, "x", "one", "proximity")
@@ -56,8 +56,8 @@ def build(spark, *texts):
 
 
 def test_index_queries(spark):
-    _, p, st = build(spark, "white rabbit", "white", "rabbit run", None)
-    assert [r["s"] for r in index.ranked(p, st, ["s"], "white rabbit").collect()] == [0]
+    _, p, st = build(spark, "grey heron", "grey", "heron run", None)
+    assert [r["s"] for r in index.ranked(p, st, ["s"], "grey heron").collect()] == [0]
     assert index.ranked(p, st, ["s"], "  ").count() == 0 and index.ranked(p, st, ["s"], "zebra").count() == 0
     _, p, st = build(spark, "navio navegacao navegaca zebra")
     assert sorted(r["end"] - r["start"] for r in index.search(p, st, ["s"], "navegacao", "fuzzy").collect()) == [8, 9]
@@ -70,7 +70,7 @@ def test_index_queries(spark):
 
 def test_written_index(spark, tmp_path):
     """Texts are read once; the vocabulary and the postings by term agree with what building in place gives."""
-    texts = ["White rabbit, white\u00adrabbit ﬁ Ærø", None, "", "straße STRASSE \U0001F600x", "x" * 70 + " short", "\u0301 \u0301a\u0301 Ｆｕｌｌ ｶﾅ"] * 3
+    texts = ["Grey heron, grey\u00adheron ﬁ Ærø", None, "", "straße STRASSE \U0001F600x", "x" * 70 + " short", "\u0301 \u0301a\u0301 Ｆｕｌｌ ｶﾅ"] * 3
     df, p, st = build(spark, *texts)
     index_store.write(f"{tmp_path}/w", df, ["s"])
     postings, stats, terms = index_store.read(spark, f"{tmp_path}/w")
@@ -82,8 +82,8 @@ def test_written_index(spark, tmp_path):
                 want.setdefault((s, term), []).append((a, b))
     assert flat(postings) == flat(p) == sorted((s, term, tuple(a for a, _ in x), tuple(b for _, b in x)) for (s, term), x in want.items())
     assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, st.collect())) == [(s, len(index.tokenize_text(t or ""))) for s, t in enumerate(texts)]
-    assert {r["term"]: (r["df"], r["tf"]) for r in terms.collect()}["white"] == (3, 3)
-    assert index.ranked(postings, stats, ["s"], "rabbit", terms=terms).count() == 3
+    assert {r["term"]: (r["df"], r["tf"]) for r in terms.collect()}["grey"] == (3, 3)
+    assert index.ranked(postings, stats, ["s"], "heron", terms=terms).count() == 3
     got = index.coverage(df, terms, stats.where("s <> 0")).first()
     assert (got["eligible"], got["failed"], got["pending"], got["indexed"], got["is_complete"]) == (18, 3, 1, 14, False)
 
@@ -336,12 +336,12 @@ def test_package_rules(spark):
 def test_incremental_index(spark, tmp_path):
     schema = "s int, text string"
     # Section 1 comes again: only its last text counts.
-    for rows in ([(0, "white rabbit"), (1, "white rabbit")], [(10, "rabbit run"), (1, "white")]):
+    for rows in ([(0, "grey heron"), (1, "grey heron")], [(10, "heron run"), (1, "grey")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
         q = incremental.index_stream(spark.readStream.schema(schema).json(f"{tmp_path}/in"), ["s"], f"{tmp_path}/out", f"{tmp_path}/cp")
         assert q.awaitTermination(120)
     p, st = incremental.read_index(spark, f"{tmp_path}/out", ["s"])
-    assert [r["s"] for r in index.ranked(p, st, ["s"], "white rabbit").collect()] == [0]
+    assert [r["s"] for r in index.ranked(p, st, ["s"], "grey heron").collect()] == [0]
     assert {r["s"]: r["tokens"] for r in st.collect()} == {0: 2, 1: 1, 10: 2} and p.where("s = 1").count() == 1
 
 
