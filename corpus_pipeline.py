@@ -1,7 +1,24 @@
 """Corpus pipeline: quality, line dedup, near duplicates, mixing, tokens.
 
 ``STAGES`` are (name, function); each function takes (spark, docs, sf_dir) and
-works on all rows it gets.  All but the last return the columns they got.
+works on all rows it gets.  All but the last return the columns they got, further
+ones with clashing names among them, in their order.
+
+Defined results, by stage:
+
+* quality: null and empty texts go; a null doc_id is scored like any other;
+  repeated rows are decided alike; very long texts are scored whole.
+* line_dedup: a null text comes back as the empty one; a null doc_id is one document
+  that precedes all others; repeated rows lose the same lines and all stay; a very
+  long text keeps what is its own.
+* near_duplicates: of each class the least doc_id stays (a null one first), of
+  repeated rows one; texts without words (null, empty) are one class.
+* mixing: rows are drawn by a hash of (doc_id, text), so repeated rows are drawn
+  alike; rows without words have ratio 1.
+* pieces: a row for each row; null and empty texts have no tokens.
+
+An empty table passes all stages and stays empty; ties are settled by each operator
+as its module says.
 """
 
 from __future__ import annotations

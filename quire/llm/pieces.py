@@ -18,7 +18,10 @@ stays inside the batch: a shuffle by word would move every place of every word.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
 text; U+2581 is a space to the model, as in the library; repeated rows each get
-a row; any further columns are ignored.
+a row; a null doc_id is kept; very long texts are encoded whole, word by word; of
+unigram paths with equal sums (ties) the first found stays; an empty table gives an
+empty result; any further columns, whatever their names, are ignored.  A model whose
+segmentation of a few probing texts differs from the library's is refused.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .common import bounded_batches, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Texts that tell models of other kinds: blanks, case, widths, ligatures, accents in two forms, digits, controls.
+PROBES = ("the quick brown fox", "  two  blanks ", "Tab\tand\nline", "ＡＢ１ ﬁ ² ½ ① ﷺ", "e\u0301 é İ ẞ", "1234567890 3.14", "x\u200b\u00ad\u00a0y\u3000z", "漢字かな 한글 😀", "\x01 \x7f", "antidisestablishmentarianism")
 CACHE_WORDS = 300_000
 _NONE = float("-inf")
 
@@ -86,7 +91,13 @@ class PieceTable:
         kinds = lambda k: "byte" if model.is_byte(k) else "unknown" if model.is_unknown(k) else "other" if model.is_control(k) or model.is_unused(k) else "normal"
         pieces = [(model.id_to_piece(k), model.get_score(k), kinds(k)) for k in range(model.get_piece_size())]
         whole = [s for p, s, kind in pieces if kind == "normal" and len(p) > 1]
-        return cls(pieces, bpe=all(s == int(s) for s in whole))
+        out = cls(pieces, bpe=all(s == int(s) for s in whole))
+        # A model that normalises texts, adds no blank in front or is of another kind is told by these.
+        lattice = Lattice(out)
+        for text in PROBES:
+            if lattice.encode(text).tolist() != model.encode(text):
+                raise ValueError(f"this model does not cut {text!r} as its pieces say: its normaliser or kind is not known here")
+        return out
 
 
 class Lattice:

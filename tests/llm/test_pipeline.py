@@ -35,6 +35,44 @@ def test_stages_one_by_one(spark, folder):
     assert named["pieces"](spark, docs, folder).count() == docs.count()
 
 
+def test_odd_rows_stage_by_stage(spark, folder, rows):
+    """Nulls, empty and very long texts, repeated rows and columns with clashing names, against plain Python."""
+    from collections import Counter
+
+    from quire.llm import mixing, pieces, quality
+    from tests.llm.conftest import CLASHES
+
+    rows = [*rows, (77, passage(90, 30_000), "en", "src1", None)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2, "w", 3, "s", 4, "h", "l") for r in rows], f"{DOCS}, {CLASHES}")
+    named = dict(pipeline.STAGES)
+    out = {n: named[n](spark, docs, folder) for n in ("quality", "line_dedup", "near_duplicates", "mixing")}
+    assert all(f.columns == docs.columns for f in out.values())
+    got = {n: [tuple(r) for r in f.collect()] for n, f in out.items()}
+    assert all(r[5:] == ("x", 1, 2, "w", 3, "s", 4, "h", "l") for f in got.values() for r in f)
+    report = quality.quality_report(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("kept").collect()
+    assert Counter(r[0] for r in got["quality"]) == Counter(r["doc_id"] for r in report) and all(r[1] for r in got["quality"])
+    want = sorted((repr(r[0]), r[3]) for r in lines_brute(rows))
+    assert sorted((repr(r[0]), sha(r[1])) for r in got["line_dedup"]) == want
+    low = -(1 << 63)
+    assert Counter(low if r[0] is None else r[0] for r in got["near_duplicates"]) == Counter({r[1] for r in near_brute(rows)})
+    drawn = Counter(map(repr, (tuple(r)[:5] for r in mixing.mix(docs).where("_drawn").select(*docs.columns).collect())))
+    assert Counter(repr(r[:5]) for r in got["mixing"]) == drawn
+    tokens = named["pieces"](spark, docs, folder).collect()
+    lattice = pieces.Lattice(pieces.PieceTable.load())
+    assert Counter(repr((r["doc_id"], r["n_tokens"], list(r["token_ids"]))) for r in tokens) == Counter(repr((r[0], len(x := lattice.encode(r[1] or "").tolist()), x)) for r in rows)
+
+
+def test_run_equals_its_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        if name != "pieces":
+            rows = docs.collect()
+            docs = spark.createDataFrame(rows, docs.schema)
+    want = sorted(map(repr, map(tuple, docs.collect())))
+    assert sorted(map(repr, map(tuple, pipeline.run(spark, folder).collect()))) == want
+
+
 def test_run(spark, folder):
     out = pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_chars", "n_tokens", "token_ids"] and out.count() > 0
