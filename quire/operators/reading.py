@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.cfi_documents import anchor_offset
+from quire.functions.metadata import percent_decoded
+
 POSITION_STEP = 1024
 
 
@@ -69,6 +72,20 @@ def match_targets(nav: DataFrame, sections: DataFrame, path: str = "path", name:
     return wanted.join(best, "_n", "left").select(*nav.columns, F.col(f"hit.{order}").alias("target"))
 
 
+def nav_targets(nav: DataFrame, sections: DataFrame, href: str = "href", name: str = "name", order: str = "section_index", book: str = "book_id", html: str = "html") -> DataFrame:
+    """nav with target, the section that a path means, and offset, where its fragment's anchor begins in the section's text.
+
+    A href without a fragment means its section's beginning; a fragment that the section lacks gives no offset.
+    """
+    path, fragment = F.regexp_replace(href, "#.*$", ""), F.nullif(F.regexp_extract(href, "#(.*)$", 1), F.lit(""))
+    asked = nav.withColumns({"_path": percent_decoded(path), "_fragment": percent_decoded(fragment)})
+    met = match_targets(asked, sections.select(book, order, name), "_path", name, order, book)
+    texts = sections.select(F.col(book), F.col(order).alias("target"), F.col(html).alias("_html"))
+    found = met.join(texts, [book, "target"], "left")
+    offset = F.when(F.col("target").isNotNull() & F.col("_fragment").isNull(), F.lit(0)).otherwise(anchor_offset(F.col("_html"), F.col("_fragment")))
+    return found.select(*nav.columns, "target", offset.alias("offset"))
+
+
 def nav_paths(nav: DataFrame, spark, book: str = "book_id", deepest: int = 100) -> DataFrame:
     """nav (book, nav_id, parent_id, label) with depth and the path of labels from the top, by a recursive query."""
     nav.createOrReplaceTempView("_quire_nav")

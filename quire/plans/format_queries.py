@@ -12,7 +12,7 @@ from .function_queries import pick, pick_sql
 from .library import table
 from .made_files import book_file, catalogue_file, word_file
 
-KINDS = ["epub", "fb2", "fbz", "htmlz", "pdb", "mobi", "tiff", "zip"]
+KINDS = ["epub", "fb2", "fbz", "htmlz", "pdb", "mobi", "tiff", "zip", "azw3"]
 SOLID = r"[ \t\n\r]+"
 
 
@@ -25,12 +25,12 @@ def _made(spark, d):
 
 
 @query(
-    f"""SELECT conv_id, {pick_sql("conv_id", KINDS)} AS format, CASE WHEN conv_id % 8 < 7 THEN 'Talk ' || conv_id END AS title, CASE WHEN conv_id % 8 IN (4, 7) THEN NULL ELSE 'Author ' || conv_id END AS author, conv_id % 8 = 7 AS refused,
-    CAST(CASE conv_id % 8 WHEN 0 THEN count(*) WHEN 1 THEN count(*) WHEN 2 THEN count(*) WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 1 END AS INTEGER) AS n_sections,
-    sha256(CASE WHEN conv_id % 8 < 6 THEN coalesce(regexp_replace(string_agg(text, '' ORDER BY turn), '[ \\t\\n\\r]+', '', 'g'), '') ELSE '' END) AS sha256 FROM conversations GROUP BY conv_id"""
+    f"""SELECT conv_id, {pick_sql("conv_id", KINDS)} AS format, CASE WHEN conv_id % 9 <> 7 THEN 'Talk ' || conv_id END AS title, CASE WHEN conv_id % 9 IN (4, 7) THEN NULL ELSE 'Author ' || conv_id END AS author, conv_id % 9 = 7 AS refused,
+    CAST(CASE conv_id % 9 WHEN 8 THEN count(*) WHEN 0 THEN count(*) WHEN 1 THEN count(*) WHEN 2 THEN count(*) WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 1 END AS INTEGER) AS n_sections,
+    sha256(CASE WHEN conv_id % 9 NOT IN (6, 7) THEN coalesce(regexp_replace(string_agg(text, '' ORDER BY turn), '[ \\t\\n\\r]+', '', 'g'), '') ELSE '' END) AS sha256 FROM conversations GROUP BY conv_id"""
 )
 def made_books(spark, d):
-    """Conversations as EPUB, FB2 plain and zipped, zipped HTML, two Palm formats, TIFF tags and a broken archive, read back."""
+    """Conversations as EPUB, FB2 plain and zipped, zipped HTML, three Palm formats, TIFF tags and a broken archive, read back."""
     read = books.read_books(_made(spark, d))
     whole = F.array_join(F.transform(F.coalesce("sections", F.array()), lambda s: s["content"]), "")
     read = read.withColumn("conv_id", F.regexp_extract("book_id", r"(\d+)", 1).cast("long")).withColumn("plain", F.regexp_replace(text.plain_text(whole), SOLID, ""))
@@ -106,7 +106,7 @@ def signatures(spark, d):
     return table(spark, d, "customer").select("c_custkey", detect.detected_format(content).alias("format"), (detect.refine_mobi(palm) == "azw3").alias("is_kf8"))
 
 
-@query(f"SELECT conv_id, {pick_sql('conv_id', KINDS)} AS format, CASE WHEN conv_id % 8 < 7 THEN 'Talk ' || conv_id END AS title, CASE WHEN conv_id % 8 NOT IN (4, 7) THEN 'Author ' || conv_id END AS author FROM conversations GROUP BY conv_id")
+@query(f"SELECT conv_id, {pick_sql('conv_id', KINDS)} AS format, CASE WHEN conv_id % 9 <> 7 THEN 'Talk ' || conv_id END AS title, CASE WHEN conv_id % 9 NOT IN (4, 7) THEN 'Author ' || conv_id END AS author FROM conversations GROUP BY conv_id")
 def made_metadata(spark, d):
     """The same files, of which only the metadata is read."""
     read = books.read_metadata(_made(spark, d))

@@ -465,3 +465,15 @@ def opds_publications(spark, d):
     whole = F.concat(lit('{"metadata":{'), title, lit('"author":{"name":{"en":"Clerk"}},"modified":"'), stamp, lit('"},"links":[{"href":"x","rel":"'), rel, lit('"}]'), F.when(sixth == 4, lit("")).otherwise(lit("}")))
     read = o.select("o_orderkey", opds2.publications(whole).alias("p"))
     return read.select("o_orderkey", "p.title", "p.authors", "p.pointer", F.unix_micros(opds2.rfc3339_time(F.col("p.modified"))).alias("modified_us"))
+
+
+@query(
+    f"""WITH {TALKS} SELECT conv_id, CAST(k AS INTEGER) AS k, CAST(CASE k % 4 WHEN 3 THEN NULL ELSE 0 END AS INTEGER) AS target, CAST(CASE k % 4 WHEN 0 THEN pos WHEN 1 THEN 0 END AS INTEGER) AS "offset" FROM o"""
+)
+def navigation_offsets(spark, d):
+    """Navigation with fragments: to an anchor, to a section as a whole, to an anchor that is missing, to no section."""
+    pages = _talk_pages(spark, d)
+    sections = pages.select(F.col("conv_id").alias("book_id"), F.lit(0).alias("section_index"), F.lit("OEBPS/a talk.xhtml").alias("name"), "html").dropDuplicates(["book_id"])
+    href = F.concat(pick(F.col("k"), ["a%20talk.xhtml#t", "OEBPS/A%20talk.xhtml", "a%20talk.xhtml#none", "b.xhtml#t"]), F.when(F.col("k") % 4 != 1, F.col("k").cast("string")).otherwise(""))
+    nav = pages.select(F.col("conv_id").alias("book_id"), "k", href.alias("href"))
+    return reading.nav_targets(nav, sections).select(F.col("book_id").alias("conv_id"), "k", "target", "offset")

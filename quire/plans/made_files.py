@@ -97,6 +97,53 @@ def mobi(title: str, author: str, texts: list[str]) -> bytes:
     return palm(title, b"BOOKMOBI", [bytes(head) + exth + name, *parts])
 
 
+def _number(value: int) -> bytes:
+    out = [value & 0x7F | 0x80]
+    while value := value >> 7:
+        out.insert(0, value & 0x7F)
+    return bytes(out)
+
+
+def index_records(tags: list[tuple[int, int]], rows: list[tuple[bytes, list[list[int]]]], labels: bytes = b"") -> list[bytes]:
+    """An index: tags as (tag, values), each with a bit of its own; rows as (name, values of each tag)."""
+    head = bytearray(192)
+    head[:4], head[4:8], head[24:28], head[52:56] = b"INDX", struct.pack(">I", 192), struct.pack(">I", 1), struct.pack(">I", bool(labels))
+    layout = b"".join(bytes((tag, values, 1 << k, 0)) for k, (tag, values) in enumerate(tags)) + bytes((0, 0, 0, 1))
+    tagx = b"TAGX" + struct.pack(">II", 12 + len(layout), 1) + layout
+    body, places = b"", []
+    for name, values in rows:
+        places.append(192 + len(body))
+        body += bytes([len(name)]) + name + bytes([(1 << len(tags)) - 1]) + b"".join(_number(v) for own in values for v in own)
+    data = bytearray(192)
+    data[:4], data[20:24], data[24:28] = b"INDX", struct.pack(">I", 192 + len(body)), struct.pack(">I", len(rows))
+    return [bytes(head) + tagx, bytes(data) + body + b"IDXT" + b"".join(struct.pack(">H", p) for p in places), *([labels] if labels else [])]
+
+
+def azw3(title: str, author: str, texts: list[str]) -> bytes:
+    """A page for each text: a skeleton with one fragment in its body, and a navigation that leads to the fragments."""
+    raw, skeletons, fragments, points, labels = b"", [], [], [], b""
+    for k, t in enumerate(texts):
+        skeleton, piece = b"<html><body></body></html>", f'<p id="t{k}">{escape(t)}</p>'.encode()
+        into = len(raw) + skeleton.index(b"</body>")
+        skeletons.append((f"SKEL{k:010}".encode(), [[1], [len(raw), len(skeleton)]]))
+        fragments.append((f"{into:010}".encode(), [[0], [k], [k], [0, len(piece)]]))
+        points.append((f"{k:04}".encode(), [[len(labels)], [0], [k, 0]]))
+        label = f"Turn {k}".encode()
+        labels += _number(len(label)) + label
+        raw += skeleton + piece
+    parts, name, who = _records(raw), title.encode(), author.encode()
+    exth = b"EXTH" + struct.pack(">III", 12 + 8 + len(who), 1, 100) + struct.pack(">I", 8 + len(who)) + who
+    head = bytearray(struct.pack(">HHIHHHH", 2, 0, len(raw), len(parts), 4096, 0, 0) + b"MOBI" + struct.pack(">III", 248, 2, 65001) + bytes(232))
+    head[84:92] = struct.pack(">II", len(head) + len(exth), len(name))
+    head[0x68:0x6C], head[0xC0:0xC8] = struct.pack(">I", 8), struct.pack(">II", 0xFFFFFFFF, 1)
+    at, tables = 1 + len(parts), []
+    for place, index in ((0xF4, index_records([(3, 1), (4, 1), (6, 2)], points, labels + b"\0")), (0xF8, index_records([(2, 1), (3, 1), (4, 1), (6, 2)], fragments)), (0xFC, index_records([(1, 1), (6, 2)], skeletons))):
+        head[place : place + 4] = struct.pack(">I", at)
+        at += len(index)
+        tables += index
+    return palm(title, b"BOOKMOBI", [bytes(head) + exth + name, *parts, *tables])
+
+
 def tiff(title: str, author: str, texts: list[str]) -> bytes:
     """One directory with size, title and author."""
     strings = [title.encode() + b"\0", author.encode() + b"\0"]
@@ -112,7 +159,7 @@ def broken(title: str, author: str, texts: list[str]) -> bytes:
     return b"PK\3\4" + title.encode()
 
 
-MAKERS: dict[str, Callable[[str, str, list[str]], bytes]] = {"epub": epub, "fb2": fb2, "fbz": fbz, "htmlz": htmlz, "pdb": palmdoc, "mobi": mobi, "tiff": tiff, "zip": broken}
+MAKERS: dict[str, Callable[[str, str, list[str]], bytes]] = {"epub": epub, "fb2": fb2, "fbz": fbz, "htmlz": htmlz, "pdb": palmdoc, "mobi": mobi, "tiff": tiff, "zip": broken, "azw3": azw3}
 
 
 def book_file(kind: Column, title: Column, author: Column, texts: Column) -> Column:

@@ -193,6 +193,8 @@ def parse_epub(content: bytes) -> Book:
     if (enc := find(box, "META-INF/encryption.xml")) and any(x not in _FONT_CIPHERS for x in re.findall(r'EncryptionMethod[^>]*Algorithm="([^"]+)"', decode_text(box[enc]))):
         raise Refused("the book is protected")
     out = parse_opf(box[path])
+    item = cover_item(out)
+    out["cover"] = find(box, resolve(path, item.get("href", ""))) if item else None
     items = {m.get("id", ""): m | {"path": find(box, resolve(path, m.get("href", "")))} for m in out["manifest"]}
     for ref in out["spine"]:
         item = items.get(ref)
@@ -759,6 +761,11 @@ def parse_mobi(content: bytes) -> Book:
     for r in records[1 : 1 + count]:
         text += unpack(_without_trailers(r, flags))
     raw = bytes(text[:size])
+    if len(head) >= 0x100 and struct.unpack(">I", head[0x68:0x6C])[0] == 8:
+        from . import kf8
+
+        out["sections"], out["nav"] = kf8.book(raw, records, charset)
+        return out
     points = mobi6.navigation(mobi6.markup(raw.decode(charset, "replace")))
     parts = mobi6.sections(raw, [p["offset"] for p in points])
     names = [f"chapter{k + 1:05}.html" for k in range(len(parts))]
@@ -848,10 +855,10 @@ def _pdf(content: bytes) -> Book:
 
 PARSERS: dict[str, Callable[[bytes], Book]] = {
     "epub": parse_epub, "fb2": parse_fb2, "fbz": parse_fbz, "txt": parse_txt, "txtz": parse_txtz, "markdown": parse_markdown, "html": parse_html, "htmlz": parse_htmlz, "docx": parse_docx, "odt": parse_odt,
-    "rtf": parse_rtf, "cbz": parse_cbz, "cbc": parse_cbc, "pdb": parse_palmdoc, "mobi": parse_mobi, "pdf": _pdf, "tiff": parse_tiff, "opds": parse_opds,
+    "rtf": parse_rtf, "cbz": parse_cbz, "cbc": parse_cbc, "pdb": parse_palmdoc, "mobi": parse_mobi, "azw3": parse_mobi, "pdf": _pdf, "tiff": parse_tiff, "opds": parse_opds,
 }
 BOOK = """book_id string, format string, error string, title string, authors array<string>, languages array<string>, publisher string, description string, subjects array<string>,
-series string, series_index double, identifiers map<string,string>, sections array<struct<path: string, is_html: boolean, content: string>>, nav array<struct<label: string, target: string, depth: int>>"""
+series string, series_index double, identifiers map<string,string>, sections array<struct<path: string, is_html: boolean, content: string>>, nav array<struct<label: string, target: string, depth: int>>, cover string"""
 
 
 def zip_kind(content: bytes) -> str:
@@ -885,10 +892,11 @@ def parse(content: bytes, kind: str | None) -> tuple[str | None, Book | None, st
 
 
 def _read(files: DataFrame, path: str, content: str, reader: Callable, schema: str) -> DataFrame:
-    from .detect import detected_format
+    from .detect import detected_format, refine_mobi
 
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    kind = F.when(suffix.isin("md", "markdown"), "markdown").otherwise(detected_format(F.col(content)))
+    found = detected_format(F.col(content))
+    kind = F.when(suffix.isin("md", "markdown"), "markdown").when(found == "mobi", refine_mobi(F.col(content))).otherwise(found)
     fields = [x.strip().split(" ")[0] for x in re.split(r",\s*(?![^<]*>)", schema)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -909,7 +917,7 @@ def read_books(files: DataFrame, path: str = "path", content: str = "content") -
 
 
 #: Readers that leave texts alone; other formats are parsed as a whole.
-METADATA = {"epub": epub_metadata, "fb2": fb2_metadata, "fbz": fbz_metadata, "mobi": mobi_metadata}
+METADATA = {"epub": epub_metadata, "fb2": fb2_metadata, "fbz": fbz_metadata, "mobi": mobi_metadata, "azw3": mobi_metadata}
 META = "book_id string, format string, error string, title string, authors array<string>, languages array<string>, publisher string, description string, subjects array<string>, series string, series_index double, identifiers map<string,string>, cover string"
 
 
