@@ -64,7 +64,7 @@ def container_rules(books: DataFrame, entries: DataFrame) -> list[DataFrame]:
         finding(books.join(container, "book_id", "left_anti"), "container.missing", F.lit("META-INF/container.xml")),
         finding(books.where("rootfile IS NULL"), "container.rootfile.missing", F.lit("")),
         finding(root.join(entries.select("book_id", "path").distinct(), ["book_id", "path"], "left_anti"), "container.rootfile.path-unresolved", F.col("path")),
-        *([finding(books.where(F.col("rootfile").isNotNull() & (F.coalesce("rootfile_type", F.lit("")) != PACKAGE_TYPE)), "container.rootfile.media-type-unsupported", F.col("rootfile_type"))] if "rootfile_type" in books.columns else []),
+        *([finding(books.where(F.col("rootfile").isNotNull() & (F.col("rootfile_type") != PACKAGE_TYPE)), "container.rootfile.media-type-unsupported", F.col("rootfile_type"))] if "rootfile_type" in books.columns else []),
         finding(books.where(major.isNull() | (major < 2) | (major >= 4)), "package.version-unsupported", F.col("version")),
     ]
 
