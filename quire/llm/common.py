@@ -7,12 +7,8 @@ rows equal in both are handled alike and each keeps its own output row.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, suppress
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
@@ -20,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.shipping import ship
+from quire.sinks.shared import drop, new_path
+
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 500
@@ -31,7 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, for tables with very long texts."""
+    """Bound what one Arrow batch holds, for tables with very long texts, and see that workers have this package.
+
+    The settings stay: they are read when the DataFrame that the caller returns is run.
+    """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -110,35 +113,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and every executor see: ``spark.checkpoint.dir``.
-
-    A single-process session without that setting gets a temporary folder, removed
-    at exit.  Any other session without it is refused: no other folder is known to
-    be shared (the warehouse's default is the driver's own disk).
-    """
-    if given := spark.conf.get("spark.checkpoint.dir", None):
-        return given.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + (path := tempfile.mkdtemp(prefix="quire-"))
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-#: Stages that nothing has dropped yet: they go when the driver ends.
-_LEFT: dict[str, SparkSession] = {}
-
-
-def _drop_left() -> None:
-    for path, spark in list(_LEFT.items()):
-        with suppress(Exception):  # the session may have ended before
-            drop_stages(spark, [path])
-
-
-atexit.register(_drop_left)
 _OPEN: ContextVar[list[str] | None] = ContextVar("stages", default=None)
 
 
@@ -154,18 +128,14 @@ def own_stages() -> Iterator[list[str]]:
 
 
 def drop_stages(spark: SparkSession, paths: list[str]) -> None:
-    for p in paths:
-        _LEFT.pop(p, None)
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, paths)
 
 
 def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     if (own := _OPEN.get()) is not None:
         own.append(path)
-    _LEFT[path] = df.sparkSession
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
