@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import cfi_documents as cfi
 from quire.functions import locators, metadata, text
-from quire.operators import anchors, catalogue, index, package_rules, reading, spatial
+from quire.operators import anchors, catalogue, index, package_rules, reading, segments, spatial
 from quire.sinks import codecs, index_store
 from quire.sinks.shared import new_path
 from quire.sources import mobi6, opds2
@@ -359,11 +359,11 @@ def _talk_pages(spark, d):
 
 @query(
     f"""WITH {TALKS} SELECT conv_id, CAST(k AS INTEGER) AS k, 'epubcfi(/6/' || (k + 1) * 2 || '!/4/' || (k + 1) * 2 || '[t' || k || ']/1:' || n // 2 || ')' AS cfi, CAST(pos + n // 2 AS INTEGER) AS start, CAST(pos AS INTEGER) AS anchor,
-    CASE WHEN n > 1 THEN 'epubcfi(/4/' || (k + 1) * 2 || '[t' || k || '],/1:0,/1:' || n // 2 || ')' END AS span, CASE WHEN n > 1 THEN CAST(pos + n // 2 AS INTEGER) END AS span_end FROM o WHERE n > 0"""
+    CASE WHEN n > 1 THEN 'epubcfi(/4/' || (k + 1) * 2 || '[t' || k || '],/1:0,/1:' || n // 2 || ')' END AS span, CASE WHEN n > 1 THEN CAST(pos + n // 2 AS INTEGER) END AS span_end FROM o"""
 )
 def cfi_documents(spark, d):
     """Places and ranges in sections as identifiers, resolved back to offsets, and offsets of anchors."""
-    pages = _talk_pages(spark, d).where("text <> ''").withColumn("n", F.length("text"))
+    pages = _talk_pages(spark, d).withColumn("n", F.length("text"))
     anchor = cfi.anchor_offset(F.col("html"), F.concat(F.lit("t"), "k"))
     pages = pages.withColumn("anchor", anchor).withColumn("mid", F.col("anchor") + F.floor(F.col("n") / 2).cast("int"))
     pages = pages.withColumn("cfi", cfi.cfi_for(F.col("html"), F.col("mid"), section=F.col("k"))).withColumn("span", F.when(F.col("n") > 1, cfi.cfi_for(F.col("html"), F.col("anchor"), F.col("mid"))))
@@ -477,3 +477,16 @@ def navigation_offsets(spark, d):
     href = F.concat(pick(F.col("k"), ["a%20talk.xhtml#t", "OEBPS/A%20talk.xhtml", "a%20talk.xhtml#none", "b.xhtml#t"]), F.when(F.col("k") % 4 != 1, F.col("k").cast("string")).otherwise(""))
     nav = pages.select(F.col("conv_id").alias("book_id"), "k", href.alias("href"))
     return reading.nav_targets(nav, sections).select(F.col("book_id").alias("conv_id"), "k", "target", "offset")
+
+
+@query(
+    """WITH w AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS k FROM lineitem)
+    SELECT l_suppkey, CAST(k // 400 AS INTEGER) AS page, CAST(k % 400 AS INTEGER) AS k, CAST(k % 400 // 10 AS INTEGER) AS line, CAST(k % 400 // 50 AS INTEGER) AS block FROM w"""
+)
+def page_segments(spark, d):
+    """Rows as words of pages, dealt to lines of ten and paragraphs of five lines, which are found again from the words' places."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    words = table(spark, d, "lineitem").withColumn("n", F.row_number().over(order) - 1).withColumn("k", F.col("n") % 400)
+    line = F.floor(F.col("k") / 10)
+    words = words.select("l_suppkey", F.floor(F.col("n") / 400).cast("int").alias("page"), "k", (F.col("k") % 10 * 10.0).alias("x"), (line * 24.0 + F.floor(line / 5) * 100.0).alias("y"), F.lit(8.0).alias("w"), F.lit(10.0).alias("h"))
+    return segments.segmented(words, ["l_suppkey", "page"]).select("l_suppkey", "page", "k", "line", "block")
