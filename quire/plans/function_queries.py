@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import cfi_documents as cfi
 from quire.functions import locators, metadata, text
-from quire.operators import anchors, catalogue, index, package_rules, reading, segments, spatial
+from quire.operators import anchors, canonical, catalogue, index, package_rules, reading, segments, spatial
 from quire.sinks import codecs, index_store
 from quire.sinks.shared import new_path
 from quire.sources import mobi6, opds2
@@ -490,3 +490,24 @@ def page_segments(spark, d):
     line = F.floor(F.col("k") / 10)
     words = words.select("l_suppkey", F.floor(F.col("n") / 400).cast("int").alias("page"), "k", (F.col("k") % 10 * 10.0).alias("x"), (line * 24.0 + F.floor(line / 5) * 100.0).alias("y"), F.lit(8.0).alias("w"), F.lit(10.0).alias("h"))
     return segments.segmented(words, ["l_suppkey", "page"]).select("l_suppkey", "page", "k", "line", "block")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, coalesce(text, '') AS text FROM conversations),
+    c AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM t WHERE k % 3 <> 2 AND conv_id % 5 <> 0),
+    r AS (SELECT conv_id, k, CASE WHEN conv_id % 5 = 0 THEN 'no-canonical-text' WHEN k % 7 = 3 THEN 'text-mismatch' WHEN k % 7 = 4 THEN 'bounds' WHEN k % 3 = 2 THEN 'line-dropped' END AS reason FROM t)
+    SELECT conv_id, CAST(k AS INTEGER) AS line_no, CASE reason WHEN 'no-canonical-text' THEN 'unsupported' ELSE CASE WHEN reason IS NULL THEN 'mapped' ELSE 'missing' END END AS outcome, reason, CAST(CASE WHEN reason IS NULL THEN prefix + 2 END AS INTEGER) AS "offset", CAST(CASE WHEN reason IS NULL THEN 3 END AS INTEGER) AS length
+    FROM r LEFT JOIN c USING (conv_id, k) UNION ALL SELECT DISTINCT conv_id, 999, CASE WHEN conv_id % 5 = 0 THEN 'unsupported' ELSE 'missing' END, CASE WHEN conv_id % 5 = 0 THEN 'no-canonical-text' ELSE 'line-out-of-range' END, NULL, NULL FROM t"""
+)
+def source_ranges(spark, d):
+    """Ranges of source lines carried into a canonical text that lacks some lines, with the reason where they cannot be."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    source = table(spark, d, "conversations").select("conv_id", (F.row_number().over(w) - 1).cast("int").alias("line_no"), F.coalesce("text", F.lit("")).alias("text"))
+    source = source.withColumn("y", F.col("line_no") * 12.0)  # where the line stands on its page
+    kept = source.where("line_no % 3 <> 2 AND conv_id % 5 <> 0")  # what the reflow left
+    lines = kept.withColumn("line_no", (F.row_number().over(Window.partitionBy("conv_id").orderBy("line_no")) - 1).cast("int"))
+    late = F.when(F.col("line_no") % 7 == 4, F.length("text") + 1).otherwise(5).cast("int")
+    ranges = source.select("conv_id", "line_no", F.lit(2).alias("start"), late.alias("end"), F.when(F.col("line_no") % 7 == 3, "other").otherwise(F.col("text")).alias("expected"))
+    beyond = source.select("conv_id").distinct().select("conv_id", F.lit(999).alias("line_no"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(None).cast("string").alias("expected"))
+    found = canonical.mapped_ranges(ranges.unionByName(beyond), source, lines, ["conv_id"], ["text", "y"])
+    return found.select("conv_id", "line_no", "outcome", "reason", "offset", "length")

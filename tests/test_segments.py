@@ -51,3 +51,19 @@ def test_components_and_small_pages():
     assert segments.lines_of([{"x": 1.0, "y": 2.0, "w": 3.0, "h": 4.0}]).tolist() == [0]
     one = [{"x": 0.0, "y": 0.0, "w": 5.0, "h": 5.0}, {"x": 0.0, "y": 0.0, "w": 5.0, "h": 5.0}]
     assert segments.blocks_of(one, segments.lines_of(one)).tolist() == [0, 0]
+
+
+def test_lines_and_ranges_of_canonical_texts(spark):
+    from quire.operators import canonical
+
+    source = spark.createDataFrame([("p", 0, "a", 1.0), ("p", 1, "head", None), ("p", 2, "a", 1.0), ("p", 3, "b", 2.0), ("q", 0, "x", 1.0)], "page string, line_no int, text string, y double")
+    lines = spark.createDataFrame([("p", 0, "a", 1.0), ("p", 1, "a", 1.0), ("p", 2, "head", None), ("p", 3, "new", 9.0)], source.schema)
+    got = {(r["page"], r["line_no"]): r["source_line"] for r in canonical.aligned_lines(lines, source, ["page"], ["text", "y"]).collect()}
+    assert got == {("p", 0): 2, ("p", 1): 0, ("p", 2): 1, ("p", 3): None}
+    ranges = spark.createDataFrame([("p", 1, 1, 3, "head"), ("p", 3, 0, 1, None), ("q", 0, 0, 1, None), ("p", 9, 0, 1, None), ("p", 0, 0, 2, None)], "page string, line_no int, start int, end int, expected string")
+    got = {(r["page"], r["line_no"]): (r["outcome"], r["reason"], r["offset"]) for r in canonical.mapped_ranges(ranges, source, lines, ["page"], ["text", "y"]).collect()}
+    assert got == {("p", 1): ("mapped", None, 5), ("p", 3): ("missing", "line-dropped", None), ("q", 0): ("unsupported", "no-canonical-text", None), ("p", 9): ("missing", "line-out-of-range", None), ("p", 0): ("missing", "bounds", None)}
+    other = spark.createDataFrame([("p", "xx ab yy ab", "ab"), ("q", "ab", "ab"), ("r", "none", "ab")], "page string, target string, line_text string")
+    asked = other.selectExpr("page", "line_text", "1 AS start", "2 AS end")
+    got = {r["page"]: (r["outcome"], r["offsets"]) for r in canonical.mapped_into(asked, other, ["page"]).collect()}
+    assert got == {"p": ("ambiguous", [4, 10]), "q": ("mapped", [1]), "r": ("missing", [])}
