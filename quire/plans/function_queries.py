@@ -456,7 +456,7 @@ def page_orientations(spark, d):
     """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 'Order ' || o_orderkey END AS title, CASE WHEN o_orderkey % 6 IN (0, 5) THEN ['Clerk'] END AS authors,
     CASE o_orderkey % 6 WHEN 1 THEN '/links' WHEN 2 THEN '/metadata/title' WHEN 3 THEN '/metadata/modified' WHEN 4 THEN '' END AS pointer, CASE WHEN o_orderkey % 6 IN (0, 5) THEN epoch_us(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 10 HOUR) END AS modified_us FROM orders"""
 )
-def opds_publications(spark, d):
+def feed_publications(spark, d):
     """Publications in JSON: read, or refused with the place that is wrong; times as instants."""
     o, lit, sixth = table(spark, d, "orders"), F.lit, F.col("o_orderkey") % 6
     title = F.when(sixth == 2, lit("")).otherwise(F.concat(lit('"title":"Order '), "o_orderkey", lit('",')))
