@@ -13,7 +13,7 @@ its size follows the training text (at most three transitions a symbol) and not
 the number of letters of all scripts.
 
 Learned from labelled rows whose crc32(doc_id as text) mod 4 is not 2: of each
-language the first ``SAMPLE_DOCS`` by a hash of doc_id, and of these, whole texts
+language the first ``SAMPLE_DOCS`` by a hash of (doc_id, text), and of these, whole texts
 only, as many as fit together into ``SAMPLE_SYMBOLS`` characters (one at least,
 the shortest if none fits).  These two parameters bound what is learned from; no
 text is cut.  A model of at most ``MODEL_SYMBOLS`` characters goes to the workers
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, whole_text
+from .common import bounded_batches, staged, whole_text
 
 SAMPLE_DOCS = 256
 SAMPLE_SYMBOLS = 1 << 16
@@ -53,21 +53,26 @@ def held_out():
 
 
 def _chosen(docs: DataFrame) -> dict[str, list[tuple[int, int, int]]]:
-    """lang -> (doc_id, hash of text, length) of its sample; each task keeps only its first rows of a language before the shuffle."""
+    """lang -> (doc_id, hash of text, length) of its sample, the rows first by a hash of (doc_id, text).
+
+    Labelled rows are counted by language first.  Of n rows only those whose hash lies in
+    the lowest 4 x ``SAMPLE_DOCS`` / n of its range meet in a task: the first
+    ``SAMPLE_DOCS`` are among them but for a chance below 1e-100.
+    """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    rows = rows.select("lang", "doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("n"))
-    many = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if many > MOST_LANGUAGES:
+    rows = staged(rows.select("lang", "doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("n"), F.xxhash64("doc_id", "text").alias("h")).distinct(), "labelled", "zstd")
+    many = rows.groupBy("lang").agg(F.count("*").alias("rows")).limit(MOST_LANGUAGES + 1).collect()
+    if len(many) > MOST_LANGUAGES:
         raise ValueError(f"lang holds more than {MOST_LANGUAGES} values")
-    # First rows of a language's sixty-four parts, then of the language: no task gets more than 64 x SAMPLE_DOCS rows of one.
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    for by in (("lang", F.pmod("h", F.lit(64))), ("lang",)):
-        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id", "th"))).where(F.col("k") <= SAMPLE_DOCS)
+    if not many:
+        return {}
+    counts = F.broadcast(docs.sparkSession.createDataFrame(many, "lang string, rows bigint"))
+    share = F.col("h").cast("double") / F.lit(2.0**64) + 0.5
+    first = rows.join(counts, "lang").where(share * F.col("rows") < 4 * SAMPLE_DOCS)
+    w = Window.partitionBy("lang").orderBy("h", "doc_id", "th")
     out: dict[str, list[tuple[int, int, int]]] = {}
-    for r in rows.orderBy("lang", "k").collect():
-        own = out.setdefault(r["lang"], [])
-        if (r["doc_id"], r["th"], r["n"]) not in own:
-            own.append((r["doc_id"], r["th"], r["n"]))
+    for r in first.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS).orderBy("lang", "k").collect():
+        out.setdefault(r["lang"], []).append((r["doc_id"], r["th"], r["n"]))
     return {lang: fitting(own) for lang, own in out.items()}
 
 
