@@ -452,7 +452,13 @@ def smart_punctuation(spark, d):
     return docs.select("doc_id", F.sha2(text.smarten_punctuation(F.col("text")), 256).alias("sha256"))
 
 
-@query()
+OPENED = r"(^|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}(\[{—–])"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, replace(replace(text, '...', '…'), '--', '—') AS t FROM documents), b AS (SELECT doc_id, replace(regexp_replace(t, '{OPENED}"', '\\1“', 'g'), '"', '”') AS t FROM a)
+    SELECT doc_id, sha256(replace(regexp_replace(t, '{OPENED}''', '\\1‘', 'g'), '''', '’')) AS sha256 FROM b"""
+)
 def smart_punctuation_all(spark, d):
     """Over every document, those with quotes too."""
     return table(spark, d, "documents").select("doc_id", F.sha2(text.smarten_punctuation(F.col("text")), 256).alias("sha256"))
