@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import metadata, text
 from quire.operators import anchors, annotations, catalogue, index, package_rules, reading, search, spatial
+from quire.sinks import index_store
 from quire.sinks.shared import staged
 from quire.sources import books, detect
 
@@ -277,6 +278,16 @@ def index_hits(spark, d):
     return index.search(postings, stats, ["doc_id"], "apache license", "prefix", terms=terms).select("doc_id", "start", "end", r6(F.col("score"), "score"))
 
 
+@query(ORACLE_SQL["index_hits"].replace("SELECT doc_id, start,", "SELECT (SELECT count(*) FROM documents) AS eligible, doc_id, start,", 1))
+def index_wire(spark, d):
+    """The same hits with the coverage of the index, as JSON and back."""
+    postings, stats, terms = stored_index(spark, d)
+    hits = index.search(postings, stats, ["doc_id"], "apache license", "prefix", terms=terms)
+    sent = index_store.results_json(hits, index.coverage(table(spark, d, "documents"), terms, stats, failed=F.lit(False)))
+    back = index_store.results_of(sent, "doc_id: bigint, start: int, end: int, score: double")
+    return back.select(F.col("coverage.eligible").alias("eligible"), F.explode("hits").alias("h")).select("eligible", "h.doc_id", "h.start", "h.end", r6(F.col("h.score"), "score"))
+
+
 @query(f"""WITH {_offsets_sql("(?is)\\b(?:apache[^a-z0-9_](?:.{0,18}[^a-z0-9_])?version|version[^a-z0-9_](?:.{0,18}[^a-z0-9_])?apache)\\b")} SELECT doc_id, start, CAST(start + n AS INTEGER) AS "end" FROM hit""")
 def search_proximity(spark, d):
     """Two words in any order, at most twenty characters apart."""

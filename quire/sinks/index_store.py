@@ -67,3 +67,24 @@ def load(spark: SparkSession, path: str, sections: DataFrame, keys: list[str], i
 def wire(rows: DataFrame) -> DataFrame:
     """Rows as JSON, one each."""
     return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+COVERAGE = "eligible bigint, indexed bigint, failed bigint, pending bigint, tokens bigint, occurrences bigint, terms bigint, is_complete boolean"
+
+
+def results_json(hits: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row of JSON: the hits of a query, which its limit bounds, in their order, and what of the sections was searched."""
+    order = F.struct(-F.col("score"), *[c for c in hits.columns if c != "score"])
+    ranked = hits.agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct(*hits.columns).alias("hit")))), lambda x: x["hit"]).alias("hits"))
+    counters = coverage.select(F.struct(*[x.split()[0] for x in COVERAGE.split(", ")]).alias("coverage"))
+    return ranked.crossJoin(counters).select(F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("v"), "coverage", "hits")).alias("json"))
+
+
+def results_of(rows: DataFrame, hit: str, json: str = "json") -> DataFrame:
+    """coverage and hits of ``results_json``; ``hit`` is the schema of one. Null where the JSON is of another version or its counters are none."""
+    read = rows.select(F.from_json(json, f"v int, coverage struct<{', '.join(f'{n}: {t}' for n, t in (x.split() for x in COVERAGE.split(', ')))}>, hits array<struct<{hit}>>").alias("r"))
+    c = F.col("r.coverage")
+    good = (F.col("r.v") == SCHEMA_VERSION) & (c["indexed"] + c["failed"] + c["pending"] == c["eligible"]) & F.col("r.hits").isNotNull()
+    for name in ("eligible", "indexed", "failed", "pending", "tokens", "occurrences", "terms"):
+        good = good & (c[name] >= 0)
+    return read.select(F.when(good, c).alias("coverage"), F.when(good, F.col("r.hits")).alias("hits"))

@@ -88,6 +88,18 @@ def test_written_index(spark, tmp_path):
     assert (got["eligible"], got["failed"], got["pending"], got["indexed"], got["is_complete"]) == (18, 3, 1, 14, False)
 
 
+def test_results_as_json(spark):
+    df, p, st = build(spark, "grey heron heron", "heron", None)
+    cover = index.coverage(df, index.vocabulary(p), st.where("s < 2"))
+    hits = index.search(p, st, ["s"], "heron")
+    sent = index_store.results_json(hits, cover)
+    got = index_store.results_of(sent, "s: int, start: int, end: int, score: double").first()
+    assert [tuple(h) for h in got["hits"]] == [tuple(h) for h in hits.collect()] and len(got["hits"]) == 3
+    assert (got["coverage"]["failed"], got["coverage"]["is_complete"]) == (1, False)
+    wrong = sent.select(F.regexp_replace("json", '"indexed":2', '"indexed":3').alias("json")).union(sent.select(F.regexp_replace("json", '"v":2', '"v":1'))).union(sent.select(F.lit("no json")))
+    assert all(r["hits"] is None and r["coverage"] is None for r in index_store.results_of(wrong, "s: int").collect())
+
+
 def test_tokens_in_arrays_equal_the_scalar_tokenizer(spark):
     import random
 
