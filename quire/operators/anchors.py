@@ -9,6 +9,7 @@ Equally good places are ambiguous.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -66,8 +67,41 @@ def _best(found: DataFrame, stage: str) -> DataFrame:
     return one.select("anchor_id", F.when(sure, "resolved").otherwise("ambiguous").alias("outcome"), F.lit(stage).alias("pass"), *[F.when(sure, F.col(f"p.{c}")).alias(c) for c in ("section", "start", "end")])
 
 
-def resolve(anchors: DataFrame, sections: DataFrame, fuzzy: bool = True, section: str = "section", text: str = "text", most: int = 8) -> DataFrame:
-    """anchor_id, outcome (resolved, ambiguous, missing), pass, section, start, end."""
+@dataclass(frozen=True)
+class Limits:
+    """What an anchor may hold, and how far the last stage goes."""
+
+    max_quote: int = 4_096
+    max_context: int = 512
+    max_fuzzy_quote: int = 256
+    max_distance: int = 8
+
+    def __post_init__(self):
+        if any(v <= 0 for v in vars(self).values()):
+            raise ValueError("limits are positive")
+
+
+#: How far an anchor may be carried: to the same text alone, within its publication, or by its quote anywhere.
+VERIFIED, MIGRATION, RECOVERY = "verified", "migration", "recovery"
+
+
+def resolve(anchors: DataFrame, sections: DataFrame, fuzzy: bool = True, section: str = "section", text: str = "text", policy: str = RECOVERY, limits: Limits = Limits()) -> DataFrame:
+    """anchor_id, outcome (resolved, ambiguous, missing, incompatible, unsupported), pass, section, start, end.
+
+    Anchors past the limits are unsupported.  Under ``verified`` what the identity pass
+    does not find is incompatible; under ``migration`` so is what was captured in another
+    publication than the sections' (columns ``publication`` on both sides, nulls being equal).
+    """
+    if policy not in (VERIFIED, MIGRATION, RECOVERY):
+        raise ValueError(f"unknown policy {policy!r}")
+    fits = (F.length("quote") <= limits.max_quote) & (F.greatest(F.length("before"), F.length("after")) <= limits.max_context)
+    refused = [anchors.where(~fits).select("anchor_id", F.lit("unsupported").alias("outcome"))]
+    anchors = anchors.where(fits)
+    if policy == MIGRATION:
+        known = sections.select(F.col("publication").alias("_p")).distinct()
+        here = F.col("publication").eqNullSafe(F.col("_p"))
+        refused.append(anchors.join(known, here, "left_anti").select("anchor_id", F.lit("incompatible").alias("outcome")))
+        anchors = anchors.join(known, here, "left_semi")
     live = sections.select(F.col(section).alias("section"), F.col(text).alias("text"))
     told = anchors.select("anchor_id", F.col(section).alias("home"), F.col("start").alias("was_start"), F.col("end").alias("was_end"), "revision", "quote", "before", "after")
     digests = live.select("section", text_revision(F.col("text")).alias("revision"))
@@ -80,6 +114,9 @@ def resolve(anchors: DataFrame, sections: DataFrame, fuzzy: bool = True, section
     # What each stage found and left open is written, so that no stage is computed twice.
     parts[0] = staged(parts[0], "identity")
     rest = staged(still(told), "rest")
+    if policy == VERIFIED:
+        refused.append(rest.select("anchor_id", F.lit("incompatible").alias("outcome")))
+        rest, fuzzy = rest.limit(0), False
     exact = exact_quotes(rest, live).withColumn("end", F.col("start") + F.length("quote"))
     exact = exact.withColumn("score", context_score(F.col("text"), F.col("start"), F.col("end"), F.col("before"), F.col("after")))
     parts.append(staged(_best(exact, "exact"), "exact"))
@@ -92,14 +129,16 @@ def resolve(anchors: DataFrame, sections: DataFrame, fuzzy: bool = True, section
     parts.append(staged(_best(loose, "normalized"), "normalized"))
     rest = staged(still(rest), "rest")
     if fuzzy:
-        near = approximate_places(rest.select("anchor_id", "quote"), live, "anchor_id", "section", most=most)
+        short = rest.where(F.length("quote") <= limits.max_fuzzy_quote).select("anchor_id", "quote")
+        near = approximate_places(short, live, "anchor_id", "section", most=limits.max_distance)
         near = near.join(rest.select("anchor_id", "before", "after"), "anchor_id").join(live, "section")
         near = near.withColumn("score", context_score(F.col("text"), F.col("start"), F.col("end"), F.col("before"), F.col("after")) - F.col("distance") * 0x10000)
         parts.append(staged(_best(near, "fuzzy"), "fuzzy"))
         rest = still(rest)
     none = F.lit(None)
     kinds = dict(parts[0].dtypes)
-    parts.append(rest.select("anchor_id", F.lit("missing").alias("outcome"), none.cast("string").alias("pass"), *[none.cast(kinds[c]).alias(c) for c in ("section", "start", "end")]))
+    refused.append(rest.select("anchor_id", F.lit("missing").alias("outcome")))
+    parts += [r.select("anchor_id", "outcome", none.cast("string").alias("pass"), *[none.cast(kinds[c]).alias(c) for c in ("section", "start", "end")]) for r in refused]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

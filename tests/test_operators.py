@@ -100,6 +100,23 @@ def test_results_as_json(spark):
     assert all(r["hits"] is None and r["coverage"] is None for r in index_store.results_of(wrong, "s: int").collect())
 
 
+def test_anchor_policies_and_limits(spark):
+    text, other = "one two three four five six seven eight nine ten", "red green blue black white brown grey pink gold lilac"
+    sections = spark.createDataFrame([(0, text + " more", "pub"), (1, other, None)], "section int, text string, publication string")
+    made = anchors.capture(spark.createDataFrame([(0, text, "pub"), (1, other, None)], sections.schema), spark.createDataFrame([("moved", 0, 0, 40), ("same", 1, 6, 40)], "anchor_id string, section int, start int, end int"))
+    away = made.where("anchor_id = 'moved'").withColumns({"anchor_id": F.lit("away"), "publication": F.lit("elsewhere")})
+    long = made.where("anchor_id = 'moved'").withColumns({"anchor_id": F.lit("long"), "quote": F.repeat(F.lit("x"), 5000), "publication": F.lit("pub")})
+    all_ = made.withColumn("publication", F.when(F.col("section") == 0, "pub")).unionByName(away).unionByName(long)
+    outcomes = lambda **more: {r["anchor_id"]: r["outcome"] for r in anchors.resolve(all_, sections, **more).collect()}
+    assert outcomes(policy="verified") == {"same": "resolved", "moved": "incompatible", "away": "incompatible", "long": "unsupported"}
+    assert outcomes(policy="migration", fuzzy=False) == {"same": "resolved", "moved": "resolved", "away": "incompatible", "long": "unsupported"}
+    assert outcomes(fuzzy=False) == {"same": "resolved", "moved": "resolved", "away": "resolved", "long": "unsupported"}
+    with pytest.raises(ValueError):
+        anchors.resolve(all_, sections, policy="none")
+    with pytest.raises(ValueError):
+        anchors.Limits(max_quote=0)
+
+
 def test_tokens_in_arrays_equal_the_scalar_tokenizer(spark):
     import random
 
