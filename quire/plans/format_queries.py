@@ -111,3 +111,19 @@ def made_metadata(spark, d):
     """The same files, of which only the metadata is read."""
     read = books.read_metadata(_made(spark, d))
     return read.select(F.regexp_extract("book_id", r"(\d+)", 1).cast("long").alias("conv_id"), "format", F.nullif("title", F.lit("")).alias("title"), F.try_element_at("authors", F.lit(1)).alias("author"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Beside ' || p_partkey WHEN 1 THEN 'Of the folder' WHEN 2 THEN p_name ELSE 'A - B ' || p_partkey END AS title,
+    CASE p_partkey % 4 WHEN 0 THEN ['Own'] WHEN 1 THEN ['Folder'] WHEN 2 THEN ['Name'] ELSE ['Author ' || p_partkey] END AS authors FROM part"""
+)
+def sidecars_and_names(spark, d):
+    """Metadata beside a book, of its folder, its own, and of its file name."""
+    key, number = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    fourth = key % 4
+    folder = F.when(fourth == 1, F.lit("/lib/common/")).otherwise(F.lit("/lib/own/"))
+    path = F.concat(folder, F.when(fourth == 3, F.concat(F.lit("A - B "), number, F.lit(" - Author "), number)).when(fourth == 2, F.concat(F.lit("T "), number, F.lit(" - Name"))).otherwise(number), F.lit(".epub"))
+    made = table(spark, d, "part").select("p_partkey", path.alias("book_id"), F.when(fourth == 3, "").otherwise(F.col("p_name")).alias("title"), F.array().cast("array<string>").alias("authors"))
+    beside = made.where(fourth == 0).select(F.regexp_replace("book_id", "epub$", "opf").alias("path"), F.concat(F.lit("Beside "), number).alias("title"), F.array(F.lit("Own")).alias("authors"))
+    common = spark.createDataFrame([("/lib/common/metadata.opf", "Of the folder", ["Folder"])], "path string, title string, authors array<string>")
+    return books.with_sidecars(made, beside.unionByName(common)).select("p_partkey", "title", "authors")

@@ -949,7 +949,16 @@ def with_sidecars(books: DataFrame, sidecars: DataFrame) -> DataFrame:
     out = books.withColumn("_stem", stem(F.col("book_id"))).withColumn("_folder", folder(F.col("book_id"))).join(own, "_stem", "left").join(common, "_folder", "left")
     filled = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs], F.lit(""))
     list_ = lambda *cs: F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in cs], F.array().cast("array<string>"))
-    named = F.regexp_extract(F.regexp_replace("_stem", "^.*/", ""), r"^(.+)\s+-\s+([^-]+)$", 1)
     out = out.withColumn("title", F.when(F.col("_t1").isNotNull(), filled("_t1", "title")).otherwise(filled("_t2", "title")))
     out = out.withColumn("authors", F.when(F.col("_t1").isNotNull(), list_("_a1", "authors")).otherwise(list_("_a2", "authors")))
-    return out.withColumn("title", F.when(F.col("title") == "", named).otherwise(F.col("title"))).drop("_stem", "_folder", "_t1", "_a1", "_t2", "_a2")
+    return with_file_names(out.drop("_stem", "_folder", "_t1", "_a1", "_t2", "_a2"))
+
+
+def with_file_names(books: DataFrame, path: str = "book_id") -> DataFrame:
+    """What a book lacks of title and authors, from a file name like ``Title - Author``: the title may hold dashes, the author may not."""
+    name = F.trim(F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"(?<=.)\.[^./]*$", ""))
+    pattern = r"^(.+)\s+-\s+([^-]+)$"
+    title, author = (F.trim(F.regexp_extract(name, pattern, k)) for k in (1, 2))
+    whole = (title != "") & (author != "")
+    lacks = F.coalesce(F.size("authors"), F.lit(0)) <= 0
+    return books.withColumns({"title": F.when((F.coalesce("title", F.lit("")) == "") & whole, title).otherwise(F.col("title")), "authors": F.when(lacks & whole, F.array(author)).otherwise(F.col("authors"))})

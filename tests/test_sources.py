@@ -184,7 +184,7 @@ def test_sidecars(spark):
     b = spark.createDataFrame([("d/a.txt", "own", ["x"]), ("d/Great Book - Ann Lee.txt", "", []), ("e/c.txt", "", [])], "book_id string, title string, authors array<string>")
     s = spark.createDataFrame([("d/a.opf", "", ["S"]), ("e/metadata.opf", "From folder", [])], "path string, title string, authors array<string>")
     got = {r["book_id"]: (r["title"], r["authors"]) for r in books.with_sidecars(b, s).collect()}
-    assert got == {"d/a.txt": ("own", ["S"]), "d/Great Book - Ann Lee.txt": ("Great Book", []), "e/c.txt": ("From folder", [])}
+    assert got == {"d/a.txt": ("own", ["S"]), "d/Great Book - Ann Lee.txt": ("Great Book", ["Ann Lee"]), "e/c.txt": ("From folder", [])}
 
 
 def test_refinements(spark):
