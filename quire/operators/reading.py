@@ -62,14 +62,16 @@ def match_targets(nav: DataFrame, sections: DataFrame, path: str = "path", name:
     """Each nav row with the first section it means: equal path, equal but for case, or a path that ends in it.
 
     Suffixes are compared by equality on every suffix of a section's name, so the join stays an equi-join.
+    Both sides grow with the books, however small their files look to the planner: neither is broadcast.
     """
     parts = F.split(F.lower(name), "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
     keyed = sections.select(F.col(book), F.col(order), F.col(name), F.explode(suffixes).alias("_suffix"))
-    wanted = nav.withColumn("_n", F.monotonically_increasing_id()).withColumn("_suffix", F.lower(path))
+    asked = nav.select(book, path).distinct().withColumn("_suffix", F.lower(path))
     rank = F.when(F.col(name) == F.col(path), 0).when(F.lower(name) == F.lower(path), 1).otherwise(2)
-    best = wanted.join(keyed, [book, "_suffix"]).groupBy("_n").agg(F.min(F.struct(rank.alias("rank"), F.col(order))).alias("hit"))
-    return wanted.join(best, "_n", "left").select(*nav.columns, F.col(f"hit.{order}").alias("target"))
+    met = asked.join(keyed.hint("merge"), [book, "_suffix"])
+    best = met.groupBy(book, path).agg(F.min(F.struct(rank.alias("rank"), F.col(order).alias("order"))).alias("_hit"))
+    return nav.join(best.hint("merge"), [book, path], "left").select(*nav.columns, F.col("_hit.order").alias("target"))
 
 
 def nav_targets(nav: DataFrame, sections: DataFrame, href: str = "href", name: str = "name", order: str = "section_index", book: str = "book_id", html: str = "html") -> DataFrame:

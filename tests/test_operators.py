@@ -161,6 +161,15 @@ def test_navigation(spark):
     assert {r["path"]: r["target"] for r in reading.match_targets(nav, sections).collect()} == {"OEBPS/one.xhtml": 0, "two.XHTML": 2, "text/two.xhtml": 1, "none": None, "wo.xhtml": None}
 
 
+def test_navigation_targets_broadcast_no_side(spark):
+    """Files that look small may hold more rows than the driver has memory for."""
+    sections = spark.sql("SELECT * FROM VALUES ('b', 0, 'x/one'), ('b', 1, 'y/one'), ('c', 0, 'ONE'), (NULL, 5, 'one') t(book_id, section_index, name)")
+    nav = spark.sql("SELECT * FROM VALUES ('b', 'one', 1), ('b', 'one', 1), ('b', 'Y/one', 2), ('c', 'one', 3), ('c', NULL, 4), (NULL, 'one', 5) t(book_id, path, n)")
+    out = reading.match_targets(nav, sections)
+    assert sorted(out.select("n", "target").collect()) == [(1, 0), (1, 0), (2, 1), (3, 0), (4, None), (5, None)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merges(spark):
     kind = "id string, at int, note string"
     local, incoming = spark.createDataFrame([("a", 1, "l"), ("b", 5, "l"), ("c", 2, "l")], kind), spark.createDataFrame([("a", 2, "i"), ("b", 3, "i"), ("c", 2, "i"), ("d", 1, "i")], kind)
