@@ -352,6 +352,39 @@ def test_mixing_report_against_brute_force(spark):
         assert x["drawn"] == (unit(r[0], r[1]) < chance)
 
 
+def test_topics_come_from_every_row(spark, monkeypatch):
+    """Weights, means and centres over 2,400 different texts and their copies by plain Python; the same in any order, with means in a table too."""
+    from tests.llm.conftest import DOCS
+
+    monkeypatch.setattr(mixing, "TOPICS", 3)
+    rows = [(k, f"{t} own{k}", lang, s, 0) for k, t, lang, s, _ in topic_docs(2400)]
+    rows += [(k, t, None, None, 0) for k, t, *_ in rows[:90]] + [(1, None, "xx", None, 0), (2, " ", "en", None, 0), (3, "one of its language", "yy", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    topics = mixing.learn_topics(docs)
+    held = [np.unique([int(h >> 52) for h in mixing.hashed_words(*mixing.bytes_of(mixing.pa.array([r[1] or ""])))[0].tolist()]).astype(int) for r in rows]
+    points, langs = np.zeros((len(rows), mixing.TOPIC_BUCKETS)), np.array([str(r[2]) for r in rows])
+    for point, b in zip(points, held):
+        point[b] = 1
+    full = points.any(1)
+    points, langs = points[full], langs[full]
+    weight = np.log((1 + len(points)) / (1 + points.sum(0)))
+    assert np.allclose(topics.weight, weight)
+    points *= weight
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    means = {x: points[langs == x].mean(0) for x in set(langs)}
+    assert set(topics.means) == {"en", "de", None, "yy"} and all(np.allclose(topics.means[x], means[str(x)] @ topics.centres, atol=1e-6) for x in topics.means)
+    assert np.allclose(topics.usual, points.mean(0) @ topics.centres, atol=1e-6)
+    rest = points - np.array([means[x] for x in langs])
+    own = (rest @ topics.centres).argmax(1)
+    for j in range(3):
+        assert np.allclose(rest[own == j].sum(0) / np.linalg.norm(rest[own == j].sum(0)), topics.centres[:, j], atol=1e-5)
+    moved, table = mixing.learn_topics(docs.repartition(5, "doc_id")), mixing.learn_topics(docs, few=0)
+    assert np.array_equal(moved.centres, topics.centres) and moved.means.keys() == topics.means.keys()
+    assert np.allclose(table.centres, topics.centres, atol=1e-5) and all(np.allclose(table.means[x], topics.means[x], atol=1e-5) for x in topics.means)
+    alone = mixing.learn_topics(spark.createDataFrame([(k, f"word{k}", f"l{k}", "s", 0) for k in range(5)], DOCS))
+    assert alone.centres.shape == (mixing.TOPIC_BUCKETS, 1) and not alone.centres.any()
+
+
 def test_pieces_agree_with_the_library(docs, rows, empty, clashing, spark):
     import sentencepiece
 
