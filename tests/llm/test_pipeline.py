@@ -84,3 +84,14 @@ def test_empty_and_clashing(spark, folder):
         out = stage(spark, docs, folder)
         assert out.count() == 0
         assert name == "pieces" or out.columns == docs.columns
+
+
+def test_mixing_stage_does_not_depend_on_how_many_texts_are_taken_at_a_time(spark, monkeypatch):
+    from quire.llm import mixing
+    from tests.llm.test_text_operators import topic_docs
+
+    docs = spark.createDataFrame(topic_docs(), DOCS)
+    taken = lambda: sorted(r["doc_id"] for r in pipeline.mixing(spark, docs, "").collect())
+    whole = taken()
+    monkeypatch.setattr(mixing, "TOPIC_DOCS", 2)
+    assert taken() == whole
