@@ -56,7 +56,7 @@ TOPIC_DOCS = 500
 TOPIC_LANGS = 128
 #: Tasks of a round at most: each sends the driver its sums, 32 kB a centre.
 MOST_TASKS = 256
-#: Rows that a task names for the next centre: the first that differs from its language and from the centres is taken.
+#: Rows that a task names at a time for the next centre; if none of them can be one, it names those that follow.
 FAR_ROWS = 64
 SEED = 2
 
@@ -190,11 +190,15 @@ def _language_sums(topics: Topics):
     return work
 
 
-def _far_rows(topics: Topics, step: int):
-    """Rows drawn by how little they are like any centre: least -log(unit) / distance first, the unit a hash of the row."""
+def _far_rows(topics: Topics, step: int, alone: frozenset, after: tuple | None = None):
+    """Rows drawn by how little they are like any centre: least -log(unit) / distance first, the unit a hash of the row.
+
+    Only rows that follow ``after`` in this order, of equal rows one, and none of languages
+    ``alone``.  A task that may have more marks its last by 1 in ``n``.
+    """
 
     def work(batches):
-        best = []
+        best = set()
         for langs, bucket, ends in batches:
             full, _, near = topics.near(bucket, ends, langs)
             if not len(full):
@@ -202,11 +206,23 @@ def _far_rows(topics: Topics, step: int):
             word = mixed(bucket.astype(np.uint64) + np.uint64((step + 1) * TOPIC_BUCKETS))
             unit = ((mixed(np.add.reduceat(word, ends[full])) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
             far = np.maximum(1 - near.max(1, initial=0), 1e-9)
-            score, names = -np.log(unit) / far, langs.take(pa.array(full)).cast(pa.string())
-            for j in np.argsort(score, kind="stable")[:FAR_ROWS]:
-                best.append((float(score[j]), bucket[ends[full[j]] : ends[full[j] + 1]].tobytes(), names[j].as_py()))
-            best = sorted(best, key=lambda x: (x[0], x[1], x[2] or ""))[:FAR_ROWS]
-        yield from ((None, x[2], None, x[0], x[1]) for x in best)
+            score, (names, lang) = -np.log(unit) / far, _by_language(langs)
+            some = np.array([x not in alone for x in names])[lang[full]]
+            if after is not None:
+                some &= score >= after[0]
+            if len(best) == FAR_ROWS:
+                some &= score <= max(best)[0]
+            order, new = np.flatnonzero(some)[np.argsort(score[some], kind="stable")], set()
+            for j in order:
+                if len(new) >= FAR_ROWS and score[j] > max(new)[0]:
+                    break
+                x = names[lang[full[j]]]
+                key = float(score[j]), bucket[ends[full[j]] : ends[full[j] + 1]].tobytes(), x is not None, x or ""
+                if after is None or key > after:
+                    new.add(key)
+            best = set(sorted(best | new)[:FAR_ROWS])
+        for at, (score, data, named, x) in enumerate(sorted(best), 1):
+            yield None, x if named else None, int(at == FAR_ROWS), score, data
 
     return work
 
@@ -323,7 +339,10 @@ def _learned(held: DataFrame, few: int | None = None) -> Topics:
     if not n:
         return none
     few = TOPIC_LANGS if few is None else few
-    langs = held.where("n > 0").groupBy("lang").count()
+    text = F.xxhash64("buckets")
+    langs = staged(held.where("n > 0").groupBy("lang").agg(F.count("*").alias("count"), (F.min(text) == F.max(text)).alias("alone")), "langs")
+    # Languages of one text: none of their rows differs from the mean.
+    alone = frozenset(r["lang"] for r in langs.where("alone").select("lang").collect())
     some, rows = langs.limit(few + 1).collect(), staged(_pass(held, _language_sums(none)), "sums")
     means = _ManyMeans(rows, langs) if len(some) > few else _FewMeans(rows, {r["lang"]: r["count"] for r in some})
     unstage(rows)
@@ -331,19 +350,28 @@ def _learned(held: DataFrame, few: int | None = None) -> Topics:
     def topics(centres: np.ndarray) -> Topics:
         return Topics(weight, centres, means.shares(centres) if centres.shape[1] else {}, np.zeros(centres.shape[1]))
 
+    def next_centre(centres: np.ndarray) -> np.ndarray | None:
+        """What the first row drawn that differs from its language and from the centres has beyond its language; None if no row does."""
+        after, known = None, topics(centres)
+        while True:
+            found = _pass(held, _far_rows(known, centres.shape[1], alone, after)).collect()
+            drawn = sorted({(r["score"], bytes(r["data"]), r["lang"] is not None, r["lang"] or "") for r in found})
+            # What follows the end of a task that may have more is not known yet.
+            ends = [(r["score"], bytes(r["data"]), r["lang"] is not None, r["lang"] or "") for r in found if r["n"]]
+            after = min(ends, default=None)
+            for key in drawn if after is None else drawn[: drawn.index(after) + 1]:
+                point, bucket = np.zeros(TOPIC_BUCKETS), np.frombuffer(key[1], np.uint16)
+                point[bucket] = weight[bucket]
+                new = _unit(_unit(point) - means.of(key[3] if key[2] else None))
+                if new.any() and (not centres.size or (new @ centres).max() < 1 - 1e-6):
+                    return new
+            if after is None:
+                return None
+
     centres = np.zeros((TOPIC_BUCKETS, 0))
-    while centres.shape[1] < TOPICS:
-        drawn = sorted(_pass(held, _far_rows(topics(centres), centres.shape[1])).collect(), key=lambda r: (r["score"], r["data"], r["lang"] or ""))
-        for r in drawn:
-            point = np.zeros(TOPIC_BUCKETS)
-            bucket = np.frombuffer(r["data"], np.uint16)
-            point[bucket] = weight[bucket]
-            new = _unit(_unit(point) - means.of(r["lang"]))
-            if new.any() and (not centres.size or (new @ centres).max() < 1 - 1e-6):
-                centres = np.column_stack([centres, new])
-                break
-        else:
-            break
+    while centres.shape[1] < TOPICS and (new := next_centre(centres)) is not None:
+        centres = np.column_stack([centres, new])
+    unstage(langs)
     if not centres.size:
         means.drop()
         return none

@@ -18,10 +18,12 @@ overlap in every byte, and the hashed difference of neighbouring words, which is
 one bucket for all words that repeat at once.
 
 Labelled rows are dealt by crc32(doc_id as text) mod 4: 0 and 1 teach the target's
-model, 3 the curve, and 2 teach nothing, so that figures can be held out.  At most
-``TARGET_DOCS`` labelled rows, first by a hash of doc_id, teach each of the two; raw
-counts cover all rows.  What reaches the driver has a fixed size: one count
-for each of 2 x ``BUCKETS`` buckets and at most ``TARGET_DOCS`` ratios.
+model, 3 the curve, and 2 teach nothing, so that figures can be held out.  All labelled
+rows of its parts teach each of the two; raw counts cover all rows.  Up to ``FEW_LABELS``
+labels (they are counted first) are broadcast; of more a bitmap of fixed size screens the
+rows whose texts are shuffled.  The curve of more rows than that is fitted by sums that
+Spark takes.  What reaches the driver has a fixed size: one count for each of
+2 x ``BUCKETS`` buckets, the bitmap, and at most ``FEW_LABELS`` ratios.
 
 Defined results: null and empty texts have a null key and are rejected; labels with
 null fields are ignored, and so is a doc_id with labels of both kinds; where the
@@ -33,18 +35,21 @@ whole; further columns, whatever their names, are returned as they came.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bytes_of, packed, row_slices, staged, whole_text
+from .common import bounded_batches, bytes_of, join_counted, packed, row_slices, staged, unstage, whole_text
 
 BUCKETS = 1 << 14
 GRAM_BYTES = 4
-TARGET_DOCS = 20_000
+#: Up to so many labels are broadcast, and so many ratios fitted on the driver.
+FEW_LABELS = 20_000
+#: The bitmap of labelled doc_ids has at most 2 to this power bits, else 16 to 32 for each label.
+MOST_BITS = 26
 SMOOTHING = 5.0
 SLOPE_PRIOR = 0.01
 SEED = 20
@@ -87,35 +92,65 @@ def grams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, 2 * BUCKETS))
+    total = np.zeros(2 * BUCKETS, np.int64)
     for batch in batches:
         raw, bounds = bytes_of(batch.column(0))
-        target = np.array(batch.column(1).to_pylist(), bool)
         for at, to in row_slices(bounds, SLICE_BYTES):
-            bytes_, rows, words, word_rows = grams(raw, bounds[at : to + 1])
-            good = target[at:to]
-            for shift, bucket, of in ((0, bytes_, rows), (BUCKETS, words, word_rows)):
-                total[0, shift : shift + BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-                total[1, shift : shift + BUCKETS] += np.bincount(bucket[good[of]], minlength=BUCKETS)
-    used = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0, used].astype(np.int64)), pa.array(total[1, used].astype(np.int64))], ["bucket", "raw", "target"])
+            bytes_, _, words, _ = grams(raw, bounds[at : to + 1])
+            total[:BUCKETS] += np.bincount(bytes_, minlength=BUCKETS)
+            total[BUCKETS:] += np.bincount(words, minlength=BUCKETS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
 
 
-def labelled(labels: DataFrame, parts: tuple[int, ...]) -> DataFrame:
-    """doc_id and good of at most ``TARGET_DOCS`` usable labels of these parts, first by a hash of doc_id."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, good, part and n (rows of docs) of all usable labels of docs, written."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
-    return known.where((F.crc32(F.col("doc_id").cast("string")) % 4).isin(*parts)).select("doc_id", (F.col("q") == 1).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
+    known = known.select("doc_id", (F.col("q") == 1).alias("good"), (F.crc32(F.col("doc_id").cast("string")) % 4).alias("part"))
+    return staged(known.where("part <> 2").join(docs.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id"), "labels")
+
+
+def _screened(rows: DataFrame, known: DataFrame, many: int) -> DataFrame:
+    """The rows whose doc_id is in known, and few others: those with a bit of known in a bitmap of hashes."""
+    power = max(16, min(MOST_BITS, (16 * many).bit_length()))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - power)
+
+    def marked(batches):
+        bits = np.zeros(1 << power, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    bits = np.zeros(1 << power >> 3, np.uint8)
+    for r in known.select(place.alias("place")).coalesce(16).mapInArrow(marked, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def held(places: pa.Array) -> pa.Array:
+        at = places.to_numpy()
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return rows.where(held(place))
+
 
+def _with_labels(rows: DataFrame, known: DataFrame, screen: bool = False) -> DataFrame:
+    """Inner join of rows with labels by doc_id; with ``screen`` rows are sorted out before a shuffle."""
+    many = known.count()
+    if many <= FEW_LABELS:
+        return rows.join(F.broadcast(known.drop("n")), "doc_id")
+    return join_counted(_screened(rows, known, many) if screen else rows, known, ["doc_id"], drop=("n",))
 
-def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Log ratio of target to raw for each bucket."""
+
+def learn(docs: DataFrame, known: DataFrame) -> np.ndarray:
+    """Log ratio of target to raw for each bucket, from docs and the rows of ``labelled``."""
     bounded_batches(docs.sparkSession)
-    good = labelled(labels, (0, 1)).where("good")
-    flagged = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(good), "doc_id", "left")
-    counts = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "bucket int, raw bigint, target bigint")
-    sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    good = _with_labels(texts, known.where("good AND part <= 1").select("doc_id", "n"), True)
+    counts = [rows.select("text").mapInArrow(_count, "bucket int, n bigint").withColumn("kind", F.lit(k)) for k, rows in enumerate((texts, good))]
+    sums = counts[0].unionByName(counts[1]).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((2, 2 * BUCKETS))
-    table[:, sums.bucket.to_numpy(int)] = sums[["raw", "target"]].to_numpy(float).T
+    table[sums.kind.to_numpy(int), sums.bucket.to_numpy(int)] = sums.n.to_numpy(float)
     return log_ratio(table)
 
 
@@ -129,30 +164,74 @@ def log_ratio(table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _newton(sums: Callable, rounds: int) -> np.ndarray:
+    """The coefficients of least loss; ``sums`` gives the loss at some, its slope and its bend over all rows.
+
+    A weak normal prior on the second (``SLOPE_PRIOR``) lets the least exist where the kinds do not overlap.
+    """
+    held = np.diag([0.0, SLOPE_PRIOR])
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, slope, bend = sums(beta)
+        return loss + beta @ held @ beta / 2, slope + held @ beta, bend + held
+
+    beta = np.zeros(2)
+    loss, slope, bend = at(beta)
+    for _ in range(rounds):
+        step = -np.linalg.solve(bend + 1e-9 * np.eye(2), slope)
+        if np.abs(step).max() < 1e-10:
+            return beta + step
+        size, now = 1.0, at(beta + step)
+        while size > 1e-6 and now[0] > loss:
+            size /= 2
+            now = at(beta + size * step)
+        beta, (loss, slope, bend) = beta + size * step, now
+        if np.abs(size * step).max() < 1e-10:
+            break
+    return beta
+
+
 def curve(rate: np.ndarray, good: np.ndarray, rounds: int = 100) -> tuple[float, float, float] | None:
     """(a, b, P(good)) with P(good | rate) = 1 / (1 + exp(-a - b x rate)); None without rows of both kinds.
 
-    Fitted by Newton steps; a weak normal prior on the slope (``SLOPE_PRIOR``, of ratios in
-    standard deviations) lets it exist where the kinds do not overlap; never falling.
+    Fitted by Newton steps over ratios in standard deviations; never falling.
     """
     yes, no = int(good.sum()), int((~good).sum())
     if not yes or not no:
         return None
     middle, width = rate.mean(), rate.std() or 1.0
-    x, held = np.stack([np.ones(len(rate)), (rate - middle) / width], 1), np.diag([0.0, SLOPE_PRIOR])
-    beta, goal = np.zeros(2), good.astype(float)
-    loss = lambda b: float(np.logaddexp(0, x @ b).sum() - goal @ (x @ b) + b @ held @ b / 2)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ beta)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + held + 1e-9 * np.eye(2), x.T @ (goal - p) - held @ beta)
-        size = 1.0
-        while size > 1e-6 and loss(beta + size * step) > loss(beta):
-            size /= 2
-        beta = beta + size * step
-        if np.abs(size * step).max() < 1e-10:
-            break
+    x, goal = np.stack([np.ones(len(rate)), (rate - middle) / width], 1), good.astype(float)
+
+    def sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        t = x @ beta
+        p = 1 / (1 + np.exp(-t))
+        return float(np.logaddexp(0, t).sum() - goal @ t), x.T @ (p - goal), (x * (p * (1 - p))[:, None]).T @ x
+
+    return _line(_newton(sums, rounds), middle, width, yes / (yes + no))
+
+
+def _line(beta: np.ndarray, middle: float, width: float, prior: float) -> tuple[float, float, float]:
     b = max(0.0, beta[1]) / width
-    return float(beta[0] - b * middle), float(b), yes / (yes + no)
+    return float(beta[0] - b * middle), float(b), prior
+
+
+def curve_of(known: DataFrame, rounds: int = 100) -> tuple[float, float, float] | None:
+    """``curve`` of the rows (_rate, good) of a written table, by sums that Spark takes."""
+    n, yes, middle, width = known.agg(F.count("*"), F.count(F.when(F.col("good"), 1)), F.avg("_rate"), F.stddev_pop("_rate")).first()
+    if not yes or yes == n:
+        return None
+    width = width or 1.0
+    x, goal = (F.col("_rate") - F.lit(middle)) / F.lit(width), F.col("good").cast("double")
+
+    def sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        t = F.lit(float(beta[0])) + F.lit(float(beta[1])) * x
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-t))
+        loss = F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t))) - goal * t
+        rows = known.select(x.alias("x"), (p - goal).alias("g"), (p * (F.lit(1.0) - p)).alias("h"), loss.alias("loss"))
+        loss, g, gx, h, hx, hxx = rows.agg(F.sum("loss"), F.sum("g"), F.sum(F.col("g") * F.col("x")), F.sum("h"), F.sum(F.col("h") * F.col("x")), F.sum(F.col("h") * F.col("x") * F.col("x"))).first()
+        return loss, np.array([g, gx]), np.array([[h, hx], [hx, hxx]])
+
+    return _line(_newton(sums, rounds), middle, width, yes / n)
 
 
 def rate_of(spark: SparkSession, ratio: np.ndarray, text: Column) -> Column:
@@ -196,13 +275,23 @@ def kth_largest(keys: DataFrame, name: str, k: int, few: int = 4_096) -> float:
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> tuple[float, DataFrame]:
     """The threshold of the draw, and docs (doc_id, text, ...) with log_weight and gumbel_key; each text is scored once."""
     spark = docs.sparkSession
-    ratio = learn(docs, labels)
+    known = labelled(docs, labels)
+    ratio = learn(docs, known)
     # The noise is a function of (doc_id, text).
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11)
     noise = -F.log(-F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))))
     rated = staged(docs.withColumns({"_rate": rate_of(spark, ratio, whole_text()), "_noise": F.when(F.length(whole_text()) > 0, noise)}), "quality", "zstd")
-    known = rated.select("doc_id", "_rate").join(F.broadcast(labelled(labels, (3,))), "doc_id").select("_rate", "good").toPandas()
-    fit = curve(known["_rate"].to_numpy(float), known["good"].to_numpy(bool))
+    taught = known.where("part = 3").select("doc_id", "good", "n")
+    many = taught.agg(F.sum("n")).first()[0] or 0
+    rates = _with_labels(rated.select("doc_id", "_rate"), taught).select("_rate", "good")
+    if many <= FEW_LABELS:
+        got = rates.toPandas()
+        fit = curve(got["_rate"].to_numpy(float), got["good"].to_numpy(bool))
+    else:
+        rates = staged(rates, "rates")
+        fit = curve_of(rates)
+        unstage(rates)
+    unstage(known)
     weight = F.lit(0.0)
     if fit:
         a, b, prior = fit

@@ -95,3 +95,37 @@ def test_mixing_stage_does_not_depend_on_how_many_texts_are_taken_at_a_time(spar
     whole = taken()
     monkeypatch.setattr(mixing, "TOPIC_DOCS", 2)
     assert taken() == whole
+
+
+def test_quality_stage_learns_from_every_label(spark, tmp_path):
+    """48,000 labels: counts, curve and weights by plain Python over all of them."""
+    import math
+    import random
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+
+    from quire.llm import quality
+    from tests.llm.test_text_operators import grams_brute
+
+    r = random.Random(21)
+    texts = [passage(200 + k, 8) for k in range(30)]
+    rows = [(k, texts[k % 30], "en", "s", 0) for k in range(48_000)]
+    labels = [(k, int(r.random() < (k % 30 + 1) / 32), 0) for k in range(48_000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    part = [zlib.crc32(str(k).encode()) % 4 for k in range(48_000)]
+    taught = Counter(k % 30 for k, q, _ in labels if q and part[k] < 2)
+    counts, grams = np.zeros((2, 2 * quality.BUCKETS)), [grams_brute(t) for t in texts]
+    for t, own in enumerate(grams):
+        np.add.at(counts, (0, own), 1600)
+        np.add.at(counts, (1, own), taught[t])
+    ratio = quality.log_ratio(counts)
+    rate = [ratio[own].sum() / len(t.encode()) for t, own in zip(texts, grams)]
+    held = [(rate[k % 30], bool(q)) for k, q, _ in labels if part[k] == 3]
+    a, b, prior = quality.curve(*map(np.array, zip(*held)))
+    out = quality.quality_report(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    want = [-math.log1p(math.exp(-a - b * x)) - math.log(prior) for x in rate]
+    assert len(out) == 48_000 and max(abs(x["log_weight"] - want[x["doc_id"] % 30]) for x in out) < 1e-9
+    assert sorted(x["doc_id"] for x in pipeline.quality(spark, docs, str(tmp_path)).collect()) == sorted(x["doc_id"] for x in out if x["kept"])
