@@ -1,12 +1,13 @@
 """Line dedup: drop lines that many documents share.  DataFrame functions only.
 
-Lines are exploded with their positions, normalised and hashed; one aggregate
-counts the distinct documents of each hash and finds the largest doc_id holding
-it.  Lines over the threshold go, except in that document, and what stays is
-reassembled by position inside each row, so texts are shuffled once, when the
-dropped positions meet their documents.  The hashes that are over the threshold
-are written once; those that hold a large share of all lines (at most
-``HOT_KEYS``) meet their lines by broadcast, the others by a shuffle.
+Lines are exploded with their positions, normalised and hashed, and the hashes
+are written, so that texts are split once for them; one aggregate counts the
+distinct documents of each hash and finds the largest doc_id holding it.  Lines
+over the threshold go, except in that document, and what stays is reassembled by
+position inside each row, so texts are shuffled once, when the dropped positions
+meet their documents.  The hashes that are over the threshold are written once;
+those that hold a large share of all lines (at most ``HOT_KEYS``) meet their
+lines by broadcast, the others by a shuffle.
 
 Defined results: a null or empty text is one empty line; a null doc_id is one
 document that precedes all others; repeated rows of one doc_id count as one
@@ -18,6 +19,9 @@ an empty result; further columns of the input, whatever their names, are ignored
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def stripped(line: Column) -> Column:
+    """line without SPACE_CHARS at both ends; the trim makes eight bytes of garbage a byte, so only lines that need it get it."""
+    ends = functools.reduce(operator.or_, [test(c) for c in SPACE_CHARS for test in (line.startswith, line.endswith)])
+    return F.when(ends, F.btrim(line, F.lit(SPACE_CHARS))).otherwise(line)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = whole_text()
     return docs.withColumns({"text": text, "_id": F.coalesce("doc_id", F.lit(NO_ID)), "_th": F.xxhash64(text)})
@@ -42,15 +52,14 @@ def _rows(docs: DataFrame) -> DataFrame:
 def keyed_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """_id, _th, pos and two independent 64-bit hashes of each line's key that is long enough."""
     lines = rows.select("_id", "_th", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("pos", "line"))
-    key = F.btrim(F.col("line"), F.lit(SPACE_CHARS))
-    lines = lines.select("_id", "_th", "pos", key.alias("key")).where(F.length("key") >= min_chars)
+    lines = lines.select("_id", "_th", "pos", stripped(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     return lines.select("_id", "_th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs (null texts empty) with _kept, the text without the dropped lines, _n_lines and _n_dropped; docs has doc_id, text and maybe row."""
     rows = _rows(docs)
-    lines = keyed_lines(rows, min_chars)
+    lines = staged(keyed_lines(rows, min_chars), "keys")
     common = lines.groupBy("h1", "h2").agg(F.countDistinct("_id").alias("docs"), F.count("*").alias("n"), F.max("_id").alias("holder")).where(F.col("docs") >= min_docs)
     gone = join_counted(lines, staged(common, "lines"), ["h1", "h2"], drop=("docs", "n")).where(F.col("_id") != F.col("holder"))
     gone = gone.groupBy("_id", "_th").agg(F.collect_set("pos").alias("_gone"))

@@ -52,6 +52,20 @@ def test_line_dedup(docs, rows, empty, clashing):
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
 
 
+def test_lines_are_split_once(docs, spark):
+    """All that is asked of lines reads their hashes; texts are split again only where their lines are put together."""
+    for out in (line_dedup.line_dedup_report(docs), line_dedup.drop_common_lines(docs)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and "Generate" not in plan
+
+
+def test_line_ends(spark):
+    ends = ["", *SPACE, "\u00a0", "\u2028", "\x1c", "\x85", "\u3000", " \u00a0 ", "\x0b\t \r\x0c"]
+    lines = [a + b + c for a in ends for b in ("", "x", "a \t b", "é") for c in ends]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.stripped(F.col("line"))).collect()
+    assert [tuple(r) for r in got] == [(x, x.strip(SPACE)) for x in lines]
+
+
 def xx(values: list[int], seed: int = 42) -> int:
     for v in values:
         seed = xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), seed=seed)
